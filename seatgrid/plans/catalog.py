@@ -244,3 +244,168 @@ FROM d_regs r JOIN d_sessions e ON r.event_id = e.event_id
 WHERE r.registration_status = 'CONFIRMED'""")
 def _user_registrations(d: Domain):
     return R.user_registrations(d.registrations, d.sessions)
+
+# ---------------------------------------------------------------- functions (per-argument lookups)
+
+from seatgrid.operators import admission as A  # noqa: E402
+from seatgrid.operators import lookups as L  # noqa: E402
+
+
+@register("time_conflict_count", """
+SELECT q.request_id, q.user_id, q.event_id,
+       (SELECT count(*) FROM d_regs r JOIN d_sessions e ON r.event_id = e.event_id
+        WHERE r.user_id = q.user_id AND r.registration_status = 'CONFIRMED' AND e.event_date = s.event_date
+          AND e.start_time < s.end_time AND e.end_time > s.start_time) AS conflict_count
+FROM d_requests q LEFT JOIN d_sessions s ON q.event_id = s.event_id""")
+def _time_conflict_count(d: Domain):
+    return L.time_conflict_count(d.requests, d.sessions, d.registrations)
+
+
+@register("user_reg_count", """
+SELECT u.user_id, (SELECT count(*) FROM d_regs r WHERE r.user_id = u.user_id
+                   AND r.registration_status = 'CONFIRMED' AND r.payment_status = 'COMPLETED') AS reg_count
+FROM d_users u""")
+def _user_reg_count(d: Domain):
+    return L.user_reg_count(d.users, d.registrations)
+
+
+@register("can_register", """
+SELECT u.user_id, (SELECT count(*) FROM d_regs r WHERE r.user_id = u.user_id AND r.payment_status = 'COMPLETED') < 3
+       AS can_register
+FROM d_users u""")
+def _can_register(d: Domain):
+    return L.can_register(d.users, d.registrations)
+
+
+@register("fill_percentage", f"""
+SELECT q.request_id, q.event_id, {pct('s.booked_seats', 's.total_seats')} AS fill_percentage
+FROM d_requests q LEFT JOIN d_sessions s ON q.event_id = s.event_id""")
+def _fill_percentage(d: Domain):
+    return L.fill_percentage(d.requests, d.sessions)
+
+
+@register("fill_percentage_zero", f"""
+SELECT q.request_id, q.event_id,
+       CASE WHEN s.total_seats IS NULL OR s.total_seats = 0 THEN 0.0 ELSE {pct('s.booked_seats', 's.total_seats')} END
+         AS fill_percentage
+FROM d_requests q LEFT JOIN d_sessions s ON q.event_id = s.event_id""")
+def _fill_percentage_zero(d: Domain):
+    return L.fill_percentage_zero(d.requests, d.sessions)
+
+
+@register("seat_availability", """
+SELECT q.request_id, q.event_id, coalesce(s.booked_seats < s.total_seats, false) AS seats_available
+FROM d_requests q LEFT JOIN d_sessions s ON q.event_id = s.event_id""")
+def _seat_availability(d: Domain):
+    return L.seat_availability(d.requests, d.sessions)
+
+
+@register("seat_availability_null", """
+SELECT q.request_id, q.event_id, s.booked_seats < s.total_seats AS seats_available
+FROM d_requests q LEFT JOIN d_sessions s ON q.event_id = s.event_id""")
+def _seat_availability_null(d: Domain):
+    return L.seat_availability_null(d.requests, d.sessions)
+
+
+@register("total_revenue", """
+SELECT CAST(coalesce(sum(amount_paid), 0) AS DOUBLE) AS total_revenue FROM d_regs WHERE payment_status = 'COMPLETED'""")
+def _total_revenue(d: Domain):
+    return L.total_revenue(d.registrations)
+
+
+@register("total_revenue_between", f"""
+SELECT CAST(coalesce(sum(amount_paid), 0) AS DOUBLE) AS total_revenue FROM d_regs
+WHERE payment_status = 'COMPLETED' AND registration_date BETWEEN DATE '{REVENUE_FROM}' AND DATE '{REVENUE_TO}'""")
+def _total_revenue_between(d: Domain):
+    return L.total_revenue(d.registrations, REVENUE_FROM, REVENUE_TO)
+
+
+@register("total_revenue_one_bound", """
+SELECT CAST(coalesce(sum(amount_paid), 0) AS DOUBLE) AS total_revenue FROM d_regs
+WHERE payment_status = 'COMPLETED' AND registration_date BETWEEN DATE '1996-01-01' AND CAST(NULL AS DATE)""")
+def _total_revenue_one_bound(d: Domain):
+    return L.total_revenue(d.registrations, REVENUE_FROM, None)
+
+
+# ---------------------------------------------------------------- cart admission
+
+FACTS_SQL = """
+, conf AS (SELECT r.user_id, r.reg_id, e.event_name, e.event_date, e.start_time, e.end_time
+           FROM d_regs r JOIN d_sessions e ON r.event_id = e.event_id WHERE r.registration_status = 'CONFIRMED'),
+cartx AS (SELECT c.user_id, c.cart_id, e.event_name, e.event_date, e.start_time, e.end_time
+          FROM d_cart c JOIN d_sessions e ON c.event_id = e.event_id),
+f AS (
+  SELECT q.request_id, q.user_id, q.event_id, s.event_id IS NOT NULL AS found, s.event_status, s.total_seats,
+         s.booked_seats,
+         EXISTS (SELECT 1 FROM d_cart c WHERE c.user_id = q.user_id AND c.event_id = q.event_id) AS in_cart,
+         EXISTS (SELECT 1 FROM d_regs r WHERE r.user_id = q.user_id AND r.event_id = q.event_id) AS registered,
+         (SELECT count(*) FROM d_regs r WHERE r.user_id = q.user_id AND r.registration_status = 'CONFIRMED')
+           AS confirmed_count,
+         (SELECT count(*) FROM d_regs r WHERE r.user_id = q.user_id AND r.registration_status = 'CONFIRMED'
+            AND r.payment_status = 'COMPLETED') AS paid_confirmed_count,
+         (SELECT count(*) FROM conf x WHERE x.user_id = q.user_id AND x.event_date = s.event_date
+            AND x.start_time < s.end_time AND x.end_time > s.start_time) AS conflict_count,
+         (SELECT arg_min(x.event_name, x.reg_id) FROM conf x WHERE x.user_id = q.user_id
+            AND x.event_date = s.event_date AND x.start_time < s.end_time AND x.end_time > s.start_time) AS conflict_name,
+         (SELECT count(*) FROM cartx x WHERE x.user_id = q.user_id AND x.event_date = s.event_date
+            AND x.start_time < s.end_time AND x.end_time > s.start_time) AS cart_conflict_count,
+         (SELECT arg_min(x.event_name, x.cart_id) FROM cartx x WHERE x.user_id = q.user_id
+            AND x.event_date = s.event_date AND x.start_time < s.end_time AND x.end_time > s.start_time)
+           AS cart_conflict_name
+  FROM d_requests q LEFT JOIN d_sessions s ON q.event_id = s.event_id)
+"""
+
+
+def _chain_sql(chain: list[tuple[str, str, str]], ok: str) -> str:
+    st = " ".join(f"WHEN {c} THEN '{s}'" for c, s, _ in chain)
+    ms = " ".join(f"WHEN {c} THEN {m}" for c, _, m in chain)
+    return (FACTS_SQL + f"SELECT request_id, user_id, event_id, CASE {st} ELSE 'SUCCESS' END AS status, "
+            f"CASE {ms} ELSE '{ok}' END AS message FROM f")
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_SEAT = "NOT coalesce(booked_seats < total_seats, false)"
+
+STRICT_CHAIN = [
+    ("NOT found", "FAILED", _q(A.MSG_NOT_FOUND)), ("event_status <> 'ACTIVE'", "FAILED", _q(A.MSG_NOT_ACTIVE)),
+    ("in_cart", "FAILED", _q(A.MSG_IN_CART)), ("registered", "FAILED", _q(A.MSG_REGISTERED)),
+    ("conflict_count > 0", "FAILED", _q(A.MSG_CONFLICT)), ("paid_confirmed_count >= 3", "FAILED", _q(A.MSG_LIMIT)),
+    (_SEAT, "FAILED", _q(A.MSG_NO_SEATS))]
+
+
+def _facts(d: Domain):
+    return A.admission_facts(d.requests, d.sessions, d.registrations, d.cart)
+
+
+@register("cart_admission_strict", _chain_sql(STRICT_CHAIN, A.MSG_ADDED))
+def _cart_admission_strict(d: Domain):
+    return A.strict(_facts(d))
+
+
+@register("cart_admission_package", _chain_sql([c for c in STRICT_CHAIN if c[0] != "registered"], A.MSG_ADDED))
+def _cart_admission_package(d: Domain):
+    return A.package(_facts(d))
+
+
+@register("cart_admission_basic", _chain_sql([
+    ("in_cart", "FAILED", _q(A.MSG_IN_CART)), ("registered", "FAILED", _q(A.MSG_REGISTERED)),
+    ("NOT (booked_seats < total_seats)", "FAILED", _q(A.MSG_NO_SEATS)), ("NOT found", "ERROR", _q(A.MSG_FK))],
+    A.MSG_ADDED))
+def _cart_admission_basic(d: Domain):
+    return A.basic(_facts(d))
+
+
+_HALF = ("coalesce(coalesce(booked_seats, 0) * 2 >= total_seats "
+         "AND NOT (total_seats = 0 AND coalesce(booked_seats, 0) = 0), false)")
+
+
+@register("cart_admission_half_full", _chain_sql([
+    ("NOT found", "FAILED", _q(A.MSG_NOT_FOUND)), (f"confirmed_count >= 3 AND {_HALF}", "FAILED", _q(A.MSG_JS_LIMIT)),
+    ("conflict_count > 0", "FAILED", f"{_q(A.MSG_JS_CONFLICT)} || conflict_name"),
+    ("cart_conflict_count > 0", "FAILED", f"{_q(A.MSG_JS_CART_CONFLICT)} || cart_conflict_name"),
+    ("in_cart", "FAILED", _q(A.MSG_IN_CART)), ("registered", "FAILED", _q(A.MSG_REGISTERED))], A.MSG_JS_ADDED))
+def _cart_admission_half_full(d: Domain):
+    return A.half_full(_facts(d))
