@@ -18,26 +18,32 @@ from seatgrid.session import cut_lineage
 
 
 def ordered_positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
-                      weight: Column | None = None, num_partitions: int | None = None) -> DataFrame:
+                      weight: Column | None = None, num_partitions: int | None = None,
+                      weights: dict[str, Column] | None = None) -> DataFrame:
     """Add ``_pos`` (1-based row number within ``keys`` by ``order``), ``_before`` (sum of
-    ``weight`` over strictly earlier rows of the key) and ``_total`` (row count of the key).
+    ``weight`` over strictly earlier rows of the key), ``_before_<name>`` for each extra
+    entry of ``weights``, and ``_total`` (row count of the key).
 
     ``order`` must be a total order within a key for ``_pos`` to be deterministic.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    w = weight if weight is not None else F.lit(1)
-    tagged = (df.withColumn("_w", w.cast("bigint"))
-              .repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], *order)
+    ws = {"": weight if weight is not None else F.lit(1)}
+    ws.update({"_" + k: v for k, v in (weights or {}).items()})
+    tagged = df
+    for k, v in ws.items():
+        tagged = tagged.withColumn("_w" + k, v.cast("bigint"))
+    tagged = (tagged.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], *order)
               .withColumn("_pid", F.spark_partition_id()))
     tagged = cut_lineage(tagged)
-    per_part = tagged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_pc"), F.sum("_w").alias("_pw"))
+    per_part = tagged.groupBy("_pid", *keys).agg(
+        F.count(F.lit(1)).alias("_pc"), *[F.sum("_w" + k).alias("_pw" + k) for k in ws])
     by_part = Window.partitionBy(*keys).orderBy("_pid")
     earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select(
         "_pid", *keys,
         F.coalesce(F.sum("_pc").over(earlier), F.lit(0)).alias("_off_c"),
-        F.coalesce(F.sum("_pw").over(earlier), F.lit(0)).alias("_off_w"),
+        *[F.coalesce(F.sum("_pw" + k).over(earlier), F.lit(0)).alias("_off_w" + k) for k in ws],
         F.sum("_pc").over(Window.partitionBy(*keys)).alias("_total"),
     )
     if not keys:
@@ -45,11 +51,11 @@ def ordered_positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str
         offsets = F.broadcast(offsets)
     joined = tagged.join(offsets, ["_pid", *keys])
     inside = Window.partitionBy("_pid", *keys).orderBy(*order)
+    prior = inside.rowsBetween(Window.unboundedPreceding, -1)
     out = joined.select(
         *df.columns,
         (F.row_number().over(inside) + F.col("_off_c")).alias("_pos"),
-        (F.coalesce(F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-         + F.col("_off_w")).alias("_before"),
+        *[(F.coalesce(F.sum("_w" + k).over(prior), F.lit(0)) + F.col("_off_w" + k)).alias("_before" + k) for k in ws],
         F.col("_total"),
     )
     return out

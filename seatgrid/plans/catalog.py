@@ -409,3 +409,252 @@ _HALF = ("coalesce(coalesce(booked_seats, 0) * 2 >= total_seats "
     ("in_cart", "FAILED", _q(A.MSG_IN_CART)), ("registered", "FAILED", _q(A.MSG_REGISTERED))], A.MSG_JS_ADDED))
 def _cart_admission_half_full(d: Domain):
     return A.half_full(_facts(d))
+
+# ---------------------------------------------------------------- data quality
+
+from seatgrid.operators import changes as C  # noqa: E402
+from seatgrid.operators import quality as Q  # noqa: E402
+
+
+def _row_rules_sql(table: str, view: str, rules: list[tuple[str, str]]) -> list[str]:
+    return [f"SELECT '{table}' AS table_name, '{n}' AS constraint_name, count(*) FILTER (WHERE {p}) AS violations "
+            f"FROM {view}" for n, p in rules]
+
+
+def _unique_sql(table: str, view: str, name: str, keys: list[str]) -> str:
+    nn = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    ks = ", ".join(keys)
+    return (f"SELECT '{table}' AS table_name, '{name}' AS constraint_name, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS violations "
+            f"FROM (SELECT count(*) AS n FROM {view} WHERE {nn} GROUP BY {ks} HAVING count(*) > 1) t")
+
+
+def _fk_sql(table: str, view: str, name: str, key: str, parent: str, pkey: str) -> str:
+    return (f"SELECT '{table}' AS table_name, '{name}' AS constraint_name, count(*) AS violations FROM {view} c "
+            f"WHERE c.{key} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pkey} = c.{key})")
+
+
+def _nn(c: str) -> str:
+    return f"{c} IS NULL"
+
+
+def _ck(p: str) -> str:
+    return f"coalesce(NOT ({p}), false)"
+
+
+def _len(c: str, n: int) -> str:
+    return f"coalesce(length({c}) > {n}, false)"
+
+
+_TIME = "regexp_full_match({c}, '[0-9]{{2}}:[0-9]{{2}}')"
+
+CONSTRAINT_SQL = " UNION ALL ".join(
+    _row_rules_sql("users", "d_users", [
+        ("pk_not_null", _nn("user_id")), ("name_not_null", _nn("full_name")), ("email_not_null", _nn("email")),
+        ("user_type_check", _ck("user_type IN ('USER', 'ADMIN')")), ("name_length", _len("full_name", 100)),
+        ("email_length", _len("email", 100))])
+    + [_unique_sql("users", "d_users", "pk_unique", ["user_id"]), _unique_sql("users", "d_users", "email_unique", ["email"])]
+    + _row_rules_sql("sessions", "d_sessions", [
+        ("pk_not_null", _nn("event_id")), ("name_not_null", _nn("event_name")), ("date_not_null", _nn("event_date")),
+        ("start_not_null", _nn("start_time")), ("end_not_null", _nn("end_time")), ("seats_not_null", _nn("total_seats")),
+        ("price_not_null", _nn("ticket_price")), ("seats_positive", _ck("total_seats > 0")),
+        ("booked_within_seats", _ck("booked_seats <= total_seats")), ("price_non_negative", _ck("ticket_price >= 0")),
+        ("status_check", _ck("event_status IN ('ACTIVE', 'CANCELLED', 'COMPLETED')")),
+        ("name_length", _len("event_name", 200)), ("start_length", _len("start_time", 10)),
+        ("end_length", _len("end_time", 10)), ("start_format", _ck(_TIME.format(c="start_time"))),
+        ("end_format", _ck(_TIME.format(c="end_time")))])
+    + [_unique_sql("sessions", "d_sessions", "pk_unique", ["event_id"])]
+    + _row_rules_sql("registrations", "d_regs", [
+        ("pk_not_null", _nn("reg_id")), ("user_not_null", _nn("user_id")), ("event_not_null", _nn("event_id")),
+        ("payment_status_check", _ck("payment_status IN ('PENDING', 'COMPLETED', 'FAILED', 'REFUNDED')")),
+        ("registration_status_check", _ck("registration_status IN ('CONFIRMED', 'CANCELLED', 'WAITLIST')"))])
+    + [_unique_sql("registrations", "d_regs", "pk_unique", ["reg_id"]),
+       _unique_sql("registrations", "d_regs", "user_event_unique", ["user_id", "event_id"]),
+       _fk_sql("registrations", "d_regs", "fk_user", "user_id", "d_users", "user_id"),
+       _fk_sql("registrations", "d_regs", "fk_event", "event_id", "d_sessions", "event_id")]
+    + _row_rules_sql("cart", "d_cart", [
+        ("pk_not_null", _nn("cart_id")), ("user_not_null", _nn("user_id")), ("event_not_null", _nn("event_id"))])
+    + [_unique_sql("cart", "d_cart", "pk_unique", ["cart_id"]),
+       _unique_sql("cart", "d_cart", "user_event_unique", ["user_id", "event_id"]),
+       _fk_sql("cart", "d_cart", "fk_user", "user_id", "d_users", "user_id"),
+       _fk_sql("cart", "d_cart", "fk_event", "event_id", "d_sessions", "event_id")])
+
+
+@register("constraint_violations", CONSTRAINT_SQL)
+def _constraint_violations(d: Domain):
+    return Q.constraint_violations(d.users, d.sessions, d.registrations, d.cart)
+
+
+@register("overbooking_violations", """
+SELECT event_id, total_seats, raw_booked AS booked_seats, raw_booked - total_seats AS excess
+FROM d_sessions WHERE raw_booked > total_seats""")
+def _overbooking_violations(d: Domain):
+    return Q.overbooking_violations(d.sessions)
+
+
+# ---------------------------------------------------------------- bulk state changes
+
+
+@register("ingest_users", """
+, s AS (SELECT q.*, EXISTS (SELECT 1 FROM d_users u WHERE u.email = q.email) AS taken,
+               NOT (q.full_name IS NULL OR q.full_name = '' OR q.email IS NULL OR q.email = '') AS valid
+        FROM d_user_signups q),
+w AS (SELECT s.*, coalesce(valid AND NOT taken
+        AND request_id = min(CASE WHEN valid AND NOT taken THEN request_id END) OVER (PARTITION BY email), false) AS win
+      FROM s)
+SELECT request_id, full_name, email, CASE WHEN win THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+       CASE WHEN NOT valid THEN 'Name and email are required' WHEN NOT win THEN 'Email already registered'
+            ELSE 'User registered successfully' END AS message,
+       CASE WHEN win THEN (SELECT max(user_id) FROM d_users) + row_number() OVER (PARTITION BY win ORDER BY request_id)
+       END AS user_id
+FROM w""")
+def _ingest_users(d: Domain):
+    return C.ingest_users(d.users, d.user_signups)
+
+
+@register("ingest_sessions", """
+SELECT event_id, event_name, CAST(event_date AS VARCHAR) AS event_date, start_time,
+       CASE WHEN event_name IS NULL OR event_date IS NULL OR start_time IS NULL
+              OR event_id = min(event_id) OVER (PARTITION BY event_name, event_date, start_time)
+            THEN 'INSERTED' ELSE 'IGNORED' END AS status
+FROM d_base""")
+def _ingest_sessions(d: Domain):
+    return C.ingest_sessions(d.base_sessions)
+
+
+@register("cart_remove", """
+SELECT c.cart_id, c.user_id, c.event_id, CAST(c.added_date AS VARCHAR) AS added_date FROM d_cart c
+WHERE NOT EXISTS (SELECT 1 FROM d_removals r WHERE r.user_id = c.user_id AND r.event_id = c.event_id)""")
+def _cart_remove(d: Domain):
+    return C.cart_remove(d.cart, d.removals)
+
+
+CANCEL_SQL = f"""
+, cx AS (
+  SELECT q.request_id, q.reg_id, q.user_id,
+         coalesce(r.payment_status = 'COMPLETED', false)
+           AND row_number() OVER (PARTITION BY q.reg_id ORDER BY q.ts, q.request_id) = 1 AS ok
+  FROM d_cancellations q LEFT JOIN d_regs r ON q.reg_id = r.reg_id)
+"""
+
+
+@register("cancel_registrations", CANCEL_SQL + f"""
+SELECT request_id, reg_id, user_id, CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+       CASE WHEN ok THEN '{C.MSG_CANCEL_OK}' ELSE '{C.MSG_CANCEL_MISSING}' END AS message
+FROM cx""")
+def _cancel_registrations(d: Domain):
+    return C.cancel_registrations(d.registrations, d.cancellations)
+
+
+@register("cancel_seat_delta", CANCEL_SQL + """
+SELECT r.event_id, count(*) AS released, s.booked_seats AS booked_before, s.booked_seats - count(*) AS booked_after
+FROM cx JOIN d_regs r ON cx.reg_id = r.reg_id JOIN d_sessions s ON r.event_id = s.event_id
+WHERE cx.ok GROUP BY r.event_id, s.booked_seats""")
+def _cancel_seat_delta(d: Domain):
+    dec = C.cancel_registrations(d.registrations, d.cancellations)
+    return C.cancel_seat_delta(d.sessions, d.registrations, dec)
+
+
+@register("audit_updates", CANCEL_SQL + f"""
+SELECT row_number() OVER (ORDER BY r.reg_id) AS audit_id, r.user_id, r.event_id, 'UPDATE' AS action,
+       '{AS_OF}' AS action_date, r.registration_status AS old_status, 'CANCELLED' AS new_status
+FROM d_regs r WHERE r.reg_id IN (SELECT reg_id FROM cx WHERE ok)""")
+def _audit_updates(d: Domain):
+    dec = C.cancel_registrations(d.registrations, d.cancellations)
+    after = C.apply_cancellations(d.registrations, dec)
+    return C.audit_updates(d.registrations, after, dec.filter("status = 'SUCCESS'"), AS_OF)
+
+
+@register("audit_inserts", f"""
+SELECT row_number() OVER (ORDER BY reg_id) AS audit_id, user_id, event_id, 'INSERT' AS action,
+       '{AS_OF}' AS action_date, CAST(NULL AS VARCHAR) AS old_status, payment_status AS new_status
+FROM d_regs""")
+def _audit_inserts(d: Domain):
+    return C.audit_inserts(d.registrations, AS_OF)
+
+
+@register("seat_counts", """
+SELECT s.event_id, s.total_seats,
+       (SELECT count(*) FROM d_regs r WHERE r.event_id = s.event_id AND r.payment_status = 'COMPLETED') AS booked_seats
+FROM d_base s""")
+def _seat_counts(d: Domain):
+    return C.seat_counts(d.base_sessions, d.registrations)
+
+
+@register("waitlist_assign", """
+, b AS (SELECT *, coalesce(sum(CASE WHEN payment_status = 'COMPLETED' THEN 1 ELSE 0 END) OVER (
+          PARTITION BY event_id ORDER BY registration_date NULLS FIRST, reg_id
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_paid
+        FROM d_regs)
+SELECT b.reg_id, b.user_id, b.event_id,
+       CASE WHEN coalesce(b.before_paid >= s.total_seats, false) THEN 'WAITLIST' ELSE b.registration_status END
+         AS registration_status,
+       b.payment_status = 'COMPLETED' AND NOT coalesce(b.before_paid >= s.total_seats, false) AS takes_seat
+FROM b LEFT JOIN d_base s ON b.event_id = s.event_id""")
+def _waitlist_assign(d: Domain):
+    return C.waitlist_assign(d.base_sessions, d.registrations)
+
+
+DEDUPE_SQL = """
+, dd AS (
+  SELECT q.request_id, q.user_id, q.event_id, q.ts,
+         NOT EXISTS (SELECT 1 FROM d_cart c WHERE c.user_id = q.user_id AND c.event_id = q.event_id)
+           AND row_number() OVER (PARTITION BY q.user_id, q.event_id ORDER BY q.ts, q.request_id) = 1 AS ok
+  FROM d_requests q)
+"""
+
+
+@register("cart_dedupe", DEDUPE_SQL + """
+SELECT request_id, user_id, event_id, ts, CASE WHEN ok THEN 'ACCEPTED' ELSE 'REJECTED' END AS status,
+       CASE WHEN ok THEN NULL ELSE 'Event already in cart' END AS message
+FROM dd""")
+def _cart_dedupe(d: Domain):
+    return C.cart_dedupe(d.cart, d.requests)
+
+
+@register("assign_ids", DEDUPE_SQL + """
+SELECT request_id, (SELECT max(cart_id) FROM d_cart) + row_number() OVER (ORDER BY ts, request_id) AS cart_id
+FROM dd WHERE ok""")
+def _assign_ids(d: Domain):
+    from pyspark.sql import functions as F
+    acc = C.cart_dedupe(d.cart, d.requests).filter(F.col("status") == "ACCEPTED").select("request_id", "ts")
+    ids = C.assign_ids(acc, [F.col("ts").asc(), F.col("request_id").asc()], C.current_max(d.cart, "cart_id"), "cart_id")
+    return ids.select("request_id", "cart_id")
+
+
+@register("apply_defaults", f"""
+SELECT checkout_id AS reg_id, user_id, event_id, '{AS_OF}' AS registration_date, 'PENDING' AS payment_status,
+       'CONFIRMED' AS registration_status, CAST(NULL AS VARCHAR) AS payment_method, CAST(NULL AS DOUBLE) AS amount_paid
+FROM d_checkouts""")
+def _apply_defaults(d: Domain):
+    ins = d.checkouts.select("checkout_id", "user_id", "event_id").withColumnRenamed("checkout_id", "reg_id")
+    return C.apply_defaults(ins, AS_OF)
+
+
+@register("auto_cancel", f"""
+SELECT event_id, event_status AS old_status,
+       CASE WHEN coalesce(event_date > DATE '{AS_OF}' AND event_date <= DATE '{AS_OF}' + {LOOKAHEAD_DAYS}
+                          AND {pct('booked_seats', 'total_seats')} < 10, false)
+            THEN 'CANCELLED' ELSE event_status END AS event_status,
+       coalesce(event_date > DATE '{AS_OF}' AND event_date <= DATE '{AS_OF}' + {LOOKAHEAD_DAYS}
+                AND {pct('booked_seats', 'total_seats')} < 10, false) AS changed
+FROM d_sessions""")
+def _auto_cancel(d: Domain):
+    return C.auto_cancel(d.sessions, AS_OF, LOOKAHEAD_DAYS)
+
+
+@register("cascade_delete", """
+SELECT reg_id, user_id, event_id FROM d_regs r
+WHERE NOT EXISTS (SELECT 1 FROM d_base s WHERE s.event_id = r.event_id AND s.event_status = 'CANCELLED')""")
+def _cascade_delete(d: Domain):
+    from pyspark.sql import functions as F
+    gone = d.base_sessions.filter(F.col("event_status") == "CANCELLED")
+    return C.cascade_delete(gone, d.registrations.select("reg_id", "user_id", "event_id"), "event_id")
+
+
+@register("cascade_delete_cart", """
+SELECT cart_id, user_id, event_id FROM d_cart c
+WHERE NOT EXISTS (SELECT 1 FROM d_base s WHERE s.event_id = c.event_id AND s.event_status = 'CANCELLED')""")
+def _cascade_delete_cart(d: Domain):
+    from pyspark.sql import functions as F
+    gone = d.base_sessions.filter(F.col("event_status") == "CANCELLED")
+    return C.cascade_delete(gone, d.cart.select("cart_id", "user_id", "event_id"), "event_id")
