@@ -658,3 +658,166 @@ def _cascade_delete_cart(d: Domain):
     from pyspark.sql import functions as F
     gone = d.base_sessions.filter(F.col("event_status") == "CANCELLED")
     return C.cascade_delete(gone, d.cart.select("cart_id", "user_id", "event_id"), "event_id")
+
+# ---------------------------------------------------------------- checkout
+
+from seatgrid.operators import checkout as K  # noqa: E402
+
+
+def _checkout_sql(variant: str) -> str:
+    m = K.MSG[variant]
+    count = ("r.payment_status = 'COMPLETED'" if variant == "pg"
+             else "r.registration_status = 'CONFIRMED' AND r.payment_status = 'COMPLETED'")
+    pay = "coalesce(k.payment_ok, false)" if variant == "ora" else "true"
+    return f"""
+, cf AS (SELECT c.user_id, count(*) AS cart_rows, count(e.event_id) AS cart_items, sum(e.ticket_price) AS cart_total,
+                bool_or(coalesce(e.booked_seats + 1 > e.total_seats, false)) AS blocked
+         FROM d_cart c LEFT JOIN d_sessions e ON c.event_id = e.event_id GROUP BY c.user_id),
+b AS (SELECT k.checkout_id, k.user_id, k.ts, {pay} AS pay,
+             (SELECT count(*) FROM d_regs r WHERE r.user_id = k.user_id AND {count}) + coalesce(cf.cart_rows, 0) > 3 AS lim,
+             coalesce(cf.blocked, false) AS blk, cf.cart_total, cf.cart_items
+      FROM d_checkouts k LEFT JOIN cf ON k.user_id = cf.user_id),
+fs AS (SELECT user_id, min((ts, checkout_id)) AS f FROM b WHERE pay AND NOT lim AND NOT blk GROUP BY user_id),
+j AS (SELECT b.*, coalesce((b.ts, b.checkout_id) = fs.f, false) AS is_first,
+             coalesce((b.ts, b.checkout_id) > fs.f, false) AS after
+      FROM b LEFT JOIN fs ON b.user_id = fs.user_id),
+t AS (SELECT j.*, CASE WHEN is_first THEN coalesce(cart_total, 0) WHEN after AND pay THEN 0 END AS total FROM j)
+SELECT checkout_id, user_id,
+       CASE WHEN after THEN (CASE WHEN pay THEN 'SUCCESS' ELSE 'FAILED' END) WHEN lim THEN 'FAILED'
+            WHEN NOT pay THEN 'FAILED' WHEN blk THEN 'ERROR' ELSE 'SUCCESS' END AS status,
+       CASE WHEN after THEN (CASE WHEN pay THEN '{m["ok"]}' || CAST(CAST(total AS DECIMAL(18,2)) AS VARCHAR)
+                                  ELSE '{K.MSG_PAYMENT}' END)
+            WHEN lim THEN '{m["limit"]}' WHEN NOT pay THEN '{K.MSG_PAYMENT}' WHEN blk THEN '{m["error"]}'
+            ELSE '{m["ok"]}' || CAST(CAST(total AS DECIMAL(18,2)) AS VARCHAR) END AS message,
+       CAST(total AS DOUBLE) AS total_amount,
+       CASE WHEN is_first THEN coalesce(cart_items, 0) ELSE 0 END AS items
+FROM t"""
+
+
+for _variant, _name in [("ora", "checkout_decision"), ("package", "checkout_decision_package"),
+                        ("pg", "checkout_decision_pg")]:
+    def _mk(v):
+        def fn(d: Domain):
+            return K.decision(d.checkouts, d.cart, d.sessions, d.registrations, v)
+        return fn
+    register(_name, _checkout_sql(_variant))(_mk(_variant))
+
+
+@register("checkout_apply_registrations", _checkout_sql("ora").replace("SELECT checkout_id, user_id,\n", """, dec AS (
+SELECT checkout_id, user_id,
+""", 1) + """)
+SELECT d.checkout_id, d.user_id, c.event_id, 'COMPLETED' AS payment_status, 'CONFIRMED' AS registration_status,
+       k.payment_method, CAST(e.ticket_price AS DOUBLE) AS amount_paid
+FROM dec d JOIN d_checkouts k ON d.checkout_id = k.checkout_id JOIN d_cart c ON c.user_id = d.user_id
+     JOIN d_sessions e ON c.event_id = e.event_id
+WHERE d.items > 0""")
+def _checkout_apply_registrations(d: Domain):
+    dec = K.decision(d.checkouts, d.cart, d.sessions, d.registrations, "ora")
+    return K.apply_registrations(dec, d.checkouts, d.cart, d.sessions)
+
+
+@register("checkout_apply_seats", _checkout_sql("ora").replace("SELECT checkout_id, user_id,\n", """, dec AS (
+SELECT checkout_id, user_id,
+""", 1) + """)
+SELECT e.event_id, e.total_seats, e.booked_seats AS booked_before, count(*) AS added,
+       e.booked_seats + count(*) AS booked_after
+FROM dec d JOIN d_cart c ON c.user_id = d.user_id JOIN d_sessions e ON c.event_id = e.event_id
+WHERE d.items > 0 GROUP BY e.event_id, e.total_seats, e.booked_seats""")
+def _checkout_apply_seats(d: Domain):
+    dec = K.decision(d.checkouts, d.cart, d.sessions, d.registrations, "ora")
+    return K.apply_seats(d.sessions, K.apply_registrations(dec, d.checkouts, d.cart, d.sessions))
+
+
+@register("checkout_validate", f"""
+, it AS (SELECT c.cart_id, c.user_id, e.event_name, e.event_date, e.start_time, e.end_time, e.total_seats, e.booked_seats
+         FROM d_cart c JOIN d_sessions e ON c.event_id = e.event_id),
+cf AS (SELECT r.reg_id, r.user_id, e.event_name, e.event_date, e.start_time, e.end_time
+       FROM d_regs r JOIN d_sessions e ON r.event_id = e.event_id WHERE r.registration_status = 'CONFIRMED'),
+pu AS (SELECT user_id, count(*) AS n_cart,
+              arg_min(event_name, cart_id) FILTER (WHERE coalesce(booked_seats, 0) >= total_seats) AS full_name
+       FROM it GROUP BY user_id),
+nc AS (SELECT user_id, count(*) AS n_conf FROM cf GROUP BY user_id),
+c1 AS (SELECT a.user_id, arg_min(a.event_name || '|' || b.event_name, (a.cart_id, b.reg_id)) AS pair
+       FROM it a JOIN cf b ON a.user_id = b.user_id AND a.event_date = b.event_date
+        AND a.start_time < b.end_time AND b.start_time < a.end_time GROUP BY a.user_id),
+c2 AS (SELECT a.user_id, arg_min(a.event_name || '|' || b.event_name, (a.cart_id, b.cart_id)) AS pair
+       FROM it a JOIN it b ON a.user_id = b.user_id AND a.cart_id < b.cart_id AND a.event_date = b.event_date
+        AND a.start_time < b.end_time AND b.start_time < a.end_time GROUP BY a.user_id),
+b AS (SELECT k.checkout_id, k.user_id, k.ts, coalesce(k.payment_ok, false) AS pay,
+        CASE WHEN coalesce(pu.n_cart, 0) = 0 THEN '{K.MSG_EMPTY}'
+             WHEN coalesce(nc.n_conf, 0) + coalesce(pu.n_cart, 0) > 3 THEN
+               'You can only register for maximum 3 events. You already have ' || CAST(coalesce(nc.n_conf, 0) AS VARCHAR)
+               || ' confirmed registrations and trying to add ' || CAST(coalesce(pu.n_cart, 0) AS VARCHAR) || ' more.'
+             WHEN c1.pair IS NOT NULL THEN 'Time conflict: ' || split_part(c1.pair, '|', 1)
+               || ' conflicts with your confirmed event ' || split_part(c1.pair, '|', 2)
+             WHEN c2.pair IS NOT NULL THEN 'Time conflict between cart items: ' || split_part(c2.pair, '|', 1)
+               || ' and ' || split_part(c2.pair, '|', 2)
+             WHEN pu.full_name IS NOT NULL THEN 'Event ' || pu.full_name || ' is fully booked' END AS static,
+        coalesce(pu.n_cart, 0) AS n_cart
+      FROM d_checkouts k LEFT JOIN pu ON k.user_id = pu.user_id LEFT JOIN nc ON k.user_id = nc.user_id
+           LEFT JOIN c1 ON k.user_id = c1.user_id LEFT JOIN c2 ON k.user_id = c2.user_id),
+fs AS (SELECT user_id, min((ts, checkout_id)) AS f FROM b WHERE static IS NULL AND pay GROUP BY user_id),
+j AS (SELECT b.*, coalesce((b.ts, b.checkout_id) = fs.f, false) AS is_first,
+             coalesce((b.ts, b.checkout_id) > fs.f, false) AS after FROM b LEFT JOIN fs ON b.user_id = fs.user_id)
+SELECT checkout_id, user_id, CASE WHEN is_first THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+       CASE WHEN after THEN '{K.MSG_EMPTY}' WHEN static IS NOT NULL THEN static WHEN NOT pay THEN '{K.MSG_PAYMENT}'
+            ELSE '{K.MSG_JS_OK}' END AS message,
+       CASE WHEN is_first THEN n_cart ELSE 0 END AS items
+FROM j""")
+def _checkout_validate(d: Domain):
+    return K.validate(d.checkouts, d.cart, d.sessions, d.registrations)
+
+
+@register("checkout_all_or_nothing")
+def _checkout_all_or_nothing(d: Domain):
+    return K.all_or_nothing(d.checkouts, d.cart, d.sessions, d.registrations)
+
+
+@register("checkout_seat_competition")
+def _checkout_seat_competition(d: Domain):
+    """The seat race of all-or-nothing checkouts alone (no registration limit)."""
+    return K.all_or_nothing(d.checkouts, d.cart, d.sessions, d.registrations, limit=None)
+
+
+@register("cart_admission_ordered")
+def _cart_admission_ordered(d: Domain):
+    return A.ordered(d.requests, d.sessions, d.registrations, d.cart)
+
+# ---------------------------------------------------------------- streaming (triggers over a stream)
+
+from seatgrid.streaming import streams as S  # noqa: E402
+
+
+def _stream_source(d: Domain):
+    return S.click_stream(d.spark, d.sf_dir, glob="events.parquet")
+
+
+@register("stream_seat_counts", """
+SELECT k AS event_id, count(*) AS booked_seats FROM d_clicks WHERE event_type = 'purchase' AND value >= 1 GROUP BY k""")
+def _stream_seat_counts(d: Domain):
+    return S.seat_counts(d.spark, S.registration_stream(_stream_source(d)))
+
+
+@register("stream_audit_log", """
+SELECT event_id AS audit_id, user_id, k AS event_id, 'INSERT' AS action, ts AS action_time,
+       CAST(NULL AS VARCHAR) AS old_status, CASE WHEN value >= 1 THEN 'COMPLETED' ELSE 'FAILED' END AS new_status
+FROM d_clicks WHERE event_type = 'purchase'""")
+def _stream_audit_log(d: Domain):
+    return S.audit_log(d.spark, S.registration_stream(_stream_source(d)))
+
+
+@register("stream_waitlist", """
+, p AS (SELECT event_id AS reg_id, user_id, k AS event_id, ts, value >= 1 AS paid FROM d_clicks WHERE event_type = 'purchase'),
+b AS (SELECT *, coalesce(sum(CASE WHEN paid THEN 1 ELSE 0 END) OVER (PARTITION BY event_id ORDER BY ts NULLS FIRST, reg_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_paid FROM p)
+SELECT b.reg_id, b.user_id, b.event_id, b.ts,
+       CASE WHEN coalesce(b.before_paid >= s.total_seats, false) THEN 'WAITLIST' ELSE 'CONFIRMED' END AS registration_status,
+       b.paid AND NOT coalesce(b.before_paid >= s.total_seats, false) AS takes_seat
+FROM b LEFT JOIN d_base s ON b.event_id = s.event_id""")
+def _stream_waitlist(d: Domain):
+    return S.waitlist(d.spark, S.registration_stream(_stream_source(d)), d.base_sessions)
+
+
+@register("stream_cart_dedupe", "SELECT cart_id, user_id, event_id, CAST(added_date AS VARCHAR) AS added_date FROM d_cart")
+def _stream_cart_dedupe(d: Domain):
+    return S.cart_dedupe(d.spark, _stream_source(d))
