@@ -43,8 +43,10 @@ def admission_facts(requests: DataFrame, sessions: DataFrame, registrations: Dat
     registered = registrations.select("user_id", "event_id").distinct().withColumn("registered", F.lit(True))
 
     conf = confirmed(registrations)
-    counts = conf.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("confirmed_count"),
+    # the application counts confirmed rows joined to their session; the procedures count rows
+    known = conf.join(sessions.select("event_id").withColumn("_known", F.lit(1)), "event_id", "left")
+    counts = known.groupBy("user_id").agg(
+        F.count("_known").alias("confirmed_count"),
         F.sum(F.when(F.col("payment_status") == "COMPLETED", 1).otherwise(0)).alias("paid_confirmed_count"))
 
     reg_conf = conflicts_with(q, interval_summary(conf, sessions, "reg_id"), "request_id") \

@@ -339,8 +339,8 @@ f AS (
          s.booked_seats,
          EXISTS (SELECT 1 FROM d_cart c WHERE c.user_id = q.user_id AND c.event_id = q.event_id) AS in_cart,
          EXISTS (SELECT 1 FROM d_regs r WHERE r.user_id = q.user_id AND r.event_id = q.event_id) AS registered,
-         (SELECT count(*) FROM d_regs r WHERE r.user_id = q.user_id AND r.registration_status = 'CONFIRMED')
-           AS confirmed_count,
+         (SELECT count(*) FROM d_regs r JOIN d_sessions e ON r.event_id = e.event_id
+          WHERE r.user_id = q.user_id AND r.registration_status = 'CONFIRMED') AS confirmed_count,
          (SELECT count(*) FROM d_regs r WHERE r.user_id = q.user_id AND r.registration_status = 'CONFIRMED'
             AND r.payment_status = 'COMPLETED') AS paid_confirmed_count,
          (SELECT count(*) FROM conf x WHERE x.user_id = q.user_id AND x.event_date = s.event_date
