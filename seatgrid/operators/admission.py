@@ -32,8 +32,10 @@ MSG_JS_ADDED = "Event added to cart successfully"
 LIMIT = 3
 
 
-def admission_facts(requests: DataFrame, sessions: DataFrame, registrations: DataFrame, cart: DataFrame) -> DataFrame:
-    """Per request: session facts, cart / registration membership, counts and first conflicts."""
+def admission_facts(requests: DataFrame, sessions: DataFrame, registrations: DataFrame, cart: DataFrame,
+                    with_names: bool = True) -> DataFrame:
+    """Per request: session facts, cart / registration membership, counts and (with
+    ``with_names``) the names of the first clashing registration and cart item."""
     s = sessions.select("event_id", "event_name", *INTERVAL, "total_seats", "booked_seats", "event_status") \
         .withColumn("found", F.lit(True))
     q = requests.select("request_id", "user_id", "event_id").join(s, "event_id", "left") \
@@ -49,9 +51,9 @@ def admission_facts(requests: DataFrame, sessions: DataFrame, registrations: Dat
         F.count("_known").alias("confirmed_count"),
         F.sum(F.when(F.col("payment_status") == "COMPLETED", 1).otherwise(0)).alias("paid_confirmed_count"))
 
-    reg_conf = conflicts_with(q, interval_summary(conf, sessions, "reg_id"), "request_id") \
+    reg_conf = conflicts_with(q, interval_summary(conf, sessions, "reg_id", with_names), "request_id") \
         .select("request_id", F.col("conflict_count"), F.col("first_conflict.event_name").alias("conflict_name"))
-    cart_conf = conflicts_with(q, interval_summary(cart, sessions, "cart_id"), "request_id") \
+    cart_conf = conflicts_with(q, interval_summary(cart, sessions, "cart_id", with_names), "request_id") \
         .select("request_id", F.col("conflict_count").alias("cart_conflict_count"),
                 F.col("first_conflict.event_name").alias("cart_conflict_name"))
 

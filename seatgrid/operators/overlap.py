@@ -4,8 +4,9 @@ Well-formed intervals are exploded into the time bins they cover and joined on
 (keys, bin); a pair is kept only in the bin holding the later start, so each
 overlapping pair appears once. Two well-formed intervals overlap iff they share a
 minute, and the later start lies in both, so no pair is lost. Rows whose times are
-not 'HH:MM' with start < end can still satisfy the string predicate; they take an
-exact keys-only join (normally an empty side).
+not 'HH:MM' with start < end can still satisfy the string predicate; they are routed
+through two sentinel bins of the same join so they meet every candidate exactly once
+(normally there are none).
 """
 
 from __future__ import annotations
@@ -56,14 +57,14 @@ def overlap_pairs(left: DataFrame, right: DataFrame, left_keys: Sequence[str], r
             c = c & (a["l_" + lk] == b["r_" + rk])
         return c
 
-    lg = L.filter("l__wf").withColumn("_bin", F.explode(F.sequence("l__sbin", "l__last")))
-    rg = R.filter("r__wf").withColumn("_bin", F.explode(F.sequence("r__sbin", "r__last")))
-    good = lg.join(rg, key_eq(lg, rg) & (lg["_bin"] == rg["_bin"])
-                   & (lg["_bin"] == F.greatest(lg["l__sbin"], rg["r__sbin"])) & pred(lg, rg))
-    good = good.select(*out_cols)
-
-    lb, rb = L.filter(~F.col("l__wf")), R.filter(~F.col("r__wf"))
-    lok = L.filter("l__wf")
-    bad1 = lb.join(R, key_eq(lb, R) & pred(lb, R)).select(*out_cols)
-    bad2 = lok.join(rb, key_eq(lok, rb) & pred(lok, rb)).select(*out_cols)
-    return good.unionByName(bad1).unionByName(bad2)
+    # One join, no union of branches (a union would repeat the inputs' work per branch).
+    # Good rows explode into their bins. Sentinel bins route malformed rows exactly:
+    #   -1: left malformed rows meet every right row;  -2: left good rows meet right malformed rows.
+    lbins = F.when(F.col("l__wf"), F.array_append(F.sequence("l__sbin", "l__last"), F.lit(-2))).otherwise(F.array(F.lit(-1)))
+    rbins = F.when(F.col("r__wf"), F.array_append(F.sequence("r__sbin", "r__last"), F.lit(-1))) \
+        .otherwise(F.array(F.lit(-1), F.lit(-2)))
+    lx = L.withColumn("_bin", F.explode(lbins))
+    rx = R.withColumn("_bin", F.explode(rbins))
+    once = (lx["_bin"] < 0) | (lx["_bin"] == F.greatest(lx["l__sbin"], rx["r__sbin"]))
+    out = lx.join(rx, key_eq(lx, rx) & (lx["_bin"] == rx["_bin"]) & once & pred(lx, rx))
+    return out.select(*out_cols)

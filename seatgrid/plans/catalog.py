@@ -25,6 +25,7 @@ REVENUE_TO = "1997-12-31"
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
+ON_DOMAIN: dict[str, Callable[[Domain], DataFrame]] = {}
 
 
 def register(name: str, oracle: str | None = None):
@@ -34,6 +35,7 @@ def register(name: str, oracle: str | None = None):
         build.__name__ = name
         build.__doc__ = fn.__doc__
         QUERIES[name] = build
+        ON_DOMAIN[name] = lambda d: present(fn(d))
         if oracle is not None:
             ORACLE[name] = with_views(oracle)
         return fn
@@ -376,8 +378,8 @@ STRICT_CHAIN = [
     (_SEAT, "FAILED", _q(A.MSG_NO_SEATS))]
 
 
-def _facts(d: Domain):
-    return A.admission_facts(d.requests, d.sessions, d.registrations, d.cart)
+def _facts(d: Domain, with_names: bool = False):
+    return A.admission_facts(d.requests, d.sessions, d.registrations, d.cart, with_names)
 
 
 @register("cart_admission_strict", _chain_sql(STRICT_CHAIN, A.MSG_ADDED))
@@ -408,7 +410,7 @@ _HALF = ("coalesce(coalesce(booked_seats, 0) * 2 >= total_seats "
     ("cart_conflict_count > 0", "FAILED", f"{_q(A.MSG_JS_CART_CONFLICT)} || cart_conflict_name"),
     ("in_cart", "FAILED", _q(A.MSG_IN_CART)), ("registered", "FAILED", _q(A.MSG_REGISTERED))], A.MSG_JS_ADDED))
 def _cart_admission_half_full(d: Domain):
-    return A.half_full(_facts(d))
+    return A.half_full(_facts(d, with_names=True))
 
 # ---------------------------------------------------------------- data quality
 
