@@ -823,3 +823,45 @@ def _stream_waitlist(d: Domain):
 @register("stream_cart_dedupe", "SELECT cart_id, user_id, event_id, CAST(added_date AS VARCHAR) AS added_date FROM d_cart")
 def _stream_cart_dedupe(d: Domain):
     return S.cart_dedupe(d.spark, _stream_source(d))
+
+# ---------------------------------------------------------------- SQL surface (views + SQL functions)
+
+from seatgrid.plans import sql_surface  # noqa: E402
+
+
+@register("sql_events_not_full")
+def _sql_events_not_full(d: Domain):
+    """The reference's demo query 1, written in SQL over the dashboard view."""
+    sql_surface.register(d.spark, d)
+    return d.spark.sql("SELECT event_name, event_date, total_seats, registered_seats, fill_percentage "
+                       "FROM admin_dashboard_view WHERE fill_percentage < 100")
+
+
+ORACLE["sql_events_not_full"] = ORACLE["events_not_full"]
+
+
+@register("sql_event_stats")
+def _sql_event_stats(d: Domain):
+    """Per-row SQL function calls (PG's view), decorrelated by Catalyst."""
+    sql_surface.register(d.spark, d)
+    return d.spark.sql("SELECT event_id, event_name, event_date, start_time, end_time, total_seats, booked_seats, "
+                       "total_seats - booked_seats AS available_seats, fn_fill_percentage(event_id) AS fill_percentage, "
+                       "ticket_price, event_status FROM sessions")
+
+
+ORACLE["sql_event_stats"] = ORACLE["event_stats"]
+
+
+@register("sql_user_functions")
+def _sql_user_functions(d: Domain):
+    sql_surface.register(d.spark, d)
+    return d.spark.sql("SELECT user_id, fn_get_user_reg_count(user_id) AS reg_count, fn_can_register(user_id) AS can_register "
+                       "FROM users")
+
+
+ORACLE["sql_user_functions"] = with_views("""
+SELECT u.user_id,
+       (SELECT count(*) FROM d_regs r WHERE r.user_id = u.user_id AND r.registration_status = 'CONFIRMED'
+          AND r.payment_status = 'COMPLETED') AS reg_count,
+       (SELECT count(*) FROM d_regs r WHERE r.user_id = u.user_id AND r.payment_status = 'COMPLETED') < 3 AS can_register
+FROM d_users u""")
