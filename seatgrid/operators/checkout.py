@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seatgrid.operators.lookups import INTERVAL
 from seatgrid.operators.overlap import overlap_pairs
-from seatgrid.operators.ranking import ordered_positions
+from seatgrid.operators.ranking import positions_from_tags, tag_ranges
 from seatgrid.session import cut_lineage
 
 LIMIT = 3
@@ -197,13 +197,15 @@ def all_or_nothing(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, r
     cands = first.select("user_id", F.col("_f.ts").alias("ts"), F.col("_f.checkout_id").alias("checkout_id"))
     left = (sessions.select("event_id", (F.col("total_seats") - F.col("booked_seats")).alias("seats_left")))
     items = cands.join(cart.select("user_id", "event_id"), "user_id").join(left, "event_id")
-    items = cut_lineage(items.select("checkout_id", "user_id", "ts", "event_id", "seats_left"))
+    order = [F.col("ts").asc(), F.col("checkout_id").asc()]
+    # items never move between rounds: range-tag them once; a round only refreshes states
+    items = tag_ranges(items.select("checkout_id", "user_id", "ts", "event_id", "seats_left"), order, ["event_id"])
 
     state = cut_lineage(cands.select("checkout_id", F.lit("U").alias("st")))
     for _ in range(max_rounds):
         it = items.join(state, "checkout_id")
-        pos = ordered_positions(it, [F.col("ts").asc(), F.col("checkout_id").asc()], keys=["event_id"],
-                                weights={"acc": (F.col("st") == "A").cast("int"), "live": (F.col("st") != "R").cast("int")})
+        pos = positions_from_tags(it, order, ["event_id"],
+                                  {"_acc": (F.col("st") == "A").cast("int"), "_live": (F.col("st") != "R").cast("int")})
         per_item = pos.select(
             "checkout_id",
             F.coalesce(F.col("_before_acc") >= F.col("seats_left"), F.lit(False)).alias("rej"),

@@ -17,26 +17,26 @@ from pyspark.sql import functions as F
 from seatgrid.session import cut_lineage
 
 
-def ordered_positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
-                      weight: Column | None = None, num_partitions: int | None = None,
-                      weights: dict[str, Column] | None = None) -> DataFrame:
-    """Add ``_pos`` (1-based row number within ``keys`` by ``order``), ``_before`` (sum of
-    ``weight`` over strictly earlier rows of the key), ``_before_<name>`` for each extra
-    entry of ``weights``, and ``_total`` (row count of the key).
-
-    ``order`` must be a total order within a key for ``_pos`` to be deterministic.
-    """
+def tag_ranges(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
+               num_partitions: int | None = None) -> DataFrame:
+    """Range-partition on (keys, order), tag each row with its partition ``_pid`` and
+    checkpoint, so every later pass sees the same partitioning (a re-sampled range
+    shuffle could otherwise place rows differently)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ws = {"": weight if weight is not None else F.lit(1)}
-    ws.update({"_" + k: v for k, v in (weights or {}).items()})
-    tagged = df
-    for k, v in ws.items():
-        tagged = tagged.withColumn("_w" + k, v.cast("bigint"))
-    tagged = (tagged.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], *order)
+    tagged = (df.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], *order)
               .withColumn("_pid", F.spark_partition_id()))
-    tagged = cut_lineage(tagged)
-    per_part = tagged.groupBy("_pid", *keys).agg(
+    return cut_lineage(tagged)
+
+
+def positions_from_tags(tagged: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
+                        weights: dict[str, Column] | None = None, out_cols: Sequence[str] | None = None) -> DataFrame:
+    """Row numbers / running sums over a frame tagged by :func:`tag_ranges` (same order/keys)."""
+    ws = {k: v.cast("bigint") for k, v in (weights or {}).items()}
+    t = tagged
+    for k, v in ws.items():
+        t = t.withColumn("_w" + k, v)
+    per_part = t.groupBy("_pid", *keys).agg(
         F.count(F.lit(1)).alias("_pc"), *[F.sum("_w" + k).alias("_pw" + k) for k in ws])
     by_part = Window.partitionBy(*keys).orderBy("_pid")
     earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
@@ -49,16 +49,35 @@ def ordered_positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str
     if not keys:
         # at most one row per partition: a proven size bound
         offsets = F.broadcast(offsets)
-    joined = tagged.join(offsets, ["_pid", *keys])
+    joined = t.join(offsets, ["_pid", *keys])
     inside = Window.partitionBy("_pid", *keys).orderBy(*order)
     prior = inside.rowsBetween(Window.unboundedPreceding, -1)
-    out = joined.select(
-        *df.columns,
+    cols = out_cols if out_cols is not None else [c for c in tagged.columns if c != "_pid"]
+    return joined.select(
+        *cols,
         (F.row_number().over(inside) + F.col("_off_c")).alias("_pos"),
         *[(F.coalesce(F.sum("_w" + k).over(prior), F.lit(0)) + F.col("_off_w" + k)).alias("_before" + k) for k in ws],
         F.col("_total"),
     )
-    return out
+
+
+def ordered_positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
+                      weight: Column | None = None, num_partitions: int | None = None,
+                      weights: dict[str, Column] | None = None) -> DataFrame:
+    """Add ``_pos`` (1-based row number within ``keys`` by ``order``), ``_before`` (sum of
+    ``weight`` over strictly earlier rows of the key), ``_before_<name>`` for each extra
+    entry of ``weights``, and ``_total`` (row count of the key).
+
+    ``order`` must be a total order within a key for ``_pos`` to be deterministic.
+    """
+    ws = {"": weight if weight is not None else F.lit(1)}
+    ws.update({"_" + k: v for k, v in (weights or {}).items()})
+    tagged = tag_ranges(df, order, keys, num_partitions)
+    return positions_from_tags(tagged, order, keys, ws, out_cols=df.columns)
+
+
+# Distinct-value tables up to this many rows are ranked by one window task (checked at run time).
+SMALL_DISTINCT = 1_000_000
 
 
 def rank_by(df: DataFrame, value: Column, descending: bool = True, rank_col: str = "rank",
@@ -73,7 +92,14 @@ def rank_by(df: DataFrame, value: Column, descending: bool = True, rank_col: str
     base = df.withColumn(v, value)
     distinct = base.groupBy(v).agg(F.count(F.lit(1)).alias("_cnt"))
     order = F.col(v).desc_nulls_first() if descending else F.col(v).asc_nulls_last()
-    ranked = ordered_positions(distinct, [order], weight=F.col("_cnt"))
+    if distinct.count() <= SMALL_DISTINCT:
+        # checked size: one task ranks the distinct values (seat counts, ratios: a small domain)
+        w = Window.orderBy(order)
+        ranked = distinct.select(
+            v, "_cnt", F.row_number().over(w).alias("_pos"),
+            F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    else:
+        ranked = ordered_positions(distinct, [order], weight=F.col("_cnt"))
     cols = [(F.col("_before") + 1).alias(rank_col)]
     if dense_col:
         cols.append(F.col("_pos").alias(dense_col))
