@@ -147,19 +147,36 @@ def half_full(facts: DataFrame) -> DataFrame:
     ], MSG_JS_ADDED)
 
 
+def _earliest_before(probes: DataFrame, rows: DataFrame, with_name: bool = False) -> DataFrame:
+    """For each probe (request_id, user_id, date, start, end, _ord): the earliest row of
+    ``rows`` (same user and date, overlapping, strictly earlier ``_ord``), or nothing.
+
+    ``rows`` is first reduced to its distinct intervals per (user, date), each keeping its
+    earliest row, so the overlap join is bounded by distinct intervals, not by row count.
+    """
+    from seatgrid.operators.overlap import overlap_pairs
+
+    payload = F.struct("_ord", "event_name") if with_name else F.struct("_ord")
+    summ = rows.groupBy("user_id", *INTERVAL).agg(F.min(payload).alias("m"))
+    p = probes.select("request_id", "user_id", *INTERVAL, "_ord")
+    pairs = overlap_pairs(p, summ, ["user_id", "event_date"], ["user_id", "event_date"],
+                          extra=lambda a, b: b["r_m._ord"] < a["l__ord"])
+    return pairs.groupBy(F.col("l_request_id").alias("request_id")).agg(F.min("r_m").alias("m"))
+
+
 def ordered(requests: DataFrame, sessions: DataFrame, registrations: DataFrame, cart: DataFrame,
             max_rounds: int = 1000) -> DataFrame:
     """In-order application-style admission: requests of a user are applied by (ts,
     request_id) and an accepted request joins the cart the later ones are checked against.
 
     Only the cart guards depend on earlier decisions, and only through requests of the
-    same user that overlap in time (same date) or name the same session. Decisions
-    are made in parallel rounds: a request is rejected once an earlier accepted one
-    clashes with it, accepted once no earlier live (accepted or undecided) one does.
-    The earliest undecided request always decides, so rounds end. Same-session clashes
-    use per-(user, session) aggregates; time clashes use the binned overlap join.
+    same user that overlap in time (same date) or name the same session. Decisions are
+    made in parallel rounds: a request is rejected once an earlier accepted one clashes
+    with it, accepted once no earlier live (accepted or undecided) one does. The earliest
+    undecided request always decides, so rounds end. Same-session clashes use
+    per-(user, session) aggregates; time clashes compare each request with the distinct
+    intervals of the accepted / live requests (no request-by-request pairs).
     """
-    from seatgrid.operators.overlap import overlap_pairs
     from seatgrid.session import cut_lineage
 
     c = F.col
@@ -174,37 +191,31 @@ def ordered(requests: DataFrame, sessions: DataFrame, registrations: DataFrame,
     p13 = f.filter(c("_static").isNull())
     cand = p13.filter((c("cart_conflict_count") == 0) & ~c("in_cart") & ~c("registered"))
 
-    a = p13.select("request_id", "user_id", "event_name", "_ord", *INTERVAL)
-    pairs = overlap_pairs(a, a, ["user_id", "event_date"], ["user_id", "event_date"],
-                          extra=lambda l, r: l["l__ord"] < r["r__ord"])
-    pairs = cut_lineage(pairs.select(F.col("l_request_id").alias("a_id"), F.col("l__ord").alias("a_ord"),
-                                     F.col("l_event_name").alias("a_name"), F.col("r_request_id").alias("b_id")))
-
-    state = cut_lineage(cand.select("request_id", "user_id", "event_id", "_ord", F.lit("U").alias("st")))
+    cols = ["request_id", "user_id", "event_id", "event_name", *INTERVAL, "_ord"]
+    state = cut_lineage(cand.select(*cols, F.lit("U").alias("st")))
     for _ in range(max_rounds):
-        st_a = state.select(F.col("request_id").alias("a_id"), F.col("st").alias("a_st"))
-        ov = pairs.join(st_a, "a_id").groupBy(F.col("b_id").alias("request_id")).agg(
-            F.max(c("a_st") == "A").alias("ov_acc"), F.max(c("a_st") != "R").alias("ov_live"))
+        und = state.filter(c("st") == "U")
+        ov_acc = _earliest_before(und, state.filter(c("st") == "A")).select("request_id", F.lit(True).alias("ov_acc"))
+        ov_live = _earliest_before(und, state.filter(c("st") != "R")).select("request_id", F.lit(True).alias("ov_live"))
         same = state.groupBy("user_id", "event_id").agg(
             F.min(F.when(c("st") == "A", c("_ord"))).alias("acc_ord"),
             F.min(F.when(c("st") != "R", c("_ord"))).alias("live_ord"))
-        j = state.join(ov, "request_id", "left").join(same, ["user_id", "event_id"], "left")
+        j = (state.join(ov_acc, "request_id", "left").join(ov_live, "request_id", "left")
+             .join(same, ["user_id", "event_id"], "left"))
         rej = F.coalesce(c("ov_acc"), F.lit(False)) | F.coalesce(c("acc_ord") < c("_ord"), F.lit(False))
         blocked = F.coalesce(c("ov_live"), F.lit(False)) | F.coalesce(c("live_ord") < c("_ord"), F.lit(False))
-        nxt = j.select("request_id", "user_id", "event_id", "_ord",
-                       F.when(c("st") != "U", c("st")).when(rej, "R").when(~blocked, "A").otherwise("U").alias("st"))
+        nxt = j.select(*cols, F.when(c("st") != "U", c("st")).when(rej, "R").when(~blocked, "A").otherwise("U").alias("st"))
         state = cut_lineage(nxt)
         if state.filter(c("st") == "U").limit(1).count() == 0:
             break
 
     acc = state.filter(c("st") == "A")
-    first_acc_ov = pairs.join(acc.select(F.col("request_id").alias("a_id")), "a_id").groupBy(
-        F.col("b_id").alias("request_id")).agg(F.min(F.struct("a_ord", "a_name")).alias("_ov"))
+    first_acc_ov = _earliest_before(p13, acc, with_name=True).select("request_id", F.col("m").alias("_ov"))
     acc_same = acc.groupBy("user_id", "event_id").agg(F.min("_ord").alias("_acc_ord"))
     g = (f.join(first_acc_ov, "request_id", "left").join(acc_same, ["user_id", "event_id"], "left"))
     msg = (F.when(c("_static").isNotNull(), c("_static"))
            .when(c("cart_conflict_count") > 0, F.concat(F.lit(MSG_JS_CART_CONFLICT), c("cart_conflict_name")))
-           .when(c("_ov").isNotNull(), F.concat(F.lit(MSG_JS_CART_CONFLICT), c("_ov.a_name")))
+           .when(c("_ov").isNotNull(), F.concat(F.lit(MSG_JS_CART_CONFLICT), c("_ov.event_name")))
            .when(c("in_cart") | F.coalesce(c("_acc_ord") < c("_ord"), F.lit(False)), F.lit(MSG_IN_CART))
            .when(c("registered"), F.lit(MSG_REGISTERED)))
     return g.select("request_id", "user_id", "event_id", F.when(msg.isNull(), SUCCESS).otherwise(FAILED).alias("status"),

@@ -62,8 +62,10 @@ class Domain:
     def materialize(self, target: str) -> "Domain":
         """Write every derived table once (parquet under ``target``) and return a Domain
         that reads them: the warehouse form, so reports don't re-derive registrations."""
-        for name in DERIVED:
-            getattr(self, name).write.mode("overwrite").parquet(f"{target}/{name}")
+        d = Domain(self.spark, self.sf_dir)
+        for name in DERIVED:  # dependency order: later tables read the stored earlier ones
+            getattr(d, name).write.mode("overwrite").parquet(f"{target}/{name}")
+            d.__dict__[name] = self.spark.read.parquet(f"{target}/{name}")
         return StoredDomain(self.spark, self.sf_dir, target)
 
     def raw(self, name: str) -> DataFrame:
