@@ -133,15 +133,26 @@ def validate(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, registr
                      F.struct("cart_id", "event_name"))).alias("first_full"))
     n_conf = conf.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_conf"))
 
+    # cart x confirmed: for each cart item the first overlapping confirmed registration, found
+    # against the confirmed rows reduced to distinct intervals per (user, date)
+    summ = conf.groupBy("user_id", *INTERVAL).agg(F.min(F.struct("reg_id", "event_name")).alias("m"))
     a = items.select("cart_id", "user_id", "event_name", *INTERVAL)
-    b = conf.select("reg_id", "user_id", "event_name", *INTERVAL)
-    cx = overlap_pairs(a, b, ["user_id", "event_date"], ["user_id", "event_date"])
-    c1 = cx.groupBy(F.col("l_user_id").alias("user_id")).agg(
-        F.min(F.struct("l_cart_id", "r_reg_id", "l_event_name", "r_event_name")).alias("cc"))
-    xx = overlap_pairs(a, a, ["user_id", "event_date"], ["user_id", "event_date"],
-                       extra=lambda l, r: l["l_cart_id"] < r["r_cart_id"])
-    c2 = xx.groupBy(F.col("l_user_id").alias("user_id")).agg(
-        F.min(F.struct("l_cart_id", "r_cart_id", "l_event_name", "r_event_name")).alias("kk"))
+    cx = overlap_pairs(a, summ, ["user_id", "event_date"], ["user_id", "event_date"])
+    per_item = cx.groupBy(F.col("l_user_id").alias("user_id"), F.col("l_cart_id").alias("cart_id"),
+                          F.col("l_event_name").alias("name")).agg(F.min("r_m").alias("m"))
+    c1 = per_item.groupBy("user_id").agg(F.min(F.struct("cart_id", "m.reg_id", "name", "m.event_name")).alias("cc")) \
+        .select("user_id", F.struct(F.col("cc.name").alias("l_event_name"),
+                                    F.col("cc.event_name").alias("r_event_name")).alias("cc"))
+    # cart x cart, first pair (i < j) in loop order: e(j) = earliest cart item before j that
+    # overlaps it; i* = min e(j); j* = min j with e(j) = i* (no pair list per user)
+    csumm = items.groupBy("user_id", *INTERVAL).agg(F.min(F.struct("cart_id", "event_name")).alias("m"))
+    xx = overlap_pairs(a, csumm, ["user_id", "event_date"], ["user_id", "event_date"],
+                       extra=lambda l, r: r["r_m.cart_id"] < l["l_cart_id"])
+    e = xx.groupBy(F.col("l_user_id").alias("user_id"), F.col("l_cart_id").alias("j"),
+                   F.col("l_event_name").alias("j_name")).agg(F.min("r_m").alias("i"))
+    c2 = e.groupBy("user_id").agg(F.min(F.struct("i.cart_id", "i.event_name", "j", "j_name")).alias("kk")) \
+        .select("user_id", F.struct(F.col("kk.event_name").alias("l_event_name"),
+                                    F.col("kk.j_name").alias("r_event_name")).alias("kk"))
 
     base = (checkouts.select("checkout_id", "user_id", "ts", "payment_ok")
             .join(per_user, "user_id", "left").join(n_conf, "user_id", "left")

@@ -48,9 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared checkpoint directory, survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table written to the shared checkpoint directory and read back.
+
+    One job (an eager ``Dataset.checkpoint`` computes the data, then recomputes it to
+    write it), columnar and compressed; it survives executor loss like a checkpoint.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seatgrid.session import cut_lineage
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 # Tables that grow with the data; their scans must not be narrower than the cluster.
 FACT_TABLES = {"lineitem", "orders", "events"}
@@ -119,7 +121,7 @@ class Domain:
                 "o_orderdate", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
                 "l_shipdate", "l_suppkey", "l_returnflag", "l_linestatus", "o_orderstatus")).alias("f"))
         rf, ls, os_ = F.col("f.l_returnflag"), F.col("f.l_linestatus"), F.col("f.o_orderstatus")
-        return first.select(
+        regs = first.select(
             (F.col("o_custkey") * 1000000 + F.col("l_partkey")).alias("reg_id"),
             F.col("o_custkey").alias("user_id"),
             F.col("l_partkey").alias("event_id"),
@@ -130,6 +132,9 @@ class Domain:
             .otherwise("CONFIRMED").alias("registration_status"),
             F.col("f.l_extendedprice").cast("decimal(10,2)").alias("amount_paid"),
         )
+        # Used several times by most queries, each with different pruning, so Spark would
+        # re-derive it per use: write it once to the shared checkpoint directory instead.
+        return cut_lineage(regs)
 
     @cached_property
     def completed_per_session(self) -> DataFrame:
@@ -146,11 +151,11 @@ class Domain:
         k = self.completed_per_session
         j = s.join(k, "event_id", "left")
         n = F.coalesce(F.col("n"), F.lit(0))
-        return j.select(
+        return cut_lineage(j.select(
             *[s[c] for c in s.columns],
             F.least(F.col("total_seats"), n).cast("int").alias("booked_seats"),
             n.cast("bigint").alias("raw_booked"),
-        )
+        ))
 
     def _clicks(self, event_type: str) -> DataFrame:
         e = self.raw("events").filter(F.col("event_type") == event_type)
