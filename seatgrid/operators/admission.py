@@ -41,8 +41,12 @@ def admission_facts(requests: DataFrame, sessions: DataFrame, registrations: Dat
     q = requests.select("request_id", "user_id", "event_id").join(s, "event_id", "left") \
         .withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
 
-    in_cart = cart.select("user_id", "event_id").distinct().withColumn("in_cart", F.lit(True))
-    registered = registrations.select("user_id", "event_id").distinct().withColumn("registered", F.lit(True))
+    # membership flags as semi-joins from the request side: no aggregation of the big tables
+    keys = requests.select("request_id", "user_id", "event_id")
+    in_cart = keys.join(cart.select("user_id", "event_id"), ["user_id", "event_id"], "left_semi") \
+        .select("request_id", F.lit(True).alias("in_cart"))
+    registered = keys.join(registrations.select("user_id", "event_id"), ["user_id", "event_id"], "left_semi") \
+        .select("request_id", F.lit(True).alias("registered"))
 
     conf = confirmed(registrations)
     # the application counts confirmed rows joined to their session; the procedures count rows
@@ -57,8 +61,8 @@ def admission_facts(requests: DataFrame, sessions: DataFrame, registrations: Dat
         .select("request_id", F.col("conflict_count").alias("cart_conflict_count"),
                 F.col("first_conflict.event_name").alias("cart_conflict_name"))
 
-    f = (q.join(in_cart, ["user_id", "event_id"], "left")
-         .join(registered, ["user_id", "event_id"], "left")
+    f = (q.join(in_cart, "request_id", "left")
+         .join(registered, "request_id", "left")
          .join(counts, "user_id", "left")
          .join(reg_conf, "request_id", "left")
          .join(cart_conf, "request_id", "left"))

@@ -48,8 +48,9 @@ def ingest_users(users: DataFrame, signups: DataFrame) -> DataFrame:
 
     The first valid request per new email wins; winners get dense ids after max(user_id).
     """
-    existing = users.select("email").filter(F.col("email").isNotNull()).distinct().withColumn("_taken", F.lit(True))
-    s = signups.join(existing, "email", "left")
+    taken = signups.select("request_id", "email").join(users.select("email"), "email", "left_semi") \
+        .select("request_id", F.lit(True).alias("_taken"))
+    s = signups.join(taken, "request_id", "left")
     valid = ~(_blank("full_name") | _blank("email"))
     first = (s.filter(valid & F.col("_taken").isNull()).groupBy("email")
              .agg(F.min("request_id").alias("_first")))
@@ -183,9 +184,11 @@ def waitlist_assign(sessions: DataFrame, inserted: DataFrame) -> DataFrame:
 def cart_dedupe(cart: DataFrame, adds: DataFrame) -> DataFrame:
     """Duplicate-cart guard: an add is rejected if (user, session) is already in the cart or
     an earlier add in the batch (by ts, request_id) named it."""
-    ex = cart.select("user_id", "event_id").distinct().withColumn("_in", F.lit(True))
+    ex = adds.select("request_id", "user_id", "event_id").join(cart.select("user_id", "event_id"),
+                                                                 ["user_id", "event_id"], "left_semi") \
+        .select("request_id", F.lit(True).alias("_in"))
     first = adds.groupBy("user_id", "event_id").agg(F.min(F.struct("ts", "request_id")).alias("_f"))
-    j = adds.join(ex, ["user_id", "event_id"], "left").join(first, ["user_id", "event_id"], "left")
+    j = adds.join(ex, "request_id", "left").join(first, ["user_id", "event_id"], "left")
     ok = F.col("_in").isNull() & (F.col("request_id") == F.col("_f.request_id"))
     return j.select("request_id", "user_id", "event_id", "ts",
                     F.when(ok, "ACCEPTED").otherwise("REJECTED").alias("status"),

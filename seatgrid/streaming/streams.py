@@ -10,8 +10,8 @@
                     ``dropDuplicatesWithinWatermark`` for the bounded-delay approximation
 
 Every micro-batch writes to a directory named by its batch id (overwrite), so a retried
-batch replaces its own output and never duplicates it. State versions are also keyed by
-batch id, and a batch reads the latest version older than itself.
+batch replaces its own output and never duplicates it. State is kept as append-only
+deltas keyed by batch id; a batch reads the deltas of the batches before it.
 """
 
 from __future__ import annotations
@@ -93,12 +93,13 @@ def audit_log(spark: SparkSession, regs: DataFrame) -> DataFrame:
     return _read_batches(spark, out, rows.schema)
 
 
-def _latest_state(spark: SparkSession, state: str, batch_id: int, schema: T.StructType) -> DataFrame:
+def _prior_deltas(spark: SparkSession, state: str, batch_id: int, schema: T.StructType) -> DataFrame:
+    """State as append-only deltas: the rows written by every batch before ``batch_id``.
+
+    Each batch writes only its own delta under ``v=<batch id>`` (overwrite on retry),
+    so no batch rewrites the whole state."""
     s = _read_batches(spark, state, T.StructType(schema.fields + [T.StructField("v", T.LongType())]))
-    latest = s.filter(F.col("v") < batch_id).agg(F.max("v")).first()[0]
-    if latest is None:
-        return spark.createDataFrame([], schema)
-    return s.filter(F.col("v") == latest).drop("v")
+    return s.filter(F.col("v") < batch_id).select(*schema.fieldNames())
 
 
 def waitlist(spark: SparkSession, regs: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def waitlist(spark: SparkSession, regs: DataFrame, sessions: DataFrame) -> DataF
     st_schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("used", T.LongType())])
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        used = _latest_state(spark, state, batch_id, st_schema)
+        used = _prior_deltas(spark, state, batch_id, st_schema).groupBy("event_id").agg(F.sum("used").alias("used"))
         pos = ordered_positions(df, [F.col("ts").asc_nulls_first(), F.col("reg_id").asc()], keys=["event_id"],
                                 weight=(F.col("payment_status") == "COMPLETED").cast("int"))
         j = pos.join(seats, "event_id", "left").join(used, "event_id", "left")
@@ -121,10 +122,8 @@ def waitlist(spark: SparkSession, regs: DataFrame, sessions: DataFrame) -> DataF
                        ((F.col("payment_status") == "COMPLETED") & ~full).alias("takes_seat"))
         dec.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         written = spark.read.parquet(f"{out}/batch={batch_id}")
-        add = written.filter("takes_seat").groupBy("event_id").agg(F.count(F.lit(1)).alias("_n"))
-        new = used.join(add, "event_id", "full_outer").select(
-            "event_id", (F.coalesce(F.col("used"), F.lit(0)) + F.coalesce(F.col("_n"), F.lit(0))).alias("used"))
-        new.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        add = written.filter("takes_seat").groupBy("event_id").agg(F.count(F.lit(1)).alias("used"))
+        add.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
 
     _run(regs.writeStream.foreachBatch(sink), spark, "waitlist")
     sch = T.StructType([T.StructField("reg_id", T.LongType()), T.StructField("user_id", T.LongType()),
@@ -142,14 +141,14 @@ def cart_dedupe(spark: SparkSession, clicks: DataFrame) -> DataFrame:
     st_schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("k", T.LongType())])
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        seen = _latest_state(spark, state, batch_id, st_schema)
+        seen = _prior_deltas(spark, state, batch_id, st_schema)
         first = df.groupBy("user_id", "k").agg(F.min(F.struct("ts", "event_id")).alias("f"))
         fresh = first.join(seen, ["user_id", "k"], "left_anti")
         rows = fresh.select(F.col("f.event_id").alias("cart_id"), "user_id", F.col("k").alias("event_id"),
                             F.col("f.ts").cast("date").alias("added_date"))
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         added = spark.read.parquet(f"{out}/batch={batch_id}").select("user_id", F.col("event_id").alias("k"))
-        seen.unionByName(added).write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        added.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
 
     _run(c.writeStream.foreachBatch(sink), spark, "cart")
     sch = T.StructType([T.StructField("cart_id", T.LongType()), T.StructField("user_id", T.LongType()),
