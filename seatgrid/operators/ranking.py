@@ -100,9 +100,9 @@ def rank_by(df: DataFrame, value: Column, descending: bool = True, rank_col: str
             F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     else:
         ranked = ordered_positions(distinct, [order], weight=F.col("_cnt"))
-    cols = [(F.col("_before") + 1).alias(rank_col)]
+    cols = [(F.col("_before") + 1).cast("bigint").alias(rank_col)]
     if dense_col:
-        cols.append(F.col("_pos").alias(dense_col))
+        cols.append(F.col("_pos").cast("bigint").alias(dense_col))
     ranked = ranked.select(F.col(v).alias("_rv"), *cols)
     out = base.join(ranked, base[v].eqNullSafe(ranked["_rv"]))
     return out.drop(v, "_rv")
