@@ -40,7 +40,7 @@ d_sessions AS (
                            GROUP BY event_id) k ON s.event_id = k.event_id),
 d_clicks AS (
   SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS ts, value, event_type,
-         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+         TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
   FROM events),
 d_cart AS (
   SELECT event_id AS cart_id, user_id, k AS event_id, CAST(ts AS DATE) AS added_date

@@ -47,7 +47,7 @@ def _hour_text(hour: Column, minutes: str) -> Column:
 
 def click_key(props: Column) -> Column:
     """The session id a clickstream row points at: ``props`` is ``{"k": n}``."""
-    return F.get_json_object(props, "$.k").cast("bigint")
+    return F.get_json_object(props, "$.k").try_cast("bigint")  # malformed -> NULL (ANSI-safe)
 
 
 DERIVED = ["users", "base_sessions", "registrations", "sessions", "cart", "requests", "checkouts",
