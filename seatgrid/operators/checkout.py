@@ -113,6 +113,20 @@ def apply_seats(sessions: DataFrame, new_registrations: DataFrame) -> DataFrame:
                     (F.col("booked_seats") + F.col("added")).alias("booked_after"))
 
 
+def apply_sessions(sessions: DataFrame, new_registrations: DataFrame) -> DataFrame:
+    """The whole sessions table after booking (seat counts raised by the new registrations)."""
+    add = new_registrations.groupBy("event_id").agg(F.count(F.lit(1)).alias("_add"))
+    j = sessions.join(add, "event_id", "left")
+    return j.select(*[(F.col(c) + F.coalesce(F.col("_add"), F.lit(0))).cast("int").alias(c) if c == "booked_seats"
+                      else F.col(c) for c in sessions.columns])
+
+
+def apply_cart(cart: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Cart rows left after booking: a booking checkout empties its user's cart."""
+    booked = decisions.filter(F.col("items") > 0).select("user_id")
+    return cart.join(booked, "user_id", "left_anti")
+
+
 # ---------------------------------------------------------------- application-style validation
 
 def validate(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, registrations: DataFrame) -> DataFrame:

@@ -103,3 +103,35 @@ def test_last_seat_goes_to_the_earlier_checkout(spark):
                                S.CHECKOUTS)
     got = {r.checkout_id: r.status for r in K.all_or_nothing(co, cart, s, regs).collect()}
     assert got == {11: "ACCEPTED", 10: "REJECTED"}
+
+
+def test_snapshot_commit_and_checkout_apply(spark, seed):
+    """A checkout's new registrations, seat counts and cart become one committed version."""
+    import pytest
+
+    from seatgrid.session import scratch_path
+    from seatgrid.sources import snapshots
+    users, sessions, regs, _ = seed
+    base = scratch_path(spark, "snap")
+    assert snapshots.committed_version(spark, base) is None
+    cart = spark.createDataFrame([(1, 1, 1, D), (2, 1, 3, D)], S.CART)
+    v0 = snapshots.commit(spark, base, {"sessions": sessions, "registrations": regs, "cart": cart})
+    co = spark.createDataFrame([(1, 1, T0, "CARD", True)], S.CHECKOUTS)
+    dec = K.decision(co, snapshots.read(spark, base, "cart"), sessions, regs, "ora")
+    new_regs = K.apply_registrations(dec, co, cart, sessions)
+    new_sessions = K.apply_sessions(sessions, new_regs)
+    left = K.apply_cart(cart, dec)
+    v1 = snapshots.commit(spark, base, {"sessions": new_sessions, "registrations": new_regs, "cart": left})
+    assert (v0, v1) == (0, 1)
+    assert snapshots.read(spark, base, "cart").count() == 0
+    assert snapshots.read(spark, base, "cart", version=0).count() == 2
+    got = {r.event_id: r.booked_seats for r in snapshots.read(spark, base, "sessions").collect()}
+    assert got[1] == 1 and got[3] == 1 and got[2] == 0
+    # an uncommitted half-written version is invisible
+    new_regs.write.mode("overwrite").parquet(f"{base}/registrations/v=2")
+    assert snapshots.committed_version(spark, base) == 1
+    with pytest.raises(Exception):
+        from seatgrid.operators.quality import assert_no_overbooking
+        bad = spark.createDataFrame([(1, 5, 6)], "event_id long, total_seats int, raw_booked long")
+        assert_no_overbooking(bad).collect()
+
