@@ -220,6 +220,16 @@ def daily_event_report(sessions: DataFrame, as_of: str | _dt.date, lookahead_day
         F.coalesce((fp < 10) & (F.col("event_date") > d0), F.lit(False)).alias("auto_cancel"))
 
 
+def cart_totals(cart: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Per user: cart rows and the total price of the items that join a session (the
+    cursor loop that sums cart prices, as one aggregate)."""
+    j = cart.select("user_id", "event_id").join(sessions.select("event_id", "ticket_price"), "event_id", "left")
+    return j.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("cart_count"),
+        F.count("ticket_price").alias("priced_items"),
+        F.coalesce(F.sum("ticket_price"), F.lit(0).cast("decimal(20,2)")).alias("cart_total"))
+
+
 def user_cart(cart: DataFrame, sessions: DataFrame) -> DataFrame:
     j = cart.join(sessions, "event_id")
     return j.select("cart_id", "user_id", *SESSION_COLS)

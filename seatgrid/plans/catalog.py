@@ -240,6 +240,15 @@ def _user_cart(d: Domain):
     return R.user_cart(d.cart, d.sessions)
 
 
+@register("cart_totals", """
+SELECT c.user_id, count(*) AS cart_count, count(e.ticket_price) AS priced_items,
+       CAST(coalesce(sum(e.ticket_price), 0) AS DOUBLE) AS cart_total
+FROM d_cart c LEFT JOIN d_sessions e ON c.event_id = e.event_id
+GROUP BY c.user_id""")
+def _cart_totals(d: Domain):
+    return R.cart_totals(d.cart, d.sessions)
+
+
 @register("user_registrations", f"""
 SELECT r.user_id, {SESSION_SQL}, CAST(r.registration_date AS VARCHAR) AS registration_date
 FROM d_regs r JOIN d_sessions e ON r.event_id = e.event_id
