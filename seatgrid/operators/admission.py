@@ -55,9 +55,9 @@ def admission_facts(requests: DataFrame, sessions: DataFrame, registrations: Dat
         F.count("_known").alias("confirmed_count"),
         F.sum(F.when(F.col("payment_status") == "COMPLETED", 1).otherwise(0)).alias("paid_confirmed_count"))
 
-    reg_conf = conflicts_with(q, interval_summary(conf, sessions, "reg_id", with_names), "request_id") \
+    reg_conf = conflicts_with(q, interval_summary(conf, sessions, "reg_id", with_names, only_for=q), "request_id") \
         .select("request_id", F.col("conflict_count"), F.col("first_conflict.event_name").alias("conflict_name"))
-    cart_conf = conflicts_with(q, interval_summary(cart, sessions, "cart_id", with_names), "request_id") \
+    cart_conf = conflicts_with(q, interval_summary(cart, sessions, "cart_id", with_names, only_for=q), "request_id") \
         .select("request_id", F.col("conflict_count").alias("cart_conflict_count"),
                 F.col("first_conflict.event_name").alias("cart_conflict_name"))
 

@@ -134,7 +134,8 @@ def validate(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, registr
     conflict, cart x cart conflict, a fully booked session, payment, then book.
 
     Conflict messages name the first clashing pair in loop order (cart by cart_id,
-    confirmed by reg_id). Pairs come from the binned overlap join on (user, date).
+    confirmed by reg_id). Each cart item is compared with distinct-interval summaries
+    (per user and date) of the confirmed rows and of the cart, never with every row.
     """
     s = sessions.select("event_id", "event_name", *INTERVAL, "total_seats", "booked_seats")
     items = cart.select("cart_id", "user_id", "event_id").join(s, "event_id")
@@ -149,6 +150,8 @@ def validate(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, registr
 
     # cart x confirmed: for each cart item the first overlapping confirmed registration, found
     # against the confirmed rows reduced to distinct intervals per (user, date)
+    # only (user, date) pairs that some cart item is on
+    conf = conf.join(items.select("user_id", "event_date"), ["user_id", "event_date"], "left_semi")
     summ = conf.groupBy("user_id", *INTERVAL).agg(F.min(F.struct("reg_id", "event_name")).alias("m"))
     a = items.select("cart_id", "user_id", "event_name", *INTERVAL)
     cx = overlap_pairs(a, summ, ["user_id", "event_date"], ["user_id", "event_date"])
