@@ -66,3 +66,11 @@ def register(spark: SparkSession, d: Domain) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS {body}")
     for stmt in FUNCTIONS:
         spark.sql(stmt)
+
+
+def user_registrations_for(spark: SparkSession, user_id: int):
+    """Point lookup with a bound parameter (no string splicing): one user's confirmed
+    registrations with their sessions. Needs :func:`register` first."""
+    return spark.sql(
+        "SELECT e.*, r.registration_date FROM registrations r JOIN sessions e ON r.event_id = e.event_id "
+        "WHERE r.user_id = :uid AND r.registration_status = 'CONFIRMED'", args={"uid": user_id})

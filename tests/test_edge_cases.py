@@ -135,3 +135,16 @@ def test_snapshot_commit_and_checkout_apply(spark, seed):
         bad = spark.createDataFrame([(1, 5, 6)], "event_id long, total_seats int, raw_booked long")
         assert_no_overbooking(bad).collect()
 
+
+
+def test_bound_parameter_lookup(spark, seed):
+    from seatgrid.plans import sql_surface
+    from seatgrid.sources.domain import Domain
+    users, sessions, _, cart = seed
+    regs = _regs(spark, [(1, 1, 1, D, "COMPLETED", "CONFIRMED", Decimal(50)), (2, 2, 3, D, "COMPLETED", "CONFIRMED", Decimal(40))])
+    d = Domain(spark, "/nonexistent")
+    for name, df in {"users": users, "sessions": sessions, "registrations": regs, "cart": cart}.items():
+        d.__dict__[name] = df
+    sql_surface.register(spark, d)
+    rows = sql_surface.user_registrations_for(spark, 2).collect()
+    assert [r.event_id for r in rows] == [3]
