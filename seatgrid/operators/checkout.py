@@ -232,6 +232,10 @@ def all_or_nothing(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, r
     state = cut_lineage(cands.select("checkout_id", F.lit("U").alias("st")))
     for _ in range(max_rounds):
         it = items.join(state, "checkout_id")
+        # only sessions that still hold an undecided checkout matter this round; every item
+        # of an undecided checkout is in such a session, and all rows of it are kept
+        active = it.filter(F.col("st") == "U").select("event_id").distinct()
+        it = it.join(active, "event_id", "left_semi")
         pos = positions_from_tags(it, order, ["event_id"],
                                   {"_acc": (F.col("st") == "A").cast("int"), "_live": (F.col("st") != "R").cast("int")})
         per_item = pos.select(
