@@ -779,18 +779,82 @@ def _checkout_validate(d: Domain):
     return K.validate(d.checkouts, d.cart, d.sessions, d.registrations)
 
 
-@register("checkout_all_or_nothing")
+def _race_sql(with_limit: bool) -> str:
+    """Sequential oracle of the checkout race: a recursive CTE walks the candidate checkouts
+    one by one in (ts, checkout_id) order, carrying the seats taken so far."""
+    lim = "AND coalesce(rc.reg_count, 0) + coalesce(cr.cart_rows, 0) <= 3" if with_limit else ""
+    return f"""
+, rc AS (SELECT user_id, count(*) AS reg_count FROM d_regs
+         WHERE registration_status = 'CONFIRMED' AND payment_status = 'COMPLETED' GROUP BY user_id),
+cr AS (SELECT user_id, count(*) AS cart_rows FROM d_cart GROUP BY user_id),
+ok AS (SELECT k.* FROM d_checkouts k LEFT JOIN rc ON rc.user_id = k.user_id LEFT JOIN cr ON cr.user_id = k.user_id
+       WHERE coalesce(k.payment_ok, false) {lim}),
+cand AS (SELECT user_id, arg_min(checkout_id, (ts, checkout_id)) AS checkout_id, min((ts, checkout_id)) AS o
+         FROM ok GROUP BY user_id),
+its AS (SELECT c.checkout_id, list({{'eid': s.event_id, 'lft': s.total_seats - s.booked_seats}}) AS its
+        FROM cand c JOIN d_cart t ON t.user_id = c.user_id JOIN d_sessions s ON s.event_id = t.event_id
+        GROUP BY c.checkout_id),
+seq AS (SELECT c.checkout_id, c.user_id, row_number() OVER (ORDER BY c.o) AS rn, coalesce(i.its, []) AS its
+        FROM cand c LEFT JOIN its i ON i.checkout_id = c.checkout_id),
+rec AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS checkout_id, CAST(NULL AS BIGINT) AS user_id,
+         CAST(NULL AS BOOLEAN) AS ok, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used
+  UNION ALL
+  SELECT rn, checkout_id, user_id, ok, n,
+         CASE WHEN ok THEN list_concat(used, list_transform(its, lambda i: i.eid)) ELSE used END
+  FROM (SELECT s.rn, s.checkout_id, s.user_id, s.its, CAST(len(s.its) AS BIGINT) AS n, r.used,
+               len(list_filter(s.its, lambda i: i.lft IS NOT NULL
+                   AND i.lft - len(list_filter(r.used, lambda a: a = i.eid)) <= 0)) = 0 AS ok
+        FROM rec r JOIN seq s ON s.rn = r.rn + 1) z)
+SELECT checkout_id, user_id, CASE WHEN ok THEN 'ACCEPTED' ELSE 'REJECTED' END AS status,
+       CASE WHEN ok THEN n ELSE 0 END AS items
+FROM rec WHERE rn > 0"""
+
+
+@register("checkout_all_or_nothing", _race_sql(True))
 def _checkout_all_or_nothing(d: Domain):
     return K.all_or_nothing(d.checkouts, d.cart, d.sessions, d.registrations)
 
 
-@register("checkout_seat_competition")
+@register("checkout_seat_competition", _race_sql(False))
 def _checkout_seat_competition(d: Domain):
     """The seat race of all-or-nothing checkouts alone (no registration limit)."""
     return K.all_or_nothing(d.checkouts, d.cart, d.sessions, d.registrations, limit=None)
 
 
-@register("cart_admission_ordered")
+ORDERED_SQL = FACTS_SQL + f"""
+, q2 AS (
+  SELECT f.*, s.event_name AS ename, s.event_date AS d, s.start_time AS st, s.end_time AS et,
+         row_number() OVER (PARTITION BY f.user_id ORDER BY rq.ts, f.request_id) AS rn,
+         CASE WHEN NOT f.found THEN {_q(A.MSG_NOT_FOUND)}
+              WHEN f.confirmed_count >= 3 AND {_HALF.replace("booked_seats", "f.booked_seats").replace("total_seats", "f.total_seats")}
+                THEN {_q(A.MSG_JS_LIMIT)}
+              WHEN f.conflict_count > 0 THEN {_q(A.MSG_JS_CONFLICT)} || f.conflict_name END AS static
+  FROM f JOIN d_requests rq ON rq.request_id = f.request_id LEFT JOIN d_sessions s ON f.event_id = s.event_id),
+rec AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BIGINT) AS event_id,
+         CAST(NULL AS VARCHAR) AS message,
+         CAST([] AS STRUCT(eid BIGINT, d DATE, s VARCHAR, e VARCHAR, n VARCHAR)[]) AS acc
+  FROM (SELECT DISTINCT user_id FROM q2) u
+  UNION ALL
+  SELECT user_id, rn, request_id, event_id, message,
+         CASE WHEN message IS NULL THEN list_append(acc, {{'eid': event_id, 'd': d, 's': st, 'e': et, 'n': ename}})
+              ELSE acc END
+  FROM (
+    SELECT q.user_id, q.rn, q.request_id, q.event_id, q.d, q.st, q.et, q.ename, r.acc,
+      CASE WHEN q.static IS NOT NULL THEN q.static
+           WHEN q.cart_conflict_count > 0 THEN {_q(A.MSG_JS_CART_CONFLICT)} || q.cart_conflict_name
+           WHEN len(list_filter(r.acc, lambda x: x.d = q.d AND x.s < q.et AND q.st < x.e)) > 0
+             THEN {_q(A.MSG_JS_CART_CONFLICT)} || list_filter(r.acc, lambda x: x.d = q.d AND x.s < q.et AND q.st < x.e)[1].n
+           WHEN q.in_cart OR list_contains(list_transform(r.acc, lambda x: x.eid), q.event_id) THEN {_q(A.MSG_IN_CART)}
+           WHEN q.registered THEN {_q(A.MSG_REGISTERED)} END AS message
+    FROM rec r JOIN q2 q ON q.user_id = r.user_id AND q.rn = r.rn + 1) z)
+SELECT request_id, user_id, event_id, CASE WHEN message IS NULL THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+       coalesce(message, {_q(A.MSG_JS_ADDED)}) AS message
+FROM rec WHERE rn > 0"""
+
+
+@register("cart_admission_ordered", ORDERED_SQL)
 def _cart_admission_ordered(d: Domain):
     return A.ordered(d.requests, d.sessions, d.registrations, d.cart)
 

@@ -5,6 +5,8 @@ They restate the derivation of ``seatgrid.sources.domain`` in set-SQL form (wind
 an independent formulation, not the same plan twice.
 """
 
+import re
+
 VIEWS = """
 d_users AS (
   SELECT c_custkey AS user_id, c_name AS full_name,
@@ -77,4 +79,5 @@ def pct(num: str, den: str) -> str:
 def with_views(sql: str) -> str:
     """Prefix the domain views. A query text starting with ',' adds its own CTEs."""
     body = sql.strip()
-    return "WITH " + VIEWS.strip() + ("" if body.startswith(",") else "\n") + body
+    head = "WITH RECURSIVE " if re.search(r"\brec AS \(", body) else "WITH "  # sequential oracles recurse
+    return head + VIEWS.strip() + ("" if body.startswith(",") else "\n") + body
