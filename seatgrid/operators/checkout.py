@@ -73,7 +73,8 @@ def decision(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, registr
             .join(cart_facts(cart, sessions), "user_id", "left"))
     limit_fail = F.coalesce(F.col("reg_count"), F.lit(0)) + F.coalesce(F.col("cart_rows"), F.lit(0)) > LIMIT
     blocked = F.coalesce(F.col("blocked"), F.lit(False))
-    base = base.withColumn("_pay", pay).withColumn("_lim", limit_fail).withColumn("_blk", blocked)
+    # used twice below (first passing checkout per user, then every checkout): write it once
+    base = cut_lineage(base.withColumn("_pay", pay).withColumn("_lim", limit_fail).withColumn("_blk", blocked))
     firsts = (base.filter(F.col("_pay") & ~F.col("_lim") & ~F.col("_blk")).groupBy("user_id")
               .agg(F.min(_order()).alias("_first")))
     j = base.join(firsts, "user_id", "left")
@@ -187,7 +188,8 @@ def validate(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, registr
               .when(F.col("first_full").isNotNull(), F.concat(F.lit("Event "), F.col("first_full.event_name"),
                                                              F.lit(" is fully booked"))))
     pay = F.coalesce(F.col("payment_ok"), F.lit(False))
-    base = base.withColumn("_static", static).withColumn("_pay", pay)
+    # used twice below (first passing checkout per user, then every checkout): write it once
+    base = cut_lineage(base.withColumn("_static", static).withColumn("_pay", pay))
     firsts = base.filter(F.col("_static").isNull() & F.col("_pay")).groupBy("user_id").agg(F.min(_order()).alias("_first"))
     j = base.join(firsts, "user_id", "left")
     me = _order()
