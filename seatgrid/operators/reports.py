@@ -157,16 +157,21 @@ def cancellation_rate(sessions: DataFrame, registrations: DataFrame) -> DataFram
 def registration_trend(users: DataFrame, registrations: DataFrame, sessions: DataFrame) -> DataFrame:
     """Registrations per user *name* and their session names ordered by date (then name).
 
-    The list is one string per name by definition, so its size grows with the group.
+    Two levels, same string: per (name, date) the names of that date in order (a hot name
+    is split across dates and tasks), then per name the per-date parts in date order, so
+    the final buffer of a name holds one entry per date, not one per registration. The
+    result is one string per name by definition, so its size still grows with the group.
     """
     r = registrations.select("reg_id", "user_id", "event_id")
     e = sessions.select("event_id", "event_name", "event_date")
     re_ = r.join(e, "event_id", "left")
     j = users.select("user_id", "full_name").join(re_, "user_id", "left")
-    return j.groupBy(F.col("full_name").alias("name")).agg(
-        F.count("reg_id").alias("registrations"),
-        F.expr("listagg(event_name, ', ') WITHIN GROUP (ORDER BY event_date, event_name)").alias("events_registered"),
-    )
+    per_day = j.groupBy("full_name", "event_date").agg(
+        F.count("reg_id").alias("_n"),
+        F.expr("listagg(event_name, ', ') WITHIN GROUP (ORDER BY event_name)").alias("_part"))
+    return per_day.groupBy(F.col("full_name").alias("name")).agg(
+        F.sum("_n").alias("registrations"),
+        F.expr("listagg(_part, ', ') WITHIN GROUP (ORDER BY event_date)").alias("events_registered"))
 
 
 def event_conflict_pairs(sessions: DataFrame, bin_minutes: int = 60) -> DataFrame:
