@@ -52,3 +52,18 @@ def test_fill_pct_half_up(spark):
     df = spark.createDataFrame([(1, 8), (1, 3), (3, 4000), (2, 0), (None, 5)], "n long, d long")
     got = [r[0] for r in df.select(pct_half_up("n", "d")).collect()]
     assert got == [12.5, 33.33, 0.08, None, None]
+
+
+def test_fill_pct_matches_decimal_half_up(spark):
+    """Exact half-up percentage vs Python Decimal on random counts, including .xx5 ties."""
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from seatgrid.functions.rules import pct_half_up
+    rng = random.Random(1)
+    pairs = [(rng.randint(0, 5000), rng.randint(1, 5000)) for _ in range(3000)]
+    pairs += [(3 * k, 4000) for k in range(1, 200)] + [(k, 8) for k in range(0, 40)]
+    df = spark.createDataFrame(pairs, "n long, d long").select("n", "d", pct_half_up("n", "d").alias("p"))
+    for n, d, p in df.collect():
+        want = float((Decimal(100) * n / d).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+        assert p == want, (n, d, p, want)
