@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seatgrid.llm import chat_format, decontaminate, license_scan, mixing, sharding
+from seatgrid.llm import chat_format, decontaminate, license_scan, mixing, pii, quality_rules, sharding
 from seatgrid.llm.common import read_table
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_digest(license_scan.scan_licenses(read_table(spark, sf_dir, "documents")))
 
@@ -27,6 +31,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(pii.find_pii(read_table(spark, sf_dir, "documents")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
 
@@ -36,9 +44,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_license_scan": op3_license_scan,
     "op4_chat_format": op4_chat_format,
     "op6_decontamination": op6_decontamination,
+    "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
 }
