@@ -161,6 +161,10 @@ def pii_digest(found: DataFrame) -> DataFrame:
 
     s = F.col("spans")
     base = F.filter(s, lambda x: x["kind"].isin(*BASE_KINDS))
+
+    def count(kind):
+        return F.size(F.filter(s, lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *[F.size(F.filter(s, lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS],
+        "doc_id", *[count(k) for k in BASE_KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(s).alias("spans"))

@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seatgrid.llm import chat_format, decontaminate, license_scan, mixing, pii, quality_rules, sharding
+from seatgrid.llm import (
+    chat_format,
+    decontaminate,
+    license_scan,
+    mixing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    toxicity,
+)
 from seatgrid.llm.common import read_table
 
 
@@ -26,6 +36,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digest(chat_format.format_conversations(rows.unionByName(more)))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_pairs(decontaminate.find_contained(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
@@ -43,14 +57,20 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_license_scan": op3_license_scan,
     "op4_chat_format": op4_chat_format,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
