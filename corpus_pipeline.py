@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from seatgrid.llm import decontaminate, mixing, sharding
+from seatgrid.llm import decontaminate, mixing, near_dedup, quality_rules, sharding
 from seatgrid.llm.common import read_table
 from seatgrid.session import cut_lineage
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays, the one with the least doc_id."""
+    return near_dedup.keep_one_of_each(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
@@ -26,6 +35,8 @@ def sharding_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("quality_rules", quality),
+    ("near_dedup", near_duplicates),
     ("benchmark_decontamination", decontamination),
     ("mixing", mixing_to_weights),
     ("sharding", sharding_rows),
@@ -37,6 +48,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; every result but the last is written and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

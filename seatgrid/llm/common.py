@@ -34,17 +34,19 @@ def _by_row(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     d = docs.withColumn("__text_key", text_key())
     k = keys.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__k"))
     hit = d["doc_id"].eqNullSafe(k["__id"]) & (d["__text_key"] == k["__k"])
-    return d.join(k, hit, how).select(*[d[c] for c in docs.columns])
+    return d.join(k, hit, how)
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, text) is among ``keys`` (doc_id, text_key), every column kept.
+def keep_rows(docs: DataFrame, keys: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, text) is among ``keys`` (doc_id, text_key), every column kept;
+    with ``once`` one of those that repeat each other.
 
     A row is known by its doc_id and whole text, so null and repeated ids are safe.
     """
-    return _by_row(docs, keys, "left_semi")
+    kept = _by_row(docs, keys, "left_semi")
+    return (kept.dropDuplicates(["doc_id", "__text_key"]) if once else kept).select(*docs.columns)
 
 
 def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, text) is not among ``keys``, every column kept."""
-    return _by_row(docs, keys, "left_anti")
+    return _by_row(docs, keys, "left_anti").select(*docs.columns)

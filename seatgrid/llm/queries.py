@@ -11,6 +11,7 @@ from seatgrid.llm import (
     decontaminate,
     license_scan,
     mixing,
+    near_dedup,
     pii,
     quality_classifier,
     quality_rules,
@@ -20,6 +21,10 @@ from seatgrid.llm import (
 from seatgrid.llm.common import read_table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(read_table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -62,6 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_license_scan": op3_license_scan,
     "op4_chat_format": op4_chat_format,
