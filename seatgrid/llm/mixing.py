@@ -66,7 +66,7 @@ def targets(hist: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
         if level is not None and n == n_capped:
             break
         level, n_capped = new, n if level is not None else 0
-    return s.select("_src", "source_size", (F.col("_sq") / F.greatest(F.col("source_size"), F.lit(1))).alias("_scale"), "_least",
+    return s.select("_src", "source_size", F.greatest(F.col("_sq") / F.greatest(F.col("source_size"), F.lit(1)), F.lit(1.0)).alias("_scale"), "_least",
                     F.least(cap, F.col("w") * F.lit(level)).alias("target"))
 
 
@@ -138,8 +138,8 @@ def take_copies(docs: DataFrame) -> DataFrame:
     """
     m = mix_documents(narrow_rows(docs, text_key().alias("text_key")))
     c = m.filter("copies > 0").groupBy("doc_id", "text_key", "_src").agg(F.sum("copies").cast("int").alias("__copies")) \
-        .withColumnRenamed("doc_id", "__id")
+        .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("_src").alias("__of"), "__copies")
     d = docs.withColumn("__text_key", text_key()).withColumn("__src", _source_key())
-    hit = d["doc_id"].eqNullSafe(c["__id"]) & (d["__text_key"] == c["text_key"]) & (d["__src"] == c["_src"])
+    hit = d["doc_id"].eqNullSafe(c["__id"]) & (d["__text_key"] == c["__key"]) & (d["__src"] == c["__of"])
     one = d.join(c, hit).dropDuplicates(["doc_id", "__text_key", "__src"])
     return one.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

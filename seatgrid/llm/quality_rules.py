@@ -38,7 +38,7 @@ from seatgrid.llm.common import keep_rows, text_key, whole_text
 from seatgrid.session import cut_lineage
 
 FEATURES = ("word_length", "symbols", "duplicate_lines", "repeated_words", "upper_case", "marks")
-SHARE = 0.75
+SHARE = 0.6
 STEPS = 4
 LEAST = 60
 CUTOFF = 40.0
@@ -143,7 +143,7 @@ def with_distance(rows: DataFrame) -> DataFrame:
     total = F.lit(0.0)
     for i, j in _PAIRS:
         total = total + F.col(f"d{i}") * F.col(f"d{j}") * F.col(f"v{i}_{j}") * F.lit(1.0 if i == j else 2.0)
-    return rows.select("*", F.greatest(total, F.lit(0.0)).alias("dist2")).drop(*[f"d{i}" for i in range(_P)])
+    return rows.select("*", F.when(total < 0, F.lit(0.0)).otherwise(total).alias("dist2")).drop(*[f"d{i}" for i in range(_P)])
 
 
 def estimate(vectors: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
