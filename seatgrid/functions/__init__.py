@@ -1,3 +1,3 @@
 from seatgrid.functions.rules import (  # noqa: F401
-    asc_first, desc_first, fill_pct, overlaps, pct_half_up, present, well_formed_interval,
+    desc_first, fill_pct, pair_key, pct_half_up, present, well_formed_interval,
 )

@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 TIME_PATTERN = r"^[0-9]{2}:[0-9]{2}$"
 
 
-def overlaps(date_a: Column, start_a: Column, end_a: Column,
-             date_b: Column, start_b: Column, end_b: Column) -> Column:
-    """Half-open overlap on the same date, times compared as strings (touching ends don't overlap)."""
-    return (date_a == date_b) & (start_a < end_b) & (start_b < end_a)
+def pair_key(first: Column, second: Column) -> Column:
+    """One exact number for a pair of non-negative bigints: first * 10^19 + second. Every bigint is below
+    10^19, so different pairs never meet, and pairs order by (first, second)."""
+    one = F.lit("1" + "0" * 19).cast("decimal(20,0)")
+    return (first.cast("decimal(18,0)") * one + second.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def minutes(t: Column) -> Column:
@@ -48,20 +49,13 @@ def desc_first(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).desc_nulls_first()
 
 
-def asc_first(c: str | Column) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).asc_nulls_first()
-
-
-def money(c: Column) -> Column:
-    """Exact decimal money as DOUBLE for reports (the nearest double of the exact value)."""
-    return c.cast("double")
-
-
 def present(df: DataFrame) -> DataFrame:
-    """Report form of a result: decimals as DOUBLE, dates as ISO 'yyyy-MM-dd' text."""
+    """Report form of a result: money as DOUBLE, dates as ISO 'yyyy-MM-dd' text, pair keys as digits."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, T.DecimalType):
+        if isinstance(f.dataType, T.DecimalType) and f.dataType.scale == 0 and f.dataType.precision == 38:
+            cols.append(F.col(f.name).cast("string").alias(f.name))
+        elif isinstance(f.dataType, T.DecimalType):
             cols.append(F.col(f.name).cast("double").alias(f.name))
         elif isinstance(f.dataType, T.DateType):
             cols.append(F.col(f.name).cast("string").alias(f.name))

@@ -168,8 +168,7 @@ def _earliest_before(probes: DataFrame, rows: DataFrame, with_name: bool = False
     return pairs.groupBy(F.col("l_request_id").alias("request_id")).agg(F.min("r_m").alias("m"))
 
 
-def ordered(requests: DataFrame, sessions: DataFrame, registrations: DataFrame, cart: DataFrame,
-            max_rounds: int = 1000) -> DataFrame:
+def ordered(requests: DataFrame, sessions: DataFrame, registrations: DataFrame, cart: DataFrame) -> DataFrame:
     """In-order application-style admission: requests of a user are applied by (ts,
     request_id) and an accepted request joins the cart the later ones are checked against.
 
@@ -177,7 +176,9 @@ def ordered(requests: DataFrame, sessions: DataFrame, registrations: DataFrame,
     same user that overlap in time (same date) or name the same session. Decisions are
     made in parallel rounds: a request is rejected once an earlier accepted one clashes
     with it, accepted once no earlier live (accepted or undecided) one does. The earliest
-    undecided request always decides, so rounds end. Same-session clashes use
+    undecided request always decides, so rounds end; a round that decides nothing is an
+    error, and nothing undecided is ever passed on. A round works only on the users that
+    still have an undecided request. Same-session clashes use
     per-(user, session) aggregates; time clashes compare each request with the distinct
     intervals of the accepted / live requests (no request-by-request pairs).
     """
@@ -196,8 +197,11 @@ def ordered(requests: DataFrame, sessions: DataFrame, registrations: DataFrame,
     cand = p13.filter((c("cart_conflict_count") == 0) & ~c("in_cart") & ~c("registered"))
 
     cols = ["request_id", "user_id", "event_id", "event_name", *INTERVAL, "_ord"]
+    # decided: one written table per round; state: the requests of users that still have an undecided one
     state = cut_lineage(cand.select(*cols, F.lit("U").alias("st")))
-    for _ in range(max_rounds):
+    decided = []
+    left = state.count()
+    while left:
         und = state.filter(c("st") == "U")
         ov_acc = _earliest_before(und, state.filter(c("st") == "A")).select("request_id", F.lit(True).alias("ov_acc"))
         ov_live = _earliest_before(und, state.filter(c("st") != "R")).select("request_id", F.lit(True).alias("ov_live"))
@@ -209,10 +213,18 @@ def ordered(requests: DataFrame, sessions: DataFrame, registrations: DataFrame,
         rej = F.coalesce(c("ov_acc"), F.lit(False)) | F.coalesce(c("acc_ord") < c("_ord"), F.lit(False))
         blocked = F.coalesce(c("ov_live"), F.lit(False)) | F.coalesce(c("live_ord") < c("_ord"), F.lit(False))
         nxt = j.select(*cols, F.when(c("st") != "U", c("st")).when(rej, "R").when(~blocked, "A").otherwise("U").alias("st"))
-        state = cut_lineage(nxt)
-        if state.filter(c("st") == "U").limit(1).count() == 0:
-            break
-
+        nxt = cut_lineage(nxt)
+        undecided = nxt.filter(c("st") == "U")
+        now = undecided.count()
+        if now >= left:
+            raise RuntimeError(f"{now} requests can't be decided")
+        left = now
+        open_users = undecided.select("user_id").distinct()
+        decided.append(nxt.join(open_users, "user_id", "left_anti"))
+        state = cut_lineage(nxt.join(open_users, "user_id", "left_semi")) if left else state.limit(0)
+
+    for part in decided:
+        state = state.unionByName(part)
     acc = state.filter(c("st") == "A")
     first_acc_ov = _earliest_before(p13, acc, with_name=True).select("request_id", F.col("m").alias("_ov"))
     acc_same = acc.groupBy("user_id", "event_id").agg(F.min("_ord").alias("_acc_ord"))

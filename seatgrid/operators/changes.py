@@ -19,6 +19,7 @@ from seatgrid.operators.ranking import ordered_positions
 # Statuses and messages.
 MSG_REQUIRED = "Name and email are required"
 MSG_EMAIL_TAKEN = "Email already registered"
+MSG_EMAIL_EXISTS = "Email already exists"  # what the application's own check says
 MSG_USER_OK = "User registered successfully"
 MSG_CANCEL_OK = "Registration cancelled and refund processed"
 MSG_CANCEL_MISSING = "Registration not found or already cancelled"
@@ -43,7 +44,7 @@ def assign_ids(df: DataFrame, order: list, start_after: int, id_col: str) -> Dat
     return pos.select(*df.columns, (F.lit(start_after) + F.col("_pos")).cast("bigint").alias(id_col))
 
 
-def ingest_users(users: DataFrame, signups: DataFrame) -> DataFrame:
+def ingest_users(users: DataFrame, signups: DataFrame, taken_message: str = MSG_EMAIL_TAKEN) -> DataFrame:
     """Register users: required fields, then unique email (existing users and earlier requests).
 
     The first valid request per new email wins; winners get dense ids after max(user_id).
@@ -59,7 +60,7 @@ def ingest_users(users: DataFrame, signups: DataFrame) -> DataFrame:
     decided = d.select(
         "request_id", "full_name", "email",
         F.when(win, "SUCCESS").otherwise("FAILED").alias("status"),
-        F.when(~valid, MSG_REQUIRED).when(~win, MSG_EMAIL_TAKEN).otherwise(MSG_USER_OK).alias("message"))
+        F.when(~valid, MSG_REQUIRED).when(~win, taken_message).otherwise(MSG_USER_OK).alias("message"))
     winners = decided.filter(F.col("status") == "SUCCESS")
     ids = assign_ids(winners.select("request_id"), [F.col("request_id").asc()],
                      current_max(users, "user_id"), "user_id")
@@ -88,9 +89,8 @@ def ingest_sessions(incoming: DataFrame, existing: DataFrame | None = None,
 
 
 def cart_remove(cart: DataFrame, removals: DataFrame) -> DataFrame:
-    """Cart rows left after removing every (user, session) named by a removal request."""
-    r = removals.select("user_id", "event_id").distinct()
-    return cart.join(r, ["user_id", "event_id"], "left_anti")
+    """Cart rows left after removing every cart id named by a removal request (unknown and null ids remove nothing)."""
+    return cart.join(removals.select("cart_id"), "cart_id", "left_anti")
 
 
 def cancel_registrations(registrations: DataFrame, cancels: DataFrame) -> DataFrame:
@@ -162,23 +162,27 @@ def seat_counts(sessions: DataFrame, inserted: DataFrame) -> DataFrame:
     return j.select("event_id", "total_seats", F.coalesce(F.col("_n"), F.lit(0)).alias("booked_seats"))
 
 
+def _wants_seat():
+    return F.coalesce((F.col("payment_status") == "COMPLETED") & (F.coalesce("registration_status", F.lit("")) != "WAITLIST"), F.lit(False))
+
+
 def waitlist_assign(sessions: DataFrame, inserted: DataFrame) -> DataFrame:
     """Arrival-order inserts into empty sessions: a row arriving when the paid, seated rows
     before it already fill the session becomes WAITLIST; a waitlisted row takes no seat.
 
-    Once a session is full it stays full, so "full" is: COMPLETED rows before >= seats.
-    The running count is range-partitioned per session (a hot session spans many tasks).
+    Rows that arrive with status WAITLIST take no seat either. Once a session is full it stays
+    full, so "full" is: seat-taking rows before >= seats. The running count is range-partitioned per session (a hot session spans many tasks).
     """
     r = inserted.select("reg_id", "user_id", "event_id", "registration_date", "payment_status",
                         "registration_status")
     pos = ordered_positions(r, [F.col("registration_date").asc_nulls_first(), F.col("reg_id").asc()],
-                            keys=["event_id"], weight=(F.col("payment_status") == "COMPLETED").cast("int"))
+                            keys=["event_id"], weight=_wants_seat().cast("int"))
     j = pos.join(sessions.select("event_id", "total_seats"), "event_id", "left")
     full = F.coalesce(F.col("_before") >= F.col("total_seats"), F.lit(False))
     return j.select(
         "reg_id", "user_id", "event_id",
         F.when(full, "WAITLIST").otherwise(F.col("registration_status")).alias("registration_status"),
-        ((F.col("payment_status") == "COMPLETED") & ~full).alias("takes_seat"))
+        (_wants_seat() & ~full).alias("takes_seat"))
 
 
 def cart_dedupe(cart: DataFrame, adds: DataFrame) -> DataFrame:
@@ -195,17 +199,33 @@ def cart_dedupe(cart: DataFrame, adds: DataFrame) -> DataFrame:
                     F.when(ok, F.lit(None)).otherwise(F.lit(MSG_CART_DUP)).alias("message"))
 
 
-def apply_defaults(inserts: DataFrame, as_of: str | _dt.date) -> DataFrame:
-    """Column defaults on insert: date = as_of, payment PENDING, status CONFIRMED."""
-    def opt(c, t):
-        return F.col(c) if c in inserts.columns else F.lit(None).cast(t)
-    return inserts.select(
-        "reg_id", "user_id", "event_id",
-        F.coalesce(opt("registration_date", "date"), F.lit(str(as_of)).cast("date")).alias("registration_date"),
-        F.coalesce(opt("payment_status", "string"), F.lit("PENDING")).alias("payment_status"),
-        F.coalesce(opt("registration_status", "string"), F.lit("CONFIRMED")).alias("registration_status"),
-        opt("payment_method", "string").alias("payment_method"),
-        opt("amount_paid", "decimal(10,2)").alias("amount_paid"))
+# Column, type and default of each table's insert (a column without default is null; today: the insert's date).
+DEFAULTS = {
+    "users": [("user_id", "bigint", None), ("full_name", "string", None), ("email", "string", None), ("created_date", "date", "today"),
+              ("user_type", "string", "USER")],
+    "sessions": [("event_id", "bigint", None), ("event_name", "string", None), ("event_date", "date", None), ("start_time", "string", None),
+                 ("end_time", "string", None), ("total_seats", "int", None), ("booked_seats", "int", 0),
+                 ("ticket_price", "decimal(10,2)", None), ("event_status", "string", "ACTIVE"), ("created_date", "date", "today")],
+    "registrations": [("reg_id", None, None), ("user_id", "bigint", None), ("event_id", "bigint", None),
+                      ("registration_date", "date", "today"), ("payment_status", "string", "PENDING"),
+                      ("registration_status", "string", "CONFIRMED"), ("payment_method", "string", None),
+                      ("amount_paid", "decimal(10,2)", None)],
+    "cart": [("cart_id", "bigint", None), ("user_id", "bigint", None), ("event_id", "bigint", None), ("added_date", "date", "today")],
+    "audit": [("audit_id", "bigint", None), ("user_id", "bigint", None), ("event_id", "bigint", None), ("action", "string", None),
+              ("action_date", "date", "today"), ("old_status", "string", None), ("new_status", "string", None),
+              ("performed_by", "string", None)],
+}
+
+
+def apply_defaults(inserts: DataFrame, as_of: str | _dt.date, table: str = "registrations", **other) -> DataFrame:
+    """An insert's rows with the table's defaults for the columns it leaves out; a column that is there keeps
+    its values, nulls too. ``other`` replaces defaults (``payment_status="COMPLETED"`` for the PostgreSQL variant)."""
+    def value(c, t, default):
+        if c in inserts.columns:
+            return F.col(c)
+        default = other.get(c, default)
+        return F.lit(str(as_of) if default == "today" else default).cast(t or "bigint").alias(c)
+    return inserts.select(*[value(*d) for d in DEFAULTS[table]])
 
 
 def auto_cancel(sessions: DataFrame, as_of: str | _dt.date, lookahead_days: int = 0) -> DataFrame:

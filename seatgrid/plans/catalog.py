@@ -202,7 +202,7 @@ def _user_dashboard_profile(d: Domain):
 
 
 @register("user_dashboard_registrations", f"""
-SELECT r.reg_id AS registration_id, r.user_id, e.event_name, CAST(e.event_date AS VARCHAR) AS event_date,
+SELECT CAST(r.reg_id AS VARCHAR) AS registration_id, r.user_id, e.event_name, CAST(e.event_date AS VARCHAR) AS event_date,
        e.start_time, e.end_time, CAST(r.registration_date AS VARCHAR) AS registration_date, r.payment_status,
        CAST(e.ticket_price AS DOUBLE) AS price, {pct('e.booked_seats', 'e.total_seats')} AS fill_percentage
 FROM d_regs r JOIN d_sessions e ON r.event_id = e.event_id
@@ -213,7 +213,7 @@ def _user_dashboard_registrations(d: Domain):
 
 
 @register("registrations_report", """
-SELECT r.reg_id, u.full_name, e.event_name, CAST(r.registration_date AS VARCHAR) AS registration_date,
+SELECT CAST(r.reg_id AS VARCHAR) AS reg_id, u.full_name, e.event_name, CAST(r.registration_date AS VARCHAR) AS registration_date,
        CAST(r.amount_paid AS DOUBLE) AS amount_paid,
        row_number() OVER (ORDER BY r.registration_date DESC NULLS FIRST, r.reg_id) AS row_num,
        count(*) OVER () AS total_registrations
@@ -331,13 +331,6 @@ def _total_revenue_between(d: Domain):
     return L.total_revenue(d.registrations, REVENUE_FROM, REVENUE_TO)
 
 
-@register("total_revenue_one_bound", """
-SELECT CAST(coalesce(sum(amount_paid), 0) AS DOUBLE) AS total_revenue FROM d_regs
-WHERE payment_status = 'COMPLETED' AND registration_date BETWEEN DATE '1996-01-01' AND CAST(NULL AS DATE)""")
-def _total_revenue_one_bound(d: Domain):
-    return L.total_revenue(d.registrations, REVENUE_FROM, None)
-
-
 # ---------------------------------------------------------------- cart admission
 
 FACTS_SQL = """
@@ -505,7 +498,7 @@ def _overbooking_violations(d: Domain):
 # ---------------------------------------------------------------- bulk state changes
 
 
-@register("ingest_users", """
+INGEST_USERS_SQL = """
 , s AS (SELECT q.*, EXISTS (SELECT 1 FROM d_users u WHERE u.email = q.email) AS taken,
                NOT (q.full_name IS NULL OR q.full_name = '' OR q.email IS NULL OR q.email = '') AS valid
         FROM d_user_signups q),
@@ -517,24 +510,39 @@ SELECT request_id, full_name, email, CASE WHEN win THEN 'SUCCESS' ELSE 'FAILED'
             ELSE 'User registered successfully' END AS message,
        CASE WHEN win THEN (SELECT max(user_id) FROM d_users) + row_number() OVER (PARTITION BY win ORDER BY request_id)
        END AS user_id
-FROM w""")
+FROM w"""
+
+
+@register("ingest_users", INGEST_USERS_SQL)
 def _ingest_users(d: Domain):
     return C.ingest_users(d.users, d.user_signups)
 
 
+@register("ingest_users_app", INGEST_USERS_SQL.replace("Email already registered", "Email already exists"))
+def _ingest_users_app(d: Domain):
+    """The application's wording of the duplicate email."""
+    return C.ingest_users(d.users, d.user_signups, C.MSG_EMAIL_EXISTS)
+
+
 @register("ingest_sessions", """
-SELECT event_id, event_name, CAST(event_date AS VARCHAR) AS event_date, start_time,
-       CASE WHEN event_name IS NULL OR event_date IS NULL OR start_time IS NULL
-              OR event_id = min(event_id) OVER (PARTITION BY event_name, event_date, start_time)
-            THEN 'INSERTED' ELSE 'IGNORED' END AS status
-FROM d_base""")
+, old AS (SELECT * FROM d_base WHERE event_status <> 'ACTIVE')
+SELECT b.event_id, b.event_name, CAST(b.event_date AS VARCHAR) AS event_date, b.start_time,
+       CASE WHEN b.event_name IS NULL OR b.event_date IS NULL OR b.start_time IS NULL THEN 'INSERTED'
+            WHEN EXISTS (SELECT 1 FROM old o WHERE o.event_name = b.event_name AND o.event_date = b.event_date
+                           AND o.start_time = b.start_time) THEN 'IGNORED'
+            WHEN EXISTS (SELECT 1 FROM d_base x WHERE x.event_name = b.event_name AND x.event_date = b.event_date
+                           AND x.start_time = b.start_time AND x.event_id < b.event_id) THEN 'IGNORED'
+            ELSE 'INSERTED' END AS status
+FROM d_base b""")
 def _ingest_sessions(d: Domain):
-    return C.ingest_sessions(d.base_sessions)
+    """All sessions arrive again; those that aren't active are there already."""
+    from pyspark.sql import functions as F
+    return C.ingest_sessions(d.base_sessions, d.base_sessions.filter(F.col("event_status") != "ACTIVE"))
 
 
 @register("cart_remove", """
 SELECT c.cart_id, c.user_id, c.event_id, CAST(c.added_date AS VARCHAR) AS added_date FROM d_cart c
-WHERE NOT EXISTS (SELECT 1 FROM d_removals r WHERE r.user_id = c.user_id AND r.event_id = c.event_id)""")
+WHERE c.cart_id NOT IN (SELECT r.cart_id FROM d_removals r WHERE r.cart_id IS NOT NULL)""")
 def _cart_remove(d: Domain):
     return C.cart_remove(d.cart, d.removals)
 
@@ -549,7 +557,7 @@ CANCEL_SQL = f"""
 
 
 @register("cancel_registrations", CANCEL_SQL + f"""
-SELECT request_id, reg_id, user_id, CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+SELECT request_id, CAST(reg_id AS VARCHAR) AS reg_id, user_id, CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILED' END AS status,
        CASE WHEN ok THEN '{C.MSG_CANCEL_OK}' ELSE '{C.MSG_CANCEL_MISSING}' END AS message
 FROM cx""")
 def _cancel_registrations(d: Domain):
@@ -592,14 +600,15 @@ def _seat_counts(d: Domain):
 
 
 @register("waitlist_assign", """
-, b AS (SELECT *, coalesce(sum(CASE WHEN payment_status = 'COMPLETED' THEN 1 ELSE 0 END) OVER (
+, b AS (SELECT *, coalesce(sum(CASE WHEN payment_status = 'COMPLETED' AND registration_status <> 'WAITLIST' THEN 1 ELSE 0 END) OVER (
           PARTITION BY event_id ORDER BY registration_date NULLS FIRST, reg_id
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_paid
         FROM d_regs)
-SELECT b.reg_id, b.user_id, b.event_id,
+SELECT CAST(b.reg_id AS VARCHAR) AS reg_id, b.user_id, b.event_id,
        CASE WHEN coalesce(b.before_paid >= s.total_seats, false) THEN 'WAITLIST' ELSE b.registration_status END
          AS registration_status,
-       b.payment_status = 'COMPLETED' AND NOT coalesce(b.before_paid >= s.total_seats, false) AS takes_seat
+       b.payment_status = 'COMPLETED' AND b.registration_status <> 'WAITLIST'
+         AND NOT coalesce(b.before_paid >= s.total_seats, false) AS takes_seat
 FROM b LEFT JOIN d_base s ON b.event_id = s.event_id""")
 def _waitlist_assign(d: Domain):
     return C.waitlist_assign(d.base_sessions, d.registrations)
@@ -633,14 +642,38 @@ def _assign_ids(d: Domain):
 
 
 @register("apply_defaults", f"""
-SELECT checkout_id AS reg_id, user_id, event_id, '{AS_OF}' AS registration_date, 'PENDING' AS payment_status,
-       'CONFIRMED' AS registration_status, CAST(NULL AS VARCHAR) AS payment_method, CAST(NULL AS DOUBLE) AS amount_paid
+SELECT checkout_id AS reg_id, user_id, event_id, '{AS_OF}' AS registration_date,
+       CASE WHEN payment_ok THEN 'COMPLETED' END AS payment_status, 'CONFIRMED' AS registration_status,
+       payment_method, CAST(NULL AS DOUBLE) AS amount_paid
 FROM d_checkouts""")
 def _apply_defaults(d: Domain):
-    ins = d.checkouts.select("checkout_id", "user_id", "event_id").withColumnRenamed("checkout_id", "reg_id")
+    """Checkouts as inserts that name a payment status, null where payment fails: a null that is given stays."""
+    from pyspark.sql import functions as F
+    ins = d.checkouts.select(F.col("checkout_id").alias("reg_id"), "user_id", "event_id", "payment_method",
+                             F.when(F.col("payment_ok"), "COMPLETED").alias("payment_status"))
     return C.apply_defaults(ins, AS_OF)
 
 
+@register("apply_defaults_tables", f"""
+SELECT 'users' AS table_name, user_id AS id, '{AS_OF}' AS insert_date, 'USER' AS status, CAST(NULL AS INTEGER) AS booked FROM d_users
+UNION ALL SELECT 'sessions', event_id, '{AS_OF}', 'ACTIVE', 0 FROM d_base
+UNION ALL SELECT 'cart', cart_id, '{AS_OF}', CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER) FROM d_cart
+UNION ALL SELECT 'registrations_pg', checkout_id, '{AS_OF}', 'COMPLETED', CAST(NULL AS INTEGER) FROM d_checkouts""")
+def _apply_defaults_tables(d: Domain):
+    """Inserts that leave every defaulted column out, for each table and for the PostgreSQL payment default."""
+    from pyspark.sql import functions as F
+    u = C.apply_defaults(d.users.select("user_id", "full_name", "email"), AS_OF, "users")
+    s = C.apply_defaults(d.base_sessions.select("event_id", "event_name", "total_seats"), AS_OF, "sessions")
+    c = C.apply_defaults(d.cart.select("cart_id", "user_id", "event_id"), AS_OF, "cart")
+    p = C.apply_defaults(d.checkouts.select(F.col("checkout_id").alias("reg_id"), "user_id"), AS_OF, payment_status="COMPLETED")
+    none = F.lit(None).cast("int").alias("booked")
+    return (u.select(F.lit("users").alias("table_name"), F.col("user_id").alias("id"), F.col("created_date").alias("insert_date"),
+                     F.col("user_type").alias("status"), none)
+            .unionAll(s.select(F.lit("sessions"), "event_id", "created_date", "event_status", "booked_seats"))
+            .unionAll(c.select(F.lit("cart"), "cart_id", "added_date", F.lit(None).cast("string"), none))
+            .unionAll(p.select(F.lit("registrations_pg"), "reg_id", "registration_date", "payment_status", none)))
+
+
 @register("auto_cancel", f"""
 SELECT event_id, event_status AS old_status,
        CASE WHEN coalesce(event_date > DATE '{AS_OF}' AND event_date <= DATE '{AS_OF}' + {LOOKAHEAD_DAYS}
@@ -654,7 +687,7 @@ def _auto_cancel(d: Domain):
 
 
 @register("cascade_delete", """
-SELECT reg_id, user_id, event_id FROM d_regs r
+SELECT CAST(reg_id AS VARCHAR) AS reg_id, user_id, event_id FROM d_regs r
 WHERE NOT EXISTS (SELECT 1 FROM d_base s WHERE s.event_id = r.event_id AND s.event_status = 'CANCELLED')""")
 def _cascade_delete(d: Domain):
     from pyspark.sql import functions as F

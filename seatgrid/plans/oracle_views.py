@@ -15,7 +15,7 @@ d_users AS (
   FROM customer),
 d_base AS (
   SELECT p_partkey AS event_id, p_name AS event_name,
-         CAST(DATE '2024-01-01' + CAST(p_partkey % 30 AS INTEGER) AS DATE) AS event_date,
+         CAST(DATE '2024-01-01' + CAST(p_partkey // 64 AS INTEGER) AS DATE) AS event_date,
          lpad(CAST(8 + p_size % 10 AS VARCHAR), 2, '0') || ':00' AS start_time,
          lpad(CAST(9 + p_size % 10 + p_partkey % 3 AS VARCHAR), 2, '0') || ':30' AS end_time,
          CAST(10 + p_size AS INTEGER) AS total_seats,
@@ -23,7 +23,7 @@ d_base AS (
          CASE p_type WHEN 'PROMO' THEN 'CANCELLED' WHEN 'SMALL' THEN 'COMPLETED' ELSE 'ACTIVE' END AS event_status
   FROM part),
 d_regs AS (
-  SELECT o_custkey * 1000000 + l_partkey AS reg_id, o_custkey AS user_id, l_partkey AS event_id,
+  SELECT CAST(o_custkey AS HUGEINT) * 10000000000000000000 + l_partkey AS reg_id, o_custkey AS user_id, l_partkey AS event_id,
          CAST(o_orderdate AS DATE) AS registration_date,
          CASE WHEN l_returnflag = 'R' THEN 'REFUNDED' WHEN o_orderstatus = 'P' THEN 'PENDING'
               WHEN o_orderstatus = 'O' AND l_returnflag = 'A' THEN 'FAILED' ELSE 'COMPLETED' END AS payment_status,
@@ -57,15 +57,20 @@ d_checkouts AS (
          value >= 1 AS payment_ok, k AS event_id
   FROM d_clicks WHERE event_type = 'purchase'),
 d_cancellations AS (
-  SELECT event_id AS request_id, user_id, user_id * 1000000 + k AS reg_id, ts FROM d_clicks WHERE event_type = 'error'),
+  SELECT event_id AS request_id, user_id, CAST(user_id AS HUGEINT) * 10000000000000000000 + k AS reg_id, ts
+  FROM d_clicks WHERE event_type = 'error'),
 d_removals AS (
-  SELECT event_id AS request_id, user_id, k AS event_id, ts FROM d_clicks WHERE event_type = 'view'),
+  SELECT v.event_id AS request_id, v.user_id, v.k AS event_id, v.ts,
+         (SELECT c.cart_id FROM d_cart c WHERE c.user_id = v.user_id AND c.event_id = v.k) AS cart_id
+  FROM d_clicks v WHERE v.event_type = 'view'),
 d_user_signups AS (
-  SELECT s_suppkey AS request_id, s_name AS full_name,
+  SELECT 2 * s_suppkey AS request_id, s_name AS full_name,
          concat(lower(replace(s_name, '#', '.')), '@example.com') AS email
   FROM supplier
   UNION ALL
-  SELECT c.event_id + 1000000000 AS request_id, u.full_name, u.email
+  SELECT 2 * c.event_id + 1 AS request_id,
+         CASE c.event_id % 7 WHEN 1 THEN '' WHEN 2 THEN NULL ELSE u.full_name END AS full_name,
+         CASE c.event_id % 7 WHEN 3 THEN NULL WHEN 4 THEN '' WHEN 5 THEN 'shared.' || u.email ELSE u.email END AS email
   FROM d_clicks c JOIN d_users u ON c.user_id = u.user_id WHERE c.event_type = 'signup')
 """
 

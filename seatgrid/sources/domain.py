@@ -12,35 +12,21 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seatgrid.functions.rules import pair_key
 from seatgrid.session import cut_lineage
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-# Tables that grow with the data; their scans must not be narrower than the cluster.
-FACT_TABLES = {"lineitem", "orders", "events"}
 
-# Fixed values of the derivation: the base date of the session calendar and the
-# number of calendar days sessions are spread over.
+# Fixed values of the derivation: the base date of the session calendar and the number of sessions
+# on each date (the calendar grows with the sessions, so a date stays as full at any size).
 SESSION_BASE_DATE = "2024-01-01"
-SESSION_DAYS = 30
+SESSIONS_A_DAY = 64
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def widen_scan(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the default parallelism.
-
-    A file set written as one large row group is read by one task, and everything up
-    to the next shuffle would run single-threaded. Many-file inputs (the normal case
-    at scale) already have enough splits and are returned unchanged, without a shuffle.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
 def _hour_text(hour: Column, minutes: str) -> Column:
     return F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(minutes))
 
@@ -71,10 +57,7 @@ class Domain:
         return StoredDomain(self.spark, self.sf_dir, target)
 
     def raw(self, name: str) -> DataFrame:
-        df = read_table(self.spark, self.sf_dir, name)
-        if name in FACT_TABLES:
-            df = widen_scan(df)
-        return df
+        return read_table(self.spark, self.sf_dir, name)
 
     @cached_property
     def users(self) -> DataFrame:
@@ -93,7 +76,7 @@ class Domain:
         return p.select(
             F.col("p_partkey").alias("event_id"),
             F.col("p_name").alias("event_name"),
-            F.date_add(F.lit(SESSION_BASE_DATE).cast("date"), (F.col("p_partkey") % SESSION_DAYS).cast("int")).alias("event_date"),
+            F.date_add(F.lit(SESSION_BASE_DATE).cast("date"), F.expr(f"p_partkey div {SESSIONS_A_DAY}").cast("int")).alias("event_date"),
             _hour_text(8 + size, ":00").alias("start_time"),
             _hour_text(9 + size + F.col("p_partkey") % 3, ":30").alias("end_time"),
             (10 + F.col("p_size")).cast("int").alias("total_seats"),
@@ -122,7 +105,7 @@ class Domain:
                 "l_shipdate", "l_suppkey", "l_returnflag", "l_linestatus", "o_orderstatus")).alias("f"))
         rf, ls, os_ = F.col("f.l_returnflag"), F.col("f.l_linestatus"), F.col("f.o_orderstatus")
         regs = first.select(
-            (F.col("o_custkey") * 1000000 + F.col("l_partkey")).alias("reg_id"),
+            pair_key(F.col("o_custkey"), F.col("l_partkey")).alias("reg_id"),
             F.col("o_custkey").alias("user_id"),
             F.col("l_partkey").alias("event_id"),
             F.col("f.o_orderdate").cast("date").alias("registration_date"),
@@ -198,29 +181,36 @@ class Domain:
         c = self._clicks("error")
         return c.select(
             F.col("event_id").alias("request_id"), "user_id",
-            (F.col("user_id") * 1000000 + F.col("k")).alias("reg_id"), "ts")
+            pair_key(F.col("user_id"), F.col("k")).alias("reg_id"), "ts")
 
     @cached_property
     def removals(self) -> DataFrame:
-        """Cart removals: every ``view`` row removes the cart row of (user, session k)."""
-        v = self._clicks("view")
-        return v.select(F.col("event_id").alias("request_id"), "user_id", F.col("k").alias("event_id"), "ts")
+        """Cart removals: every ``view`` row names the cart row (by its id) that its user's click on
+        session k made, or none (null) when there is no such row."""
+        v = self._clicks("view").select(F.col("event_id").alias("request_id"), "user_id", F.col("k").alias("event_id"), "ts")
+        return v.join(self.cart.select("cart_id", "user_id", "event_id"), ["user_id", "event_id"], "left") \
+            .select("request_id", "user_id", "event_id", "cart_id", "ts")
 
     @cached_property
     def user_signups(self) -> DataFrame:
         """New-user registration requests in arrival order ``seq``.
 
-        Supplier rows sign up first (new people); then every ``signup`` click re-sends
-        the clicking customer's name and email, which exercises the duplicate-email rule.
+        Supplier rows sign up new people under even numbers; under odd numbers every ``signup`` click re-sends
+        the clicking customer's name and email (the duplicate-email rule), some with a blank name or email
+        (the required-fields rule) and some with a fresh address that several clicks share.
         """
         s = self.raw("supplier").select(
-            F.col("s_suppkey").alias("seq"),
+            (2 * F.col("s_suppkey")).alias("seq"),
             F.col("s_name").alias("full_name"),
             F.concat(F.lower(F.replace(F.col("s_name"), F.lit("#"), F.lit("."))), F.lit("@example.com")).alias("email"),
         )
         clicks = self._clicks("signup").select("event_id", "user_id")
+        kind = F.col("event_id") % 7
         again = clicks.join(self.users, "user_id").select(
-            (F.col("event_id") + 1000000000).alias("seq"), "full_name", "email")
+            (2 * F.col("event_id") + 1).alias("seq"),
+            F.when(kind == 1, F.lit("")).when(kind == 2, F.lit(None)).otherwise(F.col("full_name")).alias("full_name"),
+            F.when(kind == 3, F.lit(None)).when(kind == 4, F.lit(""))
+            .when(kind == 5, F.concat(F.lit("shared."), F.col("email"))).otherwise(F.col("email")).alias("email"))
         return s.unionByName(again).withColumnRenamed("seq", "request_id")
 
 
