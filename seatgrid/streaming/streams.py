@@ -1,7 +1,7 @@
 """Row triggers re-aimed over a stream of registrations / cart clicks (Structured Streaming).
 
-* seat counter   -> streaming ``groupBy(event_id).count()`` (complete mode, state = one
-                    row per session)
+* seat counter   -> streaming ``groupBy(event_id).count()`` (update mode: a batch writes
+                    the sessions it changed, the newest row of a session counts)
 * audit log      -> stateless projection, appended per micro-batch
 * waitlist       -> ``foreachBatch``: rank within session in the batch + seats already
                     used (a versioned state table)
@@ -9,9 +9,12 @@
                     anti-joined with the keys already seen (versioned state table); or
                     ``dropDuplicatesWithinWatermark`` for the bounded-delay approximation
 
-Every micro-batch writes to a directory named by its batch id (overwrite), so a retried
-batch replaces its own output and never duplicates it. State is kept as append-only
-deltas keyed by batch id; a batch reads the deltas of the batches before it.
+A run takes a base path: its checkpoint, output and state live there, so a run that is started
+again over the same path goes on where the last one stopped. Without a path a run is on its own
+(a fresh path under the checkpoint directory). Every micro-batch writes to directories named
+by its batch id (overwrite), so a retried batch replaces its own output and never duplicates
+it. State is kept as deltas by batch id: a batch reads the newest compacted state before it
+and the deltas since, and every ``COMPACT``th batch writes the state whole.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from pyspark.sql import types as T
 from seatgrid.operators.ranking import ordered_positions
 from seatgrid.session import scratch_path
 from seatgrid.sources.domain import click_key
+from seatgrid.sources.snapshots import read_if_there
+
+COMPACT = 20
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -49,9 +55,8 @@ def registration_stream(clicks: DataFrame) -> DataFrame:
                     F.lit("CONFIRMED").alias("registration_status"))
 
 
-def _run(writer, spark: SparkSession, name: str) -> None:
-    ckpt = scratch_path(spark, f"{name}-checkpoint")
-    q = writer.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+def _run(writer, base: str) -> None:
+    q = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
@@ -59,29 +64,31 @@ def _run(writer, spark: SparkSession, name: str) -> None:
 
 def _read_batches(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
     """All batch directories under ``out`` (the batch-id partition column is dropped)."""
-    try:
-        df = spark.read.schema(schema).parquet(out)
-    except Exception:  # no batch written yet
+    df = read_if_there(spark, out, schema)
+    if df is None:  # no batch written yet
         return spark.createDataFrame([], schema)
     return df.select(*schema.fieldNames())
 
 
-def seat_counts(spark: SparkSession, regs: DataFrame) -> DataFrame:
+def seat_counts(spark: SparkSession, regs: DataFrame, base: str | None = None) -> DataFrame:
     """R1: paid registrations per session, maintained by a streaming aggregation."""
-    out = scratch_path(spark, "stream-seat-counts")
+    base = base or scratch_path(spark, "stream-seat-counts")
+    out = f"{base}/out"
     agg = regs.filter(F.col("payment_status") == "COMPLETED").groupBy("event_id").agg(
         F.count(F.lit(1)).alias("booked_seats"))
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(out)
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    _run(agg.writeStream.outputMode("complete").foreachBatch(sink), spark, "seat-counts")
-    return spark.read.parquet(out)
+    _run(agg.writeStream.outputMode("update").foreachBatch(sink), base)
+    rows = _read_batches(spark, out, T.StructType(agg.schema.fields + [T.StructField("batch", T.LongType())]))
+    return rows.groupBy("event_id").agg(F.max_by("booked_seats", "batch").alias("booked_seats"))
 
 
-def audit_log(spark: SparkSession, regs: DataFrame) -> DataFrame:
+def audit_log(spark: SparkSession, regs: DataFrame, base: str | None = None) -> DataFrame:
     """R2: one INSERT audit row per registration, appended per micro-batch."""
-    out = scratch_path(spark, "stream-audit")
+    base = base or scratch_path(spark, "stream-audit")
+    out = f"{base}/out"
     rows = regs.select(F.col("reg_id").alias("audit_id"), "user_id", "event_id", F.lit("INSERT").alias("action"),
                        F.col("ts").alias("action_time"), F.lit(None).cast("string").alias("old_status"),
                        F.col("payment_status").alias("new_status"))
@@ -89,24 +96,34 @@ def audit_log(spark: SparkSession, regs: DataFrame) -> DataFrame:
     def sink(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    _run(rows.writeStream.foreachBatch(sink), spark, "audit")
+    _run(rows.writeStream.foreachBatch(sink), base)
     return _read_batches(spark, out, rows.schema)
 
 
 def _prior_deltas(spark: SparkSession, state: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    """State as append-only deltas: the rows written by every batch before ``batch_id``.
+    """The state before ``batch_id``: the newest whole state (``whole/v=<id>``, written with every
+    COMPACTth batch) and the deltas (``delta/v=<id>``) of the batches after it."""
+    last = batch_id - 1 - (batch_id - 1) % COMPACT  # the newest batch before this one that wrote the state whole
+    one = T.StructType(schema.fields + [T.StructField("v", T.LongType())])
+    parts = _read_batches(spark, f"{state}/delta", one).filter((F.col("v") > last) & (F.col("v") < batch_id))
+    if batch_id > 0:
+        parts = parts.unionByName(_read_batches(spark, f"{state}/whole", one).filter(F.col("v") == last))
+    return parts.select(*schema.fieldNames())
+
 
-    Each batch writes only its own delta under ``v=<batch id>`` (overwrite on retry),
-    so no batch rewrites the whole state."""
-    s = _read_batches(spark, state, T.StructType(schema.fields + [T.StructField("v", T.LongType())]))
-    return s.filter(F.col("v") < batch_id).select(*schema.fieldNames())
+def _write_state(state: str, batch_id: int, delta: DataFrame, whole: DataFrame) -> None:
+    """``whole``: the state after this batch, used only by the batches that compact."""
+    if batch_id % COMPACT == 0:
+        whole.write.mode("overwrite").parquet(f"{state}/whole/v={batch_id}")
+    else:
+        delta.write.mode("overwrite").parquet(f"{state}/delta/v={batch_id}")
 
 
-def waitlist(spark: SparkSession, regs: DataFrame, sessions: DataFrame) -> DataFrame:
+def waitlist(spark: SparkSession, regs: DataFrame, sessions: DataFrame, base: str | None = None) -> DataFrame:
     """R3: arrival-order seat assignment across micro-batches. A row arriving when the
     session's seated paid rows fill it becomes WAITLIST and takes no seat."""
-    out = scratch_path(spark, "stream-waitlist")
-    state = scratch_path(spark, "stream-waitlist-state")
+    base = base or scratch_path(spark, "stream-waitlist")
+    out, state = f"{base}/out", f"{base}/state"
     seats = sessions.select("event_id", "total_seats")
     st_schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("used", T.LongType())])
 
@@ -123,20 +140,20 @@ def waitlist(spark: SparkSession, regs: DataFrame, sessions: DataFrame) -> DataF
         dec.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         written = spark.read.parquet(f"{out}/batch={batch_id}")
         add = written.filter("takes_seat").groupBy("event_id").agg(F.count(F.lit(1)).alias("used"))
-        add.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        _write_state(state, batch_id, add, used.unionByName(add).groupBy("event_id").agg(F.sum("used").alias("used")))
 
-    _run(regs.writeStream.foreachBatch(sink), spark, "waitlist")
+    _run(regs.writeStream.foreachBatch(sink), base)
     sch = T.StructType([T.StructField("reg_id", T.LongType()), T.StructField("user_id", T.LongType()),
                         T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
                         T.StructField("registration_status", T.StringType()), T.StructField("takes_seat", T.BooleanType())])
     return _read_batches(spark, out, sch)
 
 
-def cart_dedupe(spark: SparkSession, clicks: DataFrame) -> DataFrame:
+def cart_dedupe(spark: SparkSession, clicks: DataFrame, base: str | None = None) -> DataFrame:
     """R4 (exact): the first click per (user, session) across all micro-batches becomes the
     cart row; later clicks on the same pair are duplicates."""
-    out = scratch_path(spark, "stream-cart")
-    state = scratch_path(spark, "stream-cart-state")
+    base = base or scratch_path(spark, "stream-cart")
+    out, state = f"{base}/out", f"{base}/state"
     c = clicks.filter(F.col("event_type") == "click").select("event_id", "user_id", "k", "ts")
     st_schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("k", T.LongType())])
 
@@ -148,9 +165,9 @@ def cart_dedupe(spark: SparkSession, clicks: DataFrame) -> DataFrame:
                             F.col("f.ts").cast("date").alias("added_date"))
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         added = spark.read.parquet(f"{out}/batch={batch_id}").select("user_id", F.col("event_id").alias("k"))
-        added.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        _write_state(state, batch_id, added, seen.unionByName(added))
 
-    _run(c.writeStream.foreachBatch(sink), spark, "cart")
+    _run(c.writeStream.foreachBatch(sink), base)
     sch = T.StructType([T.StructField("cart_id", T.LongType()), T.StructField("user_id", T.LongType()),
                         T.StructField("event_id", T.LongType()), T.StructField("added_date", T.DateType())])
     return _read_batches(spark, out, sch)
