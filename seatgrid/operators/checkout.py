@@ -1,10 +1,10 @@
 """Checkout: a table of checkout requests in, decisions and new table state out.
 
-Within one user, the state a checkout sees changes only at that user's first
-successful checkout (the cart is emptied), so each decision is a closed form over
-"first successful checkout per user" (an aggregate). Across users, seats make
-checkouts compete: ``all_or_nothing`` decides them in time order with parallel
-rounds (see its docstring).
+Checkouts are decided as if run one by one in (ts, checkout_id) order. Within one user,
+what a checkout sees changes only at that user's first booking (the cart is emptied), and
+seats only ever run out, so a user's decisive checkout is the first one that passes the
+user's own guards: if its seats are gone, so they are for every later one. Across users
+the decisive checkouts compete for seats; ``race`` decides that in parallel rounds.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seatgrid.operators.lookups import INTERVAL
 from seatgrid.operators.overlap import overlap_pairs
-from seatgrid.operators.ranking import positions_from_tags, tag_ranges
+from seatgrid.operators.ranking import ordered_positions, positions_from_tags, tag_ranges
 from seatgrid.session import cut_lineage
 
 LIMIT = 3
@@ -30,6 +30,11 @@ MSG = {
 MSG_PAYMENT = "Payment failed. Please try again."
 MSG_EMPTY = "Cart is empty"
 MSG_JS_OK = "Payment successful! Registration completed."
+MSG_JS_LIMIT = "You can only register for maximum 3 events. You already have %d confirmed registrations and trying to add %d more."
+MSG_JS_CONFLICT, MSG_JS_WITH = "Time conflict: ", " conflicts with your confirmed event "
+MSG_JS_CART_CONFLICT, MSG_JS_AND = "Time conflict between cart items: ", " and "
+MSG_JS_FULL, MSG_JS_FULL_END = "Event ", " is fully booked"
+MSG_CAPACITY = "Cannot exceed total seat capacity"
 
 
 def _order(prefix: str = "") -> Column:
@@ -37,16 +42,11 @@ def _order(prefix: str = "") -> Column:
 
 
 def cart_facts(cart: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Per user: cart rows, joined items, total price, and whether an item has no seat left."""
-    s = sessions.select("event_id", "event_name", "ticket_price", "total_seats", "booked_seats")
-    per = cart.select("cart_id", "user_id", "event_id").join(s, "event_id", "left")
-    full = F.coalesce(F.col("booked_seats") + 1 > F.col("total_seats"), F.lit(False))
+    """Per user: cart rows, joined items and total price."""
+    s = sessions.select("event_id", "event_name", "ticket_price")
+    per = cart.select("user_id", "event_id").join(s, "event_id", "left")
     return per.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("cart_rows"),
-        F.count("event_name").alias("cart_items"),
-        F.sum("ticket_price").alias("cart_total"),
-        F.max(full).alias("blocked"),
-        F.min(F.when(F.col("booked_seats") >= F.col("total_seats"), F.struct("cart_id", "event_name"))).alias("first_full"))
+        F.count(F.lit(1)).alias("cart_rows"), F.count("event_name").alias("cart_items"), F.sum("ticket_price").alias("cart_total"))
 
 
 def _reg_count(registrations: DataFrame, variant: str) -> DataFrame:
@@ -57,10 +57,64 @@ def _reg_count(registrations: DataFrame, variant: str) -> DataFrame:
     return r.groupBy("user_id").agg(F.count(F.lit(1)).alias("reg_count"))
 
 
+def race(firsts: DataFrame, cart: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The competition for seats: firsts (user_id, checkout_id, ts), one decisive checkout per user, to
+    (checkout_id, won). A checkout takes a seat in every session of its cart or in none, in (ts, checkout_id) order.
+
+    Per item, the accepted and the live (accepted or undecided) checkouts before it in its session are
+    counted by range-partitioned running counts. A checkout loses once an item has no seat left after the
+    accepted ones before it, and wins once every item has one even after all live ones before it. The
+    earliest undecided checkout always decides; a round that decides nothing is an error. Rounds carry
+    only winners and undecided checkouts of sessions that still have an undecided one.
+    """
+    left = sessions.select("event_id", (F.col("total_seats") - F.coalesce(F.col("booked_seats"), F.lit(0))).alias("seats_left"))
+    items = firsts.join(cart.select("user_id", "event_id"), "user_id").join(left, "event_id")
+    order = [F.col("ts").asc_nulls_first(), F.col("checkout_id").asc()]
+    it = tag_ranges(items.select("checkout_id", "ts", "event_id", "seats_left", F.lit("U").alias("st")), order, ["event_id"])
+    decided, undecided = [], it.select("checkout_id").distinct().count()
+    while undecided:
+        pos = positions_from_tags(it, order, ["event_id"], {"_acc": (F.col("st") == "A").cast("int"), "_live": F.lit(1)})
+        votes = pos.filter(F.col("st") == "U").groupBy("checkout_id").agg(
+            F.max(F.coalesce(F.col("_before_acc") >= F.col("seats_left"), F.lit(False))).alias("lost"),
+            F.min(F.coalesce(F.col("_before_live") < F.col("seats_left"), F.lit(True))).alias("fits"))
+        votes = cut_lineage(votes.select("checkout_id", F.when(F.col("lost"), "R").when(F.col("fits"), "A").otherwise("U").alias("now")))
+        decided.append(votes.filter("now <> 'U'"))
+        still = votes.filter("now = 'U'").count()
+        if still >= undecided:
+            raise RuntimeError(f"{still} checkouts can't be decided")
+        undecided = still
+        if undecided:
+            nxt = it.join(votes, "checkout_id", "left").withColumn("st", F.coalesce("now", "st")).drop("now").filter("st <> 'R'")
+            open_sessions = nxt.filter("st = 'U'").select("event_id").distinct()
+            it = cut_lineage(nxt.join(open_sessions, "event_id", "left_semi").select(*it.columns))
+    won = firsts.select("checkout_id")
+    if not decided:
+        return won.withColumn("won", F.lit(True))
+    lost = decided[0]
+    for part in decided[1:]:
+        lost = lost.unionByName(part)
+    lost = lost.filter("now = 'R'").select("checkout_id", F.lit(False).alias("won"))
+    return won.join(lost, "checkout_id", "left").withColumn("won", F.coalesce("won", F.lit(True)))  # no item: nothing to lose
+
+
+def _decisive(base: DataFrame, passes: Column) -> DataFrame:
+    """Each user's first checkout that passes: user_id, ts, checkout_id."""
+    first = base.filter(passes).groupBy("user_id").agg(F.min(_order()).alias("f"))
+    return first.select("user_id", F.col("f.ts").alias("ts"), F.col("f.checkout_id").alias("checkout_id"))
+
+
+def _with_outcome(base: DataFrame, firsts: DataFrame, won: DataFrame) -> DataFrame:
+    """base with books (this checkout books the cart) and after (an earlier one of the user did)."""
+    f = firsts.join(won, "checkout_id").select("user_id", F.struct("ts", "checkout_id").alias("_first"), "won")
+    j = base.join(f, "user_id", "left")
+    hit = F.coalesce(F.col("won"), F.lit(False))
+    return j.withColumn("books", hit & F.coalesce(_order() == F.col("_first"), F.lit(False))) \
+        .withColumn("after", hit & F.coalesce(_order() > F.col("_first"), F.lit(False)))
+
+
 def decision(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, registrations: DataFrame,
              variant: str = "ora") -> DataFrame:
-    """Procedure-style checkout (``ora``, ``package`` or ``pg``), each checkout against the
-    snapshot plus the effect of the same user's earlier checkouts.
+    """Procedure-style checkout (``ora``, ``package`` or ``pg``), one decision per checkout.
 
     Order of guards: registrations + cart rows > 3; payment (``ora`` only); a session
     with no seat left aborts the whole checkout (ERROR, nothing changes). The first
@@ -72,27 +126,23 @@ def decision(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, registr
             .join(_reg_count(registrations, variant), "user_id", "left")
             .join(cart_facts(cart, sessions), "user_id", "left"))
     limit_fail = F.coalesce(F.col("reg_count"), F.lit(0)) + F.coalesce(F.col("cart_rows"), F.lit(0)) > LIMIT
-    blocked = F.coalesce(F.col("blocked"), F.lit(False))
-    # used twice below (first passing checkout per user, then every checkout): write it once
-    base = cut_lineage(base.withColumn("_pay", pay).withColumn("_lim", limit_fail).withColumn("_blk", blocked))
-    firsts = (base.filter(F.col("_pay") & ~F.col("_lim") & ~F.col("_blk")).groupBy("user_id")
-              .agg(F.min(_order()).alias("_first")))
-    j = base.join(firsts, "user_id", "left")
-    me = _order()
-    is_first = F.coalesce(me == F.col("_first"), F.lit(False))
-    after = F.coalesce(me > F.col("_first"), F.lit(False))
-    total = F.when(is_first, F.coalesce(F.col("cart_total"), F.lit(0).cast("decimal(20,2)"))) \
+    # used by the race and again for every checkout: write it once
+    base = cut_lineage(base.withColumn("_pay", pay).withColumn("_lim", limit_fail))
+    firsts = cut_lineage(_decisive(base, F.col("_pay") & ~F.col("_lim")))
+    j = _with_outcome(base, firsts, race(firsts, cart, sessions))
+    books, after = F.col("books"), F.col("after")
+    total = F.when(books, F.coalesce(F.col("cart_total"), F.lit(0).cast("decimal(20,2)"))) \
         .when(after & F.col("_pay"), F.lit(0).cast("decimal(20,2)"))
     status = (F.when(after, F.when(F.col("_pay"), "SUCCESS").otherwise("FAILED"))
               .when(F.col("_lim"), "FAILED").when(~F.col("_pay"), "FAILED")
-              .when(F.col("_blk"), "ERROR").otherwise("SUCCESS"))
+              .when(books, "SUCCESS").otherwise("ERROR"))
     ok_msg = F.concat(F.lit(m["ok"]), total.cast("decimal(18,2)").cast("string"))
     message = (F.when(after, F.when(F.col("_pay"), ok_msg).otherwise(MSG_PAYMENT))
                .when(F.col("_lim"), m["limit"]).when(~F.col("_pay"), MSG_PAYMENT)
-               .when(F.col("_blk"), m["error"]).otherwise(ok_msg))
+               .when(books, ok_msg).otherwise(m["error"]))
     return j.select("checkout_id", "user_id", status.alias("status"), message.alias("message"),
                     total.alias("total_amount"),
-                    F.when(is_first, F.coalesce(F.col("cart_items"), F.lit(0))).otherwise(F.lit(0)).alias("items"))
+                    F.when(books, F.coalesce(F.col("cart_items"), F.lit(0))).otherwise(F.lit(0)).alias("items"))
 
 
 def apply_registrations(decisions: DataFrame, checkouts: DataFrame, cart: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -107,9 +157,11 @@ def apply_registrations(decisions: DataFrame, checkouts: DataFrame, cart: DataFr
 
 
 def apply_seats(sessions: DataFrame, new_registrations: DataFrame) -> DataFrame:
-    """Seat counts after booking: booked + new registrations, per touched session."""
+    """Seat counts after booking: booked + new registrations, per touched session; an overbooked one is an error."""
     add = new_registrations.groupBy("event_id").agg(F.count(F.lit(1)).alias("added"))
     j = add.join(sessions.select("event_id", "total_seats", "booked_seats"), "event_id")
+    j = j.filter(F.when(F.col("booked_seats") + F.col("added") > F.col("total_seats"), F.raise_error(F.lit(MSG_CAPACITY)))
+                 .otherwise(F.lit(True)))
     return j.select("event_id", "total_seats", F.col("booked_seats").alias("booked_before"), "added",
                     (F.col("booked_seats") + F.col("added")).alias("booked_after"))
 
@@ -118,6 +170,8 @@ def apply_sessions(sessions: DataFrame, new_registrations: DataFrame) -> DataFra
     """The whole sessions table after booking (seat counts raised by the new registrations)."""
     add = new_registrations.groupBy("event_id").agg(F.count(F.lit(1)).alias("_add"))
     j = sessions.join(add, "event_id", "left")
+    j = j.filter(F.when(F.col("booked_seats") + F.col("_add") > F.col("total_seats"), F.raise_error(F.lit(MSG_CAPACITY)))
+                 .otherwise(F.lit(True)))
     return j.select(*[(F.col(c) + F.coalesce(F.col("_add"), F.lit(0))).cast("int").alias(c) if c == "booked_seats"
                       else F.col(c) for c in sessions.columns])
 
@@ -131,8 +185,8 @@ def apply_cart(cart: DataFrame, decisions: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- application-style validation
 
 def validate(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, registrations: DataFrame) -> DataFrame:
-    """Application checkout: empty cart, limit (confirmed + cart > 3), cart x confirmed
-    conflict, cart x cart conflict, a fully booked session, payment, then book.
+    """Application checkout, one decision per checkout: empty cart, limit (confirmed + cart > 3), cart x
+    confirmed conflict, cart x cart conflict, a session fully booked by then, payment, then book.
 
     Conflict messages name the first clashing pair in loop order (cart by cart_id,
     confirmed by reg_id). Each cart item is compared with distinct-interval summaries
@@ -142,11 +196,7 @@ def validate(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, registr
     items = cart.select("cart_id", "user_id", "event_id").join(s, "event_id")
     conf = registrations.filter(F.col("registration_status") == "CONFIRMED").select("reg_id", "user_id", "event_id").join(s, "event_id")
 
-    per_user = items.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n_cart"),
-        # JS: null seats compare as 0
-        F.min(F.when(F.coalesce(F.col("booked_seats"), F.lit(0)) >= F.col("total_seats"),
-                     F.struct("cart_id", "event_name"))).alias("first_full"))
+    per_user = items.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_cart"))
     n_conf = conf.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_conf"))
 
     # cart x confirmed: for each cart item the first overlapping confirmed registration, found
@@ -178,84 +228,48 @@ def validate(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, registr
     nc = F.coalesce(F.col("n_cart"), F.lit(0))
     nf = F.coalesce(F.col("n_conf"), F.lit(0))
     static = (F.when(nc == 0, F.lit(MSG_EMPTY))
-              .when(nf + nc > LIMIT, F.format_string(
-                  "You can only register for maximum 3 events. You already have %d confirmed registrations and "
-                  "trying to add %d more.", nf, nc))
-              .when(F.col("cc").isNotNull(), F.concat(F.lit("Time conflict: "), F.col("cc.l_event_name"),
-                                                       F.lit(" conflicts with your confirmed event "), F.col("cc.r_event_name")))
-              .when(F.col("kk").isNotNull(), F.concat(F.lit("Time conflict between cart items: "), F.col("kk.l_event_name"),
-                                                       F.lit(" and "), F.col("kk.r_event_name")))
-              .when(F.col("first_full").isNotNull(), F.concat(F.lit("Event "), F.col("first_full.event_name"),
-                                                             F.lit(" is fully booked"))))
+              .when(nf + nc > LIMIT, F.format_string(MSG_JS_LIMIT, nf, nc))
+              .when(F.col("cc").isNotNull(), F.concat(F.lit(MSG_JS_CONFLICT), F.col("cc.l_event_name"),
+                                                       F.lit(MSG_JS_WITH), F.col("cc.r_event_name")))
+              .when(F.col("kk").isNotNull(), F.concat(F.lit(MSG_JS_CART_CONFLICT), F.col("kk.l_event_name"),
+                                                       F.lit(MSG_JS_AND), F.col("kk.r_event_name"))))
     pay = F.coalesce(F.col("payment_ok"), F.lit(False))
-    # used twice below (first passing checkout per user, then every checkout): write it once
+    # used by the race, the seat check and again for every checkout: write it once
     base = cut_lineage(base.withColumn("_static", static).withColumn("_pay", pay))
-    firsts = base.filter(F.col("_static").isNull() & F.col("_pay")).groupBy("user_id").agg(F.min(_order()).alias("_first"))
-    j = base.join(firsts, "user_id", "left")
-    me = _order()
-    is_first = F.coalesce(me == F.col("_first"), F.lit(False))
-    after = F.coalesce(me > F.col("_first"), F.lit(False))
-    message = (F.when(after, F.lit(MSG_EMPTY)).when(F.col("_static").isNotNull(), F.col("_static"))
+    firsts = cut_lineage(_decisive(base, F.col("_static").isNull() & F.col("_pay")))
+    won = cut_lineage(race(firsts, cart, sessions))
+    # the first session without a seat at the time of each checkout that gets that far, paid or not
+    asks = base.filter(F.col("_static").isNull()).select("checkout_id", "user_id", "ts").join(won.filter("won"), "checkout_id", "left")
+    # JS: null seats compare as 0
+    seats = items.select("user_id", "cart_id", "event_id", "event_name",
+                         (F.col("total_seats") - F.coalesce(F.col("booked_seats"), F.lit(0))).alias("seats_left"))
+    asked = ordered_positions(asks.join(seats, "user_id"), [F.col("ts").asc_nulls_first(), F.col("checkout_id").asc(), F.col("cart_id").asc()],
+                              keys=["event_id"], weight=F.coalesce(F.col("won"), F.lit(False)).cast("int"))
+    full = asked.filter(F.coalesce(F.col("_before") >= F.col("seats_left"), F.lit(False))).groupBy("checkout_id") \
+        .agg(F.min(F.struct("cart_id", "event_name")).alias("first_full"))
+    j = _with_outcome(base, firsts, won).join(full, "checkout_id", "left")
+    message = (F.when(F.col("after"), F.lit(MSG_EMPTY)).when(F.col("_static").isNotNull(), F.col("_static"))
+               .when(F.col("first_full").isNotNull(), F.concat(F.lit(MSG_JS_FULL), F.col("first_full.event_name"), F.lit(MSG_JS_FULL_END)))
                .when(~F.col("_pay"), MSG_PAYMENT).otherwise(MSG_JS_OK))
-    return j.select("checkout_id", "user_id", F.when(is_first, "SUCCESS").otherwise("FAILED").alias("status"),
-                    message.alias("message"), F.when(is_first, nc).otherwise(F.lit(0)).alias("items"))
+    return j.select("checkout_id", "user_id", F.when(F.col("books"), "SUCCESS").otherwise("FAILED").alias("status"),
+                    message.alias("message"), F.when(F.col("books"), nc).otherwise(F.lit(0)).alias("items"))
 
 
 # ---------------------------------------------------------------- competing checkouts
 
 def all_or_nothing(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, registrations: DataFrame,
-                   max_rounds: int = 1000, limit: int | None = LIMIT) -> DataFrame:
-    """Competing all-or-nothing checkouts across users, decided as if run one by one in
-    (ts, checkout_id) order: a checkout books every cart item or none, and fails when
-    some item's session has no seat left after the earlier accepted checkouts.
-
-    Each user's decisive checkout is the first one passing the limit and payment
-    (``limit=None`` drops the registration limit and keeps only the seat race).
-    Parallel rounds: per item, count accepted and live (accepted or undecided)
-    checkouts before it in its session (range-partitioned running counts). A checkout
-    is rejected if an item already has accepted-before >= seats left, accepted if every
-    item has live-before < seats left, else it waits. The earliest undecided checkout
-    always decides, so rounds end; each round is checkpointed to cut lineage.
+                   limit: int | None = LIMIT) -> DataFrame:
+    """One row per checkout: ACCEPTED when it books its whole cart, in (ts, checkout_id) order, else REJECTED (payment,
+    limit, no seat, or the cart is already booked). ``limit=None`` drops the registration limit and keeps only the seat race.
     """
     base = (checkouts.select("checkout_id", "user_id", "ts", "payment_ok")
             .join(_reg_count(registrations, "ora"), "user_id", "left")
-            .join(cart.groupBy("user_id").agg(F.count(F.lit(1)).alias("cart_rows")), "user_id", "left"))
+            .join(cart_facts(cart, sessions), "user_id", "left"))
     ok = F.coalesce(F.col("payment_ok"), F.lit(False))
     if limit is not None:
         ok = ok & (F.coalesce(F.col("reg_count"), F.lit(0)) + F.coalesce(F.col("cart_rows"), F.lit(0)) <= limit)
-    first = base.filter(ok).groupBy("user_id").agg(F.min(_order()).alias("_f"))
-    cands = first.select("user_id", F.col("_f.ts").alias("ts"), F.col("_f.checkout_id").alias("checkout_id"))
-    left = (sessions.select("event_id", (F.col("total_seats") - F.col("booked_seats")).alias("seats_left")))
-    items = cands.join(cart.select("user_id", "event_id"), "user_id").join(left, "event_id")
-    order = [F.col("ts").asc(), F.col("checkout_id").asc()]
-    # items never move between rounds: range-tag them once; a round only refreshes states
-    items = tag_ranges(items.select("checkout_id", "user_id", "ts", "event_id", "seats_left"), order, ["event_id"])
-
-    state = cut_lineage(cands.select("checkout_id", F.lit("U").alias("st")))
-    for _ in range(max_rounds):
-        it = items.join(state, "checkout_id")
-        # only sessions that still hold an undecided checkout matter this round; every item
-        # of an undecided checkout is in such a session, and all rows of it are kept
-        active = it.filter(F.col("st") == "U").select("event_id").distinct()
-        it = it.join(active, "event_id", "left_semi")
-        pos = positions_from_tags(it, order, ["event_id"],
-                                  {"_acc": (F.col("st") == "A").cast("int"), "_live": (F.col("st") != "R").cast("int")})
-        per_item = pos.select(
-            "checkout_id",
-            F.coalesce(F.col("_before_acc") >= F.col("seats_left"), F.lit(False)).alias("rej"),
-            F.coalesce(F.col("_before_live") < F.col("seats_left"), F.lit(True)).alias("fits"))
-        votes = per_item.groupBy("checkout_id").agg(F.max("rej").alias("any_rej"), F.min("fits").alias("all_fit"))
-        nxt = state.join(votes, "checkout_id", "left").select(
-            "checkout_id",
-            F.when(F.col("st") != "U", F.col("st"))
-            .when(F.coalesce(F.col("any_rej"), F.lit(False)), "R")
-            .when(F.coalesce(F.col("all_fit"), F.lit(True)), "A")
-            .otherwise("U").alias("st"))
-        state = cut_lineage(nxt)
-        if state.filter(F.col("st") == "U").limit(1).count() == 0:
-            break
-    n_items = items.groupBy("checkout_id").agg(F.count(F.lit(1)).alias("n"))
-    out = cands.join(state, "checkout_id").join(n_items, "checkout_id", "left")
-    return out.select("checkout_id", "user_id",
-                      F.when(F.col("st") == "A", "ACCEPTED").otherwise("REJECTED").alias("status"),
-                      F.when(F.col("st") == "A", F.coalesce(F.col("n"), F.lit(0))).otherwise(F.lit(0)).alias("items"))
+    base = cut_lineage(base.withColumn("_ok", ok))
+    firsts = cut_lineage(_decisive(base, F.col("_ok")))
+    j = _with_outcome(base, firsts, race(firsts, cart, sessions))
+    return j.select("checkout_id", "user_id", F.when(F.col("books"), "ACCEPTED").otherwise("REJECTED").alias("status"),
+                    F.when(F.col("books"), F.coalesce(F.col("cart_items"), F.lit(0))).otherwise(F.lit(0)).alias("items"))

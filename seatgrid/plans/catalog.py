@@ -703,150 +703,176 @@ def _cascade_delete_cart(d: Domain):
 from seatgrid.operators import checkout as K  # noqa: E402
 
 
-def _checkout_sql(variant: str) -> str:
-    m = K.MSG[variant]
-    count = ("r.payment_status = 'COMPLETED'" if variant == "pg"
-             else "r.registration_status = 'CONFIRMED' AND r.payment_status = 'COMPLETED'")
-    pay = "coalesce(k.payment_ok, false)" if variant == "ora" else "true"
+# The texts the three procedures answer with, written out again for the oracle.
+ORACLE_TEXT = {
+    "ora": ("You can only register for maximum 3 events", "Registration completed successfully. Payment received: ",
+            "Cannot exceed total seat capacity"),
+    "package": ("Maximum 3 registrations allowed", "Payment successful. Total: ", "Cannot exceed total seat capacity"),
+    "pg": ("Maximum 3 registrations allowed", "Payment successful! Total: ₹", "Cannot exceed total seat capacity!"),
+}
+
+
+def _walk_sql(steps: str) -> str:
+    """A walk over the checkouts that pass their user's own guards, one by one in (ts, checkout_id) order, with the users
+    that have booked and the seats taken so far. steps: CTEs that end in ``asks`` (checkout_id, user_id, ts, pay) and ``goods``
+    (user_id, cart_id, event_id, event_name, lft). Gives rec: full_name (first session without a seat), ok, late (booked before).
+
+    Only sessions that as many users ask for as they have seats can run out on the way (``scarce``), so only users with such
+    a session are walked; the others depend on nobody."""
+    return steps + """,
+askers AS (SELECT DISTINCT user_id FROM asks WHERE pay),
+scarce AS (SELECT event_id FROM goods WHERE user_id IN (SELECT user_id FROM askers) GROUP BY event_id, lft HAVING lft > 0 AND count(*) >= lft),
+its AS (SELECT user_id, list({'c': cart_id, 'eid': event_id, 'n': event_name, 'lft': lft} ORDER BY cart_id) AS its,
+               bool_or(event_id IN (SELECT event_id FROM scarce)) AS tied
+        FROM goods WHERE lft <= 0 OR event_id IN (SELECT event_id FROM scarce) GROUP BY user_id),
+seq AS (SELECT a.*, row_number() OVER (ORDER BY a.ts, a.checkout_id) AS rn, i.its FROM asks a JOIN its i ON i.user_id = a.user_id WHERE i.tied),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS checkout_id, CAST(NULL AS VARCHAR) AS full_name, CAST(NULL AS BOOLEAN) AS ok,
+         CAST(NULL AS BOOLEAN) AS late, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS done
+  UNION ALL
+  SELECT rn, checkout_id, gone[1].n, pay AND NOT late AND len(gone) = 0, late,
+         CASE WHEN pay AND NOT late AND len(gone) = 0 THEN list_concat(used, list_transform(its, lambda i: i.eid)) ELSE used END,
+         CASE WHEN pay AND NOT late AND len(gone) = 0 THEN list_append(done, user_id) ELSE done END
+  FROM (SELECT s.rn, s.checkout_id, s.user_id, s.pay, s.its, r.used, r.done, list_contains(r.done, s.user_id) AS late,
+               list_filter(s.its, lambda i: i.lft <= 0 OR i.lft <= len(list_filter(r.used, lambda a: a = i.eid))) AS gone
+        FROM walk r JOIN seq s ON s.rn = r.rn + 1) z),
+calm AS (SELECT a.checkout_id, a.pay, i.its[1].n AS full_name,
+                coalesce(sum(CASE WHEN a.pay AND i.its IS NULL THEN 1 ELSE 0 END) OVER (
+                  PARTITION BY a.user_id ORDER BY a.ts, a.checkout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         FROM asks a LEFT JOIN its i ON i.user_id = a.user_id WHERE NOT coalesce(i.tied, false)),
+rec AS (SELECT checkout_id, full_name, ok, late FROM walk WHERE rn > 0
+        UNION ALL SELECT checkout_id, full_name, pay AND full_name IS NULL AND before = 0, before > 0 FROM calm)
+"""
+
+
+def _facts_sql(t: dict[str, str], counted: str, pay: str, limited: bool = True) -> str:
+    lim = "coalesce(rc.k, 0) + coalesce(cr.k, 0) > 3" if limited else "false"
     return f"""
-, cf AS (SELECT c.user_id, count(*) AS cart_rows, count(e.event_id) AS cart_items, sum(e.ticket_price) AS cart_total,
-                bool_or(coalesce(e.booked_seats + 1 > e.total_seats, false)) AS blocked
-         FROM d_cart c LEFT JOIN d_sessions e ON c.event_id = e.event_id GROUP BY c.user_id),
-b AS (SELECT k.checkout_id, k.user_id, k.ts, {pay} AS pay,
-             (SELECT count(*) FROM d_regs r WHERE r.user_id = k.user_id AND {count}) + coalesce(cf.cart_rows, 0) > 3 AS lim,
-             coalesce(cf.blocked, false) AS blk, cf.cart_total, cf.cart_items
-      FROM d_checkouts k LEFT JOIN cf ON k.user_id = cf.user_id),
-fs AS (SELECT user_id, min((ts, checkout_id)) AS f FROM b WHERE pay AND NOT lim AND NOT blk GROUP BY user_id),
-j AS (SELECT b.*, coalesce((b.ts, b.checkout_id) = fs.f, false) AS is_first,
-             coalesce((b.ts, b.checkout_id) > fs.f, false) AS after
-      FROM b LEFT JOIN fs ON b.user_id = fs.user_id),
-t AS (SELECT j.*, CASE WHEN is_first THEN coalesce(cart_total, 0) WHEN after AND pay THEN 0 END AS total FROM j)
-SELECT checkout_id, user_id,
-       CASE WHEN after THEN (CASE WHEN pay THEN 'SUCCESS' ELSE 'FAILED' END) WHEN lim THEN 'FAILED'
-            WHEN NOT pay THEN 'FAILED' WHEN blk THEN 'ERROR' ELSE 'SUCCESS' END AS status,
-       CASE WHEN after THEN (CASE WHEN pay THEN '{m["ok"]}' || CAST(CAST(total AS DECIMAL(18,2)) AS VARCHAR)
-                                  ELSE '{K.MSG_PAYMENT}' END)
-            WHEN lim THEN '{m["limit"]}' WHEN NOT pay THEN '{K.MSG_PAYMENT}' WHEN blk THEN '{m["error"]}'
-            ELSE '{m["ok"]}' || CAST(CAST(total AS DECIMAL(18,2)) AS VARCHAR) END AS message,
-       CAST(total AS DOUBLE) AS total_amount,
-       CASE WHEN is_first THEN coalesce(cart_items, 0) ELSE 0 END AS items
-FROM t"""
+, rc AS (SELECT user_id, count(*) AS k FROM {t['regs']} WHERE {counted} GROUP BY user_id),
+cr AS (SELECT user_id, count(*) AS k FROM {t['cart']} GROUP BY user_id),
+goods AS (SELECT c.user_id, c.cart_id, s.event_id, s.event_name, s.total_seats - coalesce(s.booked_seats, 0) AS lft, s.ticket_price
+          FROM {t['cart']} c JOIN {t['sessions']} s ON s.event_id = c.event_id),
+sums AS (SELECT user_id, count(*) AS items, sum(ticket_price) AS price FROM goods GROUP BY user_id),
+facts AS (SELECT k.checkout_id, k.user_id, k.ts, {pay} AS pay, {lim} AS lim
+          FROM {t['checkouts']} k LEFT JOIN rc ON rc.user_id = k.user_id LEFT JOIN cr ON cr.user_id = k.user_id),
+asks AS (SELECT checkout_id, user_id, ts, pay FROM facts WHERE NOT lim)"""
+
+
+SHOP = {"regs": "shop_regs", "cart": "shop_cart", "sessions": "shop_sessions", "checkouts": "shop_checkouts"}
+CLICKS = {"regs": "d_regs", "cart": "d_cart", "sessions": "d_sessions", "checkouts": "d_checkouts"}
+HELD = "registration_status = 'CONFIRMED' AND payment_status = 'COMPLETED'"
+
+
+def _decision_sql(variant: str) -> str:
+    limit, ok, full = ORACLE_TEXT[variant]
+    counted = "payment_status = 'COMPLETED'" if variant == "pg" else HELD
+    return _walk_sql(_facts_sql(SHOP, counted, "coalesce(k.payment_ok, false)" if variant == "ora" else "true")) + f"""
+, dec AS (
+SELECT f.checkout_id, f.user_id,
+       CASE WHEN f.lim THEN 'FAILED' WHEN NOT f.pay THEN 'FAILED' WHEN r.late OR r.ok THEN 'SUCCESS' ELSE 'ERROR' END AS status,
+       CASE WHEN f.lim THEN '{limit}' WHEN NOT f.pay THEN 'Payment failed. Please try again.' WHEN r.late THEN '{ok}0.00'
+            WHEN r.ok THEN '{ok}' || CAST(CAST(coalesce(s.price, 0) AS DECIMAL(18,2)) AS VARCHAR) ELSE '{full}' END AS message,
+       CASE WHEN f.pay AND r.late THEN 0.0 WHEN r.ok THEN CAST(coalesce(s.price, 0) AS DOUBLE) END AS total_amount,
+       CASE WHEN r.ok THEN coalesce(s.items, 0) ELSE 0 END AS items
+FROM facts f LEFT JOIN rec r ON r.checkout_id = f.checkout_id LEFT JOIN sums s ON s.user_id = f.user_id)
+"""
 
 
 for _variant, _name in [("ora", "checkout_decision"), ("package", "checkout_decision_package"),
                         ("pg", "checkout_decision_pg")]:
     def _mk(v):
         def fn(d: Domain):
-            return K.decision(d.checkouts, d.cart, d.sessions, d.registrations, v)
+            return K.decision(d.shop_checkouts, d.shop_cart, d.shop_sessions, d.shop_registrations, v)
         return fn
-    register(_name, _checkout_sql(_variant))(_mk(_variant))
+    register(_name, _decision_sql(_variant) + "SELECT * FROM dec")(_mk(_variant))
+
 
+def _shop_decision(d: Domain):
+    return K.decision(d.shop_checkouts, d.shop_cart, d.shop_sessions, d.shop_registrations, "ora")
 
-@register("checkout_apply_registrations", _checkout_sql("ora").replace("SELECT checkout_id, user_id,\n", """, dec AS (
-SELECT checkout_id, user_id,
-""", 1) + """)
-SELECT d.checkout_id, d.user_id, c.event_id, 'COMPLETED' AS payment_status, 'CONFIRMED' AS registration_status,
-       k.payment_method, CAST(e.ticket_price AS DOUBLE) AS amount_paid
-FROM dec d JOIN d_checkouts k ON d.checkout_id = k.checkout_id JOIN d_cart c ON c.user_id = d.user_id
-     JOIN d_sessions e ON c.event_id = e.event_id
-WHERE d.items > 0""")
+
+@register("checkout_apply_registrations", _decision_sql("ora") + """
+SELECT c.checkout_id, c.user_id, g.event_id, 'COMPLETED' AS payment_status, 'CONFIRMED' AS registration_status,
+       k.payment_method, CAST(g.ticket_price AS DOUBLE) AS amount_paid
+FROM dec c JOIN shop_checkouts k ON k.checkout_id = c.checkout_id JOIN goods g ON g.user_id = c.user_id WHERE c.items > 0""")
 def _checkout_apply_registrations(d: Domain):
-    dec = K.decision(d.checkouts, d.cart, d.sessions, d.registrations, "ora")
-    return K.apply_registrations(dec, d.checkouts, d.cart, d.sessions)
+    return K.apply_registrations(_shop_decision(d), d.shop_checkouts, d.shop_cart, d.shop_sessions)
 
 
-@register("checkout_apply_seats", _checkout_sql("ora").replace("SELECT checkout_id, user_id,\n", """, dec AS (
-SELECT checkout_id, user_id,
-""", 1) + """)
-SELECT e.event_id, e.total_seats, e.booked_seats AS booked_before, count(*) AS added,
-       e.booked_seats + count(*) AS booked_after
-FROM dec d JOIN d_cart c ON c.user_id = d.user_id JOIN d_sessions e ON c.event_id = e.event_id
-WHERE d.items > 0 GROUP BY e.event_id, e.total_seats, e.booked_seats""")
+@register("checkout_apply_seats", _decision_sql("ora") + """
+, taken AS (SELECT g.event_id, count(*) AS added FROM dec c JOIN goods g ON g.user_id = c.user_id WHERE c.items > 0 GROUP BY g.event_id)
+SELECT s.event_id, s.total_seats, s.booked_seats AS booked_before, t.added, s.booked_seats + t.added AS booked_after
+FROM taken t JOIN shop_sessions s ON s.event_id = t.event_id""")
 def _checkout_apply_seats(d: Domain):
-    dec = K.decision(d.checkouts, d.cart, d.sessions, d.registrations, "ora")
-    return K.apply_seats(d.sessions, K.apply_registrations(dec, d.checkouts, d.cart, d.sessions))
-
-
-@register("checkout_validate", f"""
-, it AS (SELECT c.cart_id, c.user_id, e.event_name, e.event_date, e.start_time, e.end_time, e.total_seats, e.booked_seats
-         FROM d_cart c JOIN d_sessions e ON c.event_id = e.event_id),
-cf AS (SELECT r.reg_id, r.user_id, e.event_name, e.event_date, e.start_time, e.end_time
-       FROM d_regs r JOIN d_sessions e ON r.event_id = e.event_id WHERE r.registration_status = 'CONFIRMED'),
-pu AS (SELECT user_id, count(*) AS n_cart,
-              arg_min(event_name, cart_id) FILTER (WHERE coalesce(booked_seats, 0) >= total_seats) AS full_name
-       FROM it GROUP BY user_id),
-nc AS (SELECT user_id, count(*) AS n_conf FROM cf GROUP BY user_id),
-c1 AS (SELECT a.user_id, arg_min(a.event_name || '|' || b.event_name, (a.cart_id, b.reg_id)) AS pair
-       FROM it a JOIN cf b ON a.user_id = b.user_id AND a.event_date = b.event_date
-        AND a.start_time < b.end_time AND b.start_time < a.end_time GROUP BY a.user_id),
-c2 AS (SELECT a.user_id, arg_min(a.event_name || '|' || b.event_name, (a.cart_id, b.cart_id)) AS pair
-       FROM it a JOIN it b ON a.user_id = b.user_id AND a.cart_id < b.cart_id AND a.event_date = b.event_date
-        AND a.start_time < b.end_time AND b.start_time < a.end_time GROUP BY a.user_id),
-b AS (SELECT k.checkout_id, k.user_id, k.ts, coalesce(k.payment_ok, false) AS pay,
-        CASE WHEN coalesce(pu.n_cart, 0) = 0 THEN '{K.MSG_EMPTY}'
-             WHEN coalesce(nc.n_conf, 0) + coalesce(pu.n_cart, 0) > 3 THEN
-               'You can only register for maximum 3 events. You already have ' || CAST(coalesce(nc.n_conf, 0) AS VARCHAR)
-               || ' confirmed registrations and trying to add ' || CAST(coalesce(pu.n_cart, 0) AS VARCHAR) || ' more.'
-             WHEN c1.pair IS NOT NULL THEN 'Time conflict: ' || split_part(c1.pair, '|', 1)
-               || ' conflicts with your confirmed event ' || split_part(c1.pair, '|', 2)
-             WHEN c2.pair IS NOT NULL THEN 'Time conflict between cart items: ' || split_part(c2.pair, '|', 1)
-               || ' and ' || split_part(c2.pair, '|', 2)
-             WHEN pu.full_name IS NOT NULL THEN 'Event ' || pu.full_name || ' is fully booked' END AS static,
-        coalesce(pu.n_cart, 0) AS n_cart
-      FROM d_checkouts k LEFT JOIN pu ON k.user_id = pu.user_id LEFT JOIN nc ON k.user_id = nc.user_id
-           LEFT JOIN c1 ON k.user_id = c1.user_id LEFT JOIN c2 ON k.user_id = c2.user_id),
-fs AS (SELECT user_id, min((ts, checkout_id)) AS f FROM b WHERE static IS NULL AND pay GROUP BY user_id),
-j AS (SELECT b.*, coalesce((b.ts, b.checkout_id) = fs.f, false) AS is_first,
-             coalesce((b.ts, b.checkout_id) > fs.f, false) AS after FROM b LEFT JOIN fs ON b.user_id = fs.user_id)
-SELECT checkout_id, user_id, CASE WHEN is_first THEN 'SUCCESS' ELSE 'FAILED' END AS status,
-       CASE WHEN after THEN '{K.MSG_EMPTY}' WHEN static IS NOT NULL THEN static WHEN NOT pay THEN '{K.MSG_PAYMENT}'
-            ELSE '{K.MSG_JS_OK}' END AS message,
-       CASE WHEN is_first THEN n_cart ELSE 0 END AS items
-FROM j""")
+    return K.apply_seats(d.shop_sessions, K.apply_registrations(_shop_decision(d), d.shop_checkouts, d.shop_cart, d.shop_sessions))
+
+
+@register("checkout_apply_sessions", _decision_sql("ora") + """
+SELECT s.event_id, s.total_seats, CAST(s.booked_seats + (SELECT count(*) FROM dec c, goods g WHERE g.user_id = c.user_id AND c.items > 0
+                                                         AND g.event_id = s.event_id) AS INTEGER) AS booked_seats
+FROM shop_sessions s""")
+def _checkout_apply_sessions(d: Domain):
+    """The whole sessions table after the checkouts."""
+    new = K.apply_registrations(_shop_decision(d), d.shop_checkouts, d.shop_cart, d.shop_sessions)
+    return K.apply_sessions(d.shop_sessions, new).select("event_id", "total_seats", "booked_seats")
+
+
+@register("checkout_apply_cart", _decision_sql("ora") + """
+SELECT CAST(c.cart_id AS VARCHAR) AS cart_id, c.user_id, c.event_id FROM shop_cart c
+WHERE c.user_id NOT IN (SELECT user_id FROM dec WHERE items > 0)""")
+def _checkout_apply_cart(d: Domain):
+    """The cart rows that the checkouts leave."""
+    return K.apply_cart(d.shop_cart, _shop_decision(d)).select("cart_id", "user_id", "event_id")
+
+
+@register("checkout_validate", _walk_sql("""
+, goods AS (SELECT c.user_id, c.cart_id, s.event_id, s.event_name, s.event_date, s.start_time, s.end_time,
+                   s.total_seats - coalesce(s.booked_seats, 0) AS lft
+            FROM shop_cart c JOIN shop_sessions s ON s.event_id = c.event_id),
+held AS (SELECT r.user_id, r.reg_id, s.event_name, s.event_date, s.start_time, s.end_time
+         FROM shop_regs r JOIN shop_sessions s ON s.event_id = r.event_id WHERE r.registration_status = 'CONFIRMED'),
+nc AS (SELECT user_id, count(*) AS k FROM goods GROUP BY user_id),
+nh AS (SELECT user_id, count(*) AS k FROM held GROUP BY user_id),
+c1 AS (SELECT g.user_id, g.event_name AS a, h.event_name AS b, row_number() OVER (PARTITION BY g.user_id ORDER BY g.cart_id, h.reg_id) AS rn
+       FROM goods g JOIN held h ON h.user_id = g.user_id AND h.event_date = g.event_date
+        AND NOT (h.start_time >= g.end_time OR g.start_time >= h.end_time)),
+c2 AS (SELECT g.user_id, g.event_name AS a, h.event_name AS b, row_number() OVER (PARTITION BY g.user_id ORDER BY g.cart_id, h.cart_id) AS rn
+       FROM goods g JOIN goods h ON h.user_id = g.user_id AND h.cart_id > g.cart_id AND h.event_date = g.event_date
+        AND NOT (h.start_time >= g.end_time OR g.start_time >= h.end_time)),
+facts AS (SELECT k.checkout_id, k.user_id, k.ts, coalesce(k.payment_ok, false) AS pay, coalesce(nc.k, 0) AS n,
+                 CASE WHEN coalesce(nc.k, 0) = 0 THEN 'Cart is empty'
+                      WHEN coalesce(nc.k, 0) + coalesce(nh.k, 0) > 3 THEN 'You can only register for maximum 3 events. You already have '
+                        || coalesce(nh.k, 0) || ' confirmed registrations and trying to add ' || coalesce(nc.k, 0) || ' more.'
+                      WHEN c1.a IS NOT NULL THEN 'Time conflict: ' || c1.a || ' conflicts with your confirmed event ' || c1.b
+                      WHEN c2.a IS NOT NULL THEN 'Time conflict between cart items: ' || c2.a || ' and ' || c2.b END AS own
+          FROM shop_checkouts k LEFT JOIN nc ON nc.user_id = k.user_id LEFT JOIN nh ON nh.user_id = k.user_id
+               LEFT JOIN c1 ON c1.user_id = k.user_id AND c1.rn = 1 LEFT JOIN c2 ON c2.user_id = k.user_id AND c2.rn = 1),
+asks AS (SELECT checkout_id, user_id, ts, pay FROM facts WHERE own IS NULL)""") + """
+SELECT f.checkout_id, f.user_id, CASE WHEN r.ok THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+       CASE WHEN f.own IS NOT NULL THEN f.own WHEN r.late THEN 'Cart is empty'
+            WHEN r.full_name IS NOT NULL THEN 'Event ' || r.full_name || ' is fully booked'
+            WHEN NOT f.pay THEN 'Payment failed. Please try again.' ELSE 'Payment successful! Registration completed.' END AS message,
+       CASE WHEN r.ok THEN f.n ELSE 0 END AS items
+FROM facts f LEFT JOIN rec r ON r.checkout_id = f.checkout_id""")
 def _checkout_validate(d: Domain):
-    return K.validate(d.checkouts, d.cart, d.sessions, d.registrations)
+    return K.validate(d.shop_checkouts, d.shop_cart, d.shop_sessions, d.shop_registrations)
 
 
-def _race_sql(with_limit: bool) -> str:
-    """Sequential oracle of the checkout race: a recursive CTE walks the candidate checkouts
-    one by one in (ts, checkout_id) order, carrying the seats taken so far."""
-    lim = "AND coalesce(rc.reg_count, 0) + coalesce(cr.cart_rows, 0) <= 3" if with_limit else ""
-    return f"""
-, rc AS (SELECT user_id, count(*) AS reg_count FROM d_regs
-         WHERE registration_status = 'CONFIRMED' AND payment_status = 'COMPLETED' GROUP BY user_id),
-cr AS (SELECT user_id, count(*) AS cart_rows FROM d_cart GROUP BY user_id),
-ok AS (SELECT k.* FROM d_checkouts k LEFT JOIN rc ON rc.user_id = k.user_id LEFT JOIN cr ON cr.user_id = k.user_id
-       WHERE coalesce(k.payment_ok, false) {lim}),
-cand AS (SELECT user_id, arg_min(checkout_id, (ts, checkout_id)) AS checkout_id, min((ts, checkout_id)) AS o
-         FROM ok GROUP BY user_id),
-its AS (SELECT c.checkout_id, list({{'eid': s.event_id, 'lft': s.total_seats - s.booked_seats}}) AS its
-        FROM cand c JOIN d_cart t ON t.user_id = c.user_id JOIN d_sessions s ON s.event_id = t.event_id
-        GROUP BY c.checkout_id),
-seq AS (SELECT c.checkout_id, c.user_id, row_number() OVER (ORDER BY c.o) AS rn, coalesce(i.its, []) AS its
-        FROM cand c LEFT JOIN its i ON i.checkout_id = c.checkout_id),
-rec AS (
-  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS checkout_id, CAST(NULL AS BIGINT) AS user_id,
-         CAST(NULL AS BOOLEAN) AS ok, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used
-  UNION ALL
-  SELECT rn, checkout_id, user_id, ok, n,
-         CASE WHEN ok THEN list_concat(used, list_transform(its, lambda i: i.eid)) ELSE used END
-  FROM (SELECT s.rn, s.checkout_id, s.user_id, s.its, CAST(len(s.its) AS BIGINT) AS n, r.used,
-               len(list_filter(s.its, lambda i: i.lft IS NOT NULL
-                   AND i.lft - len(list_filter(r.used, lambda a: a = i.eid)) <= 0)) = 0 AS ok
-        FROM rec r JOIN seq s ON s.rn = r.rn + 1) z)
-SELECT checkout_id, user_id, CASE WHEN ok THEN 'ACCEPTED' ELSE 'REJECTED' END AS status,
-       CASE WHEN ok THEN n ELSE 0 END AS items
-FROM rec WHERE rn > 0"""
+def _outcome_sql(t: dict[str, str], limited: bool) -> str:
+    return _walk_sql(_facts_sql(t, HELD, "coalesce(k.payment_ok, false)", limited)) + """
+SELECT f.checkout_id, f.user_id, CASE WHEN r.ok THEN 'ACCEPTED' ELSE 'REJECTED' END AS status,
+       CASE WHEN r.ok THEN coalesce(s.items, 0) ELSE 0 END AS items
+FROM facts f LEFT JOIN rec r ON r.checkout_id = f.checkout_id LEFT JOIN sums s ON s.user_id = f.user_id"""
 
 
-@register("checkout_all_or_nothing", _race_sql(True))
+@register("checkout_all_or_nothing", _outcome_sql(SHOP, True))
 def _checkout_all_or_nothing(d: Domain):
-    return K.all_or_nothing(d.checkouts, d.cart, d.sessions, d.registrations)
+    return K.all_or_nothing(d.shop_checkouts, d.shop_cart, d.shop_sessions, d.shop_registrations)
 
 
-@register("checkout_seat_competition", _race_sql(False))
+@register("checkout_seat_competition", _outcome_sql(CLICKS, False))
 def _checkout_seat_competition(d: Domain):
-    """The seat race of all-or-nothing checkouts alone (no registration limit)."""
+    """The seat race of the clickstream's checkouts alone (no registration limit)."""
     return K.all_or_nothing(d.checkouts, d.cart, d.sessions, d.registrations, limit=None)
 
 

@@ -71,7 +71,29 @@ d_user_signups AS (
   SELECT 2 * c.event_id + 1 AS request_id,
          CASE c.event_id % 7 WHEN 1 THEN '' WHEN 2 THEN NULL ELSE u.full_name END AS full_name,
          CASE c.event_id % 7 WHEN 3 THEN NULL WHEN 4 THEN '' WHEN 5 THEN 'shared.' || u.email ELSE u.email END AS email
-  FROM d_clicks c JOIN d_users u ON c.user_id = u.user_id WHERE c.event_type = 'signup')
+  FROM d_clicks c JOIN d_users u ON c.user_id = u.user_id WHERE c.event_type = 'signup'),
+shop_lines AS (
+  SELECT o_orderkey // 2 AS user_id, o_orderkey % 2 AS odd, l_partkey AS event_id, CAST(o_orderdate AS DATE) AS day, o_orderstatus,
+         l_returnflag, l_linestatus, l_extendedprice,
+         row_number() OVER (PARTITION BY o_orderkey, l_partkey ORDER BY l_linenumber, l_extendedprice, l_returnflag, l_linestatus) AS rn
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+shop_regs AS (
+  SELECT CAST(user_id AS HUGEINT) * 10000000000000000000 + event_id AS reg_id, user_id, event_id, day AS registration_date,
+         CASE WHEN l_returnflag = 'R' THEN 'REFUNDED' WHEN o_orderstatus = 'P' THEN 'PENDING' ELSE 'COMPLETED' END AS payment_status,
+         CASE WHEN l_returnflag = 'R' THEN 'CANCELLED' WHEN l_linestatus = 'O' AND l_returnflag = 'A' THEN 'WAITLIST'
+              ELSE 'CONFIRMED' END AS registration_status
+  FROM shop_lines WHERE odd = 0 AND rn = 1),
+shop_cart AS (
+  SELECT CAST(user_id AS HUGEINT) * 10000000000000000000 + event_id AS cart_id, user_id, event_id, day AS added_date
+  FROM shop_lines WHERE odd = 1 AND rn = 1 AND l_returnflag = 'N'),
+shop_sessions AS (
+  SELECT b.event_id, b.event_name, b.event_date, b.start_time, b.end_time, 1 + b.total_seats % 15 AS total_seats, b.ticket_price, b.event_status,
+         least(1 + b.total_seats % 15, (SELECT count(*) FROM shop_regs r WHERE r.event_id = b.event_id AND r.payment_status = 'COMPLETED')) AS booked_seats
+  FROM d_base b),
+shop_checkouts AS (
+  SELECT o_orderkey AS checkout_id, o_orderkey // 2 AS user_id, CAST(o_orderdate AS TIMESTAMP) AS ts,
+         CASE o_orderstatus WHEN 'O' THEN 'UPI' ELSE 'CARD' END AS payment_method, o_orderstatus <> 'F' AS payment_ok
+  FROM orders)
 """
 
 
@@ -84,5 +106,5 @@ def pct(num: str, den: str) -> str:
 def with_views(sql: str) -> str:
     """Prefix the domain views. A query text starting with ',' adds its own CTEs."""
     body = sql.strip()
-    head = "WITH RECURSIVE " if re.search(r"\brec AS \(", body) else "WITH "  # sequential oracles recurse
+    head = "WITH RECURSIVE " if re.search(r"\b(rec|walk) AS \(\s*SELECT CAST\(0|\brec AS \(", body) else "WITH "  # sequential oracles recurse
     return head + VIEWS.strip() + ("" if body.startswith(",") else "\n") + body

@@ -37,7 +37,7 @@ def click_key(props: Column) -> Column:
 
 
 DERIVED = ["users", "base_sessions", "registrations", "sessions", "cart", "requests", "checkouts",
-           "cancellations", "removals", "user_signups"]
+           "cancellations", "removals", "user_signups", "shop_registrations", "shop_sessions", "shop_cart", "shop_checkouts"]
 
 
 class Domain:
@@ -213,6 +213,50 @@ class Domain:
             .when(kind == 5, F.concat(F.lit("shared."), F.col("email"))).otherwise(F.col("email")).alias("email"))
         return s.unionByName(again).withColumnRenamed("seq", "request_id")
 
+    # -- shop: checkouts that reach every rule. Two orders in a row (2k, 2k + 1) make one fresh user k: the lines of the
+    # first are registrations, the unreturned lines of the second are the cart, and each of the two asks to check out.
+
+    def _shop_lines(self, odd: int) -> DataFrame:
+        o = self.raw("orders").select("o_orderkey", "o_orderdate", "o_orderstatus").filter(F.col("o_orderkey") % 2 == odd)
+        li = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus")
+        return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")) \
+            .groupBy(F.expr("o_orderkey div 2").alias("user_id"), F.col("l_partkey").alias("event_id")).agg(F.min(F.struct(
+                "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus", "o_orderdate", "o_orderstatus")).alias("f"))
+
+    @cached_property
+    def shop_registrations(self) -> DataFrame:
+        rf, ls, os_ = F.col("f.l_returnflag"), F.col("f.l_linestatus"), F.col("f.o_orderstatus")
+        return cut_lineage(self._shop_lines(0).select(
+            pair_key(F.col("user_id"), F.col("event_id")).alias("reg_id"), "user_id", "event_id",
+            F.col("f.o_orderdate").cast("date").alias("registration_date"),
+            F.when(rf == "R", "REFUNDED").when(os_ == "P", "PENDING").otherwise("COMPLETED").alias("payment_status"),
+            F.when(rf == "R", "CANCELLED").when((ls == "O") & (rf == "A"), "WAITLIST").otherwise("CONFIRMED").alias("registration_status"),
+            F.col("f.l_extendedprice").cast("decimal(10,2)").alias("amount_paid")))
+
+    @cached_property
+    def shop_cart(self) -> DataFrame:
+        return cut_lineage(self._shop_lines(1).filter(F.col("f.l_returnflag") == "N").select(
+            pair_key(F.col("user_id"), F.col("event_id")).alias("cart_id"), "user_id", "event_id",
+            F.col("f.o_orderdate").cast("date").alias("added_date")))
+
+    @cached_property
+    def shop_sessions(self) -> DataFrame:
+        """The sessions in small rooms (1 to 15 seats), so that many are full or nearly so."""
+        paid = self.shop_registrations.filter(F.col("payment_status") == "COMPLETED").groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+        seats = (1 + F.col("total_seats") % 15).cast("int")
+        return cut_lineage(self.base_sessions.join(paid, "event_id", "left").select(
+            *[seats.alias(c) if c == "total_seats" else self.base_sessions[c] for c in self.base_sessions.columns],
+            F.least(seats, F.coalesce(F.col("n"), F.lit(0))).cast("int").alias("booked_seats")))
+
+    @cached_property
+    def shop_checkouts(self) -> DataFrame:
+        o = self.raw("orders")
+        return o.select(
+            F.col("o_orderkey").alias("checkout_id"), F.expr("o_orderkey div 2").alias("user_id"),
+            F.col("o_orderdate").cast("timestamp").alias("ts"),
+            F.when(F.col("o_orderstatus") == "O", "UPI").otherwise("CARD").alias("payment_method"),
+            (F.col("o_orderstatus") != "F").alias("payment_ok"))
+
 
 class StoredDomain(Domain):
     """Domain whose derived tables were written by :meth:`Domain.materialize`."""
