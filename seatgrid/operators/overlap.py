@@ -4,9 +4,8 @@ Well-formed intervals are exploded into the time bins they cover and joined on
 (keys, bin); a pair is kept only in the bin holding the later start, so each
 overlapping pair appears once. Two well-formed intervals overlap iff they share a
 minute, and the later start lies in both, so no pair is lost. Rows whose times are
-not 'HH:MM' with start < end can still satisfy the string predicate; they are routed
-through two sentinel bins of the same join so they meet every candidate exactly once
-(normally there are none).
+not 'HH:MM' with start < end can still satisfy the string predicate; they alone are joined
+on the keys without bins (normally there are none, and adaptive execution drops those branches).
 """
 
 from __future__ import annotations
@@ -57,14 +56,12 @@ def overlap_pairs(left: DataFrame, right: DataFrame, left_keys: Sequence[str], r
             c = c & (a["l_" + lk] == b["r_" + rk])
         return c
 
-    # One join, no union of branches (a union would repeat the inputs' work per branch).
-    # Good rows explode into their bins. Sentinel bins route malformed rows exactly:
-    #   -1: left malformed rows meet every right row;  -2: left good rows meet right malformed rows.
-    lbins = F.when(F.col("l__wf"), F.array_append(F.sequence("l__sbin", "l__last"), F.lit(-2))).otherwise(F.array(F.lit(-1)))
-    rbins = F.when(F.col("r__wf"), F.array_append(F.sequence("r__sbin", "r__last"), F.lit(-1))) \
-        .otherwise(F.array(F.lit(-1), F.lit(-2)))
-    lx = L.withColumn("_bin", F.explode(lbins))
-    rx = R.withColumn("_bin", F.explode(rbins))
-    once = (lx["_bin"] < 0) | (lx["_bin"] == F.greatest(lx["l__sbin"], rx["r__sbin"]))
-    out = lx.join(rx, key_eq(lx, rx) & (lx["_bin"] == rx["_bin"]) & once & pred(lx, rx))
-    return out.select(*out_cols)
+    # well-formed rows by bin; a malformed left row meets every right row of its keys, a malformed right row every well-formed left one
+    lx = L.filter("l__wf").withColumn("_bin", F.explode(F.sequence("l__sbin", "l__last")))
+    rx = R.filter("r__wf").withColumn("_bin", F.explode(F.sequence("r__sbin", "r__last")))
+    once = lx["_bin"] == F.greatest(lx["l__sbin"], rx["r__sbin"])
+    binned = lx.join(rx, key_eq(lx, rx) & (lx["_bin"] == rx["_bin"]) & once & pred(lx, rx)).select(*out_cols)
+    lbad, lgood, rbad = L.filter("NOT l__wf"), L.filter("l__wf"), R.filter("NOT r__wf")
+    left_bad = lbad.join(R, key_eq(lbad, R) & pred(lbad, R)).select(*out_cols)
+    right_bad = lgood.join(rbad, key_eq(lgood, rbad) & pred(lgood, rbad)).select(*out_cols)
+    return binned.unionAll(left_bad).unionAll(right_bad)

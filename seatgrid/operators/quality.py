@@ -44,10 +44,11 @@ def unique_rule(df: DataFrame, table: str, name: str, keys: list[str]) -> DataFr
 
 
 def fk_rule(child: DataFrame, table: str, name: str, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    c = child.select(key).filter(F.col(key).isNotNull())
+    # children are counted per key first, so a hot key is one row at the anti-join
+    c = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     p = parent.select(F.col(parent_key).alias(key))
     orphans = c.join(p, key, "left_anti")
-    return orphans.agg(F.count(F.lit(1)).alias("violations")).select(
+    return orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("violations")).select(
         F.lit(table).alias("table_name"), F.lit(name).alias("constraint_name"), "violations")
 
 

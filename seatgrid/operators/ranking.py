@@ -21,12 +21,24 @@ def tag_ranges(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
                num_partitions: int | None = None) -> DataFrame:
     """Range-partition on (keys, order), tag each row with its partition ``_pid`` and
     checkpoint, so every later pass sees the same partitioning (a re-sampled range
-    shuffle could otherwise place rows differently)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], *order)
-              .withColumn("_pid", F.spark_partition_id()))
-    return cut_lineage(tagged)
+    shuffle could otherwise place rows differently). Without ``num_partitions`` the ranges
+    are as many as the data needs: adaptive execution joins small neighbours."""
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    ranged = df.repartitionByRange(num_partitions, *by) if num_partitions else df.repartitionByRange(*by)
+    return cut_lineage(ranged.withColumn("_pid", F.spark_partition_id()))
+
+
+def _global_positions(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Row numbers over one global order with a single shuffle: ranges, sorted inside, numbered by their place in
+    the range (written with it) plus the rows of the ranges before (at most one row per range, broadcast)."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
+    t = cut_lineage(ranged).withColumn("_pid", F.shiftright("_mid", 33))
+    counts = t.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pc"))
+    every = Window.orderBy("_pid")  # one row per range
+    offsets = counts.select("_pid", (F.sum("_pc").over(every) - F.col("_pc")).alias("_off"),
+                            F.sum("_pc").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
+    place = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_off")
+    return t.join(F.broadcast(offsets), "_pid").select(*df.columns, (place + 1).alias("_pos"), place.alias("_before"), "_total")
 
 
 def positions_from_tags(tagged: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
@@ -70,6 +82,8 @@ def ordered_positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str
 
     ``order`` must be a total order within a key for ``_pos`` to be deterministic.
     """
+    if not keys and weight is None and not weights:
+        return _global_positions(df, order)
     ws = {"": weight if weight is not None else F.lit(1)}
     ws.update({"_" + k: v for k, v in (weights or {}).items()})
     tagged = tag_ranges(df, order, keys, num_partitions)

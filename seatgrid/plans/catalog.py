@@ -483,6 +483,63 @@ def _constraint_violations(d: Domain):
     return Q.constraint_violations(d.users, d.sessions, d.registrations, d.cart)
 
 
+# Tables with rows that break every rule, for the same checks.
+DIRTY_SQL = """
+, x_users AS (SELECT CASE WHEN user_id % 50 = 7 THEN NULL WHEN user_id % 50 = 12 THEN user_id - 1 ELSE user_id END AS user_id,
+         CASE user_id % 50 WHEN 8 THEN NULL WHEN 11 THEN repeat('x', 101) ELSE full_name END AS full_name,
+         CASE user_id % 50 WHEN 9 THEN 'same@example.com' WHEN 13 THEN NULL WHEN 14 THEN repeat('y', 101) || user_id ELSE email END AS email,
+         CASE WHEN user_id % 50 = 10 THEN 'GUEST' ELSE user_type END AS user_type FROM d_users),
+x_sessions AS (SELECT CASE event_id % 40 WHEN 15 THEN NULL WHEN 16 THEN event_id - 1 ELSE event_id END AS event_id,
+         CASE event_id % 40 WHEN 17 THEN NULL WHEN 18 THEN repeat('z', 201) ELSE event_name END AS event_name,
+         CASE WHEN event_id % 40 = 19 THEN NULL ELSE event_date END AS event_date,
+         CASE event_id % 40 WHEN 5 THEN '9:00' WHEN 20 THEN NULL WHEN 21 THEN '09:00:00 in the morning' ELSE start_time END AS start_time,
+         CASE event_id % 40 WHEN 22 THEN 'noon' WHEN 23 THEN NULL WHEN 24 THEN 'at the end of the day' ELSE end_time END AS end_time,
+         CASE event_id % 40 WHEN 1 THEN 0 WHEN 25 THEN NULL ELSE total_seats END AS total_seats,
+         CASE event_id % 40 WHEN 2 THEN total_seats + 1 WHEN 26 THEN NULL ELSE booked_seats END AS booked_seats,
+         CASE event_id % 40 WHEN 3 THEN -1 WHEN 27 THEN NULL ELSE ticket_price END AS ticket_price,
+         CASE event_id % 40 WHEN 4 THEN 'DRAFT' WHEN 6 THEN NULL ELSE event_status END AS event_status FROM d_sessions),
+x_regs AS (SELECT CASE (user_id + event_id) % 30 WHEN 6 THEN NULL WHEN 7 THEN 1 ELSE reg_id END AS reg_id,
+         CASE (user_id + event_id) % 30 WHEN 4 THEN NULL WHEN 5 THEN -5 ELSE user_id END AS user_id,
+         CASE (user_id + event_id) % 30 WHEN 1 THEN NULL WHEN 2 THEN -event_id - 1 WHEN 3 THEN 0 ELSE event_id END AS event_id,
+         CASE (user_id + event_id) % 30 WHEN 0 THEN 'UNKNOWN' ELSE payment_status END AS payment_status,
+         CASE (user_id + event_id) % 30 WHEN 8 THEN 'LOST' ELSE registration_status END AS registration_status FROM d_regs),
+x_cart AS (SELECT CASE cart_id % 20 WHEN 3 THEN NULL WHEN 4 THEN 0 ELSE cart_id END AS cart_id,
+         CASE cart_id % 20 WHEN 1 THEN NULL WHEN 5 THEN -9 ELSE user_id END AS user_id,
+         CASE cart_id % 20 WHEN 0 THEN NULL WHEN 2 THEN -event_id - 1 WHEN 6 THEN 0 ELSE event_id END AS event_id FROM d_cart)
+"""
+
+
+def _dirty(df, by: str, m: int, broken: dict[str, dict[int, object]]):
+    """df with ``broken[column][k]`` (a value or an SQL text) in the rows where ``by`` modulo m is k."""
+    from pyspark.sql import functions as F
+    key = F.expr(f"({by}) % {m}")
+    def column(f):
+        out = F.col(f.name)
+        for k, text in broken.get(f.name, {}).items():
+            out = F.when(key == k, F.expr(text).cast(f.dataType)).otherwise(out)
+        return out.alias(f.name)
+    return df.select(*[column(f) for f in df.schema.fields])
+
+
+@register("constraint_violations_broken", DIRTY_SQL + CONSTRAINT_SQL.replace("FROM d_", "FROM x_"))
+def _constraint_violations_broken(d: Domain):
+    """The same checks over the same tables with rows that break each rule."""
+    users = _dirty(d.users, "user_id", 50, {
+        "user_id": {7: "NULL", 12: "user_id - 1"}, "full_name": {8: "NULL", 11: "repeat('x', 101)"}, "user_type": {10: "'GUEST'"},
+        "email": {9: "'same@example.com'", 13: "NULL", 14: "repeat('y', 101) || user_id"}})
+    sessions = _dirty(d.sessions, "event_id", 40, {
+        "event_id": {15: "NULL", 16: "event_id - 1"}, "event_name": {17: "NULL", 18: "repeat('z', 201)"}, "event_date": {19: "NULL"},
+        "start_time": {5: "'9:00'", 20: "NULL", 21: "'09:00:00 in the morning'"},
+        "end_time": {22: "'noon'", 23: "NULL", 24: "'at the end of the day'"}, "total_seats": {1: "0", 25: "NULL"},
+        "booked_seats": {2: "total_seats + 1", 26: "NULL"}, "ticket_price": {3: "-1", 27: "NULL"}, "event_status": {4: "'DRAFT'", 6: "NULL"}})
+    regs = _dirty(d.registrations, "user_id + event_id", 30, {
+        "reg_id": {6: "NULL", 7: "1"}, "user_id": {4: "NULL", 5: "-5"}, "event_id": {1: "NULL", 2: "-event_id - 1", 3: "0"},
+        "payment_status": {0: "'UNKNOWN'"}, "registration_status": {8: "'LOST'"}})
+    cart = _dirty(d.cart, "cart_id", 20, {
+        "cart_id": {3: "NULL", 4: "0"}, "user_id": {1: "NULL", 5: "-9"}, "event_id": {0: "NULL", 2: "-event_id - 1", 6: "0"}})
+    return Q.constraint_violations(users, sessions, regs, cart)
+
+
 @register("overbooking_violations", """
 SELECT event_id, total_seats, raw_booked AS booked_seats, raw_booked - total_seats AS excess
 FROM d_sessions WHERE raw_booked > total_seats""")

@@ -159,7 +159,9 @@ def test_all_or_nothing_matches_sequential(spark):
             got = K.all_or_nothing(spark.createDataFrame(checkouts, S.CHECKOUTS), spark.createDataFrame(cart, S.CART),
                                    spark.createDataFrame(sessions, S.SESSIONS), spark.createDataFrame(regs, S.REGISTRATIONS),
                                    limit=limit)
-            assert {r.checkout_id: r.status for r in got.collect()} == want, f"trial {trial} limit {limit}"
+            # one row per checkout; those the model never tries (payment, limit, cart already booked) book nothing
+            every = {c[0]: want.get(c[0], "REJECTED") for c in checkouts}
+            assert {r.checkout_id: r.status for r in got.collect()} == every, f"trial {trial} limit {limit}"
 
 
 def test_checkout_sequencing(spark, seed):
@@ -172,3 +174,31 @@ def test_checkout_sequencing(spark, seed):
     assert got == {1: ("FAILED", 0), 2: ("SUCCESS", 2), 3: ("SUCCESS", 0)}
     js = {r.checkout_id: r.message for r in K.validate(co, cart, sessions, regs).collect()}
     assert js == {1: K.MSG_PAYMENT, 2: K.MSG_JS_OK, 3: K.MSG_EMPTY}
+
+
+def test_long_chain_of_checkouts(spark):
+    """Each checkout shares its only free seat with the next one: every second one books, however long the chain."""
+    n = 9
+    sessions = [(e, f"S{e}", dt.date(2024, 1, 1), f"{e + 8:02d}:00", f"{e + 8:02d}:30", 1, Decimal("1.00"), "ACTIVE", 0) for e in range(1, n + 2)]
+    cart = [(10 * u + k, u, u + k, dt.date(2024, 1, 1)) for u in range(1, n + 1) for k in (0, 1)]
+    checkouts = [(u, u, T0 + dt.timedelta(minutes=u), "CARD", True) for u in range(1, n + 1)]
+    frames = (spark.createDataFrame(checkouts, S.CHECKOUTS), spark.createDataFrame(cart, S.CART),
+              spark.createDataFrame(sessions, S.SESSIONS), spark.createDataFrame([], S.REGISTRATIONS))
+    got = {r.checkout_id: r.status for r in K.all_or_nothing(*frames).collect()}
+    assert got == {u: "ACCEPTED" if u % 2 else "REJECTED" for u in range(1, n + 1)}
+
+
+def test_last_seat_is_sold_once(spark):
+    sessions = [(1, "S1", dt.date(2024, 1, 1), "09:00", "10:00", 5, Decimal("2.00"), "ACTIVE", 4)]
+    frames = (spark.createDataFrame([(1, 1, T0, "CARD", True), (2, 2, T0, "CARD", True), (3, 2, T0 + dt.timedelta(1), "CARD", True)], S.CHECKOUTS),
+              spark.createDataFrame([(1, 1, 1, None), (2, 2, 1, None)], S.CART), spark.createDataFrame(sessions, S.SESSIONS),
+              spark.createDataFrame([], S.REGISTRATIONS))
+    dec = K.decision(*frames)
+    assert {r.checkout_id: r.status for r in dec.collect()} == {1: "SUCCESS", 2: "ERROR", 3: "ERROR"}
+    new = K.apply_registrations(dec, frames[0], frames[1], frames[2])
+    assert [(r.booked_after, r.total_seats) for r in K.apply_seats(frames[2], new).collect()] == [(5, 5)]
+    app = {r.checkout_id: r.message for r in K.validate(*frames).collect()}
+    assert app == {1: K.MSG_JS_OK, 2: "Event S1 is fully booked", 3: "Event S1 is fully booked"}
+    import pytest
+    with pytest.raises(Exception, match="Cannot exceed total seat capacity"):
+        K.apply_seats(frames[2], new.unionByName(new)).collect()

@@ -116,3 +116,74 @@ def test_rank_by(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([3, None, 3, 1, 7, 7, 7, 2])], "id long, v long")
     small = {r.id: (r.r, r.d) for r in RK.rank_by(df, F.col("v"), rank_col="r", dense_col="d").collect()}
     assert small[1] == (1, 1) and small[4] == (2, 2) and small[0] == (5, 3) and small[3] == (8, 5)
+
+
+def test_streams_go_on_after_a_stop(spark, tmp_path):
+    """Runs over the same path: each goes on where the last one stopped, and the result is that of one run (R1-R4)."""
+    import pyarrow.parquet as pq
+
+    from seatgrid.sources.domain import Domain
+    from seatgrid.streaming import streams as ST
+
+    src = "/root/testdata/sf0.001"
+    d = Domain(spark, src)
+    ev = pq.read_table(f"{src}/events.parquet").sort_by([("ts", "ascending"), ("event_id", "ascending")])
+    parts = [ev.slice(k, 350) for k in range(0, ev.num_rows, 350)]
+    files = tmp_path / "in"
+    files.mkdir()
+
+    def clicks():
+        return ST.click_stream(spark, str(files), max_files=1)
+
+    runs = {
+        "counts": lambda base: ST.seat_counts(spark, ST.registration_stream(clicks()), base),
+        "audit": lambda base: ST.audit_log(spark, ST.registration_stream(clicks()), base),
+        "waitlist": lambda base: ST.waitlist(spark, ST.registration_stream(clicks()), d.base_sessions, base),
+        "cart": lambda base: ST.cart_dedupe(spark, clicks(), base),
+    }
+    for stop in (2, len(parts)):  # the second round starts after a stop, with more files
+        for i, part in enumerate(parts[:stop]):
+            path = files / f"events_{i:03d}.parquet"
+            if not path.exists():
+                pq.write_table(part, path)
+                os.utime(path, (1_000_000 + i, 1_000_000 + i))
+        got = {k: run(str(tmp_path / k)) for k, run in runs.items()}
+    once = {k: run(str(tmp_path / f"{k}-once")) for k, run in runs.items()}
+    for k in runs:
+        assert sorted(map(repr, got[k].collect())) == sorted(map(repr, once[k].collect())), k
+    assert sorted(map(tuple, got["cart"].collect())) == sorted(map(tuple, d.cart.collect()))
+
+
+def test_damaged_commit_marker_fails_loudly(spark, tmp_path):
+    import glob
+
+    import pytest
+
+    from seatgrid.sources import snapshots
+    base = str(tmp_path / "s")
+    assert snapshots.committed_version(spark, base) is None
+    df = spark.createDataFrame([(1,), (2,)], "a int")
+    assert snapshots.commit(spark, base, {"t": df}) == 0
+    for f in glob.glob(f"{base}/_commits/v=0/*.parquet"):
+        with open(f, "wb") as out:
+            out.write(b"not a table")
+    with pytest.raises(Exception):
+        snapshots.commit(spark, base, {"t": df.limit(0)})
+    assert spark.read.parquet(f"{base}/t/v=0").count() == 2
+
+
+def test_pair_key(spark):
+    from seatgrid.functions.rules import pair_key
+    big = 9_000_000_000
+    rows = [(0, 0), (0, 1), (1, 0), (1, big), (2, 3), (big, big), (big, 0)]
+    got = [int(r[0]) for r in spark.createDataFrame(rows, "a long, b long").select(pair_key(F.col("a"), F.col("b"))).collect()]
+    assert got == [a * 10**19 + b for a, b in rows]
+
+
+def test_defaults_fill_absent_columns_only(spark):
+    from seatgrid.operators import changes as C
+    ins = spark.createDataFrame([(1, 2, 3, None)], "reg_id long, user_id long, event_id long, payment_status string")
+    r = C.apply_defaults(ins, "2024-01-10").first()
+    assert r.payment_status is None and r.registration_status == "CONFIRMED" and str(r.registration_date) == "2024-01-10"
+    pg = C.apply_defaults(ins.drop("payment_status"), "2024-01-10", payment_status="COMPLETED").first()
+    assert pg.payment_status == "COMPLETED"
