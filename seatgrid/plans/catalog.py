@@ -489,7 +489,7 @@ DIRTY_SQL = """
          CASE user_id % 50 WHEN 8 THEN NULL WHEN 11 THEN repeat('x', 101) ELSE full_name END AS full_name,
          CASE user_id % 50 WHEN 9 THEN 'same@example.com' WHEN 13 THEN NULL WHEN 14 THEN repeat('y', 101) || user_id ELSE email END AS email,
          CASE WHEN user_id % 50 = 10 THEN 'GUEST' ELSE user_type END AS user_type FROM d_users),
-x_sessions AS (SELECT CASE event_id % 40 WHEN 15 THEN NULL WHEN 16 THEN event_id - 1 ELSE event_id END AS event_id,
+x_sessions AS (SELECT CASE event_id % 40 WHEN 15 THEN NULL WHEN 29 THEN event_id - 1 ELSE event_id END AS event_id,
          CASE event_id % 40 WHEN 17 THEN NULL WHEN 18 THEN repeat('z', 201) ELSE event_name END AS event_name,
          CASE WHEN event_id % 40 = 19 THEN NULL ELSE event_date END AS event_date,
          CASE event_id % 40 WHEN 5 THEN '9:00' WHEN 20 THEN NULL WHEN 21 THEN '09:00:00 in the morning' ELSE start_time END AS start_time,
@@ -528,7 +528,7 @@ def _constraint_violations_broken(d: Domain):
         "user_id": {7: "NULL", 12: "user_id - 1"}, "full_name": {8: "NULL", 11: "repeat('x', 101)"}, "user_type": {10: "'GUEST'"},
         "email": {9: "'same@example.com'", 13: "NULL", 14: "repeat('y', 101) || user_id"}})
     sessions = _dirty(d.sessions, "event_id", 40, {
-        "event_id": {15: "NULL", 16: "event_id - 1"}, "event_name": {17: "NULL", 18: "repeat('z', 201)"}, "event_date": {19: "NULL"},
+        "event_id": {15: "NULL", 29: "event_id - 1"}, "event_name": {17: "NULL", 18: "repeat('z', 201)"}, "event_date": {19: "NULL"},
         "start_time": {5: "'9:00'", 20: "NULL", 21: "'09:00:00 in the morning'"},
         "end_time": {22: "'noon'", 23: "NULL", 24: "'at the end of the day'"}, "total_seats": {1: "0", 25: "NULL"},
         "booked_seats": {2: "total_seats + 1", 26: "NULL"}, "ticket_price": {3: "-1", 27: "NULL"}, "event_status": {4: "'DRAFT'", 6: "NULL"}})
