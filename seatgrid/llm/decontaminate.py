@@ -7,7 +7,7 @@ distinct five-word shingles that a document holds (at least ``threshold``).
    permutation, bottom-m MinHash), with m = min(floor((1 - threshold) q) + 1, ``MOST_HASHES``) by size
    partition: a document that holds the threshold share of the item lacks at most (1 - threshold) q
    shingles, so with m above that it shares a sketch hash for certain, and with ``MOST_HASHES`` it misses
-   all of them with a chance of at most (1 - threshold) ** MOST_HASHES (2.6e-6 at 0.8; 14 more never hurt).
+   all of them with a chance of at most (1 - threshold) ** MOST_HASHES (2.6e-6 at 0.8).
 2. Every shingle of every document is probed against the sketches. The documents' side is not sketched:
    the part of a long document that a short item covers is arbitrarily small, so any sketch of fixed
    size would lose it. Documents are partitioned by size too: one with fewer shingles than an item

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2_000_000
+PIECE = 1_000_000
 _U = np.uint64
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[ord("0"):ord("9") + 1] = _IS_WORD[ord("a"):ord("z") + 1] = _IS_WORD[0x80:] = True

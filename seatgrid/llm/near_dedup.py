@@ -5,12 +5,15 @@
    else 1. Only shingles above the cut need a table, and there are at most ``RARE`` times the mean document length of
    them, whatever the corpus size; document frequencies are counted over all documents.
 2. ``BANDS`` times ``ROWS`` ICWS samples per document: two documents share a sample with a chance of their weighted
-   Jaccard similarity s, and a band with s ** ROWS, so a pair at 0.8 is missed by all bands with a chance of 0.0008.
+   Jaccard similarity s, and a band with s ** ROWS, so a pair at 0.8 is missed by all bands with a chance of 0.0002.
+   Four bits of each sample make a sketch; a pair at 0.8 agrees in fewer than ``AGREE`` of them with a chance below 1e-6,
+   most pairs below 0.4 do.
 3. Documents are nodes by the digest of their whole text, so exact copies are one node from here on. Within a band's bucket nodes
-   are compared with pivots, not with each other: round by round one, then 8, 64, ... pivots per bucket (the nodes that share the most
-   buckets first). Nodes already in one component need no comparison, and pairs whose total weights differ by more than the
-   similarity allows can't meet it. A bucket is done when what is left of it lies in one component, so no link between components
-   is lost, and a group of n copies costs about n comparisons.
+   are compared with pivots, not with each other: first every node with the best pivot of its buckets (the node that shares the
+   most buckets), then round by round with one, 8, 64, ... pivots of each bucket. Nodes already in one component need no comparison; pairs
+   whose total weights differ by more than the similarity allows, or whose sketches disagree, are out. A bucket is done when
+   what is left of it lies in one component, so no link between components is lost, and a group of n copies costs about n
+   comparisons.
 4. Candidate pairs are verified by the exact weighted Jaccard similarity of the whole texts; links of
    ``SIMILARITY`` or more make components, and every document gets its component's least doc_id as class_id.
 
@@ -23,20 +26,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seatgrid.llm.common import SHINGLE_WORDS, SIMILARITY, keep_rows, text_key, whole_text
+from seatgrid.llm.common import SHINGLE_WORDS, SIMILARITY, keep_rows, small_batches, text_key, whole_text
 from seatgrid.llm.components import connected_components
 from seatgrid.llm.hashing import PIECE, mix, pieces, shingles
 from seatgrid.session import cut_lineage
 
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 16, 4
+AGREE = 35
 RARE = 1000
 FLOOR = 0.7
 PIVOTS = 8
 BUCKET_CHARS = 8_000_000  # text per counting bucket
+HELD = 3_000_000  # shingles a counting task holds before it hands them on
 _U = np.uint64
 
 
@@ -57,14 +63,20 @@ def _distinct(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _count_part(buckets: int):
     """Shingle fingerprints (32 bits) with the documents that hold them, per batch and fingerprint range:
     steps between sorted fingerprints in two halves, the high one almost all zeros, which compresses well."""
-    def run(batches):
+    def grouped(batches):
+        got, held = [], 0
         for batch in batches:
-            got = []
             for _, _, h, at in pieces(batch.column(0)):
                 got.append((_distinct(*shingles(h, at, SHINGLE_WORDS))[1] >> _U(32)).astype(np.uint32))
-            prints, n = np.unique(np.concatenate(got or [np.zeros(0, np.uint32)]), return_counts=True)
-            if not len(prints):
-                continue
+                held += len(got[-1])
+                if held >= HELD:
+                    yield np.unique(np.concatenate(got), return_counts=True)
+                    got, held = [], 0
+        if held:
+            yield np.unique(np.concatenate(got), return_counts=True)
+
+    def run(batches):
+        for prints, n in grouped(batches):
             part = (prints.astype(_U) * _U(buckets)) >> _U(32)
             ids, first = np.unique(part, return_index=True)
             ends = np.append(first[1:], len(prints))
@@ -106,8 +118,9 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows, chars = texts.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     least = max(1, rows // RARE)
     buckets = max(1, (chars or 0) // BUCKET_CHARS)
-    found = texts.mapInArrow(_count_part(buckets), _PART).groupBy("bucket") \
-        .applyInArrow(_frequent(least), "print bigint, df bigint").collect()
+    with small_batches(docs.sparkSession):
+        found = texts.mapInArrow(_count_part(buckets), _PART).groupBy("bucket") \
+            .applyInArrow(_frequent(least), "print bigint, df bigint").collect()
     found.sort(key=lambda r: r["print"])
     cut = max(1.0, rows / RARE)
     df = np.array([r["df"] for r in found], float)
@@ -141,8 +154,8 @@ _GAMMA: list[np.ndarray] = []
 _SALTS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=_U)) | _U(1)
 
 
-def signatures(row: np.ndarray, h: np.ndarray, w: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have a shingle, and their band keys (one line of BANDS each)."""
+def signatures(row: np.ndarray, h: np.ndarray, w: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that have a shingle, their band keys (one line of BANDS each) and their sketches (16 samples to a number)."""
     if not _GAMMA:
         _GAMMA.extend(_tables())
     gamma, log_gamma = _GAMMA
@@ -150,6 +163,7 @@ def signatures(row: np.ndarray, h: np.ndarray, w: np.ndarray, rows: int) -> tupl
     logw = np.log(w).astype(np.float32)
     place = np.arange(len(h), dtype=_U)
     bands = np.empty((len(first), BANDS), np.int64)
+    sketch = np.zeros((len(first), BANDS * ROWS // 16), _U)
     for b in range(BANDS):
         key = np.full(len(first), b + 1, _U)
         for k in range(b * ROWS, (b + 1) * ROWS):
@@ -164,29 +178,37 @@ def signatures(row: np.ndarray, h: np.ndarray, w: np.ndarray, rows: int) -> tupl
             order = (bits ^ ((bits >> 31) & 0x7FFFFFFF)).astype(np.int64) + (1 << 31)  # sorts as the floats do
             at = (np.minimum.reduceat((order.astype(_U) << _U(32)) | place, first) & _U(0xFFFFFFFF)).astype(np.int64) \
                 if len(first) else np.zeros(0, np.int64)
-            key = mix(key * _SALTS[0] + mix(h[at] + t[at].astype(np.int64).astype(_U) * _SALTS[1]))
+            sample = mix(h[at] + t[at].astype(np.int64).astype(_U) * _SALTS[1])
+            sketch[:, k // 16] |= (sample >> _U(60)) << _U(4 * (k % 16))
+            key = mix(key * _SALTS[0] + sample)
         bands[:, b] = key.view(np.int64)
-    return row[first], bands
+    return row[first], bands, sketch.view(np.int64)
+
 
+_SIGNED = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())),
+                        T.StructField("weight", T.DoubleType())])
+_SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 16)]
 
-_SIGNED = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("weight", T.DoubleType())])
+
+def _lists(rows: int, has: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    """One list per row: its line of values, or an empty one for rows without."""
+    n = np.zeros(rows, np.int64)
+    n[has] = values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(values.ravel()))
 
 
 def signer(frequent: tuple[np.ndarray, np.ndarray]):
     @F.arrow_udf(_SIGNED)
     def sign(texts: pa.Array) -> pa.Array:
-        lists, totals = [], []
+        parts = []
         for a, b, h, at in pieces(texts):
             row, own, tf = _distinct(*shingles(h, at, SHINGLE_WORDS))
             w = weights(own, tf, frequent)
-            has, bands = signatures(row, own, w, b - a)
-            n = np.zeros(b - a, np.int64)
-            n[has] = BANDS
-            lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(bands.ravel())))
-            totals.append(np.bincount(row, w, b - a))
-        return pa.StructArray.from_arrays(
-            [pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int64())), pa.array(np.concatenate(totals or [np.zeros(0)]))],
-            ["bands", "weight"])
+            has, bands, sketch = signatures(row, own, w, b - a)
+            parts.append(pa.StructArray.from_arrays(
+                [_lists(b - a, has, bands), _lists(b - a, has, sketch), pa.array(np.bincount(row, w, b - a))], ["bands", "sketch", "weight"]))
+        empty = pa.struct([("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("weight", pa.float64())])
+        return pa.concat_arrays(parts) if parts else pa.array([], empty)
     return sign
 
 
@@ -196,9 +218,7 @@ def signer(frequent: tuple[np.ndarray, np.ndarray]):
 def weighted_jaccard(left: pa.Array, right: pa.Array, frequent) -> np.ndarray:
     """Sum of least over sum of largest weights, text by text (0 where neither has a word)."""
     n, out, a = len(left), np.zeros(len(left)), 0
-    sizes = np.array([(x.as_buffer().size if x.is_valid else 0) + (y.as_buffer().size if y.is_valid else 0)
-                      for x, y in zip(left.cast(pa.large_binary()), right.cast(pa.large_binary()), strict=True)], np.int64)
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sum(pc.binary_length(x.fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64) for x in (left, right)))
     while a < n:
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, "right")))
         rows, hashes, sides = [], [], []
@@ -233,64 +253,84 @@ def comparer(frequent):
 def _links(pairs: DataFrame, texts: DataFrame, frequent, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts meet the similarity. b, the pivot, may be hot: its text goes to the narrow
     pairs first, then each pair to its own a."""
-    nodes = cut_lineage(pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct())
-    own = texts.join(nodes, "n", "left_semi")
-    right = pairs.join(own.select(F.col("n").alias("b"), F.col("text").alias("right")), "b")
-    both = right.join(own.select(F.col("n").alias("a"), F.col("text").alias("left")), "a")
+    nodes = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    own = texts.join(nodes, "id", "left_semi")
+    right = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
+    both = right.join(own.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
     return both.select("a", "b", comparer(frequent)("left", "right").alias("s")).filter(F.col("s") >= similarity).select("a", "b")
 
 
-def link_components(signed: DataFrame, docs: DataFrame, frequent, similarity: float = SIMILARITY) -> DataFrame:
-    """signed: n, weight, bands of each distinct text. (n, c) of every node with a link."""
-    spark = signed.sparkSession
-    rows = signed.select("n", "weight", F.explode("bands").alias("key"))
+def _agreeing(left, right):
+    """How many of the sketches' four-bit pieces are equal."""
+    differ = F.lit(0)
+    for a, b in zip(left, right, strict=True):
+        x = F.col(a).bitwiseXOR(F.col(b))
+        y = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        y = y.bitwiseOR(F.shiftrightunsigned(y, 2))
+        differ = differ + F.bit_count(y.bitwiseAND(F.lit(0x1111111111111111)))
+    return BANDS * ROWS - differ
+
+
+def link_components(nodes: DataFrame, docs: DataFrame, frequent, similarity: float = SIMILARITY) -> DataFrame:
+    """nodes: id, text_key, weight, sketch, bands of each distinct text. (id, c) of every node with a link."""
+    spark = nodes.sparkSession
+    rows = nodes.select("id", "weight", *[F.get("sketch", i).alias(c) for i, c in enumerate(_SKETCH)], F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     rows = cut_lineage(rows.join(sizes, "key"))
-    score = rows.groupBy("n").agg(F.sum("size").alias("score"))
-    live = cut_lineage(rows.join(score, "n").select("key", "n", "weight", "score", F.col("n").alias("c")))
-    keyed = docs.select(text_key().alias("n"), whole_text().alias("text"))
-    texts = cut_lineage(keyed.join(score.select("n"), "n", "left_semi").dropDuplicates(["n"]))
-    done = spark.createDataFrame([], "a binary, b binary")
-    links = done
-    comps = spark.createDataFrame([], "n binary, c binary")
-    pivots = 1
+    score = rows.groupBy("id").agg(F.sum("size").alias("score"))
+    live = cut_lineage(rows.drop("size").join(score, "id").withColumn("c", F.col("id")))
+    shared = score.select("id").join(nodes.select("id", "text_key"), "id")
+    texts = cut_lineage(docs.select(text_key().alias("text_key"), whole_text().alias("text"))
+                        .join(shared, "text_key").dropDuplicates(["id"]).select("id", "text"))
+    hub = [F.col("h.id").alias("b"), F.col("h.score").alias("bscore"), F.col("h.weight").alias("bw"), F.col("h.c").alias("bc"),
+           *[F.col(f"h.{c}").alias(f"b{c}") for c in _SKETCH]]
+    may = (F.col("c") != F.col("bc")) & (F.least("weight", "bw") >= F.greatest("weight", "bw") * (similarity - 1e-9)) \
+        & (_agreeing(_SKETCH, [f"b{c}" for c in _SKETCH]) >= AGREE)
+    done = links = spark.createDataFrame([], "a bigint, b bigint")
+    comps, pivots = None, 0
     while not live.isEmpty():
-        salted = live.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(pivots)))
-        hubs = cut_lineage(salted.groupBy("key", "salt").agg(F.max(F.struct("score", "n", "weight", "c")).alias("h"))
-                           .select("key", F.col("h.n").alias("b"), F.col("h.weight").alias("bw"), F.col("h.c").alias("bc")))
-        alike = F.least("weight", "bw") >= F.greatest("weight", "bw") * (similarity - 1e-9)
-        met = live.join(hubs, "key").filter((F.col("c") != F.col("bc")) & alike).select(F.col("n").alias("a"), "b").distinct()
-        # a pair of pivots meets both ways round; one is enough
-        met = met.join(hubs.select(F.col("b").alias("a")).distinct().withColumn("hub", F.lit(True)), "a", "left") \
-            .filter(F.col("hub").isNull() | (F.col("a") < F.col("b"))).select("a", "b") if pivots > 1 else met
+        salted = live.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(max(1, pivots))))
+        hubs = cut_lineage(salted.groupBy("key", "salt").agg(F.max(F.struct("score", "id", "weight", "c", *_SKETCH)).alias("h"))
+                           .select("key", *hub))
+        met = live.join(hubs, "key").filter(may)
+        if not pivots:  # at first the best pivot of each node
+            met = met.groupBy("id").agg(F.max(F.struct("bscore", "b")).alias("best")).select(F.col("id").alias("a"), "best.b")
+        else:
+            met = met.select(F.col("id").alias("a"), "b").distinct()
         pairs = cut_lineage(met.join(done, ["a", "b"], "left_anti"))
-        links = cut_lineage(links.unionByName(_links(pairs, texts, frequent, similarity)))
+        with small_batches(spark, 200):  # two texts to a row
+            found = cut_lineage(_links(pairs, texts, frequent, similarity))
+        links = cut_lineage(links.unionByName(found))
         done = done.unionByName(pairs)
-        comps = cut_lineage(connected_components(links))
-        rest = live.drop("c").join(hubs.select("key", F.col("b").alias("n")), ["key", "n"], "left_anti") \
-            .join(comps, "n", "left").withColumn("c", F.coalesce("c", "n"))
-        rest = cut_lineage(rest)
+        comps = cut_lineage(connected_components(links).withColumnRenamed("n", "id"))
+        rest = live.drop("c")
+        if pivots:  # these pivots have met all of their buckets
+            rest = rest.join(hubs.select("key", F.col("b").alias("id")), ["key", "id"], "left_anti")
+        rest = cut_lineage(rest.join(comps, "id", "left").withColumn("c", F.coalesce("c", "id")))
         split = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
         live = cut_lineage(rest.join(split, "key", "left_semi"))
-        pivots *= PIVOTS
-    return comps
+        pivots = pivots * PIVOTS or 1
+    return comps if comps is not None else spark.createDataFrame([], "id bigint, c bigint")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document row: doc_id, text_key, class_id, kept."""
     frequent = frequent_shingles(docs)
-    signed = docs.select("doc_id", text_key().alias("n"), signer(frequent)(whole_text()).alias("s"))
-    rows = cut_lineage(signed.select("doc_id", "n", "s.weight", "s.bands"))
-    nodes = rows.groupBy("n").agg(F.min("doc_id").alias("least"), F.max("weight").alias("weight"), F.max("bands").alias("bands"))
-    comps = link_components(nodes.select("n", "weight", "bands"), docs, frequent, similarity)
-    named = rows.select("doc_id", "n").groupBy("n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("least")) \
-        .join(comps, "n", "left").withColumn("c", F.coalesce("c", "n"))
-    named = cut_lineage(named)
+    signed = docs.select("doc_id", text_key().alias("text_key"), signer(frequent)(whole_text()).alias("s"))
+    with small_batches(docs.sparkSession):
+        rows = cut_lineage(signed.select("doc_id", "text_key", "s.weight", "s.sketch", "s.bands"))
+    # the written id stays the same in every later pass
+    nodes = cut_lineage(rows.groupBy("text_key").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"),
+        F.max("weight").alias("weight"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands"))
+        .withColumn("id", F.monotonically_increasing_id()))
+    comps = link_components(nodes, docs, frequent, similarity)
+    named = cut_lineage(nodes.select("id", "text_key", "least").join(comps, "id", "left").withColumn("c", F.coalesce("c", "id")))
     firsts = named.groupBy("c").agg(F.min("least").alias("first"))
-    of_text = named.join(firsts, "c").select("n", "first")
-    out = rows.select("doc_id", "n").join(of_text, "n")
-    return out.select("doc_id", F.col("n").alias("text_key"), F.col("first.doc_id").alias("class_id"),
-                      (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("n") == F.col("first.n"))).alias("kept"))
+    of_text = named.join(firsts, "c").select("text_key", "first")
+    out = rows.select("doc_id", "text_key").join(of_text, "text_key")
+    return out.select("doc_id", "text_key", F.col("first.doc_id").alias("class_id"),
+                      (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
