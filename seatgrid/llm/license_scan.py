@@ -1,7 +1,9 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is one line of a document. A block meets a template when at least ``threshold`` of the
-template's distinct words occur in it (containment |T and B| / |T|). The join is exact and runs as
+A block is one line of a document and, with ``wrapped`` (as the registered query runs), also every run of
+``ceil(words of the template / threshold)`` consecutive words, wherever the lines end, so that a notice broken
+over lines is one block. A block meets a template when at least ``threshold`` of the template's distinct words
+occur in it (containment |T and B| / |T|). The join is exact and runs as
 
 1. token frequencies of the template vocabulary over the whole corpus give one global order
    (rarest first; words outside the vocabulary can never match and count as first);
@@ -9,7 +11,10 @@ template's distinct words occur in it (containment |T and B| / |T|). The join is
    a meeting block holds one of them, so only blocks with a prefix token leave the scan;
 3. the token join keeps pairs that pass the length filter (enough vocabulary words), the block's own
    prefix filter, and the positional filter (tokens left after the first shared one suffice);
-4. the overlap of what is left is counted exactly.
+4. the overlap of what is left is counted exactly;
+5. a document of several lines goes through 1 to 4 as one more block: only where it meets a template as a whole can
+   one of its runs of words do so, and those runs are counted one by one, from each template word on. A run is
+   listed where it holds more of the template than any single line.
 
 Nulls: a null text is an empty one, with no words; a null doc_id stays null. Repeated rows each get
 their own result row. Only ``doc_id`` and ``text`` are read, so further columns cannot clash.
@@ -59,6 +64,11 @@ def needed(n: int, threshold: float) -> int:
     return -(-round(threshold * 1000) * n // 1000)
 
 
+def window_words(text: str, threshold: float) -> int:
+    """Length in words of the runs that may cross line ends: ceil(words / threshold)."""
+    return -(-len(re.findall(r"[a-z0-9]+", text.lower())) * 1000 // round(threshold * 1000))
+
+
 def token_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     """The template vocabulary by its frequency over all documents, rarest first (ties: by token).
 
@@ -84,11 +94,13 @@ def _base_places(words):
     return F.filter(spots, lambda s: s["label"].isNotNull())
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD,
+                  wrapped: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, base array<struct<at, label>>, matches
-    array<struct<label, block, containment>> (block: line number from 0)."""
+    array<struct<label, block, containment>> (block: line number from 0; of a run over line ends, where it starts)."""
     spark = docs.sparkSession
-    tokens = template_tokens(TEMPLATES if templates is None else templates)
+    templates = TEMPLATES if templates is None else templates
+    tokens = template_tokens(templates)
     order = token_order(docs, sorted({t for ts in tokens.values() for t in ts}))
     at = {t: i for i, t in enumerate(order)}
     shape = []  # label, tokens in global order, need
@@ -108,32 +120,56 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     marked = F.transform("lw", lambda ws, i: F.struct(i.alias("block"), ws.alias("ws")))
     blocks = F.when(holds, F.filter(marked, lambda b: F.arrays_overlap(b["ws"], F.array(*[F.lit(t) for t in prefix])))) \
         if prefix else F.lit(None).cast("array<struct<block:int,ws:array<string>>>")
+    placed = F.flatten(F.transform("lw", lambda ws, i: F.transform(ws, lambda t: F.struct(i.alias("line"), t.alias("w")))))
+    spots = F.transform(placed, lambda s, i: F.struct(i.alias("at"), s["line"].alias("line"), s["w"].alias("w")))
+    spots = F.when(holds & (F.size("lw") > 1), F.filter(spots, lambda s: s["w"].isin(order))) \
+        if prefix and wrapped else F.lit(None).cast("array<struct<at:int,line:int,w:string>>")
     # One narrow row per document; the written row id stays the same in every later pass.
     rows = cut_lineage(lines.select(
         F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("words").cast("bigint").alias("n_words"),
-        F.when(ends, _base_places(w)).otherwise(empty).alias("base"), blocks.alias("blocks")))
+        F.when(ends, _base_places(w)).otherwise(empty).alias("base"), blocks.alias("blocks"), spots.alias("spots")))
     if not shape:
         none = F.array().cast("array<struct<label:string,block:int,containment:double>>")
         return rows.select("doc_id", "n_words", "base", none.alias("matches"))
 
     index = spark.createDataFrame(  # template prefix tokens: as many rows as the templates have words
-        [(t, label, p, len(ts), need, ts) for label, ts, need in shape for p, t in enumerate(ts[: len(ts) - need + 1])],
-        "token string, label string, tpos int, tn int, need int, ttokens array<string>")
+        [(t, label, p, len(ts), need, ts, window_words(templates[label], threshold))
+         for label, ts, need in shape for p, t in enumerate(ts[: len(ts) - need + 1])],
+        "token string, label string, tpos int, tn int, need int, ttokens array<string>, win int")
     blocks = rows.select("rid", F.explode("blocks").alias("b")).select(
-        "rid", F.col("b.block").alias("block"),
-        F.array_sort(F.array_distinct(F.filter("b.ws", lambda t: t.isin(order))),
-                     lambda a, b: ranks[a] - ranks[b]).alias("ts"))
+        "rid", F.col("b.block").alias("block"), F.filter("b.ws", lambda t: t.isin(order)).alias("ws"))
+    if wrapped:  # the document as one block, known by the line -1
+        blocks = blocks.unionAll(rows.filter(F.col("spots").isNotNull()).select("rid", F.lit(-1), F.col("spots.w")))
+    blocks = blocks.select("rid", "block", F.array_sort(F.array_distinct("ws"), lambda a, b: ranks[a] - ranks[b]).alias("ts"))
     tokened = blocks.select("rid", "block", "ts", F.size("ts").alias("bn"), F.posexplode("ts").alias("bpos", "token"))
     pairs = tokened.join(index, "token").filter(
         (F.col("bn") >= F.col("need")) & (F.col("bpos") <= F.col("bn") - F.col("need"))) \
         .groupBy("rid", "block", "label").agg(
-            F.min(F.struct("bpos", "tpos", "bn", "tn", "need", "ts", "ttokens")).alias("f")).select(
+            F.min(F.struct("bpos", "tpos", "bn", "tn", "need", "ts", "ttokens", "win")).alias("f")).select(
             "rid", "block", "label", "f.*") \
         .filter(F.least(F.col("bn") - F.col("bpos"), F.col("tn") - F.col("tpos")) >= F.col("need"))  # positional
     overlap = F.size(F.array_intersect("ts", "ttokens"))
-    found = pairs.withColumn("o", overlap).filter(F.col("o") >= F.col("need")) \
-        .groupBy("rid").agg(F.array_sort(F.collect_list(F.struct(
-            "label", "block", (F.col("o") / F.col("tn")).alias("containment")))).alias("found"))
+    met = pairs.withColumn("o", overlap).filter(F.col("o") >= F.col("need"))
+    match = F.struct("label", "block", (F.col("o") / F.col("tn")).alias("containment"))
+    if wrapped:
+        met = cut_lineage(met.select("rid", "block", "label", "o", "tn", "need", "ttokens", "win"))
+        own = met.filter("block = -1").select("rid", "label", "tn", "need", "ttokens", "win").join(rows.select("rid", "spots"), "rid")
+        own = own.withColumn("own", F.filter("spots", lambda s: F.array_contains("ttokens", s["w"])))
+        run = lambda s, i: F.array_distinct(F.transform(F.filter(
+            F.slice("own", i + 1, F.col("win")), lambda u: u["at"] < s["at"] + F.col("win")), lambda u: u["w"]))
+        runs = own.withColumn("best", F.array_max(F.transform("own", lambda s, i: F.struct(
+            F.size(run(s, i)).alias("o"), (-s["line"]).alias("before"))))) \
+            .select("rid", "label", (-F.col("best.before")).alias("block"), F.col("best.o").alias("o"), "tn", "need") \
+            .filter(F.col("o") >= F.col("need"))
+        lines_of = met.filter("block >= 0").select("rid", match.alias("m"), F.lit(False).alias("run"))
+        each = lines_of.unionAll(runs.select("rid", match.alias("m"), F.lit(True).alias("run")))
+        met = each.groupBy("rid").agg(F.collect_list(F.when(~F.col("run"), F.col("m"))).alias("of_lines"),
+                                      F.collect_list(F.when(F.col("run"), F.col("m"))).alias("of_runs"))
+        more = F.filter("of_runs", lambda x: ~F.exists("of_lines", lambda y: (y["label"] == x["label"]) & (
+            y["containment"] >= x["containment"])))
+        found = met.select("rid", F.array_sort(F.concat("of_lines", more)).alias("found"))
+    else:
+        found = met.groupBy("rid").agg(F.array_sort(F.collect_list(match)).alias("found"))
     none = F.array().cast("array<struct<label:string,block:int,containment:double>>")
     return rows.join(found, "rid", "left").select(
         "doc_id", "n_words", "base", F.coalesce("found", none).alias("matches"))

@@ -30,7 +30,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_digest(license_scan.scan_licenses(read_table(spark, sf_dir, "documents")))
+    return license_scan.license_digest(license_scan.scan_licenses(read_table(spark, sf_dir, "documents"), wrapped=True))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Quality rules, license scans and personal data against plain Python."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -120,6 +121,43 @@ def test_license_scan_is_exact(spark):
                   for r in got) == want
 
 
+WRAPPED = [
+    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"),
+    ("bsd", " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the\n"
+            " * following conditions are met"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"),
+    ("gpl,gpl-3.0", "this work is licensed\nunder the gnu general public license version 3"),
+    ("mit", "intro words\nReleased\n\nunder the\nMIT License."), ("mit", "Released under the MIT\nLicense."),
+    ("", "released\n" + "some other words of the text\n" * 3 + "under\n" + "and more of the other words\n" * 3 + "mit license"),
+]
+
+
+def brute_runs(text):
+    """Labels and best containment of lines and of runs of words over line ends."""
+    _, n_base, *_, labels, score = brute_licenses(text)
+    labels, words = set(labels.split(",")) - {""}, ALNUM.findall((text or "").translate(LOWER))
+    for label, tokens in license_scan.template_tokens(license_scan.TEMPLATES).items():
+        n = -(-10 * len(ALNUM.findall(license_scan.TEMPLATES[label].lower())) // 8)
+        o = max((len(set(tokens) & set(words[i:i + n])) for i in range(len(words))), default=0)
+        if 10 * o >= 8 * len(tokens):
+            labels.add(label)
+            score = max(score, o / len(tokens))
+    return ",".join(sorted(labels)), 1.0 if n_base else score
+
+
+def test_license_scan_reads_over_line_ends(spark):
+    assert [brute_runs(t)[0] for _, t in WRAPPED] == [x for x, _ in WRAPPED]
+    rng = random.Random(4)
+    broken = [re.sub(r"[ ]", lambda _: rng.choice([" ", " ", "\n", " extra "]), t) for t in license_scan.TEMPLATES.values() for _ in range(6)]
+    texts = [t for _, t in WRAPPED] + broken + [t for _, t, _ in LICENSED]
+    rows = [(7000 + i, t, "en", "a", 0) for i, t in enumerate(texts)] + data.documents()
+    scan = license_scan.scan_licenses(data.frame(spark, rows, extra=True), wrapped=True)
+    got = license_scan.license_digest(scan).collect()
+    assert sorted(repr((r["doc_id"], r["labels"], r["score"])) for r in got) == sorted(repr((r[0], *brute_runs(r[1]))) for r in rows)
+    at = {r["doc_id"]: [(m["label"], m["block"], m["containment"]) for m in r["matches"]] for r in scan.filter("doc_id in (7004, 7005)").collect()}
+    assert at == {7004: [("mit", 1, 1.0)], 7005: [("mit", 0, 0.8), ("mit", 0, 1.0)]}
+
+
 def test_license_scan_empty(spark):
     assert license_scan.license_digest(license_scan.scan_licenses(data.empty(spark))).count() == 0
 
