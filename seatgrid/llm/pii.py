@@ -2,13 +2,14 @@
 
 Kinds: email, ip, card, phone (always reported once confirmed) and iban, ssn, secret (reported when their score
 reaches ``REPORT``). A proposal is confirmed by its validator: address parts up to 255, Luhn for cards,
-digit counts for phones, mod-97 for IBANs, the issued ranges for social security numbers, mixed
+digit counts for phones, mod-97 and the length of the country for IBANs, the issued ranges for social security numbers, mixed
 characters for secrets. The score starts from the kind's prior and rises when a word that goes with the kind
 stands within ``NEARBY`` code points before the span, or falls when a word that speaks against it does.
 
 Spans are code points, end exclusive. A null or empty text has none. Only ``doc_id`` and the text are read, each row by
 itself, so repeated rows, clashing columns and empty tables need no rule of their own. All patterns run in time
-linear in the text: none retries a run of characters from its middle.
+linear in the text: none retries a run of characters from its middle. An IBAN may be followed by further words of
+capitals and digits, so each word that begins like one is tried by itself, over at most 34 characters without spaces.
 """
 
 from __future__ import annotations
@@ -55,7 +56,14 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# Where one may start, and as many characters as the longest may have.
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}))")
+# Characters of an IBAN by country; countries not listed have no length of their own here.
+IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])"
                     r"|(?<=\")[A-Za-z0-9]{24,64}(?=\")")
@@ -91,6 +99,24 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def ibans(text: str):
+    """IBANs that pass mod-97 and end at a word end, at the length of the country; of a country not listed here, the
+    longest that passes."""
+    m = IBAN.search(text)
+    while m:
+        stops, n = {}, 4  # characters without spaces to place of the end
+        for i in range(m.end(), m.end(1)):
+            n += text[i] != " "
+            if n >= 15 and text[i] != " " and not (text[i + 1:i + 2].isascii() and text[i + 1:i + 2].isalnum()):
+                stops[n] = i + 1
+        own = IBAN_LENGTHS.get(m.group()[:2])
+        tried = [k for k in sorted(stops, reverse=True) if own in (None, k)]
+        stop = next((stops[k] for k in tried if mod97(text[m.start():stops[k]])), None)
+        if stop:
+            yield m.start(), stop
+        m = IBAN.search(text, stop or m.end())
+
+
 def _part_ok(p: str) -> bool:
     p = p.lstrip("0")
     return len(p) <= 3 and int(p or 0) <= 255
@@ -112,9 +138,8 @@ def proposals(text: str):
         for m in PHONE.finditer(text):
             if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in IBAN.finditer(text):
-        if 15 <= len(m.group().replace(" ", "")) <= 34 and mod97(m.group()):
-            yield "iban", m.start(), m.end()
+    for a, b in ibans(text):
+        yield "iban", a, b
     for m in SSN.finditer(text):
         a, b, c = m.group().split("-")
         if a not in ("000", "666") and a < "900" and b != "00" and c != "0000":

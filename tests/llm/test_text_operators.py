@@ -202,6 +202,26 @@ def test_pii_validators():
     assert near["score"] > far["score"]
 
 
+IBANS = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32",
+         "NO9386011117947", "MT84MALT011000012345MTLCAST001S"]
+
+
+@pytest.mark.parametrize("iban", IBANS)
+@pytest.mark.parametrize("after", ["", " BIC COBADEFF", " 2024", " I wrote", " A", " COBADEFFXXX 12 AND MORE OF THE SAME LINE", ", 5", " x",
+                                   " XY12 3456 7890 1234 5678"])
+def test_pii_iban_before_capitals_and_digits(iban, after):
+    for before in ("", "IBAN ", "AB12 3456 7890 1235 "):
+        found = [(before + iban + after)[b:e] for k, b, e in pii.proposals(before + iban + after) if k == "iban"]
+        assert found == [iban]
+
+
+def test_pii_ibans_in_a_row():
+    text = " ".join(IBANS)
+    assert [text[b:e] for k, b, e in pii.proposals(text) if k == "iban"] == IBANS
+    assert list(pii.ibans("DE89370400440532013000COBADEFF DE88370400440532013000 2024 DE89370400440532013000é")) == [(59, 81)]
+    assert list(pii.ibans("AB12" * 50_000 + " AB12 3456" * 50_000)) == list(pii.ibans("AB12 3456" + " AB12 3456" * 50_000))
+
+
 def test_pii_digest(spark):
     rows = [(i, t, "en", "a", 0) for i, t in enumerate(PERSONAL)] + data.documents()
     got = pii.pii_digest(pii.find_pii(data.frame(spark, rows, extra=True))).collect()
