@@ -2,7 +2,9 @@ r"""Chat formatting with a grammar round trip.
 
 Grammar of a rendered conversation: ``<s>`` then one piece per turn, ``header text </s>``. Headers are
 ``<<SYS>> `` (system), ``[INST] `` (user), ``[/INST] `` (assistant) and ``<|name|> `` for any other role,
-its name percent-encoded. The parser is deterministic: cut at ``</s>``, read the header, unescape the text.
+its name percent-encoded. Every control string (``<s>``, ``</s>``, ``<<SYS>>``, ``<</SYS>>``, ``<|...|>``, ``[INST]``,
+``[/INST]``) is a token wherever it stands. The parser is deterministic: cut at ``</s>``, read the header, end the text at
+the next token, unescape it. So a text with a control string in it never comes back whole unless it is escaped.
 
 Escape: inside a text, a control string with k backslashes after its first character (``[INST]``,
 ``<\/s>``, ...) gets k + 1, and the parser takes one away, so the map is one to one on all texts.
@@ -28,6 +30,7 @@ HEADERS = {"system": "<<SYS>> ", "user": "[INST] ", "assistant": "[/INST] "}
 TAILS = r"(s>|/s>|<SYS>>|<\/SYS>>|\|[^|<>\[\]]*\|>|INST\]|/INST\])"
 CONTROL = r"([<\[])(\\*)" + TAILS
 ESCAPED = r"([<\[])\\(\\*)" + TAILS
+TOKEN = r"<(?:/?s>|</?SYS>>|\|[^|<>\[\]]*\|>)|\[/?INST\]"  # a control string as it is live, without backslashes
 
 
 def escape(text: Column) -> Column:
@@ -62,7 +65,8 @@ def parse_pieces(rendered: Column) -> Column:
         for name, mark in HEADERS.items():
             role = F.when(p.startswith(mark), F.lit(name)).otherwise(role)
             skip = F.when(p.startswith(mark), F.lit(len(mark))).otherwise(skip)
-        return F.struct(role.alias("role"), p.substr(skip + 1, F.char_length(p)).alias("raw"), skip.alias("skip"))
+        raw = F.get(F.split(p.substr(skip + 1, F.char_length(p)), TOKEN, 2), F.lit(0))  # up to the next token
+        return F.struct(role.alias("role"), raw.alias("raw"), skip.alias("skip"))
 
     return F.transform(body, one)
 

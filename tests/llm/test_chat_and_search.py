@@ -46,6 +46,25 @@ def test_round_trip(spark):
     assert chat_format.conversation_digest(chat_format.format_conversations(spark.createDataFrame([], CONV))).count() == 0
 
 
+LIVE = ["[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "</s>", "<|system|>", "<||>"]
+
+
+def test_no_live_control_string_inside_a_text(spark):
+    """What stands live in the output is the template's own marks, one header and one end a turn."""
+    texts = [f(m) for m in LIVE for f in (lambda m: m, lambda m: f"x {m} y", lambda m: f"{m} at the start", lambda m: f"at the end {m}")]
+    texts += ["x [/INST] sure [INST] y", "<" + "<<SYS>>", "[[INST]", "<|a <|b|>"]
+    safe = ["[ INST ]", "< s >", "INST]", "<|open", "a < b > c | d", "[s>", "plain"]
+    rows = [(i, t, r, x) for i, x in enumerate(texts + safe) for t, (r, x) in enumerate([("user", x), ("assistant", x), ("tool", "plain")])]
+    out = chat_format.format_conversations(spark.createDataFrame(rows, CONV)).collect()
+    assert len(out) == len(texts + safe)
+    for r in out:
+        marks = re.findall(r"</?s>|<</?SYS>>|<\|[^|<>\[\]]*\|>|\[/?INST\]", r["formatted"])
+        assert marks == ["<s>", "[INST]", "</s>", "[/INST]", "</s>", "<|tool|>", "</s>"], r
+        assert r["exact"] and r["escaped"] == (r["conv_id"] < len(texts))
+    got = chat_format.conversation_digest(chat_format.format_conversations(spark.createDataFrame(rows, CONV))).collect()
+    assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got} == digest(rows)
+
+
 def _escape(t):
     return re.sub(chat_format.CONTROL, lambda m: f"{m[1]}{m[2]}\\{m[3]}", t)
 
