@@ -3,7 +3,7 @@
 A block is one line of a document and, with ``wrapped`` (as the registered query runs), also every run of
 ``ceil(words of the template / threshold)`` consecutive words, wherever the lines end, so that a notice broken
 over lines is one block. A block meets a template when at least ``threshold`` of the template's distinct words
-occur in it (containment |T and B| / |T|). The join is exact and runs as
+occur in it (containment |T and B| / |T|), among them those that tell it from other licenses (``REQUIRED``). The join is exact and runs as
 
 1. token frequencies of the template vocabulary over the whole corpus give one global order
    (rarest first; words outside the vocabulary can never match and count as first);
@@ -55,6 +55,16 @@ TEMPLATES = {
 }
 
 
+# Words without which a block is another license's, whatever its containment.
+REQUIRED = {
+    "apache-2.0": ["apache", "2"],
+    "cc-by-nc-4.0": ["cc", "nc", "4"],
+    "gpl-3.0": ["general", "public", "3"],
+    "mit": ["mit"],
+    "mpl-2.0": ["mozilla", "2"],
+}
+
+
 def template_tokens(templates: dict[str, str]) -> dict[str, list[str]]:
     return {k: sorted(set(re.findall(r"[a-z0-9]+", v.lower()))) for k, v in templates.items()}
 
@@ -99,6 +109,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     """One row per document: doc_id, n_words, base array<struct<at, label>>, matches
     array<struct<label, block, containment>> (block: line number from 0; of a run over line ends, where it starts)."""
     spark = docs.sparkSession
+    must = REQUIRED if templates is None else {}
     templates = TEMPLATES if templates is None else templates
     tokens = template_tokens(templates)
     order = token_order(docs, sorted({t for ts in tokens.values() for t in ts}))
@@ -133,9 +144,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
         return rows.select("doc_id", "n_words", "base", none.alias("matches"))
 
     index = spark.createDataFrame(  # template prefix tokens: as many rows as the templates have words
-        [(t, label, p, len(ts), need, ts, window_words(templates[label], threshold))
+        [(t, label, p, len(ts), need, ts, window_words(templates[label], threshold), must.get(label, []))
          for label, ts, need in shape for p, t in enumerate(ts[: len(ts) - need + 1])],
-        "token string, label string, tpos int, tn int, need int, ttokens array<string>, win int")
+        "token string, label string, tpos int, tn int, need int, ttokens array<string>, win int, must array<string>")
     blocks = rows.select("rid", F.explode("blocks").alias("b")).select(
         "rid", F.col("b.block").alias("block"), F.filter("b.ws", lambda t: t.isin(order)).alias("ws"))
     if wrapped:  # the document as one block, known by the line -1
@@ -145,20 +156,22 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     pairs = tokened.join(index, "token").filter(
         (F.col("bn") >= F.col("need")) & (F.col("bpos") <= F.col("bn") - F.col("need"))) \
         .groupBy("rid", "block", "label").agg(
-            F.min(F.struct("bpos", "tpos", "bn", "tn", "need", "ts", "ttokens", "win")).alias("f")).select(
+            F.min(F.struct("bpos", "tpos", "bn", "tn", "need", "ts", "ttokens", "win", "must")).alias("f")).select(
             "rid", "block", "label", "f.*") \
         .filter(F.least(F.col("bn") - F.col("bpos"), F.col("tn") - F.col("tpos")) >= F.col("need"))  # positional
     overlap = F.size(F.array_intersect("ts", "ttokens"))
-    met = pairs.withColumn("o", overlap).filter(F.col("o") >= F.col("need"))
+    met = pairs.withColumn("o", overlap).filter((F.col("o") >= F.col("need")) & (F.size(F.array_except("must", "ts")) == 0))
     match = F.struct("label", "block", (F.col("o") / F.col("tn")).alias("containment"))
     if wrapped:
-        met = cut_lineage(met.select("rid", "block", "label", "o", "tn", "need", "ttokens", "win"))
-        own = met.filter("block = -1").select("rid", "label", "tn", "need", "ttokens", "win").join(rows.select("rid", "spots"), "rid")
+        met = cut_lineage(met.select("rid", "block", "label", "o", "tn", "need", "ttokens", "win", "must"))
+        own = met.filter("block = -1").select("rid", "label", "tn", "need", "ttokens", "win", "must").join(rows.select("rid", "spots"), "rid")
         own = own.withColumn("own", F.filter("spots", lambda s: F.array_contains("ttokens", s["w"])))
         run = lambda s, i: F.array_distinct(F.transform(F.filter(
             F.slice("own", i + 1, F.col("win")), lambda u: u["at"] < s["at"] + F.col("win")), lambda u: u["w"]))
-        runs = own.withColumn("best", F.array_max(F.transform("own", lambda s, i: F.struct(
-            F.size(run(s, i)).alias("o"), (-s["line"]).alias("before"))))) \
+        runs = own.withColumn("runs", F.transform("own", lambda s, i: F.struct(run(s, i).alias("ws"), s["line"].alias("line")))) \
+            .withColumn("runs", F.filter("runs", lambda x: F.size(F.array_except("must", x["ws"])) == 0)) \
+            .withColumn("best", F.array_max(F.transform("runs", lambda x: F.struct(
+                F.size(x["ws"]).alias("o"), (-x["line"]).alias("before"))))) \
             .select("rid", "label", (-F.col("best.before")).alias("block"), F.col("best.o").alias("o"), "tn", "need") \
             .filter(F.col("o") >= F.col("need"))
         lines_of = met.filter("block >= 0").select("rid", match.alias("m"), F.lit(False).alias("run"))

@@ -158,6 +158,20 @@ def test_license_scan_reads_over_line_ends(spark):
     assert at == {7004: [("mit", 1, 1.0)], 7005: [("mit", 0, 0.8), ("mit", 0, 1.0)]}
 
 
+OTHERS = ["Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.", "Released under the Apache License.",
+          "This work is licensed under the GNU General Public License, version 2.", "Licensed under the Apache License, Version 1.0.",
+          "This work is licensed\nunder the GNU General Public License, version 2.", "Released under\nthe Apache License."]
+
+
+def test_license_scan_tells_other_licenses_apart(spark):
+    own = ["Licensed under the Apache License, Version 2.", "Released under MIT License.", "work is licensed under the GNU General\nPublic License, version 3"]
+    rows = [(7000 + i, t, "en", "a", 0) for i, t in enumerate(OTHERS + own)]
+    for wrapped in (False, True):
+        scan = license_scan.scan_licenses(data.frame(spark, rows), wrapped=wrapped).orderBy("doc_id").collect()
+        got = [",".join(sorted({m["label"] for m in r["matches"]})) for r in scan]
+        assert got == [""] * len(OTHERS) + ["apache-2.0", "mit", "gpl-3.0" if wrapped else ""]
+
+
 def test_license_scan_empty(spark):
     assert license_scan.license_digest(license_scan.scan_licenses(data.empty(spark))).count() == 0
 
