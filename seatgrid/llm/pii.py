@@ -4,7 +4,8 @@ Kinds: email, ip, card, phone (always reported once confirmed) and iban, ssn, se
 reaches ``REPORT``). A proposal is confirmed by its validator: address parts up to 255, Luhn for cards,
 digit counts for phones, mod-97 and the length of the country for IBANs, the issued ranges for social security numbers, mixed
 characters for secrets. The score starts from the kind's prior and rises when a word that goes with the kind
-stands within ``NEARBY`` code points before the span, or falls when a word that speaks against it does.
+stands within ``NEARBY`` code points before or after the span, or falls when a word that speaks against it stands before
+(after the span such a word mostly names what follows). A word that reaches out of the window counts whole.
 
 Spans are code points, end exclusive. A null or empty text has none. Only ``doc_id`` and the text are read, each row by
 itself, so repeated rows, clashing columns and empty tables need no rule of their own. All patterns run in time
@@ -151,13 +152,24 @@ def proposals(text: str):
 
 
 WORDS = re.compile(r"[a-z0-9]+")
+LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def nearby(text: str, start: int, stop: int) -> tuple[set[str], set[str]]:
+    """Words before and after a span, those at the far ends of the windows whole."""
+    a, b = max(0, start - NEARBY), min(len(text), stop + NEARBY)
+    while 0 < a < start and text[a] in LETTERS and text[a - 1] in LETTERS:
+        a -= 1
+    while stop < b < len(text) and text[b - 1] in LETTERS and text[b] in LETTERS:
+        b += 1
+    return set(WORDS.findall(text[a:start].lower())), set(WORDS.findall(text[stop:b].lower()))
 
 
 def scored(text: str) -> list[dict]:
     out = []
     for kind, a, b in proposals(text):
-        near = set(WORDS.findall(text[max(0, a - NEARBY):a].lower()))
-        score = PRIOR[kind] + RAISE * len(near.intersection(FOR[kind])) - LOWER * len(near.intersection(AGAINST[kind]))
+        before, after = nearby(text, a, b)
+        score = PRIOR[kind] + RAISE * len((before | after).intersection(FOR[kind])) - LOWER * len(before.intersection(AGAINST[kind]))
         score = min(1.0, max(0.05, score))
         if kind in BASE_KINDS or score >= REPORT:
             out.append({"kind": kind, "start": a, "stop": b, "score": score})

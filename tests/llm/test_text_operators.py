@@ -236,6 +236,16 @@ def test_pii_ibans_in_a_row():
     assert list(pii.ibans("AB12" * 50_000 + " AB12 3456" * 50_000)) == list(pii.ibans("AB12 3456" + " AB12 3456" * 50_000))
 
 
+@pytest.mark.parametrize("text, found", [
+    ("123-45-6789 (SSN)", True), ("123-45-6789 is my social security number", True), ("123-45-6789", False),
+    ("123-45-6789 " + "x" * 39 + " ssn", False), ("123-45-6789 " + "x " * 18 + "security", True),
+    ("security " + "x " * 17 + "123-45-6789", True), ("reorder ssn " + "x " * 16 + "123-45-6789", True),
+    ("SSN 123-45-6789, order 5", True), ("order 123-45-6789 (SSN)", False), ("a" * 200_000 + " 123-45-6789 " + "b" * 200_000, False),
+])
+def test_pii_context_on_both_sides(text, found):
+    assert any(s["kind"] == "ssn" for s in pii.scored(text)) == found
+
+
 def test_pii_digest(spark):
     rows = [(i, t, "en", "a", 0) for i, t in enumerate(PERSONAL)] + data.documents()
     got = pii.pii_digest(pii.find_pii(data.frame(spark, rows, extra=True))).collect()
