@@ -5,8 +5,8 @@ Two zstandard dictionaries are trained, one from text labelled good, one from te
 (size with the bad dictionary - size with the good one) / (bytes + ``DAMP``). Isotonic regression of the label on it, over
 labelled rows that trained no dictionary, turns it into a calibrated score, read off by linear interpolation.
 
-Fitting takes at most ``FIT_ROWS`` labelled rows (those with the smallest seeded hash of doc_id: a fixed random sample, a documented bound)
-in one task: of the crc32 folds modulo 5, 1 to 3 train the dictionaries, 4 calibrates, 0 is held out. Scoring covers
+Fitting takes at most ``FIT_ROWS`` labelled rows (labels with the smallest seeded hash of doc_id, and where their
+doc_ids repeat, rows with the smallest seeded hash: a fixed random sample, a documented bound) in one task: of the crc32 folds modulo 5, 1 to 3 train the dictionaries, 4 calibrates, 0 is held out. Scoring covers
 every row.
 
 Only the texts enter a score. Null texts are empty, with a feature of 0. Rows with a null label or id are not learnt from; without
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seatgrid.llm.common import whole_text
-from seatgrid.llm.toxicity import fold, held_out
+from seatgrid.llm.toxicity import bounded, fold, held_out
 from seatgrid.session import cut_lineage
 
 PIECE = 1024
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, most_rows: int = FIT_ROW
                 F.xxhash64(F.lit(SEED), "doc_id").alias("_mix"))
     chosen = cut_lineage(known.orderBy("_mix", "doc_id", "label").limit(most_rows))  # the documented bound
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
-    learnt = rows.groupBy(F.lit(0).alias("g")).applyInArrow(_learn, _MODEL).collect()  # one model row
+    learnt = bounded(rows, most_rows).groupBy(F.lit(0).alias("g")).applyInArrow(_learn, _MODEL).collect()  # one model row
     return learnt[0].asDict() if learnt else None
 
 

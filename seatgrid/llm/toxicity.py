@@ -5,8 +5,8 @@ halves of ``2 ** BITS`` coordinates, and a bias. Weights are learnt online: each
 and L1 keeps a weight at exactly 0 until its gradients add up, so the model is a short list of (coordinate,
 weight), cheap to send to every task.
 
-Fitting takes at most ``TRAIN_ROWS`` labelled rows (those with the smallest seeded hash of doc_id: a fixed
-random sample, a documented bound), read by one task in ``EPOCHS`` passes. Scoring covers every row.
+Fitting takes at most ``TRAIN_ROWS`` labelled rows (labels with the smallest seeded hash of doc_id, and where their
+doc_ids repeat, rows with the smallest seeded hash: a fixed random sample, a documented bound), read by one task in ``EPOCHS`` passes. Scoring covers every row.
 
 Only the texts enter a score. Null texts are empty and score by the bias. Rows with a null label or id are not
 learnt from; if there is no labelled row, every score is ``NO_MODEL``. Repeated rows count each time. Only ``doc_id`` and ``text`` are
@@ -93,13 +93,21 @@ def _learn(t: pa.Table) -> pa.Table:
     return pa.table({"at": at.astype(np.int32), "w": w})
 
 
+def bounded(rows: DataFrame, most_rows: int) -> DataFrame:
+    """At most ``most_rows`` of the rows, those with the least seeded hash; each copy of a repeated row has one of its
+    own, so that a doc_id on many rows takes its share of the bound and not the place of all others."""
+    copies = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("_n", F.lit(most_rows).cast("bigint")))))
+    return copies.orderBy(F.xxhash64(F.lit(SEED), *rows.columns, "_copy"), *rows.columns, "_copy").limit(most_rows).select(*rows.columns)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, most_rows: int = TRAIN_ROWS) -> list[tuple[int, float]]:
     """The sparse weights, learnt from labelled rows outside the held-out fold; empty without any."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))) \
         .select("doc_id", F.col(label).cast("int").alias("label"), F.xxhash64(F.lit(SEED), "doc_id").alias("_mix"))
     chosen = cut_lineage(known.orderBy("_mix", "doc_id", "label").limit(most_rows))  # the documented bound
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
-    learnt = rows.groupBy(F.lit(0).alias("g")).applyInArrow(_learn, _WEIGHTS)
+    learnt = bounded(rows, most_rows).groupBy(F.lit(0).alias("g")).applyInArrow(_learn, _WEIGHTS)
     return [(r["at"], r["w"]) for r in learnt.collect()]  # at most 2 ** BITS + 1 weights, most of them 0 and left out
 
 

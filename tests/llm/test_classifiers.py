@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from seatgrid.llm import quality_classifier, toxicity
 
@@ -74,6 +75,33 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark):
         assert a == b
 
 
+def _seen_toxic(t):
+    ids = t["doc_id"].to_pylist()
+    return pa.table({"at": pa.array(ids, pa.int32()), "w": pa.array([1.0] * len(ids))})
+
+
+def _seen_quality(t):
+    ids = [float(i) for i in t["doc_id"].to_pylist()]
+    return pa.Table.from_pylist([{"good": b"", "bad": b"", "x": ids, "y": ids}], pa.schema([
+        ("good", pa.binary()), ("bad", pa.binary()), ("x", pa.list_(pa.float64())), ("y", pa.list_(pa.float64()))]))
+
+
+def test_bound_holds_for_rows_of_a_repeated_id(spark, monkeypatch):
+    """A labelled doc_id on a third of the rows, half of them copies, goes into the fit within the row bound, and so do others."""
+    monkeypatch.setattr(toxicity, "_learn", _seen_toxic)
+    monkeypatch.setattr(quality_classifier, "_learn", _seen_quality)
+    learn = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:100]
+    rows = [(i, f"text {i}", "en", "a", 0) for i in learn]
+    hot = rows + [(learn[0], f"text {k if k % 2 else 0}", "en", "a", 0) for k in range(50)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in learn], LABELS)
+    for table, most in ((rows, 100), (hot, 100), (hot, 1000)):
+        toxic = [a for a, _ in toxicity.fit(data.frame(spark, table), labels, "toxic", most)]
+        quality = [int(x) for x in quality_classifier.fit(data.frame(spark, table), labels, "quality", most)["x"]]
+        for ids in (toxic, quality):
+            assert len(ids) == min(len(table), most)
+            assert len(set(ids)) >= 50 and (len(table) > most or sorted(ids) == sorted(r[0] for r in table))
+
+
 def test_ftrl_step_by_step():
     """The learner against the plain per-coordinate formula."""
     rng = random.Random(6)
