@@ -17,7 +17,9 @@ from seatgrid.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    run_dedup,
     sharding,
+    token_alignment,
     toxicity,
 )
 from seatgrid.llm.common import read_table
@@ -68,10 +70,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(read_table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.contract_rows(read_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
 
 
+def op13_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -83,7 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_token_alignment": op11_token_alignment,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_run_dedup": op13_run_dedup,
 }
 
 ORACLE: dict[str, str] = {
