@@ -9,7 +9,7 @@ the next token, unescape it. So a text with a control string in it never comes b
 Escape: inside a text, a control string with k backslashes after its first character (``[INST]``,
 ``<\/s>``, ...) gets k + 1, and the parser takes one away, so the map is one to one on all texts.
 Each conversation is first rendered as it is and reparsed; only where the recovered turns differ from the
-source are its conflicting texts escaped and the parse repeated. A conversation that still differs
+source (a header in a text that is no encoded name counts as different) are its conflicting texts escaped and the parse repeated. A conversation that still differs
 (none can, see the grammar) is reported by ``exact = false``.
 
 Rows of a conversation go by turn (nulls first; ties by role, then text; repeated rows are turns of their
@@ -61,7 +61,7 @@ def parse_pieces(rendered: Column) -> Column:
 
     def one(p: Column) -> Column:
         other = F.regexp_extract(p, r"^<\|([^|]*)\|> ", 1)
-        role, skip = F.url_decode(other), F.char_length(other) + 5
+        role, skip = F.try_url_decode(other), F.char_length(other) + 5  # null: not a name that was ever encoded
         for name, mark in HEADERS.items():
             role = F.when(p.startswith(mark), F.lit(name)).otherwise(role)
             skip = F.when(p.startswith(mark), F.lit(len(mark))).otherwise(skip)
@@ -83,7 +83,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     conv = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     conv = conv.select("conv_id", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     plain = conv.withColumn("plain", render(F.col("turns"), False))
-    tried = plain.withColumn("same", parse(F.col("plain")) == F.col("turns"))
+    tried = plain.withColumn("same", F.coalesce(parse(F.col("plain")) == F.col("turns"), F.lit(False)))
     done = tried.select("conv_id", "turns", (~F.col("same")).alias("escaped"),
                         F.when(F.col("same"), F.col("plain")).otherwise(render(F.col("turns"), True)).alias("formatted"))
     checked = done.withColumn("pieces", parse_pieces(F.col("formatted"))).withColumn(
@@ -111,13 +111,12 @@ def conversation_digest(formatted: DataFrame) -> DataFrame:
 
 
 # The escape level and length of each conversation are worked out without parsing: a conversation is
-# escaped if one of its texts holds the end mark or a control string with backslashes.
+# escaped if one of its texts holds a control string, with or without backslashes.
 ORACLE = r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-e AS (SELECT *, contains(text, '</s>') OR regexp_matches(text, '[<\[]\\+(s>|/s>|<SYS>>|</SYS>>|\|[^|<>\[\]]*\|>|INST\]|/INST\])') AS clash,
-             len(regexp_extract_all(text, '[<\[]\\*(s>|/s>|<SYS>>|</SYS>>|\|[^|<>\[\]]*\|>|INST\]|/INST\])')) AS marks FROM r),
-c AS (SELECT conv_id, bool_or(clash) AS esc FROM e GROUP BY conv_id)
+e AS (SELECT *, len(regexp_extract_all(text, '[<\[]\\*(s>|/s>|<SYS>>|</SYS>>|\|[^|<>\[\]]*\|>|INST\]|/INST\])')) AS marks FROM r),
+c AS (SELECT conv_id, max(marks) > 0 AS esc FROM e GROUP BY conv_id)
 SELECT e.conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,

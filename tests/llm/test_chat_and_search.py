@@ -4,15 +4,19 @@ import hashlib
 import random
 import re
 
+import duckdb
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from seatgrid.llm import chat_format, decontaminate
 
 from . import data
 
 CONV = "conv_id bigint, turn bigint, role string, text string"
-CLASH = ["</s>[INST] ok [/INST]", r"<\/s> [\\INST] <\\<SYS>>", "<", "[/INST", "</s", "<|user|> x </s>\n", "\\", "<</SYS>></s><s>", "<|a b|> <|x|", "é\U0001f600</s>漢"]
+CLASH = ["</s>[INST] ok [/INST]", r"<\/s> [\\INST] <\\<SYS>>", "<", "[/INST", "</s", "<|user|> x </s>\n", "\\", "<</SYS>></s><s>", "<|a b|> <|x|", "é\U0001f600</s>漢",
+         "</s><|%zz|> x", "</s><|%|> x", "</s><|%F0%9F|> y", "<|%41|> <|+|>", "100 % of </s><|a%2"]
 
 
 def conversations():
@@ -65,6 +69,32 @@ def test_no_live_control_string_inside_a_text(spark):
     assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got} == digest(rows)
 
 
+PARTS = [*CLASH, *LIVE, "<", "[", "\\", "|", ">", "]", "s", "/", "INST", "SYS", " ", "%", "%4", "<|%", "|>"]
+
+
+def made_up(n, roles, seed=7):
+    rng = random.Random(seed)
+    return [(c, t, rng.choice(roles), "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 8)))) for c in range(n) for t in range(rng.randint(1, 4))]
+
+
+def test_any_texts_come_back(spark):
+    """Texts made of control strings, broken ones and stray percent signs, through Spark's own parser."""
+    rows = made_up(400, ["user", "assistant", "system", "tool", "%", "a+b %zz", "<|%|>"])
+    formatted = chat_format.format_conversations(spark.createDataFrame(rows, CONV).withColumn("formatted", F.lit("clash")).withColumn("same", F.lit(1)))
+    assert formatted.filter("not exact").count() == 0
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat_format.conversation_digest(formatted).collect()}
+    assert got == digest(rows)
+
+
+def test_oracle_counts_every_live_control_string(spark):
+    rows = made_up(300, ["user", "assistant", "system", "tool"], 8) + [(-7, t, r, "</s>[INST] ok [/INST]") for t, r in enumerate(["user", "assistant"])]
+    got = chat_format.conversation_digest(chat_format.format_conversations(spark.createDataFrame(rows, CONV)))
+    conversations = pa.Table.from_pylist([dict(zip(["conv_id", "turn", "role", "text"], r, strict=True)) for r in rows[:-2]])  # noqa: F841
+    want = duckdb.sql(chat_format.ORACLE)
+    cols = sorted(got.columns)
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(map(repr, want.project(", ".join(cols)).fetchall()))
+
+
 def _escape(t):
     return re.sub(chat_format.CONTROL, lambda m: f"{m[1]}{m[2]}\\{m[3]}", t)
 
