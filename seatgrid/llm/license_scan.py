@@ -3,7 +3,8 @@
 A block is one line of a document and, with ``wrapped`` (as the registered query runs), also every run of
 ``ceil(words of the template / threshold)`` consecutive words, wherever the lines end, so that a notice broken
 over lines is one block. A block meets a template when at least ``threshold`` of the template's distinct words
-occur in it (containment |T and B| / |T|), among them those that tell it from other licenses (``REQUIRED``). The join is exact and runs as
+occur in it (containment |T and B| / |T|); every meeting block is a match. A match is ``confirmed`` if the block also holds the words that
+tell the license from others (``REQUIRED``). The join is exact and runs as
 
 1. token frequencies of the template vocabulary over the whole corpus give one global order
    (rarest first; words outside the vocabulary can never match and count as first);
@@ -14,7 +15,7 @@ occur in it (containment |T and B| / |T|), among them those that tell it from ot
 4. the overlap of what is left is counted exactly;
 5. a document of several lines goes through 1 to 4 as one more block: only where it meets a template as a whole can
    one of its runs of words do so, and those runs are counted one by one, from each template word on. A run is
-   listed where it holds more of the template than any single line.
+   listed where it holds more of the template than any single line, or is confirmed where no line is.
 
 Nulls: a null text is an empty one, with no words; a null doc_id stays null. Repeated rows each get
 their own result row. Only ``doc_id`` and ``text`` are read, so further columns cannot clash.
@@ -55,7 +56,7 @@ TEMPLATES = {
 }
 
 
-# Words without which a block is another license's, whatever its containment.
+# Words without which a matching block may be another license's: such a match is listed but not confirmed.
 REQUIRED = {
     "apache-2.0": ["apache", "2"],
     "cc-by-nc-4.0": ["cc", "nc", "4"],
@@ -107,7 +108,7 @@ def _base_places(words):
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD,
                   wrapped: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, base array<struct<at, label>>, matches
-    array<struct<label, block, containment>> (block: line number from 0; of a run over line ends, where it starts)."""
+    array<struct<label, block, containment, confirmed>> (block: line number from 0; of a run over line ends, where it starts)."""
     spark = docs.sparkSession
     must = REQUIRED if templates is None else {}
     templates = TEMPLATES if templates is None else templates
@@ -140,7 +141,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
         F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("words").cast("bigint").alias("n_words"),
         F.when(ends, _base_places(w)).otherwise(empty).alias("base"), blocks.alias("blocks"), spots.alias("spots")))
     if not shape:
-        none = F.array().cast("array<struct<label:string,block:int,containment:double>>")
+        none = F.array().cast("array<struct<label:string,block:int,containment:double,confirmed:boolean>>")
         return rows.select("doc_id", "n_words", "base", none.alias("matches"))
 
     index = spark.createDataFrame(  # template prefix tokens: as many rows as the templates have words
@@ -160,37 +161,39 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
             "rid", "block", "label", "f.*") \
         .filter(F.least(F.col("bn") - F.col("bpos"), F.col("tn") - F.col("tpos")) >= F.col("need"))  # positional
     overlap = F.size(F.array_intersect("ts", "ttokens"))
-    met = pairs.withColumn("o", overlap).filter((F.col("o") >= F.col("need")) & (F.size(F.array_except("must", "ts")) == 0))
-    match = F.struct("label", "block", (F.col("o") / F.col("tn")).alias("containment"))
+    met = pairs.withColumn("o", overlap).filter(F.col("o") >= F.col("need")) \
+        .withColumn("confirmed", F.size(F.array_except("must", "ts")) == 0)
+    match = F.struct("label", "block", (F.col("o") / F.col("tn")).alias("containment"), "confirmed")
     if wrapped:
-        met = cut_lineage(met.select("rid", "block", "label", "o", "tn", "need", "ttokens", "win", "must"))
+        met = cut_lineage(met.select("rid", "block", "label", "o", "tn", "need", "ttokens", "win", "must", "confirmed"))
         own = met.filter("block = -1").select("rid", "label", "tn", "need", "ttokens", "win", "must").join(rows.select("rid", "spots"), "rid")
         own = own.withColumn("own", F.filter("spots", lambda s: F.array_contains("ttokens", s["w"])))
         run = lambda s, i: F.array_distinct(F.transform(F.filter(
             F.slice("own", i + 1, F.col("win")), lambda u: u["at"] < s["at"] + F.col("win")), lambda u: u["w"]))
         runs = own.withColumn("runs", F.transform("own", lambda s, i: F.struct(run(s, i).alias("ws"), s["line"].alias("line")))) \
-            .withColumn("runs", F.filter("runs", lambda x: F.size(F.array_except("must", x["ws"])) == 0)) \
+            .withColumn("confirmed", F.exists("runs", lambda x: (F.size(x["ws"]) >= F.col("need")) & (
+                F.size(F.array_except("must", x["ws"])) == 0))) \
             .withColumn("best", F.array_max(F.transform("runs", lambda x: F.struct(
                 F.size(x["ws"]).alias("o"), (-x["line"]).alias("before"))))) \
-            .select("rid", "label", (-F.col("best.before")).alias("block"), F.col("best.o").alias("o"), "tn", "need") \
+            .select("rid", "label", (-F.col("best.before")).alias("block"), F.col("best.o").alias("o"), "tn", "need", "confirmed") \
             .filter(F.col("o") >= F.col("need"))
         lines_of = met.filter("block >= 0").select("rid", match.alias("m"), F.lit(False).alias("run"))
         each = lines_of.unionAll(runs.select("rid", match.alias("m"), F.lit(True).alias("run")))
         met = each.groupBy("rid").agg(F.collect_list(F.when(~F.col("run"), F.col("m"))).alias("of_lines"),
                                       F.collect_list(F.when(F.col("run"), F.col("m"))).alias("of_runs"))
         more = F.filter("of_runs", lambda x: ~F.exists("of_lines", lambda y: (y["label"] == x["label"]) & (
-            y["containment"] >= x["containment"])))
+            y["containment"] >= x["containment"]) & (y["confirmed"] | ~x["confirmed"])))
         found = met.select("rid", F.array_sort(F.concat("of_lines", more)).alias("found"))
     else:
         found = met.groupBy("rid").agg(F.array_sort(F.collect_list(match)).alias("found"))
-    none = F.array().cast("array<struct<label:string,block:int,containment:double>>")
+    none = F.array().cast("array<struct<label:string,block:int,containment:double,confirmed:boolean>>")
     return rows.join(found, "rid", "left").select(
         "doc_id", "n_words", "base", F.coalesce("found", none).alias("matches"))
 
 
 def license_digest(scan: DataFrame) -> DataFrame:
-    """The contract's columns from :func:`scan_licenses`; score: 1 with a base phrase, else the
-    largest containment found, else 0."""
+    """The contract's columns from :func:`scan_licenses`, and confirmed_labels (base ones and confirmed matches); score: 1 with
+    a base phrase, else the largest containment found, else 0."""
     base, m = F.col("base"), F.col("matches")
     own = F.transform(base, lambda b: b["label"])
     return scan.select(
@@ -199,14 +202,19 @@ def license_digest(scan: DataFrame) -> DataFrame:
         F.array_max(F.transform(base, lambda b: b["at"])).cast("bigint").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(own)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(own, F.transform(m, lambda x: x["label"])))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(own, F.transform(F.filter(m, lambda x: x["confirmed"]), lambda x: x["label"])))), ",")
+        .alias("confirmed_labels"),
         F.when(F.size(base) > 0, F.lit(1.0)).otherwise(
             F.coalesce(F.array_max(F.transform(m, lambda x: x["containment"])), F.lit(0.0))).alias("score"))
 
 
 def oracle(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL: every line against every template, with no filter."""
-    rows = ", ".join(f"('{k}', {len(v)}, {needed(len(v), threshold)}, {v!r})"
-                     for k, v in template_tokens(TEMPLATES if templates is None else templates).items())
+    """DuckDB SQL: every line, and every run of words from a template word on, against every template, with no filter."""
+    must = REQUIRED if templates is None else {}
+    templates = TEMPLATES if templates is None else templates
+    listed = lambda xs: f"{xs!r}::VARCHAR[]"
+    rows = ", ".join(f"('{k}', {len(v)}, {needed(len(v), threshold)}, {listed(v)}, {listed(must.get(k, []))}, {window_words(templates[k], threshold)})"
+                     for k, v in template_tokens(templates).items())
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -217,17 +225,24 @@ b AS (SELECT rid, i, 'cc-by' AS label FROM p WHERE ws[i + 1] = 'cc' AND ws[i + 2
       UNION ALL SELECT rid, i, 'gpl' FROM p WHERE ws[i + 1] = 'general' AND ws[i + 2] = 'public' AND ws[i + 3] = 'license'
       UNION ALL SELECT rid, i, 'reserved' FROM p WHERE ws[i + 1] = 'all' AND ws[i + 2] = 'rights' AND ws[i + 3] = 'reserved'),
 bg AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM b GROUP BY rid),
-tm(label, tn, need, toks) AS (VALUES {rows}),
+tm(label, tn, need, toks, must, win) AS (VALUES {rows}),
 ln AS (SELECT rid, unnest(ls) AS line FROM w),
 lw AS (SELECT rid, list_distinct(regexp_extract_all(line, '{word}')) AS lt FROM ln),
-m AS (SELECT rid, label, max(len(list_intersect(lt, toks)) / tn) AS c FROM lw, tm
-      WHERE len(list_intersect(lt, toks)) >= need GROUP BY rid, label),
-al AS (SELECT DISTINCT rid, label FROM (SELECT rid, label FROM b UNION ALL SELECT rid, label FROM m)),
+ml AS (SELECT rid, label, len(list_intersect(lt, toks)) / tn AS c, len(list_intersect(lt, must)) = len(must) AS sure FROM lw, tm
+       WHERE len(list_intersect(lt, toks)) >= need),
+sp AS (SELECT rid, label, i, ws[i + 1] AS t, tn, need, must, win FROM p JOIN tm ON list_contains(toks, ws[i + 1])),
+may AS (SELECT rid, label FROM sp GROUP BY rid, label HAVING count(DISTINCT t) >= any_value(need)),
+rn AS (SELECT x.rid, x.label, x.i, any_value(x.tn) AS tn, any_value(x.must) AS must, any_value(x.need) AS need, list(DISTINCT y.t) AS lt
+       FROM sp x SEMI JOIN may USING (rid, label) JOIN sp y ON y.rid = x.rid AND y.label = x.label AND y.i BETWEEN x.i AND x.i + x.win - 1
+       GROUP BY x.rid, x.label, x.i),
+mr AS (SELECT rid, label, len(lt) / tn AS c, len(list_intersect(lt, must)) = len(must) AS sure FROM rn WHERE len(lt) >= need),
+m AS (SELECT rid, label, max(c) AS c, bool_or(sure) AS sure FROM (SELECT * FROM ml UNION ALL SELECT * FROM mr) GROUP BY rid, label),
 ba AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT rid, label FROM b) GROUP BY rid),
-aa AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS s FROM al GROUP BY rid),
+aa AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT rid, label FROM b UNION SELECT rid, label FROM m) GROUP BY rid),
+ca AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT rid, label FROM b UNION SELECT rid, label FROM m WHERE sure) GROUP BY rid),
 mc AS (SELECT rid, max(c) AS c FROM m GROUP BY rid)
 SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(bg.n_base, 0) AS BIGINT) AS n_base,
        CAST(bg.first_word AS BIGINT) AS first_word, CAST(bg.last_word AS BIGINT) AS last_word,
-       coalesce(ba.s, '') AS base_labels, coalesce(aa.s, '') AS labels,
+       coalesce(ba.s, '') AS base_labels, coalesce(aa.s, '') AS labels, coalesce(ca.s, '') AS confirmed_labels,
        CAST(CASE WHEN bg.n_base > 0 THEN 1 ELSE coalesce(mc.c, 0) END AS DOUBLE) AS score
-FROM w LEFT JOIN bg USING (rid) LEFT JOIN ba USING (rid) LEFT JOIN aa USING (rid) LEFT JOIN mc USING (rid)"""
+FROM w LEFT JOIN bg USING (rid) LEFT JOIN ba USING (rid) LEFT JOIN aa USING (rid) LEFT JOIN ca USING (rid) LEFT JOIN mc USING (rid)"""
