@@ -9,9 +9,10 @@ determinant stays. A document is rejected if its squared distance, by the estima
 below ``LEAST`` documents in all nothing is rejected but by the base rule.
 
 Distributed form: a step joins each row's vector with its groups' current estimates and sums rows by (group, distance
-bin): counts, sums and products, combined before the shuffle. Bins are 1/16 of a factor two wide, so a
-group has at most ``MOST_BIN`` of them whatever its size, and a step's share is the lowest bins that reach it, the last
-one whole. Vectors are whole numbers (1/1000), so the sums are exact and reruns agree.
+bin): counts, sums and products, combined before the shuffle. Groups with more than 1 / ``HEAVY`` of the rows, of which there
+are at most ``HEAVY`` to a level whatever the corpus, have their estimates broadcast; only rows of the other groups are shuffled by group.
+Bins are 1/16 of a factor two wide, so a group has at most ``MOST_BIN`` of them whatever its size, and a step's share is the lowest
+bins that reach it, the last one whole. Vectors are whole numbers (1/1000), so the sums are exact and reruns agree.
 
 Statistics are shrunk towards a usual value by a few imaginary words, so short texts don't stand out by chance,
 and covariances get a floor (``FLOOR``), as clean groups may not vary at all in some statistic.
@@ -45,6 +46,7 @@ CUTOFF = 40.0
 FLOOR = (0.08, 0.08, 0.06, 0.05, 0.06, 0.08)  # least standard deviation of each statistic
 SCALE = 1000
 MOST_BIN = 640
+HEAVY = 1000
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = re.compile(r"[A-Z\u00c0-\u00d6\u00d8-\u00de]")
@@ -146,15 +148,31 @@ def with_distance(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.when(total < 0, F.lit(0.0)).otherwise(total).alias("dist2")).drop(*[f"d{i}" for i in range(_P)])
 
 
+def heavy_groups(rows: DataFrame, key: str) -> DataFrame:
+    """The key's values that more than 1 / ``HEAVY`` of the rows have: at most ``HEAVY`` of them."""
+    total = rows.count()
+    return cut_lineage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HEAVY > total).select(key))
+
+
+def group_join(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one or two rows to a key, without dealing a heavy key's rows by the key."""
+    mark = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
+    tagged = rows.join(mark, key, "left")
+    few = table.join(mark.drop("_heavy"), key, "left_semi")
+    own = tagged.filter("_heavy").drop("_heavy").join(F.broadcast(few), key, how)
+    return own.unionByName(tagged.filter("_heavy is null").drop("_heavy").join(table, key, how))
+
+
 def estimate(vectors: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """vectors: grps array<string>, x0... One row per group: grp, n and the MCD estimate's model columns."""
     xs = [f"x{i}" for i in range(_P)]
     rows = vectors.select(F.explode("grps").alias("grp"), *xs)
+    heavy = heavy_groups(rows, "grp")
     first = cut_lineage(rows.groupBy("grp").agg(*_moments(), *[F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(xs)]))
     sizes = first.select("grp", F.col("n").alias("total"))
     plain = first.select("grp", F.lit(0).alias("start"), F.lit(1.0).alias("widen"), "n", *[f"s{i}" for i in range(_P)], *[f"p{i}_{j}" for i, j in _PAIRS])
     # medians with the deviations around them: sums as if the median were the mean, without correlations
-    mid = rows.join(first.select("grp", *[f"m{i}" for i in range(_P)]), "grp").groupBy("grp").agg(
+    mid = group_join(rows, first.select("grp", *[f"m{i}" for i in range(_P)]), "grp", heavy).groupBy("grp").agg(
         F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in range(_P)],
         *[F.min(f"m{i}").alias(f"m{i}") for i in range(_P)])
     robust = mid.select(
@@ -164,7 +182,7 @@ def estimate(vectors: DataFrame, share: float = SHARE, steps: int = STEPS) -> Da
     fit = cut_lineage(plain.unionByName(robust).mapInArrow(_fit, _FIT))
     widen = _consistency(share)
     for _ in range(steps):
-        near = with_distance(rows.join(fit.drop("logdet"), "grp"))
+        near = with_distance(group_join(rows, fit.drop("logdet"), "grp", heavy))
         b = F.least(F.lit(MOST_BIN), F.floor(16 * F.log2(1 + 256 * F.col("dist2")))).cast("int")
         bins = near.select("grp", "start", b.alias("b"), *xs).groupBy("grp", "start", "b").agg(*_moments())
         before = F.sum("n").over(Window.partitionBy("grp", "start").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
@@ -202,7 +220,8 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataFr
     picks = combos.select("grps", F.posexplode("grps").alias("k", "grp")).join(fits, "grp") \
         .groupBy("grps").agg(F.min_by(F.struct("grp", *_MODEL), "k").alias("f")).select("grps", "f.*")
     own = rows.select(*[c for c in rows.columns if c != "grps"], F.col("grps")[0].alias("g"))
-    out = with_distance(own.join(cut_lineage(picks.withColumn("g", F.col("grps")[0]).drop("grps")), "g", "left"))
+    picked = cut_lineage(picks.withColumn("g", F.col("grps")[0]).drop("grps"))
+    out = with_distance(group_join(own, picked, "g", heavy_groups(own, "g"), "left"))
     far = F.coalesce(F.col("dist2") > cutoff, F.lit(False))
     return out.select("doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", (~F.col("base_failed") & ~far).alias("kept"), F.col("dist2").alias("distance"), "grp")
