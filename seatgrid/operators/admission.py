@@ -9,10 +9,13 @@ admission where earlier accepted requests count as cart items).
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatgrid.operators.lookups import INTERVAL, confirmed, conflicts_with, interval_summary
+from seatgrid.operators.scan import ordered_pass
 
 # Decision statuses and messages of the three variants.
 SUCCESS, FAILED, ERROR = "SUCCESS", "FAILED", "ERROR"
@@ -168,19 +171,43 @@ def _earliest_before(probes: DataFrame, rows: DataFrame, with_name: bool = False
     return pairs.groupBy(F.col("l_request_id").alias("request_id")).agg(F.min("r_m").alias("m"))
 
 
+class TakenIntervals:
+    """The accepted intervals of one user and date. Those with start < end are disjoint, so sorted they are searched by bisection."""
+
+    def __init__(self):
+        self.starts, self.ends, self.odd = [], [], []
+
+    def see(self, date, start: str | None, end: str | None) -> bool:
+        if date is None or start is None or end is None:
+            return True  # compares with nothing
+        proper = start < end
+        if proper:
+            i = bisect_left(self.starts, end)  # the accepted ones that start before this one ends
+            meets = i > 0 and self.ends[i - 1] > start  # the last of them ends last
+        else:
+            meets = any(s < end and start < e for s, e in zip(self.starts, self.ends, strict=True))
+        if meets or any(s < end and start < e for s, e in self.odd):
+            return False
+        if proper:
+            i = bisect_left(self.starts, start)
+            self.starts.insert(i, start)
+            self.ends.insert(i, end)
+        else:
+            self.odd.append((start, end))
+        return True
+
+
 def ordered(requests: DataFrame, sessions: DataFrame, registrations: DataFrame, cart: DataFrame) -> DataFrame:
     """In-order application-style admission: requests of a user are applied by (ts,
     request_id) and an accepted request joins the cart the later ones are checked against.
 
     Only the cart guards depend on earlier decisions, and only through requests of the
-    same user that overlap in time (same date) or name the same session. Decisions are
-    made in parallel rounds: a request is rejected once an earlier accepted one clashes
-    with it, accepted once no earlier live (accepted or undecided) one does. The earliest
-    undecided request always decides, so rounds end; a round that decides nothing is an
-    error, and nothing undecided is ever passed on. A round works only on the users that
-    still have an undecided request. Same-session clashes use
-    per-(user, session) aggregates; time clashes compare each request with the distinct
-    intervals of the accepted / live requests (no request-by-request pairs).
+    same user that overlap in time (same date) or name the same session. Of the requests of a user for one
+    interval (or, where its start is not before its end, for one session) only the first can be accepted: the
+    later ones meet it, or what it was rejected for. So the candidates are at most as many per user and date as there are
+    intervals, whatever the number of requests, and one ordered pass per (user, date) decides them against the
+    accepted intervals it holds; a chain of requests that each wait for the one before takes no longer. Requests
+    without a date or a time overlap nothing.
     """
     from seatgrid.session import cut_lineage
 
@@ -197,35 +224,15 @@ def ordered(requests: DataFrame, sessions: DataFrame, registrations: DataFrame,
     cand = p13.filter((c("cart_conflict_count") == 0) & ~c("in_cart") & ~c("registered"))
 
     cols = ["request_id", "user_id", "event_id", "event_name", *INTERVAL, "_ord"]
-    # decided: one written table per round; state: the requests of users that still have an undecided one
-    state = cut_lineage(cand.select(*cols, F.lit("U").alias("st")))
-    decided = []
-    left = state.count()
-    while left:
-        und = state.filter(c("st") == "U")
-        ov_acc = _earliest_before(und, state.filter(c("st") == "A")).select("request_id", F.lit(True).alias("ov_acc"))
-        ov_live = _earliest_before(und, state.filter(c("st") != "R")).select("request_id", F.lit(True).alias("ov_live"))
-        same = state.groupBy("user_id", "event_id").agg(
-            F.min(F.when(c("st") == "A", c("_ord"))).alias("acc_ord"),
-            F.min(F.when(c("st") != "R", c("_ord"))).alias("live_ord"))
-        j = (state.join(ov_acc, "request_id", "left").join(ov_live, "request_id", "left")
-             .join(same, ["user_id", "event_id"], "left"))
-        rej = F.coalesce(c("ov_acc"), F.lit(False)) | F.coalesce(c("acc_ord") < c("_ord"), F.lit(False))
-        blocked = F.coalesce(c("ov_live"), F.lit(False)) | F.coalesce(c("live_ord") < c("_ord"), F.lit(False))
-        nxt = j.select(*cols, F.when(c("st") != "U", c("st")).when(rej, "R").when(~blocked, "A").otherwise("U").alias("st"))
-        nxt = cut_lineage(nxt)
-        undecided = nxt.filter(c("st") == "U")
-        now = undecided.count()
-        if now >= left:
-            raise RuntimeError(f"{now} requests can't be decided")
-        left = now
-        open_users = undecided.select("user_id").distinct()
-        decided.append(nxt.join(open_users, "user_id", "left_anti"))
-        state = cut_lineage(nxt.join(open_users, "user_id", "left_semi")) if left else state.limit(0)
-
-    for part in decided:
-        state = state.unionByName(part)
-    acc = state.filter(c("st") == "A")
+    meets_itself = F.coalesce(c("start_time") < c("end_time"), F.lit(False)) & c("event_date").isNotNull()
+    alike = F.struct(F.when(~meets_itself, c("event_id")).alias("event"), "event_date", *[F.when(meets_itself, c(t)).alias(t) for t in INTERVAL[1:]])
+    first = cand.groupBy("user_id", alike.alias("_alike")).agg(F.min(F.struct("_ord", *[x for x in cols if x not in ("_ord", "user_id")])).alias("m")) \
+        .select("user_id", "m.*").select(*cols)
+    group = F.concat_ws("|", c("user_id").cast("string"), F.coalesce(c("event_date").cast("string"), F.lit("-")))
+    walked = ordered_pass(first.withColumn("_group", group).withColumn("ts", c("_ord.ts")).drop("_ord"), "_group",
+                          [c("ts").asc_nulls_first(), c("request_id").asc()],
+                          ["event_date", "start_time", "end_time"], TakenIntervals, "_accepted", "boolean")
+    acc = cut_lineage(walked.filter("_accepted").withColumn("_ord", F.struct("ts", "request_id")).select(*cols))
     first_acc_ov = _earliest_before(p13, acc, with_name=True).select("request_id", F.col("m").alias("_ov"))
     acc_same = acc.groupBy("user_id", "event_id").agg(F.min("_ord").alias("_acc_ord"))
     g = (f.join(first_acc_ov, "request_id", "left").join(acc_same, ["user_id", "event_id"], "left"))

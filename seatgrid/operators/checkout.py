@@ -4,20 +4,23 @@ Checkouts are decided as if run one by one in (ts, checkout_id) order. Within on
 what a checkout sees changes only at that user's first booking (the cart is emptied), and
 seats only ever run out, so a user's decisive checkout is the first one that passes the
 user's own guards: if its seats are gone, so they are for every later one. Across users
-the decisive checkouts compete for seats; ``race`` decides that in parallel rounds.
+the decisive checkouts compete for seats; ``race`` decides that component by component.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seatgrid.operators.components import connected_components
 from seatgrid.operators.lookups import INTERVAL
 from seatgrid.operators.overlap import overlap_pairs
 from seatgrid.operators.ranking import ordered_positions, positions_from_tags, tag_ranges
+from seatgrid.operators.scan import ordered_pass
 from seatgrid.session import cut_lineage
 
 LIMIT = 3
+WALK_ROWS = 1_000_000  # asks of a component that one ordered pass may decide
 # Messages of the checkout variants.
 MSG = {
     "ora": {"limit": "You can only register for maximum 3 events", "ok": "Registration completed successfully. Payment received: ",
@@ -57,44 +60,90 @@ def _reg_count(registrations: DataFrame, variant: str) -> DataFrame:
     return r.groupBy("user_id").agg(F.count(F.lit(1)).alias("reg_count"))
 
 
-def race(firsts: DataFrame, cart: DataFrame, sessions: DataFrame) -> DataFrame:
+class SeatWalk:
+    """Seats taken in the sessions of one component, checkout by checkout. A row is a checkout's ask for one session, with the
+    verdict of a checkout that is decided; the answer of its last row (``ends``) is whether it wins."""
+
+    def __init__(self):
+        self.taken, self.asked, self.fits = {}, [], True
+
+    def see(self, event_id: int, seats_left: int, st: str, ends: bool) -> str:
+        n = self.taken.get(event_id, 0)
+        self.asked.append(event_id)
+        self.fits = self.fits and n < seats_left
+        if not ends:
+            return ""
+        wins = st == "A" or self.fits
+        if wins:
+            for e in self.asked:
+                self.taken[e] = self.taken.get(e, 0) + 1
+        self.asked, self.fits = [], True
+        return "A" if wins else "R"
+
+
+def _scarce(it: DataFrame) -> DataFrame:
+    """The rows of sessions that more live checkouts ask for than they have seats; in the others nobody loses."""
+    need = it.groupBy("event_id").agg(F.count(F.lit(1)).alias("_n"), F.max("seats_left").alias("_s")).filter("_n > _s").select("event_id")
+    return it.join(need, "event_id", "left_semi")
+
+
+def race(firsts: DataFrame, cart: DataFrame, sessions: DataFrame, walk_rows: int = WALK_ROWS) -> DataFrame:
     """The competition for seats: firsts (user_id, checkout_id, ts), one decisive checkout per user, to
     (checkout_id, won). A checkout takes a seat in every session of its cart or in none, in (ts, checkout_id) order.
 
-    Per item, the accepted and the live (accepted or undecided) checkouts before it in its session are
-    counted by range-partitioned running counts. A checkout loses once an item has no seat left after the
-    accepted ones before it, and wins once every item has one even after all live ones before it. The
-    earliest undecided checkout always decides; a round that decides nothing is an error. Rounds carry
-    only winners and undecided checkouts of sessions that still have an undecided one.
+    Only sessions that more checkouts ask for than they have seats decide anything. They tie checkouts into connected
+    components. A component of at most ``walk_rows`` asks is decided in one ordered pass that holds its seat counts (so a chain,
+    where each checkout waits for the one before, takes one pass). A larger one first goes through a round of votes: per ask, the
+    accepted and the live (accepted or undecided) checkouts before it in its session are counted by range-partitioned running counts.
+    A checkout loses once an ask has no seat left after the accepted ones before it, and wins once every ask
+    has one even after all live ones before it. What that leaves falls into components again. The earliest undecided
+    checkout always decides; a round that decides nothing is an error.
     """
     left = sessions.select("event_id", (F.col("total_seats") - F.coalesce(F.col("booked_seats"), F.lit(0))).alias("seats_left"))
-    items = firsts.join(cart.select("user_id", "event_id"), "user_id").join(left, "event_id")
+    items = firsts.join(cart.select("user_id", "event_id"), "user_id").join(left, "event_id").filter(F.col("seats_left").isNotNull())
     order = [F.col("ts").asc_nulls_first(), F.col("checkout_id").asc()]
-    it = tag_ranges(items.select("checkout_id", "ts", "event_id", "seats_left", F.lit("U").alias("st")), order, ["event_id"])
+    cols = ["checkout_id", "ts", "event_id", "seats_left", "st"]
+    it = cut_lineage(_scarce(items.select("checkout_id", "ts", "event_id", "seats_left", F.lit("U").alias("st"))))
     decided, undecided = [], it.select("checkout_id").distinct().count()
     while undecided:
-        pos = positions_from_tags(it, order, ["event_id"], {"_acc": (F.col("st") == "A").cast("int"), "_live": F.lit(1)})
-        votes = pos.filter(F.col("st") == "U").groupBy("checkout_id").agg(
-            F.max(F.coalesce(F.col("_before_acc") >= F.col("seats_left"), F.lit(False))).alias("lost"),
-            F.min(F.coalesce(F.col("_before_live") < F.col("seats_left"), F.lit(True))).alias("fits"))
-        votes = cut_lineage(votes.select("checkout_id", F.when(F.col("lost"), "R").when(F.col("fits"), "A").otherwise("U").alias("now")))
-        decided.append(votes.filter("now <> 'U'"))
-        still = votes.filter("now = 'U'").count()
+        # an undecided checkout ties its sessions together; asks of decided ones go with their session
+        edges = it.filter("st = 'U'").select(F.concat(F.lit("c"), F.col("checkout_id").cast("string")).alias("a"),
+                                             F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("b"))
+        part = connected_components(edges).filter("n LIKE 's%'").select(F.expr("CAST(substring(n, 2) AS BIGINT)").alias("event_id"), "c")
+        tied = cut_lineage(it.join(part, "event_id"))
+        few = tied.groupBy("c").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= walk_rows).select("c")
+        small = tied.join(few, "c", "left_semi")
+        last = F.row_number().over(Window.partitionBy("c", "checkout_id").orderBy(F.col("event_id").desc())) == 1
+        walked = ordered_pass(small.withColumn("ends", last), "c", [*order, F.col("event_id")],
+                              ["event_id", "seats_left", "st", "ends"], SeatWalk, "now", "string")
+        walked = cut_lineage(walked.filter("ends AND st = 'U'").select("checkout_id", "now"))
+        decided.append(walked)
+        rest = tied.join(few, "c", "left_anti").select(*cols)
+        if not rest.isEmpty():
+            pos = positions_from_tags(tag_ranges(rest, order, ["event_id"]), order, ["event_id"],
+                                      {"_acc": (F.col("st") == "A").cast("int"), "_live": F.lit(1)})
+            votes = pos.filter(F.col("st") == "U").groupBy("checkout_id").agg(
+                F.max(F.col("_before_acc") >= F.col("seats_left")).alias("lost"), F.min(F.col("_before_live") < F.col("seats_left")).alias("fits"))
+            votes = cut_lineage(votes.select("checkout_id", F.when(F.col("lost"), "R").when(F.col("fits"), "A").otherwise("U").alias("now")))
+            decided.append(votes.filter("now <> 'U'"))
+            nxt = rest.join(votes, "checkout_id", "left").withColumn("st", F.coalesce("now", "st")).drop("now").filter("st <> 'R'")
+            open_sessions = nxt.filter("st = 'U'").select("event_id").distinct()
+            # winners stay as asks before others; a checkout whose sessions have become plentiful has won
+            it = cut_lineage(_scarce(nxt.join(open_sessions, "event_id", "left_semi").select(*cols)))
+        else:
+            it = rest
+        still = it.filter("st = 'U'").select("checkout_id").distinct().count()
         if still >= undecided:
             raise RuntimeError(f"{still} checkouts can't be decided")
         undecided = still
-        if undecided:
-            nxt = it.join(votes, "checkout_id", "left").withColumn("st", F.coalesce("now", "st")).drop("now").filter("st <> 'R'")
-            open_sessions = nxt.filter("st = 'U'").select("event_id").distinct()
-            it = cut_lineage(nxt.join(open_sessions, "event_id", "left_semi").select(*it.columns))
     won = firsts.select("checkout_id")
     if not decided:
         return won.withColumn("won", F.lit(True))
     lost = decided[0]
-    for part in decided[1:]:
-        lost = lost.unionByName(part)
+    for verdicts in decided[1:]:
+        lost = lost.unionByName(verdicts)
     lost = lost.filter("now = 'R'").select("checkout_id", F.lit(False).alias("won"))
-    return won.join(lost, "checkout_id", "left").withColumn("won", F.coalesce("won", F.lit(True)))  # no item: nothing to lose
+    return won.join(lost, "checkout_id", "left").withColumn("won", F.coalesce("won", F.lit(True)))  # no scarce ask: nothing to lose
 
 
 def _decisive(base: DataFrame, passes: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatgrid.functions.rules import fill_pct
+from seatgrid.operators.asof import running_at
 from seatgrid.operators.overlap import overlap_pairs
 
 INTERVAL = ["event_date", "start_time", "end_time"]
@@ -131,3 +132,57 @@ def total_revenue(registrations: DataFrame, date_from: str | None = None, date_t
         hi = F.lit(date_to).cast("date")
         r = r.filter(F.col("registration_date").between(lo, hi))
     return r.agg(F.coalesce(F.sum("amount_paid"), F.lit(0).cast("decimal(20,2)")).alias("total_revenue"))
+
+
+def conflict_counts(requests: DataFrame, sessions: DataFrame, registrations: DataFrame) -> DataFrame:
+    """:func:`time_conflict_count` by order statistics, with no pairs and no bins: the registrations of a user on a date that start
+    before the request ends, minus those that end when it starts or earlier. Both are running counts over one order
+    of all starts, ends and requests of the (user, date), numbered by range partitions, so a user or a date may be hot.
+
+    The difference counts overlaps only where start < end on both sides (then who ends by the request's start has started before
+    its end). Rows without, which text comparison can still satisfy, are compared one by one, as distinct intervals.
+    """
+    keys = ["user_id", "event_date"]
+    s = session_facts(sessions).select("event_id", *INTERVAL)
+    probes = requests.select(F.col("request_id").cast("string").alias("ask_id"), "user_id", "event_id").join(s, "event_id") \
+        .filter(F.col("user_id").isNotNull() & F.col("event_date").isNotNull()).drop("event_id")
+    asked = confirmed(registrations).select("user_id", "event_id").join(s, "event_id").join(probes.select(*keys), keys, "left_semi")
+    held = asked.groupBy(*INTERVAL, "user_id").agg(F.count(F.lit(1)).alias("n"))
+    fine = F.col("start_time") < F.col("end_time")  # null: compares with nothing
+    good, odd = held.filter(fine), held.filter(~fine)
+    ends = good.select(*keys, F.col("end_time").alias("at"), F.lit(0).alias("place"), F.lit(0).alias("started"), F.col("n").alias("ended"))
+    starts = good.select(*keys, F.col("start_time").alias("at"), F.lit(2).alias("place"), F.col("n").alias("started"), F.lit(0).alias("ended"))
+    sure = probes.filter(fine)
+    from_to = sure.select(*keys, F.explode(F.array(
+        F.struct(F.col("start_time").alias("at"), F.concat(F.lit("s"), "ask_id").alias("ask_id")),
+        F.struct(F.col("end_time").alias("at"), F.concat(F.lit("e"), "ask_id").alias("ask_id")))).alias("a")) \
+        .select(*keys, "a.at", F.lit(1).alias("place"), "a.ask_id")
+    at = running_at(ends.unionByName(starts), from_to, keys, ["started", "ended"])
+    part = F.when(F.col("ask_id").startswith("e"), F.col("before_started")).otherwise(-F.col("before_ended"))
+    counted = at.select(F.expr("substring(ask_id, 2)").alias("ask_id"), part.alias("n"))
+    meet = (F.col("p.start_time") < F.col("h.end_time")) & (F.col("h.start_time") < F.col("p.end_time"))
+    same = (F.col("p.user_id") == F.col("h.user_id")) & (F.col("p.event_date") == F.col("h.event_date"))
+    one_by_one = sure.alias("p").join(odd.alias("h"), same & meet).select("p.ask_id", "h.n") \
+        .unionByName(probes.filter(~fine).alias("p").join(held.alias("h"), same & meet).select("p.ask_id", "h.n"))
+    total = counted.unionByName(one_by_one).groupBy("ask_id").agg(F.sum("n").alias("n"))
+    r = requests.select("request_id", "user_id", "event_id").withColumn("ask_id", F.col("request_id").cast("string"))
+    return r.join(total, "ask_id", "left").select("request_id", "user_id", "event_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("conflict_count"))
+
+
+def total_revenue_ranges(ranges: DataFrame, registrations: DataFrame) -> DataFrame:
+    """:func:`total_revenue` for a table of ranges (range_id, date_from, date_to; both days included): the running revenue
+    up to the end of date_to minus that before date_from, two places in one order of dates. A range with a null bound, or one that
+    ends before it starts, is 0."""
+    paid = registrations.filter((F.col("payment_status") == "COMPLETED") & F.col("registration_date").isNotNull())
+    days = paid.groupBy(F.col("registration_date").alias("at")).agg(
+        F.sum((F.col("amount_paid") * 100).cast("decimal(38,0)")).cast("bigint").alias("cents"))
+    r = ranges.select("range_id", "date_from", "date_to").withColumn("ask_id", F.col("range_id").cast("string"))
+    real = r.filter(F.col("date_from") <= F.col("date_to"))
+    asks = real.select(F.explode(F.array(
+        F.struct(F.col("date_from").alias("at"), F.lit(0).alias("place"), F.concat(F.lit("f"), "ask_id").alias("ask_id")),
+        F.struct(F.col("date_to").alias("at"), F.lit(2).alias("place"), F.concat(F.lit("t"), "ask_id").alias("ask_id")))).alias("a")).select("a.*")
+    at = running_at(days.select("at", F.lit(1).alias("place"), "cents"), asks, [], ["cents"])
+    part = F.when(F.col("ask_id").startswith("t"), F.col("before_cents")).otherwise(-F.col("before_cents"))
+    total = at.groupBy(F.expr("substring(ask_id, 2)").alias("ask_id")).agg(F.sum(part).alias("cents"))
+    return r.join(total, "ask_id", "left").select(
+        "range_id", "date_from", "date_to", (F.coalesce("cents", F.lit(0)).cast("decimal(20,0)") / 100).cast("decimal(20,2)").alias("total_revenue"))

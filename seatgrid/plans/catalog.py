@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seatgrid.functions.rules import present
 from seatgrid.operators import reports as R
 from seatgrid.plans.oracle_views import pct, with_views
+from seatgrid.session import scratch_path
 from seatgrid.sources.domain import Domain
 
 # Fixed parameters of the registered queries.
@@ -326,6 +328,32 @@ def _total_revenue_between(d: Domain):
     return L.total_revenue(d.registrations, REVENUE_FROM, REVENUE_TO)
 
 
+@register("conflict_counts", """
+, held AS (SELECT r.user_id, e.event_date, list({'s': e.start_time, 'e': e.end_time}) AS l
+           FROM d_regs r JOIN d_sessions e USING (event_id) WHERE r.registration_status = 'CONFIRMED' GROUP BY ALL)
+SELECT q.request_id, q.user_id, q.event_id,
+       CAST(coalesce(len(list_filter(h.l, lambda x: NOT (x.s >= s.end_time OR s.start_time >= x.e))), 0) AS BIGINT) AS conflict_count
+FROM d_requests q LEFT JOIN d_sessions s ON s.event_id = q.event_id
+LEFT JOIN held h ON h.user_id = q.user_id AND h.event_date = s.event_date""")
+def _conflict_counts(d: Domain):
+    return L.conflict_counts(d.requests, d.sessions, d.registrations)
+
+
+@register("total_revenue_ranges", """
+, q AS (SELECT o_orderkey AS range_id, CASE WHEN o_orderkey % 50 <> 0 THEN CAST(o_orderdate AS DATE) END AS a,
+               CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 - 10 AS INTEGER) AS b FROM orders),
+t AS (SELECT registration_date AS d, sum(amount_paid) AS v FROM d_regs WHERE payment_status = 'COMPLETED' GROUP BY registration_date),
+g AS (SELECT q.range_id, sum(t.v) AS v FROM q JOIN t ON t.d >= q.a AND t.d <= q.b GROUP BY q.range_id)
+SELECT q.range_id, CAST(q.a AS VARCHAR) AS date_from, CAST(q.b AS VARCHAR) AS date_to, CAST(coalesce(g.v, 0) AS DOUBLE) AS total_revenue
+FROM q LEFT JOIN g USING (range_id)""")
+def _total_revenue_ranges(d: Domain):
+    """The revenue of a range of days for every order: from its date on, some empty, some with no start."""
+    o = d.raw("orders").select(F.col("o_orderkey").alias("range_id"), F.col("o_orderdate").cast("date").alias("day"))
+    ranges = o.select("range_id", F.when(F.col("range_id") % 50 != 0, F.col("day")).alias("date_from"),
+                      F.date_add("day", (F.col("range_id") % 400 - 10).cast("int")).alias("date_to"))
+    return L.total_revenue_ranges(ranges, d.registrations)
+
+
 # ---------------------------------------------------------------- cart admission
 
 FACTS_SQL = """
@@ -369,30 +397,30 @@ def _q(s: str) -> str:
 _SEAT = "NOT coalesce(booked_seats < total_seats, false)"
 
 STRICT_CHAIN = [
-    ("NOT found", "FAILED", _q(A.MSG_NOT_FOUND)), ("event_status <> 'ACTIVE'", "FAILED", _q(A.MSG_NOT_ACTIVE)),
-    ("in_cart", "FAILED", _q(A.MSG_IN_CART)), ("registered", "FAILED", _q(A.MSG_REGISTERED)),
-    ("conflict_count > 0", "FAILED", _q(A.MSG_CONFLICT)), ("paid_confirmed_count >= 3", "FAILED", _q(A.MSG_LIMIT)),
-    (_SEAT, "FAILED", _q(A.MSG_NO_SEATS))]
+    ("NOT found", "FAILED", _q("Event not found")), ("event_status <> 'ACTIVE'", "FAILED", _q("Event is not active")),
+    ("in_cart", "FAILED", _q("Event already in cart")), ("registered", "FAILED", _q("Already registered for this event")),
+    ("conflict_count > 0", "FAILED", _q("Time conflict with existing registration")), ("paid_confirmed_count >= 3", "FAILED", _q("Maximum 3 registrations allowed")),
+    (_SEAT, "FAILED", _q("No seats available"))]
 
 
 def _facts(d: Domain, with_names: bool = False):
     return A.admission_facts(d.requests, d.sessions, d.registrations, d.cart, with_names)
 
 
-@register("cart_admission_strict", _chain_sql(STRICT_CHAIN, A.MSG_ADDED))
+@register("cart_admission_strict", _chain_sql(STRICT_CHAIN, "Added to cart successfully"))
 def _cart_admission_strict(d: Domain):
     return A.strict(_facts(d))
 
 
-@register("cart_admission_package", _chain_sql([c for c in STRICT_CHAIN if c[0] != "registered"], A.MSG_ADDED))
+@register("cart_admission_package", _chain_sql([c for c in STRICT_CHAIN if c[0] != "registered"], "Added to cart successfully"))
 def _cart_admission_package(d: Domain):
     return A.package(_facts(d))
 
 
 @register("cart_admission_basic", _chain_sql([
-    ("in_cart", "FAILED", _q(A.MSG_IN_CART)), ("registered", "FAILED", _q(A.MSG_REGISTERED)),
-    ("NOT (booked_seats < total_seats)", "FAILED", _q(A.MSG_NO_SEATS)), ("NOT found", "ERROR", _q(A.MSG_FK))],
-    A.MSG_ADDED))
+    ("in_cart", "FAILED", _q("Event already in cart")), ("registered", "FAILED", _q("Already registered for this event")),
+    ("NOT (booked_seats < total_seats)", "FAILED", _q("No seats available")), ("NOT found", "ERROR", _q("insert or update on table cart violates foreign key constraint (event not found)"))],
+    "Added to cart successfully"))
 def _cart_admission_basic(d: Domain):
     return A.basic(_facts(d))
 
@@ -402,10 +430,10 @@ _HALF = ("coalesce(coalesce(booked_seats, 0) * 2 >= total_seats "
 
 
 @register("cart_admission_half_full", _chain_sql([
-    ("NOT found", "FAILED", _q(A.MSG_NOT_FOUND)), (f"confirmed_count >= 3 AND {_HALF}", "FAILED", _q(A.MSG_JS_LIMIT)),
-    ("conflict_count > 0", "FAILED", f"{_q(A.MSG_JS_CONFLICT)} || conflict_name"),
-    ("cart_conflict_count > 0", "FAILED", f"{_q(A.MSG_JS_CART_CONFLICT)} || cart_conflict_name"),
-    ("in_cart", "FAILED", _q(A.MSG_IN_CART)), ("registered", "FAILED", _q(A.MSG_REGISTERED))], A.MSG_JS_ADDED))
+    ("NOT found", "FAILED", _q("Event not found")), (f"confirmed_count >= 3 AND {_HALF}", "FAILED", _q("You already have 3 confirmed registrations and this event is more than 50% full")),
+    ("conflict_count > 0", "FAILED", f"{_q("Time conflict with event: ")} || conflict_name"),
+    ("cart_conflict_count > 0", "FAILED", f"{_q("Time conflict with event in cart: ")} || cart_conflict_name"),
+    ("in_cart", "FAILED", _q("Event already in cart")), ("registered", "FAILED", _q("Already registered for this event"))], "Event added to cart successfully"))
 def _cart_admission_half_full(d: Domain):
     return A.half_full(_facts(d, with_names=True))
 
@@ -937,10 +965,10 @@ ORDERED_SQL = FACTS_SQL + f"""
 , q2 AS (
   SELECT f.*, s.event_name AS ename, s.event_date AS d, s.start_time AS st, s.end_time AS et,
          row_number() OVER (PARTITION BY f.user_id ORDER BY rq.ts, f.request_id) AS rn,
-         CASE WHEN NOT f.found THEN {_q(A.MSG_NOT_FOUND)}
+         CASE WHEN NOT f.found THEN {_q("Event not found")}
               WHEN f.confirmed_count >= 3 AND {_HALF.replace("booked_seats", "f.booked_seats").replace("total_seats", "f.total_seats")}
-                THEN {_q(A.MSG_JS_LIMIT)}
-              WHEN f.conflict_count > 0 THEN {_q(A.MSG_JS_CONFLICT)} || f.conflict_name END AS static
+                THEN {_q("You already have 3 confirmed registrations and this event is more than 50% full")}
+              WHEN f.conflict_count > 0 THEN {_q("Time conflict with event: ")} || f.conflict_name END AS static
   FROM f JOIN d_requests rq ON rq.request_id = f.request_id LEFT JOIN d_sessions s ON f.event_id = s.event_id),
 rec AS (
   SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BIGINT) AS event_id,
@@ -954,14 +982,14 @@ rec AS (
   FROM (
     SELECT q.user_id, q.rn, q.request_id, q.event_id, q.d, q.st, q.et, q.ename, r.acc,
       CASE WHEN q.static IS NOT NULL THEN q.static
-           WHEN q.cart_conflict_count > 0 THEN {_q(A.MSG_JS_CART_CONFLICT)} || q.cart_conflict_name
+           WHEN q.cart_conflict_count > 0 THEN {_q("Time conflict with event in cart: ")} || q.cart_conflict_name
            WHEN len(list_filter(r.acc, lambda x: x.d = q.d AND x.s < q.et AND q.st < x.e)) > 0
-             THEN {_q(A.MSG_JS_CART_CONFLICT)} || list_filter(r.acc, lambda x: x.d = q.d AND x.s < q.et AND q.st < x.e)[1].n
-           WHEN q.in_cart OR list_contains(list_transform(r.acc, lambda x: x.eid), q.event_id) THEN {_q(A.MSG_IN_CART)}
-           WHEN q.registered THEN {_q(A.MSG_REGISTERED)} END AS message
+             THEN {_q("Time conflict with event in cart: ")} || list_filter(r.acc, lambda x: x.d = q.d AND x.s < q.et AND q.st < x.e)[1].n
+           WHEN q.in_cart OR list_contains(list_transform(r.acc, lambda x: x.eid), q.event_id) THEN {_q("Event already in cart")}
+           WHEN q.registered THEN {_q("Already registered for this event")} END AS message
     FROM rec r JOIN q2 q ON q.user_id = r.user_id AND q.rn = r.rn + 1) z)
 SELECT request_id, user_id, event_id, CASE WHEN message IS NULL THEN 'SUCCESS' ELSE 'FAILED' END AS status,
-       coalesce(message, {_q(A.MSG_JS_ADDED)}) AS message
+       coalesce(message, {_q("Event added to cart successfully")}) AS message
 FROM rec WHERE rn > 0"""
 
 
@@ -992,6 +1020,25 @@ def _stream_audit_log(d: Domain):
     return S.audit_log(d.spark, S.registration_stream(_stream_source(d)))
 
 
+@register("stream_audit_updates", CANCEL_SQL + """
+SELECT CAST(r.reg_id AS VARCHAR) AS reg_id, r.user_id, r.event_id, 'UPDATE' AS action,
+       r.registration_status AS old_status, 'CANCELLED' AS new_status
+FROM d_regs r WHERE r.reg_id IN (SELECT reg_id FROM cx WHERE ok)""")
+def _stream_audit_updates(d: Domain):
+    """The writes of the registrations table as a stream of files: every insert, then what the cancellations update."""
+    done = C.cancel_registrations(d.registrations, d.cancellations).filter("status = 'SUCCESS'")
+    updates = done.select("request_id", "reg_id").join(d.registrations, "reg_id").join(d.cancellations.select("request_id", "ts"), "request_id") \
+        .select((2 * F.col("request_id") + 1).alias("write_id"), "reg_id", "user_id", "event_id",
+                F.lit("CANCELLED").alias("registration_status"), "ts")
+    inserts = d.registrations.select((2 * F.monotonically_increasing_id()).alias("write_id"), "reg_id", "user_id", "event_id",
+                                     "registration_status", F.col("registration_date").cast("timestamp").alias("ts"))
+    source = scratch_path(d.spark, "writes")
+    inserts.write.parquet(source)
+    updates.repartition(3, "reg_id").write.mode("append").parquet(source)
+    writes = d.spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    return S.update_log(d.spark, writes).drop("write_id", "action_time")
+
+
 @register("stream_waitlist", """
 , p AS (SELECT event_id AS reg_id, user_id, k AS event_id, ts, value >= 1 AS paid FROM d_clicks WHERE event_type = 'purchase'),
 b AS (SELECT *, coalesce(sum(CASE WHEN paid THEN 1 ELSE 0 END) OVER (PARTITION BY event_id ORDER BY ts NULLS FIRST, reg_id

@@ -2,7 +2,8 @@
 
 * seat counter   -> streaming ``groupBy(event_id).count()`` (update mode: a batch writes
                     the sessions it changed, the newest row of a session counts)
-* audit log      -> stateless projection, appended per micro-batch
+* audit log      -> inserts: a stateless projection, appended per micro-batch; updates: the latest
+                    status per registration as keyed state, so a change gives (old, new)
 * waitlist       -> ``foreachBatch``: rank within session in the batch + seats already
                     used (a versioned state table)
 * duplicate cart -> ``foreachBatch``: first click per (user, session) in the batch,
@@ -13,8 +14,8 @@ A run takes a base path: its checkpoint, output and state live there, so a run t
 again over the same path goes on where the last one stopped. Without a path a run is on its own
 (a fresh path under the checkpoint directory). Every micro-batch writes to directories named
 by its batch id (overwrite), so a retried batch replaces its own output and never duplicates
-it. State is kept as deltas by batch id: a batch reads the newest compacted state before it
-and the deltas since, and every ``COMPACT``th batch writes the state whole.
+it. State is kept in parts compacted by key (:class:`BatchState`); a batch lists none of them and
+parts that others have taken in are removed.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seatgrid.operators.asof import carry_last
 from seatgrid.operators.ranking import ordered_positions
 from seatgrid.session import scratch_path
 from seatgrid.sources.domain import click_key
 from seatgrid.sources.snapshots import read_if_there
-
-COMPACT = 20
+from seatgrid.streaming.state import BatchState
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -100,35 +101,52 @@ def audit_log(spark: SparkSession, regs: DataFrame, base: str | None = None) ->
     return _read_batches(spark, out, rows.schema)
 
 
-def _prior_deltas(spark: SparkSession, state: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    """The state before ``batch_id``: the newest whole state (``whole/v=<id>``, written with every
-    COMPACTth batch) and the deltas (``delta/v=<id>``) of the batches after it."""
-    last = batch_id - 1 - (batch_id - 1) % COMPACT  # the newest batch before this one that wrote the state whole
-    one = T.StructType(schema.fields + [T.StructField("v", T.LongType())])
-    parts = _read_batches(spark, f"{state}/delta", one).filter((F.col("v") > last) & (F.col("v") < batch_id))
-    if batch_id > 0:
-        parts = parts.unionByName(_read_batches(spark, f"{state}/whole", one).filter(F.col("v") == last))
-    return parts.select(*schema.fieldNames())
+def update_log(spark: SparkSession, writes: DataFrame, base: str | None = None) -> DataFrame:
+    """R2, updates: writes (write_id, reg_id, user_id, event_id, registration_status, ts) of registrations, a registration's first one
+    its insert. Every later one gives an UPDATE audit row with the old and the new status, also where they are the same.
+
+    Within a micro-batch a write's old status is carried from the write before it, in (ts, write_id) order; a registration's
+    first write of a batch takes it from the latest statuses of the batches before, kept by key.
+    """
+    base = base or scratch_path(spark, "stream-updates")
+    out = f"{base}/out"
+    reg_type = writes.schema["reg_id"].dataType
+    st_schema = T.StructType([T.StructField("reg_id", reg_type), T.StructField("status", T.StringType())])
+    newest = lambda df: df.groupBy("reg_id").agg(F.max_by(F.struct("status"), "_age").alias("s")).select("reg_id", "s.status")
+    state = BatchState(spark, f"{base}/state", st_schema, newest)
+    rows = writes.filter(F.col("reg_id").isNotNull())
+    audit = T.StructType([T.StructField("write_id", T.LongType()), T.StructField("reg_id", reg_type), T.StructField("user_id", T.LongType()),
+                          T.StructField("event_id", T.LongType()), T.StructField("action", T.StringType()),
+                          T.StructField("action_time", T.TimestampType()), T.StructField("old_status", T.StringType()),
+                          T.StructField("new_status", T.StringType())])
 
+    def sink(df: DataFrame, batch_id: int) -> None:
+        known = state.before(batch_id, lambda s: s.join(df.select("reg_id"), "reg_id", "left_semi")) \
+            .select("reg_id", F.struct("status").alias("_known"))
+        carried = carry_last(df, ["reg_id"], ["ts", "write_id"], F.struct(F.col("registration_status").alias("status")), "_old")
+        old = F.coalesce("_old", "_known")
+        carried.join(known, "reg_id", "left").filter(old.isNotNull()).select(
+            "write_id", "reg_id", "user_id", "event_id", F.lit("UPDATE").alias("action"), F.col("ts").alias("action_time"),
+            old["status"].alias("old_status"), F.col("registration_status").alias("new_status")) \
+            .write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        last = df.groupBy("reg_id").agg(F.max(F.struct("ts", "write_id", F.col("registration_status").alias("status"))).alias("s"))
+        state.write(batch_id, last.select("reg_id", "s.status"))
 
-def _write_state(state: str, batch_id: int, delta: DataFrame, whole: DataFrame) -> None:
-    """``whole``: the state after this batch, used only by the batches that compact."""
-    if batch_id % COMPACT == 0:
-        whole.write.mode("overwrite").parquet(f"{state}/whole/v={batch_id}")
-    else:
-        delta.write.mode("overwrite").parquet(f"{state}/delta/v={batch_id}")
+    _run(rows.writeStream.foreachBatch(sink), base)
+    return _read_batches(spark, out, audit)
 
 
 def waitlist(spark: SparkSession, regs: DataFrame, sessions: DataFrame, base: str | None = None) -> DataFrame:
     """R3: arrival-order seat assignment across micro-batches. A row arriving when the
     session's seated paid rows fill it becomes WAITLIST and takes no seat."""
     base = base or scratch_path(spark, "stream-waitlist")
-    out, state = f"{base}/out", f"{base}/state"
+    out = f"{base}/out"
     seats = sessions.select("event_id", "total_seats")
     st_schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("used", T.LongType())])
+    state = BatchState(spark, f"{base}/state", st_schema, lambda df: df.groupBy("event_id").agg(F.sum("used").alias("used")))
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        used = _prior_deltas(spark, state, batch_id, st_schema).groupBy("event_id").agg(F.sum("used").alias("used"))
+        used = state.before(batch_id, lambda s: s.join(df.select("event_id"), "event_id", "left_semi"))
         pos = ordered_positions(df, [F.col("ts").asc_nulls_first(), F.col("reg_id").asc()], keys=["event_id"],
                                 weight=(F.col("payment_status") == "COMPLETED").cast("int"))
         j = pos.join(seats, "event_id", "left").join(used, "event_id", "left")
@@ -140,7 +158,7 @@ def waitlist(spark: SparkSession, regs: DataFrame, sessions: DataFrame, base: st
         dec.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         written = spark.read.parquet(f"{out}/batch={batch_id}")
         add = written.filter("takes_seat").groupBy("event_id").agg(F.count(F.lit(1)).alias("used"))
-        _write_state(state, batch_id, add, used.unionByName(add).groupBy("event_id").agg(F.sum("used").alias("used")))
+        state.write(batch_id, add)
 
     _run(regs.writeStream.foreachBatch(sink), base)
     sch = T.StructType([T.StructField("reg_id", T.LongType()), T.StructField("user_id", T.LongType()),
@@ -153,19 +171,21 @@ def cart_dedupe(spark: SparkSession, clicks: DataFrame, base: str | None = None)
     """R4 (exact): the first click per (user, session) across all micro-batches becomes the
     cart row; later clicks on the same pair are duplicates."""
     base = base or scratch_path(spark, "stream-cart")
-    out, state = f"{base}/out", f"{base}/state"
+    out = f"{base}/out"
     c = clicks.filter(F.col("event_type") == "click").select("event_id", "user_id", "k", "ts")
     st_schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("k", T.LongType())])
+    # a pair is added once, so the parts have no key in common
+    state = BatchState(spark, f"{base}/state", st_schema, lambda df: df.drop("_age"))
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        seen = _prior_deltas(spark, state, batch_id, st_schema)
+        seen = state.before(batch_id)
         first = df.groupBy("user_id", "k").agg(F.min(F.struct("ts", "event_id")).alias("f"))
         fresh = first.join(seen, ["user_id", "k"], "left_anti")
         rows = fresh.select(F.col("f.event_id").alias("cart_id"), "user_id", F.col("k").alias("event_id"),
                             F.col("f.ts").cast("date").alias("added_date"))
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         added = spark.read.parquet(f"{out}/batch={batch_id}").select("user_id", F.col("event_id").alias("k"))
-        _write_state(state, batch_id, added, seen.unionByName(added))
+        state.write(batch_id, added)
 
     _run(c.writeStream.foreachBatch(sink), base)
     sch = T.StructType([T.StructField("cart_id", T.LongType()), T.StructField("user_id", T.LongType()),
