@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatgrid.functions.rules import fill_pct
+from seatgrid.operators.asof import carry_last
 from seatgrid.operators.ranking import ordered_positions
 
 # Statuses and messages.
@@ -149,6 +150,20 @@ def audit_inserts(inserted: DataFrame, as_of: str) -> DataFrame:
     return _audit_ids(rows)
 
 
+def state_as_of(log: DataFrame, asks: DataFrame) -> DataFrame:
+    """The audit log replayed: log (reg_id, at, seq, status) and asks (reg_id, as_of) to asks with the status that the
+    registration had at the end of that day (null before its first entry). Entries of one day go by ``seq``.
+
+    An as-of join in one order per registration: the last entry is carried over range partitions, so neither a
+    registration with many entries nor one with many asks lands in one task."""
+    a = asks.filter(F.col("reg_id").isNotNull()).select(
+        "reg_id", F.col("as_of").alias("at"), F.lit(1).alias("ask"), F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("status"))
+    e = log.filter(F.col("reg_id").isNotNull()).select("reg_id", "at", F.lit(0).alias("ask"), F.col("seq").cast("bigint").alias("seq"), "status")
+    value = F.when(F.col("ask") == 0, F.struct("status"))
+    carried = carry_last(e.unionByName(a), ["reg_id"], ["at", "ask", "seq"], value, "_last")
+    return carried.filter("ask = 1").select("reg_id", F.col("at").alias("as_of"), F.col("_last.status").alias("registration_status"))
+
+
 def _audit_ids(rows: DataFrame) -> DataFrame:
     pos = ordered_positions(rows, [F.col("reg_id").asc()])
     return pos.select(F.col("_pos").alias("audit_id"), *[c for c in rows.columns if c != "reg_id"])

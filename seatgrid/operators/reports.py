@@ -187,7 +187,7 @@ def event_conflict_pairs(sessions: DataFrame, bin_minutes: int = 60) -> DataFram
 
 
 def user_dashboard_profile(users: DataFrame) -> DataFrame:
-    return users.select("user_id", "full_name", "email", "user_type")
+    return users.select("user_id", "full_name", "email", "created_date", "user_type")
 
 
 def user_dashboard_registrations(registrations: DataFrame, sessions: DataFrame) -> DataFrame:

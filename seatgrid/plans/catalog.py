@@ -7,6 +7,7 @@ DOUBLE, dates as ISO text) so both engines hand back the same value types.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,10 +57,13 @@ def _sessions_list(d: Domain):
 
 
 @register("user_details", """
+, q AS (SELECT request_id, CASE request_id % 9 WHEN 0 THEN -user_id WHEN 1 THEN NULL ELSE user_id END AS user_id FROM d_removals)
 SELECT q.request_id, q.user_id, u.user_id IS NOT NULL AS found, u.full_name, u.email, u.user_type
-FROM d_removals q LEFT JOIN d_users u ON q.user_id = u.user_id""")
+FROM q LEFT JOIN d_users u ON q.user_id = u.user_id""")
 def _user_details(d: Domain):
-    return R.user_details(d.removals, d.users)
+    """Lookups by the ids of removal requests; some name nobody."""
+    asked = d.removals.withColumn("user_id", F.when(F.col("request_id") % 9 == 0, -F.col("user_id")).when(F.col("request_id") % 9 != 1, F.col("user_id")))
+    return R.user_details(asked, d.users)
 
 
 # Sums per session and per user, taken before any join.
@@ -193,9 +197,12 @@ def _registration_trend(d: Domain):
     return R.registration_trend(d.users, d.registrations, d.sessions)
 
 
-@register("user_dashboard_profile", "SELECT user_id, full_name, email, user_type FROM d_users")
+@register("user_dashboard_profile", """
+SELECT x.user_id, x.full_name, x.email, CAST((SELECT min(o_orderdate) FROM orders WHERE o_custkey = x.user_id) AS DATE)::VARCHAR AS created_date,
+       x.user_type
+FROM d_users x""")
 def _user_dashboard_profile(d: Domain):
-    return R.user_dashboard_profile(d.users)
+    return R.user_dashboard_profile(d.profiles)
 
 
 @register("user_dashboard_registrations", f"""
@@ -403,24 +410,36 @@ STRICT_CHAIN = [
     (_SEAT, "FAILED", _q("No seats available"))]
 
 
+RAW_ADMISSION: dict[str, str] = {}
+
+
 def _facts(d: Domain, with_names: bool = False):
     return A.admission_facts(d.requests, d.sessions, d.registrations, d.cart, with_names)
 
 
-@register("cart_admission_strict", _chain_sql(STRICT_CHAIN, "Added to cart successfully"))
+RAW_ADMISSION["strict"] = _chain_sql(STRICT_CHAIN, "Added to cart successfully")
+
+
+@register("cart_admission_strict", RAW_ADMISSION["strict"])
 def _cart_admission_strict(d: Domain):
     return A.strict(_facts(d))
 
 
-@register("cart_admission_package", _chain_sql([c for c in STRICT_CHAIN if c[0] != "registered"], "Added to cart successfully"))
+RAW_ADMISSION["package"] = _chain_sql([c for c in STRICT_CHAIN if c[0] != "registered"], "Added to cart successfully")
+
+
+@register("cart_admission_package", RAW_ADMISSION["package"])
 def _cart_admission_package(d: Domain):
     return A.package(_facts(d))
 
 
-@register("cart_admission_basic", _chain_sql([
+RAW_ADMISSION["basic"] = _chain_sql([
     ("in_cart", "FAILED", _q("Event already in cart")), ("registered", "FAILED", _q("Already registered for this event")),
     ("NOT (booked_seats < total_seats)", "FAILED", _q("No seats available")), ("NOT found", "ERROR", _q("insert or update on table cart violates foreign key constraint (event not found)"))],
-    "Added to cart successfully"))
+    "Added to cart successfully")
+
+
+@register("cart_admission_basic", RAW_ADMISSION["basic"])
 def _cart_admission_basic(d: Domain):
     return A.basic(_facts(d))
 
@@ -429,14 +448,33 @@ _HALF = ("coalesce(coalesce(booked_seats, 0) * 2 >= total_seats "
          "AND NOT (total_seats = 0 AND coalesce(booked_seats, 0) = 0), false)")
 
 
-@register("cart_admission_half_full", _chain_sql([
+RAW_ADMISSION["half_full"] = _chain_sql([
     ("NOT found", "FAILED", _q("Event not found")), (f"confirmed_count >= 3 AND {_HALF}", "FAILED", _q("You already have 3 confirmed registrations and this event is more than 50% full")),
     ("conflict_count > 0", "FAILED", f"{_q("Time conflict with event: ")} || conflict_name"),
     ("cart_conflict_count > 0", "FAILED", f"{_q("Time conflict with event in cart: ")} || cart_conflict_name"),
-    ("in_cart", "FAILED", _q("Event already in cart")), ("registered", "FAILED", _q("Already registered for this event"))], "Event added to cart successfully"))
+    ("in_cart", "FAILED", _q("Event already in cart")), ("registered", "FAILED", _q("Already registered for this event"))], "Event added to cart successfully")
+
+
+@register("cart_admission_half_full", RAW_ADMISSION["half_full"])
 def _cart_admission_half_full(d: Domain):
     return A.half_full(_facts(d, with_names=True))
 
+def _in_shop(sql: str) -> str:
+    """The same oracle over the shop's tables."""
+    for a, b in (("d_requests", "shop_requests"), ("d_sessions", "shop_sessions"), ("d_regs", "shop_regs"), ("d_cart", "shop_cart")):
+        sql = sql.replace(a, b)
+    return sql
+
+
+# The shop's users hold few registrations, its rooms are small, and some requests name no session: every branch has rows.
+for _rule in ("strict", "package", "basic", "half_full"):
+    def _shop_admission(d: Domain, rule=_rule):
+        facts = A.admission_facts(d.shop_requests, d.shop_sessions, d.shop_registrations, d.shop_cart, with_names=rule == "half_full")
+        return getattr(A, rule)(facts)
+    _shop_admission.__doc__ = f"Cart admission, {_rule} rules, over the shop's requests."
+    register(f"cart_admission_shop_{_rule}")(_shop_admission)
+    ORACLE[f"cart_admission_shop_{_rule}"] = with_views(_in_shop(RAW_ADMISSION[_rule]))
+
 # ---------------------------------------------------------------- data quality
 
 from seatgrid.operators import changes as C  # noqa: E402
@@ -549,9 +587,8 @@ def _dirty(df, by: str, m: int, broken: dict[str, dict[int, object]]):
     return df.select(*[column(f) for f in df.schema.fields])
 
 
-@register("constraint_violations_broken", DIRTY_SQL + CONSTRAINT_SQL.replace("FROM d_", "FROM x_"))
-def _constraint_violations_broken(d: Domain):
-    """The same checks over the same tables with rows that break each rule."""
+def _broken_tables(d: Domain) -> dict:
+    """The tables with rows that break each rule."""
     users = _dirty(d.users, "user_id", 50, {
         "user_id": {7: "NULL", 12: "user_id - 1"}, "full_name": {8: "NULL", 11: "repeat('x', 101)"}, "user_type": {10: "'GUEST'"},
         "email": {9: "'same@example.com'", 13: "NULL", 14: "repeat('y', 101) || user_id"}})
@@ -565,7 +602,43 @@ def _constraint_violations_broken(d: Domain):
         "payment_status": {0: "'UNKNOWN'"}, "registration_status": {8: "'LOST'"}})
     cart = _dirty(d.cart, "cart_id", 20, {
         "cart_id": {3: "NULL", 4: "0"}, "user_id": {1: "NULL", 5: "-9"}, "event_id": {0: "NULL", 2: "-event_id - 1", 6: "0"}})
-    return Q.constraint_violations(users, sessions, regs, cart)
+    return {"users": users, "sessions": sessions, "registrations": regs, "cart": cart}
+
+
+@register("constraint_violations_broken", DIRTY_SQL + CONSTRAINT_SQL.replace("FROM d_", "FROM x_"))
+def _constraint_violations_broken(d: Domain):
+    """The same checks over the same tables with rows that break each rule."""
+    return Q.constraint_violations(**_broken_tables(d))
+
+
+def _quarantine_sql() -> str:
+    """Row and FOREIGN KEY rules of every broken table, each rule a text that is there or null."""
+    out = []
+    for table, view, key, more in (("users", "x_users", "user_id", []), ("sessions", "x_sessions", "event_id", []), *[
+            (t, v, k, [("fk_user", "user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM x_users WHERE user_id IS NOT NULL)"),
+                       ("fk_event", "event_id IS NOT NULL AND event_id NOT IN (SELECT event_id FROM x_sessions WHERE event_id IS NOT NULL)")])
+            for t, v, k in (("registrations", "x_regs", "reg_id"), ("cart", "x_cart", "cart_id"))]):
+        rules = [re.match(r"SELECT '\w+' AS table_name, '(\w+)' AS constraint_name, count\(\*\) FILTER \(WHERE (.*)\) AS violations FROM", part).groups()
+                 for part in CONSTRAINT_SQL.split(" UNION ALL ") if part.startswith(f"SELECT '{table}'") and "FILTER" in part]
+        cases = ", ".join(f"CASE WHEN {p} THEN '{n}' END" for n, p in [*rules, *more])
+        out.append(f"SELECT '{table}' AS table_name, CAST({key} AS VARCHAR) AS row_key, concat_ws(',', {cases}) AS broken FROM {view}")
+    return DIRTY_SQL + "SELECT * FROM (" + " UNION ALL ".join(out) + ") z WHERE broken <> ''"
+
+
+@register("constraint_quarantine", _quarantine_sql())
+def _constraint_quarantine(d: Domain):
+    """The rows that break a row or FOREIGN KEY rule, with the rules each breaks."""
+    return Q.quarantine(_broken_tables(d))
+
+
+@register("key_bitmap_violations", DIRTY_SQL + " UNION ALL ".join(
+    [f"SELECT '{t}' AS table_name, 'pk_unique' AS constraint_name, count({k}) - count(DISTINCT {k}) AS violations FROM x_{t}"
+     for t, k in (("users", "user_id"), ("sessions", "event_id"), ("cart", "cart_id"))]
+    + [f"SELECT '{t}', 'fk_{n}', count(DISTINCT c.{k}) FILTER (WHERE NOT EXISTS (SELECT 1 FROM {p} p WHERE p.{k} = c.{k})) FROM {v} c"
+       for t, v in (("registrations", "x_regs"), ("cart", "x_cart")) for n, k, p in (("user", "user_id", "x_users"), ("event", "event_id", "x_sessions"))]))
+def _key_bitmap_violations(d: Domain):
+    """Key rules over bitmaps (registration ids are pairs of numbers, too wide for a bitmap)."""
+    return Q.bitmap_violations(_broken_tables(d))
 
 
 @register("overbooking_violations", """
@@ -663,6 +736,24 @@ def _audit_updates(d: Domain):
     return C.audit_updates(d.registrations, after, dec.filter("status = 'SUCCESS'"), AS_OF)
 
 
+@register("registration_state_as_of", CANCEL_SQL + f"""
+, gone AS (SELECT q.reg_id, CAST(min(q.ts) AS DATE) AS day FROM d_cancellations q JOIN cx USING (request_id) WHERE cx.ok GROUP BY q.reg_id),
+days AS (SELECT reg_id, registration_date AS came, unnest([registration_date - 1, registration_date, DATE '{AS_OF}', DATE '2100-01-01']) AS d FROM d_regs)
+SELECT CAST(y.reg_id AS VARCHAR) AS reg_id, CAST(CAST(y.d AS DATE) AS VARCHAR) AS as_of,
+       CASE WHEN g.day <= y.d THEN 'CANCELLED' WHEN y.came <= y.d THEN r.registration_status END AS registration_status
+FROM days y JOIN d_regs r USING (reg_id) LEFT JOIN gone g USING (reg_id)""")
+def _registration_state_as_of(d: Domain):
+    """The status of every registration before it came, on that day, on a fixed day, and at the end of the log."""
+    done = C.cancel_registrations(d.registrations, d.cancellations).filter("status = 'SUCCESS'").select("request_id", "reg_id") \
+        .join(d.cancellations.select("request_id", "ts"), "request_id")
+    log = d.registrations.select("reg_id", F.col("registration_date").alias("at"), F.lit(0).alias("seq"), F.col("registration_status").alias("status")) \
+        .unionByName(done.select("reg_id", F.col("ts").cast("date").alias("at"), (F.col("request_id") + 1).alias("seq"), F.lit("CANCELLED").alias("status")))
+    came = F.col("registration_date")
+    asks = d.registrations.select("reg_id", F.explode(F.array(
+        F.date_sub(came, 1), came, F.lit(AS_OF).cast("date"), F.lit("2100-01-01").cast("date"))).alias("as_of"))
+    return C.state_as_of(log, asks)
+
+
 @register("audit_inserts", f"""
 SELECT row_number() OVER (ORDER BY reg_id) AS audit_id, user_id, event_id, 'INSERT' AS action,
        '{AS_OF}' AS action_date, CAST(NULL AS VARCHAR) AS old_status, payment_status AS new_status
@@ -884,6 +975,26 @@ def _checkout_apply_registrations(d: Domain):
     return K.apply_registrations(_shop_decision(d), d.shop_checkouts, d.shop_cart, d.shop_sessions)
 
 
+@register("append_registrations", _decision_sql("ora") + """
+, fresh AS (SELECT k.user_id, c.event_id, CAST(k.ts AS DATE) AS day, g.ticket_price FROM dec JOIN shop_checkouts k USING (checkout_id)
+            JOIN shop_cart c ON c.user_id = k.user_id JOIN goods g ON g.user_id = c.user_id AND g.event_id = c.event_id WHERE dec.items > 0)
+SELECT user_id, event_id, CAST(registration_date AS VARCHAR) AS registration_date, payment_status, registration_status,
+       strftime(registration_date, '%Y-%m') AS month
+FROM shop_regs r WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.user_id = r.user_id AND f.event_id = r.event_id AND strftime(f.day, '%Y-%m') = strftime(r.registration_date, '%Y-%m'))
+UNION ALL SELECT user_id, event_id, CAST(day AS VARCHAR), 'COMPLETED', 'CONFIRMED', strftime(day, '%Y-%m') FROM fresh""")
+def _append_registrations(d: Domain):
+    """What the checkouts book goes into a registrations table kept by month; only the months it falls into are written again."""
+    from seatgrid.sources import partitioned as P
+    cols = ["user_id", "event_id", "registration_date", "payment_status", "registration_status"]
+    month = F.date_format("registration_date", "yyyy-MM").alias("month")
+    path = scratch_path(d.spark, "registrations-by-month")
+    P.create(d.shop_registrations.select(*cols, month), path, "month")
+    new = K.apply_registrations(_shop_decision(d), d.shop_checkouts, d.shop_cart, d.shop_sessions) \
+        .join(d.shop_checkouts.select("checkout_id", F.col("ts").cast("date").alias("registration_date")), "checkout_id")
+    P.append(d.spark, path, new.select(*cols, month), "month", ["month", "user_id", "event_id"])
+    return P.read(d.spark, path)
+
+
 @register("checkout_apply_seats", _decision_sql("ora") + """
 , taken AS (SELECT g.event_id, count(*) AS added FROM dec c JOIN goods g ON g.user_id = c.user_id WHERE c.items > 0 GROUP BY g.event_id)
 SELECT s.event_id, s.total_seats, s.booked_seats AS booked_before, t.added, s.booked_seats + t.added AS booked_after
@@ -1039,6 +1150,13 @@ def _stream_audit_updates(d: Domain):
     return S.update_log(d.spark, writes).drop("write_id", "action_time")
 
 
+@register("stream_assign_ids", """
+SELECT event_id AS click_id, user_id, row_number() OVER (ORDER BY ts NULLS FIRST, event_id) AS row_id FROM d_clicks WHERE event_type = 'click'""")
+def _stream_assign_ids(d: Domain):
+    clicks = _stream_source(d).filter(F.col("event_type") == "click").select(F.col("event_id").alias("click_id"), "user_id", "ts")
+    return S.assign_ids(d.spark, clicks, ["ts", "click_id"], "row_id").drop("ts")
+
+
 @register("stream_waitlist", """
 , p AS (SELECT event_id AS reg_id, user_id, k AS event_id, ts, value >= 1 AS paid FROM d_clicks WHERE event_type = 'purchase'),
 b AS (SELECT *, coalesce(sum(CASE WHEN paid THEN 1 ELSE 0 END) OVER (PARTITION BY event_id ORDER BY ts NULLS FIRST, reg_id
@@ -1109,6 +1227,31 @@ def _sql_session_functions(d: Domain):
                        "fn_event_fill_percentage(event_id) AS fill FROM (SELECT event_id FROM sessions UNION ALL SELECT -1)")
 
 
+@register("sql_user_cart")
+def _sql_user_cart(d: Domain):
+    """Every user's cart through the table function."""
+    sql_surface.register(d.spark, d)
+    return d.spark.sql("SELECT c.cart_id, u.user_id, c.* EXCEPT (cart_id) FROM (SELECT DISTINCT user_id FROM cart) u, LATERAL fn_user_cart(u.user_id) c")
+
+
+@register("sql_user_registrations")
+def _sql_user_registrations(d: Domain):
+    """Every user's confirmed registrations through the table function."""
+    sql_surface.register(d.spark, d)
+    return d.spark.sql("SELECT u.user_id, r.* FROM (SELECT DISTINCT user_id FROM registrations) u, LATERAL fn_user_registrations(u.user_id) r")
+
+
+@register("script_daily_report")
+def _script_daily_report(d: Domain):
+    """The daily report as a SQL script."""
+    sql_surface.register(d.spark, d)
+    return sql_surface.daily_report(d.spark, AS_OF, LOOKAHEAD_DAYS)
+
+
+for _name, _same in (("sql_user_cart", "user_cart"), ("sql_user_registrations", "user_registrations"), ("script_daily_report", "daily_event_report")):
+    ORACLE[_name] = ORACLE[_same]
+
+
 @register("sql_time_conflicts", """
 SELECT q.request_id, (SELECT count(*) FROM d_regs r, d_sessions e, d_sessions s
                       WHERE s.event_id = q.event_id AND r.user_id = q.user_id AND e.event_id = r.event_id

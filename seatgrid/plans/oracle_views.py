@@ -90,6 +90,10 @@ shop_sessions AS (
   SELECT b.event_id, b.event_name, b.event_date, b.start_time, b.end_time, 1 + b.total_seats % 15 AS total_seats, b.ticket_price, b.event_status,
          least(1 + b.total_seats % 15, (SELECT count(*) FROM shop_regs r WHERE r.event_id = b.event_id AND r.payment_status = 'COMPLETED')) AS booked_seats
   FROM d_base b),
+shop_requests AS (
+  SELECT request_id, user_id, CASE WHEN request_id % 23 = 5 THEN -k ELSE k END AS event_id, CAST(day AS TIMESTAMP) AS ts
+  FROM (SELECT l_orderkey * 10 + l_linenumber AS request_id, l_orderkey // 2 AS user_id, min(l_partkey) AS k, min(l_shipdate) AS day
+        FROM lineitem GROUP BY ALL) y),
 shop_checkouts AS (
   SELECT o_orderkey AS checkout_id, o_orderkey // 2 AS user_id, CAST(o_orderdate AS TIMESTAMP) AS ts,
          CASE o_orderstatus WHEN 'O' THEN 'UPI' ELSE 'CARD' END AS payment_method, o_orderstatus <> 'F' AS payment_ok

@@ -65,6 +65,47 @@ FUNCTIONS = [
 ]
 
 
+# Table functions: name, parameters, result columns and query; called through LATERAL they become joins.
+SESSION_COLUMNS = ("event_id BIGINT, event_name STRING, event_date DATE, start_time STRING, end_time STRING, total_seats INT, "
+                   "booked_seats INT, ticket_price DECIMAL(10,2), event_status STRING")
+_SESSION = ", ".join(f"s.{c.split()[0]}" for c in SESSION_COLUMNS.replace("(10,2)", "").split(", "))
+TABLE_FUNCTIONS = [
+    ("fn_user_cart", "p_user_id BIGINT", f"cart_id BIGINT, {SESSION_COLUMNS}",
+     f"SELECT c.cart_id, {_SESSION} FROM cart c JOIN sessions s USING (event_id) WHERE c.user_id = p_user_id"),
+    ("fn_user_registrations", "p_user_id BIGINT", f"{SESSION_COLUMNS}, registration_date DATE",
+     f"SELECT {_SESSION}, r.registration_date FROM registrations r JOIN sessions s USING (event_id) "
+     "WHERE r.user_id = p_user_id AND r.registration_status = 'CONFIRMED'"),
+]
+
+# The daily report as a script: parameters with checks, a handler, and the report as its result.
+DAILY_REPORT = """
+BEGIN
+  DECLARE as_of DATE;
+  DECLARE days INT DEFAULT 0;
+  DECLARE EXIT HANDLER FOR SQLEXCEPTION
+    SELECT CAST(NULL AS BIGINT) AS event_id, 'report failed' AS event_name, CAST(NULL AS DATE) AS event_date, CAST(NULL AS INT) AS booked_seats,
+           CAST(NULL AS INT) AS total_seats, CAST(NULL AS DOUBLE) AS fill_percentage, CAST(NULL AS BOOLEAN) AS auto_cancel;
+  SET as_of = DATE '{as_of}';
+  SET days = CAST('{days}' AS INT);
+  IF days < 0 THEN
+    SET days = 0;
+  END IF;
+  SELECT s.event_id, s.event_name, s.event_date, s.booked_seats, s.total_seats, f.fill AS fill_percentage,
+         coalesce(f.fill < 10 AND s.event_date > as_of, false) AS auto_cancel
+  FROM sessions s JOIN session_fill f USING (event_id)
+  WHERE s.event_date BETWEEN as_of AND date_add(as_of, days);
+END
+"""
+
+
+def daily_report(spark: SparkSession, as_of: str, days: int | str) -> DataFrame:
+    """The daily report run as a SQL script over the registered views. What can't be read as a number of days, or a date, ends
+    in the script's handler: one row that says so."""
+    if "'" in f"{as_of}{days}":
+        raise ValueError("a date and a number of days")
+    return spark.sql(DAILY_REPORT.format(as_of=as_of, days=days))
+
+
 def register(spark: SparkSession, d: Domain) -> None:
     """Create the temp views (tables, reports, helpers) and the SQL functions in this session."""
     tables = {name: getattr(d, name) for name in ("users", "sessions", "registrations", "cart")}
@@ -72,6 +113,8 @@ def register(spark: SparkSession, d: Domain) -> None:
         df.createOrReplaceTempView(name)
     for name, params, result, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
+    for name, params, columns, body in TABLE_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS TABLE({columns}) RETURN {body}")
 
 
 def user_registrations_for(spark: SparkSession, user_id: int):

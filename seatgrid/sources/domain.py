@@ -69,6 +69,14 @@ class Domain:
             F.when(F.col("c_nationkey") == 0, "ADMIN").otherwise("USER").alias("user_type"),
         )
 
+    @cached_property
+    def profiles(self) -> DataFrame:
+        """Users with the day they came (of their first order; null without one) and a phone number made of nation and id."""
+        first = self.raw("orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.min("o_orderdate").cast("date").alias("created_date"))
+        nation = self.raw("customer").select(F.col("c_custkey").alias("user_id"), F.format_string(
+            "+%d-%09d", F.col("c_nationkey") + 10, F.col("c_custkey")).alias("phone"))
+        return self.users.join(nation, "user_id").join(first, "user_id", "left")
+
     @cached_property
     def base_sessions(self) -> DataFrame:
         p = self.raw("part")
@@ -248,6 +256,15 @@ class Domain:
             *[seats.alias(c) if c == "total_seats" else self.base_sessions[c] for c in self.base_sessions.columns],
             F.least(seats, F.coalesce(F.col("n"), F.lit(0))).cast("int").alias("booked_seats")))
 
+    @cached_property
+    def shop_requests(self) -> DataFrame:
+        """Every order line as a request to add its session; some ask for a session that isn't there."""
+        n = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+        first = self.raw("lineitem").groupBy(n.alias("request_id"), F.expr("l_orderkey div 2").alias("user_id")).agg(
+            F.min("l_partkey").alias("k"), F.min("l_shipdate").alias("day"))
+        return first.select("request_id", "user_id", F.when(F.col("request_id") % 23 == 5, -F.col("k")).otherwise(F.col("k")).alias("event_id"),
+                            F.col("day").cast("timestamp").alias("ts"))
+
     @cached_property
     def shop_checkouts(self) -> DataFrame:
         o = self.raw("orders")

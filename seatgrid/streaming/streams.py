@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seatgrid.operators.asof import carry_last
+from seatgrid.operators.changes import assign_ids as batch_ids
 from seatgrid.operators.ranking import ordered_positions
 from seatgrid.session import scratch_path
 from seatgrid.sources.domain import click_key
@@ -136,6 +137,23 @@ def update_log(spark: SparkSession, writes: DataFrame, base: str | None = None)
     return _read_batches(spark, out, audit)
 
 
+def assign_ids(spark: SparkSession, rows: DataFrame, order: list[str], id_col: str, start_after: int = 0, base: str | None = None) -> DataFrame:
+    """T12 across micro-batches: dense ids in the order of arrival (batch by batch, ``order`` inside a batch). Every batch writes the
+    highest id so far beside its rows, and reads that of the batch before it; a retried batch starts from the same mark."""
+    base = base or scratch_path(spark, "stream-ids")
+    out, marks = f"{base}/out", f"{base}/marks"
+    mark = T.StructType([T.StructField("top", T.LongType())])
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        top = start_after if batch_id == 0 else spark.read.schema(mark).parquet(f"{marks}/{batch_id - 1}").first()["top"]
+        batch_ids(df, [F.col(c).asc_nulls_first() for c in order], top, id_col).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        written = spark.read.parquet(f"{out}/batch={batch_id}")
+        written.agg(F.coalesce(F.max(id_col), F.lit(top)).cast("bigint").alias("top")).coalesce(1).write.mode("overwrite").parquet(f"{marks}/{batch_id}")
+
+    _run(rows.writeStream.foreachBatch(sink), base)
+    return _read_batches(spark, out, T.StructType([*rows.schema.fields, T.StructField(id_col, T.LongType())]))
+
+
 def waitlist(spark: SparkSession, regs: DataFrame, sessions: DataFrame, base: str | None = None) -> DataFrame:
     """R3: arrival-order seat assignment across micro-batches. A row arriving when the
     session's seated paid rows fill it becomes WAITLIST and takes no seat."""
