@@ -14,8 +14,9 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatgrid.operators.lookups import INTERVAL, confirmed, conflicts_with, interval_summary
+from seatgrid.operators.lookups import INTERVAL, confirmed, conflicts_of, interval_groups
 from seatgrid.operators.scan import ordered_pass
+from seatgrid.session import cut_lineage
 
 # Decision statuses and messages of the three variants.
 SUCCESS, FAILED, ERROR = "SUCCESS", "FAILED", "ERROR"
@@ -38,37 +39,43 @@ LIMIT = 3
 def admission_facts(requests: DataFrame, sessions: DataFrame, registrations: DataFrame, cart: DataFrame,
                     with_names: bool = True) -> DataFrame:
     """Per request: session facts, cart / registration membership, counts and (with
-    ``with_names``) the names of the first clashing registration and cart item."""
+    ``with_names``) the cart conflicts and the names of the first clashing registration and cart item.
+
+    The requests with their sessions, and what the requesting users hold, are written once; all facts are
+    aggregates of these by (user, session), user, or distinct interval.
+    """
     s = sessions.select("event_id", "event_name", *INTERVAL, "total_seats", "booked_seats", "event_status") \
         .withColumn("found", F.lit(True))
-    q = requests.select("request_id", "user_id", "event_id").join(s, "event_id", "left") \
-        .withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
-
-    # membership flags as semi-joins from the request side: no aggregation of the big tables
-    keys = requests.select("request_id", "user_id", "event_id")
-    in_cart = keys.join(cart.select("user_id", "event_id"), ["user_id", "event_id"], "left_semi") \
-        .select("request_id", F.lit(True).alias("in_cart"))
-    registered = keys.join(registrations.select("user_id", "event_id"), ["user_id", "event_id"], "left_semi") \
-        .select("request_id", F.lit(True).alias("registered"))
-
-    conf = confirmed(registrations)
+    q = cut_lineage(requests.select("request_id", "user_id", "event_id").join(s, "event_id", "left")
+                    .withColumn("found", F.coalesce(F.col("found"), F.lit(False))))
+    asking = q.select("user_id")
+    own = s.select("event_id", "event_name", *INTERVAL, F.lit(1).alias("_known"))
+    held = cut_lineage(registrations.select("reg_id", "user_id", "event_id", "payment_status", "registration_status")
+                       .join(asking, "user_id", "left_semi").join(own, "event_id", "left"))
+    items = cart.select("cart_id", "user_id", "event_id").join(asking, "user_id", "left_semi")
+    if with_names:
+        items = cut_lineage(items.join(own, "event_id", "left"))
+
+    in_cart = items.groupBy("user_id", "event_id").agg(F.lit(True).alias("in_cart"))
+    registered = held.groupBy("user_id", "event_id").agg(F.lit(True).alias("registered"))
+    conf = confirmed(held)
     # the application counts confirmed rows joined to their session; the procedures count rows
-    known = conf.join(sessions.select("event_id").withColumn("_known", F.lit(1)), "event_id", "left")
-    counts = known.groupBy("user_id").agg(
+    counts = conf.groupBy("user_id").agg(
         F.count("_known").alias("confirmed_count"),
         F.sum(F.when(F.col("payment_status") == "COMPLETED", 1).otherwise(0)).alias("paid_confirmed_count"))
-
-    reg_conf = conflicts_with(q, interval_summary(conf, sessions, "reg_id", with_names, only_for=q), "request_id") \
-        .select("request_id", F.col("conflict_count"), F.col("first_conflict.event_name").alias("conflict_name"))
-    cart_conf = conflicts_with(q, interval_summary(cart, sessions, "cart_id", with_names, only_for=q), "request_id") \
-        .select("request_id", F.col("conflict_count").alias("cart_conflict_count"),
-                F.col("first_conflict.event_name").alias("cart_conflict_name"))
-
-    f = (q.join(in_cart, "request_id", "left")
-         .join(registered, "request_id", "left")
+    reg_conf = conflicts_of(q, interval_groups(conf.filter("_known = 1"), "reg_id", with_names), "request_id") \
+        .select("request_id", "conflict_count", F.col("first_conflict.event_name").alias("conflict_name"))
+    f = (q.join(in_cart, ["user_id", "event_id"], "left")
+         .join(registered, ["user_id", "event_id"], "left")
          .join(counts, "user_id", "left")
-         .join(reg_conf, "request_id", "left")
-         .join(cart_conf, "request_id", "left"))
+         .join(reg_conf, "request_id", "left"))
+    if with_names:
+        cart_conf = conflicts_of(q, interval_groups(items.filter("_known = 1"), "cart_id"), "request_id") \
+            .select("request_id", F.col("conflict_count").alias("cart_conflict_count"),
+                    F.col("first_conflict.event_name").alias("cart_conflict_name"))
+        f = f.join(cart_conf, "request_id", "left")
+    else:
+        f = f.withColumn("cart_conflict_count", F.lit(None).cast("bigint")).withColumn("cart_conflict_name", F.lit(None).cast("string"))
     return f.select(
         "request_id", "user_id", "event_id", "found", "event_name", *INTERVAL, "total_seats", "booked_seats", "event_status",
         F.coalesce(F.col("in_cart"), F.lit(False)).alias("in_cart"),
@@ -209,8 +216,6 @@ def ordered(requests: DataFrame, sessions: DataFrame, registrations: DataFrame,
     accepted intervals it holds; a chain of requests that each wait for the one before takes no longer. Requests
     without a date or a time overlap nothing.
     """
-    from seatgrid.session import cut_lineage
-
     c = F.col
     f = admission_facts(requests, sessions, registrations, cart).join(requests.select("request_id", "ts"), "request_id")
     booked = F.coalesce(c("booked_seats"), F.lit(0))

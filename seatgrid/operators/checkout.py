@@ -242,8 +242,10 @@ def validate(checkouts: DataFrame, cart: DataFrame, sessions: DataFrame, registr
     (per user and date) of the confirmed rows and of the cart, never with every row.
     """
     s = sessions.select("event_id", "event_name", *INTERVAL, "total_seats", "booked_seats")
-    items = cart.select("cart_id", "user_id", "event_id").join(s, "event_id")
-    conf = registrations.filter(F.col("registration_status") == "CONFIRMED").select("reg_id", "user_id", "event_id").join(s, "event_id")
+    # the cart with its sessions is used five times; only users with a cart are compared with what they hold
+    items = cut_lineage(cart.select("cart_id", "user_id", "event_id").join(s, "event_id"))
+    conf = cut_lineage(registrations.filter(F.col("registration_status") == "CONFIRMED").select("reg_id", "user_id", "event_id")
+                       .join(items.select("user_id"), "user_id", "left_semi").join(s, "event_id"))
 
     per_user = items.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_cart"))
     n_conf = conf.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_conf"))

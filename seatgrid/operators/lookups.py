@@ -38,6 +38,11 @@ def interval_summary(rows: DataFrame, sessions: DataFrame, order_col: str, with_
     if only_for is not None:
         j = j.join(only_for.select("user_id", "event_date").filter(F.col("event_date").isNotNull()),
                    ["user_id", "event_date"], "left_semi")
+    return interval_groups(j, order_col, with_first)
+
+
+def interval_groups(j: DataFrame, order_col: str, with_first: bool = True) -> DataFrame:
+    """:func:`interval_summary` of rows that have their sessions' columns."""
     aggs = [F.count(F.lit(1)).alias("n")]
     if with_first:
         aggs.append(F.min(F.struct(order_col, "event_name")).alias("first"))
@@ -46,16 +51,19 @@ def interval_summary(rows: DataFrame, sessions: DataFrame, order_col: str, with_
     return j.groupBy("user_id", *INTERVAL).agg(*aggs)
 
 
-def conflicts_with(probes: DataFrame, summary: DataFrame, probe_id: str) -> DataFrame:
-    """For each probe (user_id, event_date, start_time, end_time) row: overlapping count and first row.
+def conflicts_of(probes: DataFrame, summary: DataFrame, probe_id: str) -> DataFrame:
+    """For each probe (user_id, event_date, start_time, end_time) row that overlaps any: overlapping count and first row.
 
-    Returns probe_id, conflict_count (0 if none), first_conflict (struct or NULL).
-    """
+    Returns probe_id, conflict_count, first_conflict (struct)."""
     p = probes.select(probe_id, "user_id", *INTERVAL)
     pairs = overlap_pairs(p, summary, ["user_id", "event_date"], ["user_id", "event_date"])
-    agg = pairs.groupBy(F.col("l_" + probe_id).alias(probe_id)).agg(
+    return pairs.groupBy(F.col("l_" + probe_id).alias(probe_id)).agg(
         F.sum("r_n").alias("conflict_count"), F.min("r_first").alias("first_conflict"))
-    out = probes.select(probe_id).join(agg, probe_id, "left")
+
+
+def conflicts_with(probes: DataFrame, summary: DataFrame, probe_id: str) -> DataFrame:
+    """:func:`conflicts_of` for every probe: conflict_count is 0 and first_conflict null where there is none."""
+    out = probes.select(probe_id).join(conflicts_of(probes, summary, probe_id), probe_id, "left")
     return out.select(probe_id, F.coalesce(F.col("conflict_count"), F.lit(0)).alias("conflict_count"),
                       "first_conflict")
 

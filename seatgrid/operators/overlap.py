@@ -4,8 +4,8 @@ Well-formed intervals are exploded into the time bins they cover and joined on
 (keys, bin); a pair is kept only in the bin holding the later start, so each
 overlapping pair appears once. Two well-formed intervals overlap iff they share a
 minute, and the later start lies in both, so no pair is lost. Rows whose times are
-not 'HH:MM' with start < end can still satisfy the string predicate; they alone are joined
-on the keys without bins (normally there are none, and adaptive execution drops those branches).
+not 'HH:MM' with start < end can still satisfy the string predicate; they alone go into every
+bin, as if they started in the first one, and so meet each row of their keys once.
 """
 
 from __future__ import annotations
@@ -18,16 +18,21 @@ from pyspark.sql import functions as F
 from seatgrid.functions.rules import minutes, well_formed_interval
 
 
+LAST_MINUTE = 99 * 60 + 99  # what 'HH:MM' can say
+
+
 def _prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select(*[F.col(c).alias(p + c) for c in df.columns])
 
 
 def _with_bins(df: DataFrame, p: str, bin_minutes: int) -> DataFrame:
+    """One row for each bin a row covers; rows with a null time overlap nothing."""
     s, e = minutes(F.col(p + "start_time")), minutes(F.col(p + "end_time"))
     wf = well_formed_interval(F.col(p + "start_time"), F.col(p + "end_time"))
-    first = F.floor(s / bin_minutes).cast("int")
-    last = F.floor((e - 1) / bin_minutes).cast("int")
-    return df.withColumn(p + "_wf", wf).withColumn(p + "_sbin", first).withColumn(p + "_last", last)
+    first = F.when(wf, F.floor(s / bin_minutes)).otherwise(0).cast("int")
+    last = F.when(wf, F.floor((e - 1) / bin_minutes)).otherwise(LAST_MINUTE // bin_minutes).cast("int")
+    known = df.filter(F.col(p + "start_time").isNotNull() & F.col(p + "end_time").isNotNull())
+    return known.withColumn(p + "_sbin", first).withColumn("_bin", F.explode(F.sequence(F.col(p + "_sbin"), last)))
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str],
@@ -39,8 +44,8 @@ def overlap_pairs(left: DataFrame, right: DataFrame, left_keys: Sequence[str], r
     include the date. Output columns are prefixed ``l_`` and ``r_``. ``extra`` is an
     additional pair predicate over the prefixed frames (e.g. ``l.id < r.id``).
     """
-    L = _with_bins(_prefixed(left, "l_"), "l_", bin_minutes)
-    R = _with_bins(_prefixed(right, "r_"), "r_", bin_minutes)
+    lx = _with_bins(_prefixed(left, "l_"), "l_", bin_minutes)
+    rx = _with_bins(_prefixed(right, "r_"), "r_", bin_minutes)
     out_cols = ["l_" + c for c in left.columns] + ["r_" + c for c in right.columns]
 
     def pred(a: DataFrame, b: DataFrame) -> Column:
@@ -56,12 +61,5 @@ def overlap_pairs(left: DataFrame, right: DataFrame, left_keys: Sequence[str], r
             c = c & (a["l_" + lk] == b["r_" + rk])
         return c
 
-    # well-formed rows by bin; a malformed left row meets every right row of its keys, a malformed right row every well-formed left one
-    lx = L.filter("l__wf").withColumn("_bin", F.explode(F.sequence("l__sbin", "l__last")))
-    rx = R.filter("r__wf").withColumn("_bin", F.explode(F.sequence("r__sbin", "r__last")))
     once = lx["_bin"] == F.greatest(lx["l__sbin"], rx["r__sbin"])
-    binned = lx.join(rx, key_eq(lx, rx) & (lx["_bin"] == rx["_bin"]) & once & pred(lx, rx)).select(*out_cols)
-    lbad, lgood, rbad = L.filter("NOT l__wf"), L.filter("l__wf"), R.filter("NOT r__wf")
-    left_bad = lbad.join(R, key_eq(lbad, R) & pred(lbad, R)).select(*out_cols)
-    right_bad = lgood.join(rbad, key_eq(lgood, rbad) & pred(lgood, rbad)).select(*out_cols)
-    return binned.unionAll(left_bad).unionAll(right_bad)
+    return lx.join(rx, key_eq(lx, rx) & (lx["_bin"] == rx["_bin"]) & once & pred(lx, rx)).select(*out_cols)

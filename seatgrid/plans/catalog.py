@@ -205,24 +205,32 @@ def _user_dashboard_profile(d: Domain):
     return R.user_dashboard_profile(d.profiles)
 
 
-@register("user_dashboard_registrations", f"""
-SELECT CAST(r.reg_id AS VARCHAR) AS registration_id, r.user_id, e.event_name, CAST(e.event_date AS VARCHAR) AS event_date,
-       e.start_time, e.end_time, CAST(r.registration_date AS VARCHAR) AS registration_date, r.payment_status,
-       CAST(e.ticket_price AS DOUBLE) AS price, {pct('e.booked_seats', 'e.total_seats')} AS fill_percentage
-FROM d_regs r JOIN d_sessions e ON r.event_id = e.event_id
-WHERE r.registration_status = 'CONFIRMED'
-ORDER BY r.user_id, e.event_date""")
+# The held sessions of each user as one list, unfolded again.
+HELD_SQL = f""", shown AS (SELECT event_id, {{'n': event_name, 'd': event_date, 's': start_time, 'e': end_time, 'p': ticket_price,
+                                     'f': {pct('booked_seats', 'total_seats')}}} AS e FROM d_sessions),
+kept AS (SELECT user_id, list({{'r': reg_id, 'on': registration_date, 'pay': payment_status, 'k': event_id}}) AS l
+         FROM d_regs WHERE registration_status IN ('CONFIRMED') GROUP BY user_id),
+each AS (SELECT user_id, unnest(l) AS g FROM kept)"""
+
+
+@register("user_dashboard_registrations", HELD_SQL + """
+SELECT CAST(g.r AS VARCHAR) AS registration_id, user_id, e.n AS event_name, CAST(e.d AS VARCHAR) AS event_date, e.s AS start_time, e.e AS end_time,
+       CAST(g."on" AS VARCHAR) AS registration_date, g.pay AS payment_status, CAST(e.p AS DOUBLE) AS price, e.f AS fill_percentage
+FROM each JOIN shown ON shown.event_id = g.k""")
 def _user_dashboard_registrations(d: Domain):
     return R.user_dashboard_registrations(d.registrations, d.sessions)
 
 
 @register("registrations_report", """
-SELECT CAST(r.reg_id AS VARCHAR) AS reg_id, u.full_name, e.event_name, CAST(r.registration_date AS VARCHAR) AS registration_date,
-       CAST(r.amount_paid AS DOUBLE) AS amount_paid,
-       row_number() OVER (ORDER BY r.registration_date DESC NULLS FIRST, r.reg_id) AS row_num,
-       count(*) OVER () AS total_registrations
-FROM d_regs r JOIN d_users u ON r.user_id = u.user_id JOIN d_sessions e ON r.event_id = e.event_id
-WHERE r.payment_status = 'COMPLETED'""")
+, paid AS (SELECT reg_id, user_id, event_id, registration_date AS d, amount_paid FROM d_regs
+           WHERE payment_status = 'COMPLETED' AND user_id IN (SELECT user_id FROM d_users) AND event_id IN (SELECT event_id FROM d_sessions)),
+per_day AS (SELECT d, count(*) AS n FROM paid GROUP BY d),
+ahead AS (SELECT a.d, coalesce(sum(b.n), 0) AS n FROM per_day a LEFT JOIN per_day b ON b.d > a.d OR (b.d IS NULL AND a.d IS NOT NULL) GROUP BY a.d)
+SELECT CAST(p.reg_id AS VARCHAR) AS reg_id, (SELECT any_value(full_name) FROM d_users u WHERE u.user_id = p.user_id) AS full_name,
+       (SELECT any_value(event_name) FROM d_sessions s WHERE s.event_id = p.event_id) AS event_name, CAST(p.d AS VARCHAR) AS registration_date,
+       CAST(p.amount_paid AS DOUBLE) AS amount_paid, CAST(ahead.n + rank() OVER (PARTITION BY p.d ORDER BY p.reg_id) AS BIGINT) AS row_num,
+       (SELECT CAST(sum(n) AS BIGINT) FROM per_day) AS total_registrations
+FROM paid p JOIN ahead ON ahead.d IS NOT DISTINCT FROM p.d""")
 def _registrations_report(d: Domain):
     return R.registrations_report(d.registrations, d.users, d.sessions)
 
@@ -238,8 +246,8 @@ def _daily_event_report(d: Domain):
 
 
 @register("user_cart", f"""
-SELECT c.cart_id, c.user_id, {SESSION_SQL}
-FROM d_cart c JOIN d_sessions e ON c.event_id = e.event_id""")
+, waiting AS (SELECT event_id, list({{'c': cart_id, 'u': user_id}}) AS l FROM d_cart GROUP BY event_id)
+SELECT w.c AS cart_id, w.u AS user_id, {SESSION_SQL} FROM (SELECT event_id, unnest(l) AS w FROM waiting) x, d_sessions e WHERE e.event_id IN (x.event_id)""")
 def _user_cart(d: Domain):
     return R.user_cart(d.cart, d.sessions)
 
@@ -254,9 +262,9 @@ def _cart_totals(d: Domain):
 
 
 @register("user_registrations", f"""
-SELECT r.user_id, {SESSION_SQL}, CAST(r.registration_date AS VARCHAR) AS registration_date
-FROM d_regs r JOIN d_sessions e ON r.event_id = e.event_id
-WHERE r.registration_status = 'CONFIRMED'""")
+, by_session AS (SELECT event_id, list({{'u': user_id, 'd': registration_date}}) FILTER (WHERE registration_status = 'CONFIRMED') AS l FROM d_regs GROUP BY event_id)
+SELECT w.u AS user_id, {SESSION_SQL}, CAST(w.d AS VARCHAR) AS registration_date
+FROM (SELECT event_id, unnest(l) AS w FROM by_session) x, d_sessions e WHERE e.event_id IN (x.event_id)""")
 def _user_registrations(d: Domain):
     return R.user_registrations(d.registrations, d.sessions)
 
@@ -267,11 +275,11 @@ from seatgrid.operators import lookups as L  # noqa: E402
 
 
 @register("time_conflict_count", """
-SELECT q.request_id, q.user_id, q.event_id,
-       (SELECT count(*) FROM d_regs r JOIN d_sessions e ON r.event_id = e.event_id
-        WHERE r.user_id = q.user_id AND r.registration_status = 'CONFIRMED' AND e.event_date = s.event_date
-          AND e.start_time < s.end_time AND e.end_time > s.start_time) AS conflict_count
-FROM d_requests q LEFT JOIN d_sessions s ON q.event_id = s.event_id""")
+, pts AS (SELECT r.user_id, e.event_date, e.start_time AS s, e.end_time AS t, count(*) AS n
+          FROM d_regs r JOIN d_sessions e USING (event_id) WHERE r.registration_status = 'CONFIRMED' GROUP BY ALL),
+hit AS (SELECT q.request_id, sum(p.n) AS n FROM d_requests q JOIN d_sessions s USING (event_id)
+        JOIN pts p ON p.user_id = q.user_id AND p.event_date = s.event_date WHERE least(p.t, s.end_time) > greatest(p.s, s.start_time) GROUP BY q.request_id)
+SELECT q.request_id, q.user_id, q.event_id, CAST(coalesce(hit.n, 0) AS BIGINT) AS conflict_count FROM d_requests q LEFT JOIN hit USING (request_id)""")
 def _time_conflict_count(d: Domain):
     return L.time_conflict_count(d.requests, d.sessions, d.registrations)
 
@@ -364,29 +372,25 @@ def _total_revenue_ranges(d: Domain):
 # ---------------------------------------------------------------- cart admission
 
 FACTS_SQL = """
-, conf AS (SELECT r.user_id, r.reg_id, e.event_name, e.event_date, e.start_time, e.end_time
-           FROM d_regs r JOIN d_sessions e ON r.event_id = e.event_id WHERE r.registration_status = 'CONFIRMED'),
-cartx AS (SELECT c.user_id, c.cart_id, e.event_name, e.event_date, e.start_time, e.end_time
-          FROM d_cart c JOIN d_sessions e ON c.event_id = e.event_id),
-f AS (
-  SELECT q.request_id, q.user_id, q.event_id, s.event_id IS NOT NULL AS found, s.event_status, s.total_seats,
-         s.booked_seats,
-         EXISTS (SELECT 1 FROM d_cart c WHERE c.user_id = q.user_id AND c.event_id = q.event_id) AS in_cart,
-         EXISTS (SELECT 1 FROM d_regs r WHERE r.user_id = q.user_id AND r.event_id = q.event_id) AS registered,
-         (SELECT count(*) FROM d_regs r JOIN d_sessions e ON r.event_id = e.event_id
-          WHERE r.user_id = q.user_id AND r.registration_status = 'CONFIRMED') AS confirmed_count,
-         (SELECT count(*) FROM d_regs r WHERE r.user_id = q.user_id AND r.registration_status = 'CONFIRMED'
-            AND r.payment_status = 'COMPLETED') AS paid_confirmed_count,
-         (SELECT count(*) FROM conf x WHERE x.user_id = q.user_id AND x.event_date = s.event_date
-            AND x.start_time < s.end_time AND x.end_time > s.start_time) AS conflict_count,
-         (SELECT arg_min(x.event_name, x.reg_id) FROM conf x WHERE x.user_id = q.user_id
-            AND x.event_date = s.event_date AND x.start_time < s.end_time AND x.end_time > s.start_time) AS conflict_name,
-         (SELECT count(*) FROM cartx x WHERE x.user_id = q.user_id AND x.event_date = s.event_date
-            AND x.start_time < s.end_time AND x.end_time > s.start_time) AS cart_conflict_count,
-         (SELECT arg_min(x.event_name, x.cart_id) FROM cartx x WHERE x.user_id = q.user_id
-            AND x.event_date = s.event_date AND x.start_time < s.end_time AND x.end_time > s.start_time)
-           AS cart_conflict_name
-  FROM d_requests q LEFT JOIN d_sessions s ON q.event_id = s.event_id)
+, seen AS (SELECT event_id, event_date AS d, {'n': event_name, 's': start_time, 'e': end_time} AS v FROM d_sessions),
+conf AS (SELECT user_id, d, list({'k': reg_id, 'v': v} ORDER BY reg_id) AS l
+         FROM d_regs JOIN seen USING (event_id) WHERE registration_status = 'CONFIRMED' GROUP BY user_id, d),
+cartx AS (SELECT user_id, d, list({'k': cart_id, 'v': v} ORDER BY cart_id) AS l FROM d_cart JOIN seen USING (event_id) GROUP BY user_id, d),
+held AS (SELECT user_id, count(*) FILTER (WHERE event_id IN (SELECT event_id FROM seen)) AS known,
+                count(*) FILTER (WHERE payment_status = 'COMPLETED') AS paid
+         FROM d_regs WHERE registration_status = 'CONFIRMED' GROUP BY user_id),
+met AS (SELECT q.request_id, q.user_id, q.event_id, s.event_id IS NOT NULL AS found, s.event_status, s.total_seats, s.booked_seats,
+               list_filter(c.l, lambda x: NOT (x.v.s >= s.end_time OR s.start_time >= x.v.e)) AS rs,
+               list_filter(k.l, lambda x: NOT (x.v.s >= s.end_time OR s.start_time >= x.v.e)) AS cs
+        FROM d_requests q LEFT JOIN d_sessions s ON q.event_id = s.event_id
+        LEFT JOIN conf c ON c.user_id = q.user_id AND c.d = s.event_date LEFT JOIN cartx k ON k.user_id = q.user_id AND k.d = s.event_date),
+f AS (SELECT m.request_id, m.user_id, m.event_id, m.found, m.event_status, m.total_seats, m.booked_seats,
+             (m.user_id, m.event_id) IN (SELECT (user_id, event_id) FROM d_cart WHERE event_id IS NOT NULL) AS in_cart,
+             (m.user_id, m.event_id) IN (SELECT (user_id, event_id) FROM d_regs) AS registered,
+             coalesce(h.known, 0) AS confirmed_count, coalesce(h.paid, 0) AS paid_confirmed_count,
+             coalesce(len(m.rs), 0) AS conflict_count, m.rs[1].v.n AS conflict_name,
+             coalesce(len(m.cs), 0) AS cart_conflict_count, m.cs[1].v.n AS cart_conflict_name
+      FROM met m LEFT JOIN held h USING (user_id))
 """
 
 
