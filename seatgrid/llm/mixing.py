@@ -109,7 +109,9 @@ def solve_rates(hist: DataFrame, goal: DataFrame, most: int = MOST, tolerance: f
 
 def mix_documents(rows: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """rows (doc_id, _src, size, more) with source_size, target, rate and copies."""
-    rows = cut_lineage(rows)
+    columns = rows.columns
+    # rows alike in size and doc_id (null ids) can be many: a number of their own, the same in every later pass, tells them apart
+    rows = cut_lineage(rows.withColumn("_tie", F.monotonically_increasing_id()))
     hist = cut_lineage(rows.groupBy("_src", "size").agg(F.count(F.lit(1)).alias("n")))
     goal = cut_lineage(targets(hist, weights, most))
     solved = solve_rates(hist, goal, most)
@@ -119,10 +121,10 @@ def mix_documents(rows: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int
     r = rows.join(solved.select("_src", "source_size", "_scale", "target", "lam"), "_src")
     r = r.withColumn("_q", F.round(rate * UNIT).cast("bigint")).drop("lam", "_scale") \
         .withColumn("_mix", F.xxhash64(F.lit(seed), F.col("doc_id")))
-    placed = ordered_positions(r, [F.col("size"), F.col("_mix"), F.col("doc_id")], keys=["_src"], weight=F.col("_q"))
+    placed = ordered_positions(r, [F.col("size"), F.col("_mix"), F.col("doc_id"), F.col("_tie")], keys=["_src"], weight=F.col("_q"))
     half = UNIT // 2
     copies = F.expr(f"(_before + _q + {half}) div {UNIT} - (_before + {half}) div {UNIT}")
-    return placed.select(*rows.columns, "source_size", "target", (F.col("_q") / F.lit(float(UNIT))).alias("rate"), copies.alias("copies"))
+    return placed.select(*columns, "source_size", "target", (F.col("_q") / F.lit(float(UNIT))).alias("rate"), copies.alias("copies"))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

@@ -27,10 +27,11 @@ SEED = 20_240_607
 def place_rows(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """rows with doc_id, source and order columns size, text_crc32: adds shard and slot."""
     mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    r = rows.withColumn("_mix", mixed)
-    ranked = ordered_positions(r, [F.col("_mix"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], keys=["_src"])
+    # rows that repeat each other can be many: a number of their own spreads them over ranges
+    r = rows.withColumn("_mix", mixed).withColumn("_tie", F.monotonically_increasing_id())
+    ranked = ordered_positions(r, [F.col("_mix"), F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("_tie")], keys=["_src"])
     ranked = ranked.withColumn("_part", (2 * F.col("_pos") - 1) / (2 * F.col("_total"))).drop("_pos", "_before", "_total", "_mix")
-    placed = ordered_positions(ranked, [F.col("_part"), F.col("_src"), F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    placed = ordered_positions(ranked, [F.col("_part"), F.col("_src"), F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("_tie")])
     at, n = F.col("_pos") - 1, F.col("_total")
     shard = F.expr(f"(_pos - 1) * {int(shards)} div _total")
     first = F.expr(f"((((_pos - 1) * {int(shards)} div _total) * _total) + {int(shards) - 1}) div {int(shards)}")

@@ -113,3 +113,61 @@ def test_fewer_rows_than_shards(spark):
     got = sharding.shard_documents(data.frame(spark, data.documents(5)[:5])).collect()
     assert sorted(Counter(r["shard"] for r in got).values()) == [1] * 5 and all(r["slot"] == 0 for r in got)
     assert sharding.shard_documents(data.empty(spark)).count() == 0
+
+
+def test_rates_and_copies_match_plain_python(spark):
+    """The dual solved by bisection, and rates rounded into copies along the same order, row by row."""
+    from pyspark.sql import functions as F
+    rows = corpus(6, 500) + [(None, "w " * 9, "en", "a", 0)] * 40 + [(None, "v " * 9, "en", "a", 0)] * 3
+    docs = data.frame(spark, rows)
+    mix = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id")).distinct().collect()}
+    _, target = wanted(rows)
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r[3]].append((len(SPACE.findall(r[1] or "")), mix[r[0]], r[0]))
+    want = []
+    for source, items in by_source.items():
+        words = sum(n for n, *_ in items)
+        scale = max(sum(n * n for n, *_ in items) / max(words, 1), 1.0)
+        rate = lambda lam, n: min(3.0, math.exp(min(700.0, lam * n / scale)))  # noqa: B023, E731
+        least = min((n for n, *_ in items if n), default=1)
+        lo, hi = -1e4, math.log(3) / (least / scale) * (1 + 1e-12)
+        if target[source] >= 3 * words * (1 - mixing.TOLERANCE):
+            lo = hi
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * rate(mid, n) for n, *_ in items) < target[source] else (lo, mid)
+        before = 0
+        for n, _, doc_id in sorted(items, key=lambda x: (x[0], x[1], x[2] is not None, x[2] or 0)):
+            q = round(rate(hi, n) * mixing.UNIT) if words else mixing.UNIT
+            half = mixing.UNIT // 2
+            want.append((repr(doc_id), n, repr(source), q / mixing.UNIT, (before + q + half) // mixing.UNIT - (before + half) // mixing.UNIT))
+            before += q
+    got = [(repr(r["doc_id"]), r["size"], repr(r["source"]), r["rate"], r["copies"]) for r in mixing.mix_digest(docs).collect()]
+    differ = 0
+    for x, y in zip(sorted(got), sorted(want), strict=True):
+        assert x[:3] == y[:3] and abs(x[3] - y[3]) <= 1e-5
+        differ += x[4] != y[4]
+    assert differ <= len(rows) // 100  # a rate's last bits may move a rounding place
+
+
+def test_shards_match_a_plain_sort(spark):
+    import hashlib
+    rows = [r for r in corpus(4, 700) if r[0] is not None]
+    rows = list({(r[0], r[1]): r for r in rows}.values())
+    by_source = defaultdict(list)
+    for r in rows:
+        raw = (r[1] or "").encode()
+        mix = hashlib.md5(f"{sharding.SEED}:{r[0]}".encode()).hexdigest()
+        by_source["0" if r[3] is None else "1" + r[3]].append((mix, r[0], zlib.crc32(raw), len(raw) + 1))
+    line = []
+    for source, items in by_source.items():
+        items.sort()
+        line += [((2 * p + 1) / (2 * len(items)), source, *x[1:]) for p, x in enumerate(items)]
+    line.sort()
+    n, want = len(line), []
+    for p, x in enumerate(line):
+        shard = p * 16 // n
+        want.append(repr((x[2], x[4], shard, p - -(-shard * n // 16))))
+    got = sharding.shard_documents(data.frame(spark, rows)).collect()
+    assert sorted(repr((r["doc_id"], r["size"], r["shard"], r["slot"])) for r in got) == sorted(want)
