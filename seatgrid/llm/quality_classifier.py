@@ -104,7 +104,7 @@ def _learn(t: pa.Table) -> pa.Table:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, most_rows: int = FIT_ROWS) -> dict | None:
     """Dictionaries and calibration knots, learnt from labelled rows outside the held-out fold; None without any."""
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))) \
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))) \
         .select("doc_id", F.col(label).cast("int").alias("label"), fold(F.col("doc_id")).cast("int").alias("_fold"),
                 F.xxhash64(F.lit(SEED), "doc_id").alias("_mix"))
     chosen = cut_lineage(known.orderBy("_mix", "doc_id", "label").limit(most_rows))  # the documented bound
