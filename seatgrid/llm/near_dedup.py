@@ -286,7 +286,7 @@ def link_components(nodes: DataFrame, docs: DataFrame, frequent, similarity: flo
            *[F.col(f"h.{c}").alias(f"b{c}") for c in _SKETCH]]
     may = (F.col("c") != F.col("bc")) & (F.least("weight", "bw") >= F.greatest("weight", "bw") * (similarity - 1e-9)) \
         & (_agreeing(_SKETCH, [f"b{c}" for c in _SKETCH]) >= AGREE)
-    done = links = spark.createDataFrame([], "a bigint, b bigint")
+    done = spark.createDataFrame([], "a bigint, b bigint")
     comps, pivots = None, 0
     while not live.isEmpty():
         salted = live.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(max(1, pivots))))
@@ -300,9 +300,10 @@ def link_components(nodes: DataFrame, docs: DataFrame, frequent, similarity: flo
         pairs = cut_lineage(met.join(done, ["a", "b"], "left_anti"))
         with small_batches(spark, 200):  # two texts to a row
             found = cut_lineage(_links(pairs, texts, frequent, similarity))
-        links = cut_lineage(links.unionByName(found))
-        done = done.unionByName(pairs)
-        comps = cut_lineage(connected_components(links).withColumnRenamed("n", "id"))
+        done = cut_lineage(done.unionByName(pairs))
+        # the components so far are stars, so only they and the new links are joined
+        edges = found if comps is None else found.unionByName(comps.select(F.col("id").alias("a"), F.col("c").alias("b")))
+        comps = cut_lineage(connected_components(edges).withColumnRenamed("n", "id"))
         rest = live.drop("c")
         if pivots:  # these pivots have met all of their buckets
             rest = rest.join(hubs.select("key", F.col("b").alias("id")), ["key", "id"], "left_anti")

@@ -134,6 +134,26 @@ def test_classes_match_all_pairs(spark):
     assert sorted(repr((r["doc_id"], r["class_id"])) for r in got) == want
 
 
+def crowd(rng, n, words_of, edits):
+    """One text's copies with edits of their own, most of them just below the similarity of each other; some copied again."""
+    w = data.sentence(rng, words_of).split()
+    copies = []
+    for _ in range(n):
+        c = list(rng.choice(copies) if copies and rng.random() < 0.1 else w)
+        for _ in range(rng.randint(*edits)):
+            c[rng.randrange(len(c))] = data.sentence(rng, 1) + str(rng.randrange(10**6))
+        copies.append(c)
+    return [(9000 + i, " ".join(c), "en", "a", 0) for i, c in enumerate(copies)]
+
+
+def test_a_hot_group_just_below_the_similarity(spark):
+    rows = crowd(random.Random(12), 120, 100, (1, 2)) + list(data.documents(10))
+    got = near_dedup.classes(data.frame(spark, rows)).collect()
+    want, near = brute_classes(rows)
+    assert sum(0.65 <= s < 0.8 for s in near) > 3000
+    assert sorted(repr((r["doc_id"], r["class_id"])) for r in got) == want
+
+
 def test_one_of_each_class_stays(spark):
     rows = groups(random.Random(9))
     docs = data.frame(spark, rows, extra=True)

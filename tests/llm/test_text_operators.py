@@ -107,12 +107,8 @@ def distances(x, f):
     return np.maximum(np.einsum("ni,ij,nj->n", v, f[2], v), 0)
 
 
-@pytest.mark.parametrize("heavy", [quality_rules.HEAVY, 2])
-def test_verdicts_match_numpy(spark, heavy, monkeypatch):
-    """Distances and verdicts of every row against the same starts and steps in numpy; with few heavy groups too."""
-    monkeypatch.setattr(quality_rules, "HEAVY", heavy)
-    rows = junky()
-    docs = data.frame(spark, rows)
+def numpy_verdicts(docs):
+    """(doc_id, n_words, kept, distance) of every row by the same starts and steps in numpy."""
     stats = [r.asDict() for r in quality_rules.statistics(docs).collect()]
     groups = {}
     for r in stats:
@@ -121,11 +117,21 @@ def test_verdicts_match_numpy(spark, heavy, monkeypatch):
         for g in () if r["base_failed"] else r["g"]:
             groups.setdefault(g, []).append(r["x"])
     fits = {g: _numpy_mcd(np.array(v)) for g, v in groups.items() if len(v) >= quality_rules.LEAST}
-    want = []
+    out = []
     for r in stats:
         g = next((g for g in r["g"] if g in fits), None)
         d = distances(r["x"][None], fits[g])[0] if g else None
-        want.append((r["doc_id"], r["n_words"], not r["base_failed"] and not (d is not None and d > quality_rules.CUTOFF), d))
+        out.append((r["doc_id"], r["n_words"], not r["base_failed"] and not (d is not None and d > quality_rules.CUTOFF), d))
+    return out
+
+
+@pytest.mark.parametrize("heavy", [quality_rules.HEAVY, 2])
+def test_verdicts_match_numpy(spark, heavy, monkeypatch):
+    """Distances and verdicts of every row against the same starts and steps in numpy; with few heavy groups too."""
+    monkeypatch.setattr(quality_rules, "HEAVY", heavy)
+    rows = junky()
+    docs = data.frame(spark, rows)
+    want = numpy_verdicts(docs)
     got = [(r["doc_id"], r["n_words"], r["kept"], r["distance"]) for r in quality_rules.judge(docs).collect()]
     order = lambda r: (r[0] is None, r[0] or 0, r[1])
     for x, y in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
