@@ -4,11 +4,11 @@ A is a byte-level BPE (``tokenizers`` file) over space + text, B a sentencepiece
 
 1. Spans: A's tokens come with character offsets, B's with the spans of sentencepiece's proto (its offset mapping). Both are coarse cuts: a
    character of several bytes that A splits gives all its tokens the same offsets, and B's byte-fallback pieces have empty
-   spans but for the last one. These are refined with the tokens' decoded bytes; in texts of ASCII alone a character is a
-   byte, so the decoded lengths are the spans there, and B isn't asked for them.
-   A never joins words of its pattern, so in texts of Latin letters the words are split off here, and each different word is
-   put through the tokenizer's model once, which gives its tokens with their offsets in the word. Texts with characters
-   beyond ``LATIN`` go through the tokenizer whole (their classes may differ between Unicode versions).
+   spans but for the last one. Cuts inside a character are put after the known cut before them by the tokens' decoded bytes; where the spans
+   and the decoded bytes of a token disagree the job fails.
+   A never joins words of its pattern, and B no pieces before a space, so texts are split there and each different word is put through
+   the tokenizer once, the new ones of a batch together. For A, texts with characters beyond ``LATIN`` are one word (their
+   classes may differ between Unicode versions).
 2. Groups end where a token of A and one of B end at the same byte. A link is a pair of token occurrences whose byte ranges
    overlap: between two neighbouring ends, of either tokenizer, exactly one pair.
 3. A pair of ids counts the documents that hold it linked. Tasks work on blocks of documents of about ``HELD`` links:
@@ -41,10 +41,14 @@ FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 HELD = 2_000_000  # links of a block
 ENCODED = 200_000  # bytes of texts encoded at a time
-WORDS = 500_000  # different words kept in a worker
+WORDS = 500_000  # different words kept in a worker, of each tokenizer
+TOKENS = 8 * WORDS  # and their tokens
 LATIN = "\u024f"
+SPACE = "▁"  # as B writes it
 # Fixed value: the words of a byte-level vocabulary.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: what B, which joins no pieces before a space, works on apart: spaces with what comes after, the text's last spaces with the word before.
+SPACED = r" ( *[^ ]+(?: +\Z)?| *)"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,23 +59,55 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class _Words(dict):
-    """A's tokens of each different word."""
+class _Column:
+    """An array that is added to."""
 
-    def __init__(self, model, shown: dict[int, str], of_id: list[bytes]):
-        super().__init__()
-        self.model, self.shown, self.bytes = model, shown, of_id
+    def __init__(self):
+        self.n, self.held = 0, np.zeros(1 << 12, np.int64)
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= WORDS:
+    def extend(self, more: np.ndarray) -> None:
+        n = self.n + len(more)
+        if n > len(self.held):
+            self.held = np.append(self.held[:self.n], np.zeros(2 * n - self.n, np.int64))
+        self.held[self.n:n] = more
+        self.n = n
+
+
+class _Words:
+    """A tokenizer's tokens of each different word: ids and how many bytes each covers. ``tokens`` gives, of words, them in its own
+    order, the ids and ends of all their tokens one after another, and whether each word's tokens have its bytes, with ``added`` ones before them."""
+
+    def __init__(self, tokens, added: int = 0):
+        self.tokens, self.added = tokens, added
+        self.clear()
+
+    def clear(self) -> None:
+        self.place, self.ids, self.covers, self.starts, self.counts, self.whole = {}, *[_Column() for _ in range(5)]
+
+    def of(self, texts: list[list[str]]) -> list[tuple | None]:
+        """Ids and ends of each text, given as words; none if it has no tokens or their bytes differ from the text's."""
+        if len(self.place) > WORDS or self.ids.n > TOKENS:
             self.clear()
-        raw = word.encode()
-        shown = "".join(map(self.shown.__getitem__, raw))
-        ids = tuple([t.id for t in self.model.tokenize(shown)])
-        if b"".join([self.bytes[i] for i in ids]) != raw:
-            raise ValueError(f"tokens of {word!r} don't cover it")
-        self[word] = ids
-        return ids
+        place = self.place
+        new = [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in place]
+        if new:
+            new, ids, ends, whole = self.tokens(new)
+            last = np.searchsorted(ends, np.cumsum([len(w.encode()) + self.added for w in new]))
+            counts = np.diff(last, prepend=-1)
+            self.starts.extend(self.ids.n + last + 1 - counts)
+            for column, more in ((self.ids, ids), (self.covers, np.diff(ends, prepend=0)), (self.counts, counts), (self.whole, whole)):
+                column.extend(more)
+            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(texts)), np.int64)
+        counts = self.counts.held[at]
+        after = np.cumsum(counts)
+        token = np.arange(after[-1] if len(after) else 0) + np.repeat(self.starts.held[at] - after + counts, counts)
+        ids, ends = self.ids.held[token], np.append(0, np.cumsum(self.covers.held[token]))
+        bad = np.append(0, np.cumsum(self.whole.held[at] == 0))
+        words = np.cumsum([0, *map(len, texts)])
+        cuts, bad = np.append(0, after)[words], bad[words]
+        return [None if a == b or x != y else (ids[a:b], ends[a + 1:b + 1] - ends[a])
+                for a, b, x, y in zip(cuts[:-1], cuts[1:], bad[:-1], bad[1:], strict=True)]
 
 
 class Tokenizers:
@@ -90,51 +126,71 @@ class Tokenizers:
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-        pieces = range(self.b.get_piece_size())
-        self.b_fallback = np.array([self.b.is_byte(i) for i in pieces])
-        self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b_fallback[i]
-                        else self.b.id_to_piece(i).replace("▁", " ").encode() for i in pieces]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_fallback = np.array([self.b.is_byte(i) for i in range(len(pieces))])
+        self.b_bytes = [bytes([int(piece[3:-1], 16)]) if fallback else piece.replace(SPACE, " ").encode()
+                        for piece, fallback in zip(pieces, self.b_fallback, strict=True)]
         self.a_len, self.b_len = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
-        self.find = regex.compile(WORD).findall
-        self.words = _Words(self.a.model, {b: c for c, b in byte.items()}, self.a_bytes)
+        self.a_words, self.b_words = _Words(self._a_tokens), _Words(self._b_tokens, added=1)
+        self.a_find, self.b_find = (regex.compile(x).findall for x in (WORD, SPACED))
+        # a piece that goes on over a space after another character would join words
+        self.b_joins = any(SPACE in piece.lstrip(SPACE) for piece in pieces)
         most = max(len(self.a_bytes), len(self.b_bytes))
         self.step = most  # printed ids: followed by a comma, then by a bar, then by a semicolon
         self.printed = [f"{i}{mark}".encode() for mark in ",|;" for i in range(most)]
 
+    def _a_tokens(self, words: list[str]) -> tuple:
+        """Of A: its character offsets, refined inside characters. Words with one space before them are cut apart again by A."""
+        spaced = [w[0] == " " and not w[1:2].isspace() and len(w) > 1 for w in words]
+        close, apart = [w for w, x in zip(words, spaced, strict=True) if x], [w for w, x in zip(words, spaced, strict=True) if not x]
+        texts = ["".join(close), *apart] if close else apart
+        found = self.a.encode_batch(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable([e.ids for e in found]), np.int64)
+        full = "".join(texts)
+        if b"".join(map(self.a_bytes.__getitem__, ids.tolist())) != full.encode():
+            raise ValueError("A's tokens don't cover its words")
+        starts = np.cumsum([0, *map(len, texts[:-1])])
+        offsets = np.fromiter(chain.from_iterable(chain.from_iterable([e.offsets for e in found])), np.int64).reshape(-1, 2)
+        offsets += np.repeat(starts, [len(e) for e in found])[:, None]
+        return close + apart, ids, refine(_byte_ends(full, offsets), np.cumsum(self.a_len[ids])), np.ones(len(words), bool)
+
+    def _b_spans(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+        """B's ids of a text, the byte ends that its proto's spans say (the added space counts), refined inside characters,
+        and whether the ids have the bytes of it."""
+        found = self.b.encode(text, return_type="offset_mapping", return_bytes=True)
+        ids = np.array(found["ids"], np.int64)
+        spans = np.fromiter(chain.from_iterable(found["offsets"]), np.int64, 2 * len(ids)).reshape(-1, 2)
+        if b"".join(map(self.b_bytes.__getitem__, found["ids"])) != f" {text}".encode():
+            return ids, spans[:, 1] + 1, False
+        inside = self.b_fallback[ids] & (spans[:, 0] == spans[:, 1])
+        return ids, refine(np.where(inside, -1, spans[:, 1] + 1), np.cumsum(self.b_len[ids])), True
+
+    def _b_tokens(self, words: list[str]) -> tuple:
+        """Of B: words without the space before them, together in one text but for those with spaces at the end or with B's own
+        sign of one."""
+        alone = [self.b_joins or w[-1] == " " or SPACE in w for w in words]
+        close, apart = [w for w, x in zip(words, alone, strict=True) if not x], [w for w, x in zip(words, alone, strict=True) if x]
+        together = self._b_spans(" ".join(close)) if close else None
+        if together and not together[2]:
+            close, apart, together = [], words, None
+        ids, ends, whole = ([together[0]], [together[1]], [True] * len(close)) if together else ([], [], [])
+        at = sum(len(w.encode()) + 1 for w in close)
+        for w in apart:
+            i, e, fine = self._b_spans(w)
+            n = len(w.encode()) + 1
+            ids.append(i if fine else np.zeros(1, np.int64))  # never printed
+            ends.append(at + (e if fine else np.array([n])))
+            whole.append(fine)
+            at += n
+        return close + apart, np.concatenate(ids), np.concatenate(ends), np.array(whole)
+
     def encode(self, texts: list[str]) -> list[tuple | None]:
         """Of each text (A ids, A ends, B ids, B ends) in bytes of space + text, or None if it has no tokens."""
         spaced = [f" {t}" for t in texts]
-        far = [max(t) > LATIN for t in spaced]
-        whole = iter(self.a.encode_batch([t for t, f in zip(spaced, far, strict=True) if f], add_special_tokens=False) if any(far) else ())
-        out = []
-        for text, full, beyond in zip(texts, spaced, far, strict=True):
-            raw = full.encode()
-            if beyond:
-                a = next(whole)
-                a_ids = np.array(a.ids, np.int64)
-                if b"".join([self.a_bytes[i] for i in a.ids]) != raw:
-                    out.append(None)
-                    continue
-            else:  # the words cover the text, and their tokens each word
-                a_ids = np.fromiter(chain.from_iterable(map(self.words.__getitem__, self.find(full))), np.int64)
-            plain = len(raw) == len(full)
-            a_ends = np.cumsum(self.a_len[a_ids])
-            if plain:
-                b_ids = self.b.encode(text, return_type="numpy").astype(np.int64)
-            else:
-                if beyond:
-                    a_ends = refine(_byte_ends(full, np.array(a.offsets, np.int64).reshape(-1, 2)), a_ends)
-                spans = self.b.encode(text, return_type="offset_mapping", return_bytes=True)
-                b_ids = np.array(spans["ids"], np.int64)
-            if not len(b_ids) or b"".join([self.b_bytes[i] for i in b_ids.tolist()]) != raw:
-                out.append(None)
-                continue
-            b_ends = np.cumsum(self.b_len[b_ids])
-            if not plain:
-                ends = np.fromiter(chain.from_iterable(spans["offsets"]), np.int64)[1::2] + 1  # the added space
-                b_ends = refine(np.where(self.b_fallback[b_ids], -1, ends), b_ends)
-            out.append((a_ids, a_ends, b_ids, b_ends))
-        return out
+        a = self.a_words.of([[t] if not t.isascii() and max(t) > LATIN else self.a_find(t) for t in spaced])
+        b = self.b_words.of([[t] if self.b_joins else self.b_find(s) if "  " in s or s[-1] == " " else t.split(" ")
+                             for t, s in zip(texts, spaced, strict=True)])
+        return [None if x is None or y is None else (*x, *y) for x, y in zip(a, b, strict=True)]
 
 
 def _byte_ends(full: str, offsets: np.ndarray) -> np.ndarray:
@@ -147,8 +203,14 @@ def _byte_ends(full: str, offsets: np.ndarray) -> np.ndarray:
 
 
 def refine(coarse: np.ndarray, decoded: np.ndarray) -> np.ndarray:
-    """The coarse ends, with those that stand inside a character (-1) or disagree with the decoded bytes taken from the latter."""
-    return np.where(coarse == decoded, coarse, decoded)
+    """The coarse ends, with those inside a character (-1) put after the known end before them by the decoded bytes since then. Both
+    must then say the same of every token."""
+    known = coarse >= 0
+    before = np.maximum.accumulate(np.where(known, np.arange(len(coarse)), -1))
+    ends = np.where(before >= 0, coarse[before] + decoded - decoded[before], decoded)
+    if (ends != decoded).any():
+        raise ValueError(f"spans {coarse.tolist()} of tokens that end at {decoded.tolist()}")
+    return ends
 
 
 def merged(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

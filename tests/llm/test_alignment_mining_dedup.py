@@ -234,3 +234,20 @@ def test_alignment_of_nothing(spark):
 def test_spans_are_refined():
     ends = np.array([2, 3, 5])
     assert token_alignment.refine(np.array([2, -1, 5]), ends).tolist() == [2, 3, 5]
+
+
+def test_spans_that_disagree_with_the_decoded_bytes_fail():
+    assert token_alignment.refine(np.array([-1, 3, -1, -1, 7]), np.array([1, 3, 4, 5, 7])).tolist() == [1, 3, 4, 5, 7]
+    with pytest.raises(ValueError):
+        token_alignment.refine(np.array([2, -1, 6]), np.array([2, 3, 5]))
+
+
+@pytest.mark.parametrize("side", ["a_len", "b_len"])
+def test_ends_come_from_the_spans(side):
+    t = token_alignment.Tokenizers(f"{token_alignment.FOLDER}/{token_alignment.A_FILE}", f"{token_alignment.FOLDER}/{token_alignment.B_FILE}")
+    a_ids, a_ends, b_ids, b_ends = t.encode(["plain words and \u6f22\u5b57"])[0]
+    assert a_ends[-1] == b_ends[-1] == len(" plain words and \u6f22\u5b57".encode())
+    t.a_words.clear(), t.b_words.clear()
+    setattr(t, side, getattr(t, side) + 1)  # lengths that the spans contradict
+    with pytest.raises(ValueError):
+        t.encode(["plain words"])
