@@ -48,11 +48,13 @@ class BatchState:
         return self.merge(keep(self._read(live_parts(batch_id)))).select(*self.schema.fieldNames())
 
     def write(self, batch_id: int, rows: DataFrame) -> None:
-        """Adds a batch's rows: one part, merged with those its carry covers."""
+        """Adds a batch's rows, one for each key: one part, merged with those its carry covers."""
         after = live_parts(batch_id + 1)[-1]
         covered = [p for p in live_parts(batch_id) if p[0] >= after[0]]
-        every = self._read(covered).unionByName(rows.select(*self.schema.fieldNames()).selectExpr("*", f"{batch_id}L AS _age"))
-        self.merge(every).select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._part(after))
+        part = rows.select(*self.schema.fieldNames())
+        if covered:
+            part = self.merge(self._read(covered).unionByName(part.selectExpr("*", f"{batch_id}L AS _age"))).select(*part.columns)
+        part.write.mode("overwrite").option("compression", "zstd").parquet(self._part(after))
 
     def _retire(self, batch_id: int) -> None:
         """Removes the parts that the batch before this one covered."""

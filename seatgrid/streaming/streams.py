@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from seatgrid.operators.asof import carry_last
 from seatgrid.operators.changes import assign_ids as batch_ids
 from seatgrid.operators.ranking import ordered_positions
-from seatgrid.session import scratch_path
+from seatgrid.session import cut_lineage, scratch_path
 from seatgrid.sources.domain import click_key
 from seatgrid.sources.snapshots import read_if_there
 from seatgrid.streaming.state import BatchState
@@ -122,8 +122,9 @@ def update_log(spark: SparkSession, writes: DataFrame, base: str | None = None)
                           T.StructField("new_status", T.StringType())])
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        known = state.before(batch_id, lambda s: s.join(df.select("reg_id"), "reg_id", "left_semi")) \
-            .select("reg_id", F.struct("status").alias("_known"))
+        # written: mostly few, and then they go to the rows, not the rows to them
+        known = cut_lineage(state.before(batch_id, lambda s: s.join(df.select("reg_id"), "reg_id", "left_semi"))
+                            .select("reg_id", F.struct("status").alias("_known")))
         carried = carry_last(df, ["reg_id"], ["ts", "write_id"], F.struct(F.col("registration_status").alias("status")), "_old")
         old = F.coalesce("_old", "_known")
         carried.join(known, "reg_id", "left").filter(old.isNotNull()).select(
