@@ -32,12 +32,16 @@ def helper_views(d: Domain) -> dict[str, DataFrame]:
     paid = F.col("payment_status") == "COMPLETED"
     held = F.col("registration_status") == "CONFIRMED"
     intervals = confirmed(d.registrations).select("user_id", "event_id").join(d.sessions.select("event_id", *INTERVAL), "event_id")
+    held_intervals = intervals.groupBy("user_id", *INTERVAL).agg(F.count(F.lit(1)).alias("times"))
     return {
         "user_seat_counts": d.registrations.groupBy("user_id").agg(
             F.count_if(paid).alias("paid"), F.count_if(paid & held).alias("paid_and_held")),
         "session_fill": d.sessions.select(
             "event_id", (F.col("booked_seats") < F.col("total_seats")).alias("open"), fill_pct().alias("fill")),
-        "held_intervals": intervals.groupBy("user_id", *INTERVAL).agg(F.count(F.lit(1)).alias("times")),
+        "held_intervals": held_intervals,
+        # a call looks its user and date up and compares the times there: compared in the subquery, every time asked about would
+        # be joined with every interval that anybody holds
+        "held_days": held_intervals.groupBy("user_id", "event_date").agg(F.collect_list(F.struct("start_time", "end_time", "times")).alias("spans")),
         "paid_by_date": d.registrations.filter(paid).groupBy("registration_date").agg(F.sum("amount_paid").alias("paid")),
     }
 
@@ -56,9 +60,11 @@ FUNCTIONS = [
      "coalesce((SELECT max(h.open) FROM session_fill h WHERE h.event_id = p_event_id), false)"),
     ("fn_seats_available", "p_event_id BIGINT", "BOOLEAN",
      "(SELECT max(h.open) FROM session_fill h WHERE h.event_id = p_event_id)"),
+    ("fn_overlaps_among", "p_spans ARRAY<STRUCT<start_time: STRING, end_time: STRING, times: BIGINT>>, p_start STRING, p_end STRING", "BIGINT",
+     "coalesce(aggregate(filter(p_spans, x -> x.start_time < p_end AND p_start < x.end_time), CAST(0 AS BIGINT), (n, x) -> n + x.times), 0)"),
     ("fn_check_time_conflict", "p_user_id BIGINT, p_event_date DATE, p_start_time STRING, p_end_time STRING", "BIGINT",
-     "coalesce((SELECT sum(h.times) FROM held_intervals h WHERE h.user_id = p_user_id AND h.event_date = p_event_date "
-     "AND h.start_time < p_end_time AND p_start_time < h.end_time), 0)"),
+     "fn_overlaps_among((SELECT any_value(h.spans) FROM held_days h WHERE h.user_id = p_user_id AND h.event_date = p_event_date), "
+     "p_start_time, p_end_time)"),
     ("fn_total_revenue", "p_from DATE, p_to DATE", "DECIMAL(30,2)",
      "coalesce((SELECT sum(h.paid) FROM paid_by_date h WHERE (p_from IS NULL AND p_to IS NULL) "
      "OR (h.registration_date >= p_from AND h.registration_date <= p_to)), 0)"),

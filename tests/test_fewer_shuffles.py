@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seatgrid.operators.asof import carry_last
 from seatgrid.operators.lookups import near
+from seatgrid.plans.sql_surface import FUNCTIONS
 from seatgrid.sources.domain import Domain
 
 
@@ -39,7 +40,7 @@ def test_last_values_are_carried_over_batches_and_ranges(spark, n_keys):
         want[i] = held.get(k)
         held[k] = v or held.get(k)
     assert {r["i"]: r["o"] and r["o"]["v"] for r in out.collect()} == want
-    assert not re.search(r"hashpartitioning\(_pid#\w+, ", plan(out))  # rows by range and key
+    assert not re.search(r"hashpartitioning\(_pid#\w+, \w+#", plan(out))  # rows by range and key
 
 
 def _tables(spark, path):
@@ -90,3 +91,17 @@ def test_only_requests_on_a_date_with_something_are_searched(spark):
     asked, in_held, in_cart = near(ask, held, cart)
     assert sorted(r[0] for r in asked.select("request_id").collect()) == [1, 3, 4]
     assert [in_held.count(), in_cart.count()] == [2, 1]
+
+
+def test_a_conflict_call_meets_only_its_user_and_date(spark):
+    held = [(1, "2024-01-01", [("09:00", "10:30", 2), ("10:00", "12:00", 3), (None, "23:00", 9)]), (2, "2024-01-01", [("00:00", "23:00", 7)])]
+    spark.createDataFrame(held, "user_id bigint, event_date string, spans array<struct<start_time: string, end_time: string, times: bigint>>") \
+        .selectExpr("user_id", "CAST(event_date AS DATE) AS event_date", "spans").createOrReplaceTempView("held_days")
+    for name in ("fn_overlaps_among", "fn_check_time_conflict"):
+        _, params, result, body = next(f for f in FUNCTIONS if f[0] == name)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
+    asks = [(1, 1, "10:30", "11:00"), (2, 1, "08:00", "09:00"), (3, 1, "09:30", "10:15"), (4, 3, "08:00", "20:00"), (5, 1, None, "20:00"), (6, None, "08:00", "20:00")]
+    spark.createDataFrame(asks, "id bigint, u bigint, s string, e string").createOrReplaceTempView("conflict_asks")
+    out = spark.sql("SELECT id, fn_check_time_conflict(u, DATE '2024-01-01', s, e) AS n FROM conflict_asks")
+    assert {r["id"]: r["n"] for r in out.collect()} == {1: 3, 2: 0, 3: 5, 4: 0, 5: 0, 6: 0}
+    assert not re.search(r"Join.*<(?!=)", out._jdf.queryExecution().optimizedPlan().toString())
