@@ -144,6 +144,18 @@ def test_large_components_vote_first(spark):
     assert won == {u: u % 2 == 1 for u in range(1, 13)}
 
 
+def test_full_sessions_tie_nothing(spark, monkeypatch):
+    """Whoever asks for a session without a seat loses and leaves the race: what remains competes for nothing here."""
+    monkeypatch.setattr(K, "connected_components", lambda edges: pytest.fail("components"))
+    seats = {1: 0, 2: 2, 3: -1, 4: 1}  # left
+    sessions = spark.createDataFrame([(e, f"S{e}", DAY, "09:00", "10:00", 5, Decimal("1.00"), "ACTIVE", 5 - n) for e, n in seats.items()], S.SESSIONS)
+    carts = {1: [1, 2], 2: [2], 3: [2, 3], 4: [2, 4], 5: [1, 4], 6: [3]}
+    cart = spark.createDataFrame([(10 * u + e, u, e, DAY) for u, es in carts.items() for e in es], S.CART)
+    firsts = spark.createDataFrame([(u, u, T0 + dt.timedelta(seconds=u)) for u in carts], "user_id long, checkout_id long, ts timestamp")
+    won = {r.checkout_id: r.won for r in K.race(firsts, cart, sessions).collect()}
+    assert won == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False}
+
+
 def test_a_chain_of_ten_thousand_requests(spark):
     """Each request overlaps only the next one: every second one is accepted."""
     n = 10_000
