@@ -156,6 +156,19 @@ def test_full_sessions_tie_nothing(spark, monkeypatch):
     assert won == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False}
 
 
+def test_without_a_limit_nothing_is_counted(spark, monkeypatch):
+    _, cart, sessions = _chain(spark, 5)
+    checkouts = spark.createDataFrame([(u, u, T0 + dt.timedelta(seconds=u), u != 3) for u in range(1, 7)],
+                                      "checkout_id long, user_id long, ts timestamp, payment_ok boolean")
+    regs = spark.createDataFrame([(i, 1, 100 + i, DAY, "COMPLETED", "CONFIRMED", Decimal("1.00")) for i in range(4)], S.REGISTRATIONS)
+    limited = {r.checkout_id: (r.status, r["items"]) for r in K.all_or_nothing(checkouts, cart, sessions, regs).collect()}
+    monkeypatch.setattr(K, "_reg_count", lambda *a: pytest.fail("registrations are counted"))
+    free = {r.checkout_id: (r.status, r["items"]) for r in K.all_or_nothing(checkouts, cart, sessions, regs, limit=None).collect()}
+    yes, no = ("ACCEPTED", 2), ("REJECTED", 0)
+    assert free == {1: yes, 2: no, 3: no, 4: yes, 5: no, 6: ("ACCEPTED", 0)}
+    assert limited == {1: no, 2: yes, 3: no, 4: yes, 5: no, 6: ("ACCEPTED", 0)}
+
+
 def test_a_chain_of_ten_thousand_requests(spark):
     """Each request overlaps only the next one: every second one is accepted."""
     n = 10_000
