@@ -8,6 +8,7 @@ import tempfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from seatgrid.operators import overlap
 from seatgrid.operators.overlap import overlap_pairs
 from seatgrid.operators.quality import constraint_violations
 from seatgrid.operators.ranking import ordered_positions, rank_by
@@ -29,6 +30,22 @@ def test_overlap_pairs_brute_force(spark):
     assert got == want
 
 
+def test_odd_times_in_bins_of_their_own(spark):
+    """The same pairs, and two odd intervals share one bin."""
+    rng = random.Random(4)
+    times = ["08:00", "09:15", "12:30", "23:59", "9:00", "0800", "z", None]
+    rows = [(i, rng.randint(0, 1), dt.date(2024, 1, 1), rng.choice(times), rng.choice(times)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, user_id long, event_date date, start_time string, end_time string")
+    assert overlap.has_odd(df) and not overlap.has_odd(df.filter("start_time = '08:00' AND end_time IN ('09:15', '12:30') OR end_time IS NULL"))
+    keys = ["user_id", "event_date"]
+    got = [(r.l_id, r.r_id) for r in overlap_pairs(df, df, keys, keys, bin_minutes=30, odd_right=True).collect()]
+    want = [(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and None not in (*a, *b) and a[3] < b[4] and b[3] < a[4]]
+    assert sorted(got) == sorted(want)
+    odd = overlap._prefixed(df.filter("start_time = 'z' AND end_time IS NOT NULL"), "x_")
+    left, right = (overlap._with_bins(odd, "x_", 30, own).select("_bin").distinct() for own in ("enter", "have"))
+    assert left.intersect(right).count() == 1
+
+
 def test_rank_by_matches_pandas(spark):
     rng = random.Random(5)
     vals = [rng.choice([None, 1, 2, 2, 3, 5, 5, 5, 8]) for _ in range(200)]
