@@ -7,7 +7,8 @@ A is a byte-level BPE (``tokenizers`` file) over space + text, B a sentencepiece
    spans but for the last one. Cuts inside a character are put after the known cut before them by the tokens' decoded bytes; where the spans
    and the decoded bytes of a token disagree the job fails.
    A never joins words of its pattern, and B no pieces before a space, so texts are split there and each different word is put through
-   the tokenizer once, the new ones of a batch together. For A, texts with characters beyond ``LATIN`` are one word (their
+   the tokenizer once, the new ones of a batch together. Where no other white space is next to a space, what lies between spaces is a
+   word of both and looked up once. For A, texts with characters beyond ``LATIN`` are one word (their
    classes may differ between Unicode versions).
 2. Groups end where a token of A and one of B end at the same byte. A link is a pair of token occurrences whose byte ranges
    overlap: between two neighbouring ends, of either tokenizer, exactly one pair.
@@ -44,6 +45,7 @@ ENCODED = 200_000  # bytes of texts encoded at a time
 WORDS = 500_000  # different words kept in a worker, of each tokenizer
 TOKENS = 8 * WORDS  # and their tokens
 LATIN = "\u024f"
+OTHER_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"  # up to LATIN, but for space and line feed
 SPACE = "▁"  # as B writes it
 # Fixed value: the words of a byte-level vocabulary.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -73,43 +75,76 @@ class _Column:
         self.n = n
 
 
-class _Words:
-    """A tokenizer's tokens of each different word: ids and how many bytes each covers. ``tokens`` gives, of words, them in its own
-    order, the ids and ends of all their tokens one after another, and whether each word's tokens have its bytes, with ``added`` ones before them."""
+class _Places(dict):
+    """A number for each different word, in the order they come; ``new`` are those that came since it was last emptied."""
+
+    def __init__(self):
+        self.new = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class _Tokens:
+    """A tokenizer's tokens of words: ids and how many bytes each covers. ``tokens`` gives, of words, the order it took them in, the
+    ids and ends of all their tokens one after another, and whether each word's tokens have its bytes, with ``added`` ones before them."""
 
     def __init__(self, tokens, added: int = 0):
         self.tokens, self.added = tokens, added
         self.clear()
 
     def clear(self) -> None:
-        self.place, self.ids, self.covers, self.starts, self.counts, self.whole = {}, *[_Column() for _ in range(5)]
-
-    def of(self, texts: list[list[str]]) -> list[tuple | None]:
-        """Ids and ends of each text, given as words; none if it has no tokens or their bytes differ from the text's."""
-        if len(self.place) > WORDS or self.ids.n > TOKENS:
-            self.clear()
-        place = self.place
-        new = [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in place]
-        if new:
-            new, ids, ends, whole = self.tokens(new)
-            last = np.searchsorted(ends, np.cumsum([len(w.encode()) + self.added for w in new]))
-            counts = np.diff(last, prepend=-1)
-            self.starts.extend(self.ids.n + last + 1 - counts)
-            for column, more in ((self.ids, ids), (self.covers, np.diff(ends, prepend=0)), (self.counts, counts), (self.whole, whole)):
-                column.extend(more)
-            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-        at = np.fromiter(map(place.__getitem__, chain.from_iterable(texts)), np.int64)
+        self.ids, self.covers, self.starts, self.counts, self.whole = [_Column() for _ in range(5)]
+
+    def add(self, new: list[str]) -> None:
+        order, ids, ends, whole = self.tokens(new)
+        last = np.searchsorted(ends, np.cumsum(np.fromiter((len(w.encode()) for w in new), np.int64, len(new))[order] + self.added))
+        counts = np.diff(last, prepend=-1)
+        back = np.empty(len(new), np.int64)
+        back[order] = np.arange(len(new))
+        for column, more in ((self.starts, (self.ids.n + last + 1 - counts)[back]), (self.counts, counts[back]), (self.whole, whole[back]),
+                             (self.ids, ids), (self.covers, np.diff(ends, prepend=0))):
+            column.extend(more)
+
+    def of(self, at: np.ndarray, words: np.ndarray) -> list[tuple | None]:
+        """Ids and ends of each text, given by its words' numbers; none if it has no tokens or their bytes differ from the text's."""
         counts = self.counts.held[at]
         after = np.cumsum(counts)
         token = np.arange(after[-1] if len(after) else 0) + np.repeat(self.starts.held[at] - after + counts, counts)
         ids, ends = self.ids.held[token], np.append(0, np.cumsum(self.covers.held[token]))
         bad = np.append(0, np.cumsum(self.whole.held[at] == 0))
-        words = np.cumsum([0, *map(len, texts)])
         cuts, bad = np.append(0, after)[words], bad[words]
         return [None if a == b or x != y else (ids[a:b], ends[a + 1:b + 1] - ends[a])
                 for a, b, x, y in zip(cuts[:-1], cuts[1:], bad[:-1], bad[1:], strict=True)]
 
 
+class _Words:
+    """Tokens of each different word, of one tokenizer or of both."""
+
+    def __init__(self, *kinds: _Tokens):
+        self.kinds, self.place = kinds, _Places()
+
+    def clear(self) -> None:
+        self.place = _Places()
+        for k in self.kinds:
+            k.clear()
+
+    def of(self, texts: list[list[str]]) -> list[list[tuple | None]]:
+        """For each tokenizer its ids and ends of each text, given as words."""
+        if len(self.place) > WORDS or any(k.ids.n > TOKENS for k in self.kinds):
+            self.clear()
+        place = self.place
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(texts)), np.int64)
+        if place.new:
+            for k in self.kinds:
+                k.add(place.new)
+            place.new = []
+        words = np.cumsum([0, *map(len, texts)])
+        return [k.of(at, words) for k in self.kinds]
+
+
 class Tokenizers:
     """Both tokenizers, with every id's bytes and their number."""
 
@@ -131,7 +166,8 @@ class Tokenizers:
         self.b_bytes = [bytes([int(piece[3:-1], 16)]) if fallback else piece.replace(SPACE, " ").encode()
                         for piece, fallback in zip(pieces, self.b_fallback, strict=True)]
         self.a_len, self.b_len = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
-        self.a_words, self.b_words = _Words(self._a_tokens), _Words(self._b_tokens, added=1)
+        self.a_words, self.b_words = _Words(_Tokens(self._a_tokens)), _Words(_Tokens(self._b_tokens, added=1))
+        self.both_words = _Words(_Tokens(lambda words: self._a_tokens([f" {w}" for w in words]), added=1), _Tokens(self._b_tokens, added=1))
         self.a_find, self.b_find = (regex.compile(x).findall for x in (WORD, SPACED))
         # a piece that goes on over a space after another character would join words
         self.b_joins = any(SPACE in piece.lstrip(SPACE) for piece in pieces)
@@ -141,8 +177,9 @@ class Tokenizers:
 
     def _a_tokens(self, words: list[str]) -> tuple:
         """Of A: its character offsets, refined inside characters. Words with one space before them are cut apart again by A."""
-        spaced = [w[0] == " " and not w[1:2].isspace() and len(w) > 1 for w in words]
-        close, apart = [w for w, x in zip(words, spaced, strict=True) if x], [w for w, x in zip(words, spaced, strict=True) if not x]
+        order, n = _first([w[0] == " " and not w[1:2].isspace() and len(w) > 1 for w in words])
+        words = [words[i] for i in order]
+        close, apart = words[:n], words[n:]
         texts = ["".join(close), *apart] if close else apart
         found = self.a.encode_batch(texts, add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable([e.ids for e in found]), np.int64)
@@ -152,7 +189,7 @@ class Tokenizers:
         starts = np.cumsum([0, *map(len, texts[:-1])])
         offsets = np.fromiter(chain.from_iterable(chain.from_iterable([e.offsets for e in found])), np.int64).reshape(-1, 2)
         offsets += np.repeat(starts, [len(e) for e in found])[:, None]
-        return close + apart, ids, refine(_byte_ends(full, offsets), np.cumsum(self.a_len[ids])), np.ones(len(words), bool)
+        return order, ids, refine(_byte_ends(full, offsets), np.cumsum(self.a_len[ids])), np.ones(len(words), bool)
 
     def _b_spans(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
         """B's ids of a text, the byte ends that its proto's spans say (the added space counts), refined inside characters,
@@ -168,8 +205,9 @@ class Tokenizers:
     def _b_tokens(self, words: list[str]) -> tuple:
         """Of B: words without the space before them, together in one text but for those with spaces at the end or with B's own
         sign of one."""
-        alone = [self.b_joins or w[-1] == " " or SPACE in w for w in words]
-        close, apart = [w for w, x in zip(words, alone, strict=True) if not x], [w for w, x in zip(words, alone, strict=True) if x]
+        order, n = _first([not (self.b_joins or w[-1] == " " or SPACE in w) for w in words])
+        words = [words[i] for i in order]
+        close, apart = words[:n], words[n:]
         together = self._b_spans(" ".join(close)) if close else None
         if together and not together[2]:
             close, apart, together = [], words, None
@@ -182,15 +220,30 @@ class Tokenizers:
             ends.append(at + (e if fine else np.array([n])))
             whole.append(fine)
             at += n
-        return close + apart, np.concatenate(ids), np.concatenate(ends), np.array(whole)
+        return order, np.concatenate(ids), np.concatenate(ends), np.array(whole)
+
+    def _plain(self, t: str, spaced: str) -> bool:
+        """Whether words between spaces serve both tokenizers: A's pattern starts anew at each space, as none is next to another white one."""
+        return not self.b_joins and "  " not in spaced and " \n" not in spaced and "\n " not in spaced and spaced[-1] != " " \
+            and (t.isascii() or max(t) <= LATIN) and not any(c in t for c in OTHER_SPACES)
 
     def encode(self, texts: list[str]) -> list[tuple | None]:
         """Of each text (A ids, A ends, B ids, B ends) in bytes of space + text, or None if it has no tokens."""
         spaced = [f" {t}" for t in texts]
-        a = self.a_words.of([[t] if not t.isascii() and max(t) > LATIN else self.a_find(t) for t in spaced])
-        b = self.b_words.of([[t] if self.b_joins else self.b_find(s) if "  " in s or s[-1] == " " else t.split(" ")
-                             for t, s in zip(texts, spaced, strict=True)])
-        return [None if x is None or y is None else (*x, *y) for x, y in zip(a, b, strict=True)]
+        plain = [self._plain(t, s) for t, s in zip(texts, spaced, strict=True)]
+        both = zip(*self.both_words.of([t.split(" ") for t, x in zip(texts, plain, strict=True) if x]), strict=True)
+        rest = [(t, s) for t, s, x in zip(texts, spaced, plain, strict=True) if not x]
+        a, = self.a_words.of([[s] if not t.isascii() and max(t) > LATIN else self.a_find(s) for t, s in rest])
+        b, = self.b_words.of([[t] if self.b_joins else self.b_find(s) if "  " in s or s[-1] == " " else t.split(" ") for t, s in rest])
+        apart = zip(a, b, strict=True)
+        found = [next(both if x else apart) for x in plain]
+        return [None if x is None or y is None else (*x, *y) for x, y in found]
+
+
+def _first(is_first: list[bool]) -> tuple[np.ndarray, int]:
+    """Places with those that are first before the others, and how many these are."""
+    x = np.array(is_first, bool)
+    return np.concatenate([np.flatnonzero(x), np.flatnonzero(~x)]), int(x.sum())
 
 
 def _byte_ends(full: str, offsets: np.ndarray) -> np.ndarray:

@@ -251,3 +251,21 @@ def test_ends_come_from_the_spans(side):
     setattr(t, side, getattr(t, side) + 1)  # lengths that the spans contradict
     with pytest.raises(ValueError):
         t.encode(["plain words"])
+
+
+def test_words_between_spaces_serve_both_tokenizers():
+    """One look-up for both where white space allows it; every text as its tokenizers have it whole."""
+    t = token_alignment.Tokenizers(f"{token_alignment.FOLDER}/{token_alignment.A_FILE}", f"{token_alignment.FOLDER}/{token_alignment.B_FILE}")
+    t.encode(["It's plain, isn't it?\nYes: 12 words."])
+    assert set(t.both_words.place) == {"It's", "plain,", "isn't", "it?\nYes:", "12", "words."} and not t.a_words.place and not t.b_words.place
+    rng = random.Random(7)
+    texts = ["a\n b", "a \nb", "\na", "a\n", "a\n\n", " a", "a ", "a\x85 b", "a\xa0 b", "a \x1cb", "a\t b", "a's 'll b", "'s", "é' d"]
+    texts += ["".join(rng.choice("ab'sté1.  \n\n\t\xa0\x1f") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    for text, found in zip(texts, t.encode(texts), strict=True):
+        a, b = t.a.encode(f" {text}", add_special_tokens=False).ids, t.b.encode(text)
+        if found is None:  # B changes some white space
+            assert b"".join(t.b_bytes[i] for i in b) != f" {text}".encode()
+        else:
+            assert (found[0].tolist(), found[2].tolist()) == (a, b), repr(text)
+            assert found[1].tolist() == np.cumsum([len(t.a_bytes[i]) for i in a]).tolist()
+            assert found[3].tolist() == np.cumsum([len(t.b_bytes[i]) for i in b]).tolist()
