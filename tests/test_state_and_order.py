@@ -156,6 +156,20 @@ def test_full_sessions_tie_nothing(spark, monkeypatch):
     assert won == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False}
 
 
+def test_a_session_that_is_there_twice(spark):
+    """Its asks, alike in every column, stay with their checkout: one that fails doesn't make the next one fail."""
+    sessions = spark.createDataFrame([(e, f"S{e}", DAY, "09:00", "10:00", n, Decimal("1.00"), "ACTIVE", 0) for e, n in ((1, 3), (1, 3), (2, 2))], S.SESSIONS)
+    carts = {u: [1, 2] for u in range(1, 41, 2)} | {u: [2] for u in range(2, 41, 2)}
+    cart = spark.createDataFrame([(10 * u + e, u, e, DAY) for u, es in carts.items() for e in es], S.CART)
+    firsts = spark.createDataFrame([(u, u, T0 + dt.timedelta(seconds=u)) for u in carts], "user_id long, checkout_id long, ts timestamp")
+    won = {r.checkout_id: r.won for r in K.race(firsts, cart, sessions).collect()}
+    assert won == {u: u in (1, 2) for u in carts}
+    walk, got = K.SeatWalk(), []
+    for ask in [(9, 1, "U", 2), (9, 1, "U", 2), (9, 1, "U", 2), (9, 1, "U", 2), (8, 1, "U", 1)]:
+        got.append(walk.see(*ask))
+    assert got == ["", "A", "", "R", "A"]
+
+
 def test_without_a_limit_nothing_is_counted(spark, monkeypatch):
     _, cart, sessions = _chain(spark, 5)
     checkouts = spark.createDataFrame([(u, u, T0 + dt.timedelta(seconds=u), u != 3) for u in range(1, 7)],
