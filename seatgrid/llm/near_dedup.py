@@ -14,7 +14,14 @@
    whose total weights differ by more than the similarity allows, or whose sketches disagree, are out. A bucket is done when
    what is left of it lies in one component, so no link between components is lost, and a group of n copies costs about n
    comparisons.
-4. Candidate pairs are verified by the exact weighted Jaccard similarity of the whole texts; links of
+4. Buckets of more than ``CROWD`` nodes are first taken as families, all buckets with the same pivot as one. A family has a centre
+   (the shingles of most of a few members) and each member x differs from it by a weight d(x). Two members differ by
+   d(x) + d(y) less twice the differences they have in common, and are similar if that is at most l * (W(x) + W(y)), with
+   l = (1 - similarity) / (1 + similarity). With g = d - l * W the member of least g links with all whose g is not above its -g.
+   Each other member is similar only to members with (g(x) + g(y)) / 2 or more of its differences, so pairs are sought among the
+   members that share one, rarest first, and have that much left from there on. Members so near the centre that all texts
+   similar to them were in reach then leave the buckets, so members just below the similarity of each other cost no pairs.
+5. Candidate pairs are verified by the exact weighted Jaccard similarity of the whole texts; links of
    ``SIMILARITY`` or more make components, and every document gets its component's least doc_id as class_id.
 
 Nulls: a null text is an empty one; texts without a word are alike only if equal; rows with a null doc_id get a class
@@ -27,7 +34,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +48,8 @@ AGREE = 35
 RARE = 1000
 FLOOR = 0.7
 PIVOTS = 8
+CROWD = 16  # nodes of a bucket from which on it is taken as a family
+SAMPLE = 31  # members that make a family's centre
 BUCKET_CHARS = 8_000_000  # text per counting bucket
 HELD = 3_000_000  # shingles a counting task holds before it hands them on
 _U = np.uint64
@@ -271,6 +280,89 @@ def _agreeing(left, right):
     return BANDS * ROWS - differ
 
 
+# ------------------------------------------------------------------ families
+
+
+def _elements(texts: pa.Array, frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, element, weight): a shingle that stands n times in a text is n elements of its idf."""
+    rows, codes, weight = [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0)]
+    for lo, _, h, at in pieces(texts):
+        row, own, tf = _distinct(*shingles(h, at, SHINGLE_WORDS))
+        nth = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+        rows.append(np.repeat(row + lo, tf))
+        codes.append(mix(np.repeat(own, tf) + nth.astype(_U) * _SALTS[2]))
+        weight.append(np.repeat(weights(own, np.ones(len(own)), frequent), tf))
+    return np.concatenate(rows), np.concatenate(codes), np.concatenate(weight)
+
+
+def _centre(frequent):
+    def run(t: pa.Table) -> pa.Table:
+        _, code, w = _elements(pa.concat_arrays(t["text"].chunks), frequent)
+        code, first, n = np.unique(code, return_index=True, return_counts=True)
+        most = 2 * n > len(t)
+        return pa.table({"b": t["b"][:1], "core": pa.array([code[most].view(np.int64)], pa.list_(pa.int64())),
+                         "core_w": pa.array([w[first[most]]], pa.list_(pa.float64()))})
+    return run
+
+
+_DIFFERENCES = T.StructType([T.StructField("delta", T.DoubleType()), T.StructField("items", T.ArrayType(T.StructType([
+    T.StructField("e", T.LongType()), T.StructField("w", T.DoubleType())])))])
+
+
+def differences(frequent):
+    """What a text has beyond a centre or lacks of it: total weight, elements."""
+    @F.arrow_udf(_DIFFERENCES)
+    def differ(texts: pa.Array, core: pa.Array, core_w: pa.Array) -> pa.Array:
+        row, code, w = _elements(texts, frequent)
+        row = np.concatenate([row, np.repeat(np.arange(len(texts)), pc.list_value_length(core).to_numpy(zero_copy_only=False))])
+        code = np.concatenate([code, core.flatten().to_numpy(zero_copy_only=False).view(_U)])
+        w = np.concatenate([w, core_w.flatten().to_numpy(zero_copy_only=False)])
+        o = np.lexsort((code, row))
+        row, code, w = row[o], code[o], w[o]
+        same = (code[1:] == code[:-1]) & (row[1:] == row[:-1])
+        one = ~(np.append(same, False) | np.append(False, same)) if len(row) else np.zeros(0, bool)
+        row, code, w = row[one], code[one], w[one]
+        items = pa.StructArray.from_arrays([pa.array(code.view(np.int64)), pa.array(w)], ["e", "w"])
+        cuts = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
+        return pa.StructArray.from_arrays([pa.array(np.bincount(row, w, len(texts))), pa.ListArray.from_arrays(cuts, items)], ["delta", "items"])
+    return differ
+
+
+def _family_pairs(rows: DataFrame, heads: DataFrame, texts: DataFrame, frequent, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """rows: key, id, weight, c of crowded buckets; heads: key, head. Pairs (a, b) that hold a link of every two members of
+    a family that are similar, in different components and not linked through its middle; and (head, id) that need no other pair."""
+    spark = rows.sparkSession
+    far_apart = (1 - similarity) / (1 + similarity)
+    member = cut_lineage(rows.join(heads, "key").select("head", "id", "weight", "c").distinct())
+    some = member.groupBy("head", F.pmod(F.xxhash64("id"), F.lit(SAMPLE))).agg(F.max("id").alias("id"))
+    with small_batches(spark, 200):
+        cores = cut_lineage(some.join(texts, "id").select(F.col("head").alias("b"), "text").groupBy("b")
+                            .applyInArrow(_centre(frequent), "b bigint, core array<bigint>, core_w array<double>")
+                            .withColumnRenamed("b", "head"))
+        reach = F.aggregate("core_w", F.lit(0.0), lambda t, w: t + w)
+        seen = cut_lineage(member.join(texts, "id").join(cores, "head")
+                           .select("head", "id", "weight", "c", reach.alias("reach"), differences(frequent)("text", "core", "core_w").alias("s"))
+                           .select("head", "id", "weight", "c", "reach", "s.delta", (F.col("s.delta") - F.col("weight") * far_apart).alias("g"), "s.items")
+                           .filter("delta <= reach"))
+    settled = seen.filter(F.col("delta") + F.col("weight") * (1 / similarity - 1) <= F.col("reach") - 1e-6).select("head", "id")
+    middle = seen.groupBy("head").agg(F.min(F.struct("g", "id", "c")).alias("m"))
+    seen = seen.join(middle, "head").withColumn("far", F.col("g") + F.col("m.g") > -1e-6)
+    near = seen.filter(~F.col("far") & (F.col("c") != F.col("m.c"))).select(F.col("id").alias("a"), F.col("m.id").alias("b"))
+    items = seen.select("head", "id", "c", "g", "far", F.explode("items").alias("i")).select("head", "id", "c", "g", "far", "i.e", "i.w")
+    often = items.groupBy("head", "e").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("least"),
+                                           F.min(F.when(F.col("far"), F.col("g"))).alias("least_far")).filter("n > 1 AND least_far IS NOT NULL")
+    order = Window.partitionBy("head", "id").orderBy("n", "e").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # elements that nobody shares, or nobody far, are in no overlap that counts
+    spare = F.col("rest") * 2 - F.col("g") + 1e-6  # the largest g this member meets by the rest of its elements
+    shared = cut_lineage(items.join(often, ["head", "e"]).withColumn("rest", F.sum("w").over(order)).withColumn("spare", spare)
+                         .filter(F.when(F.col("far"), F.col("spare") >= F.col("least")).otherwise(F.col("spare") >= F.col("least_far")))
+                         .select("head", "e", "id", "c", "g", "far", "spare"))
+    other = shared.select("head", "e", *[F.col(k).alias(f"o_{k}") for k in ("id", "c", "g", "far", "spare")])
+    met = shared.filter("far").join(other, ["head", "e"]).filter(
+        (F.col("c") != F.col("o_c")) & (F.col("o_g") <= F.col("spare")) & (F.col("g") <= F.col("o_spare")) & (~F.col("o_far") | (F.col("id") > F.col("o_id"))))
+    return near.unionByName(met.select(F.col("id").alias("a"), F.col("o_id").alias("b"))).distinct(), settled
+
+
 def link_components(nodes: DataFrame, docs: DataFrame, frequent, similarity: float = SIMILARITY) -> DataFrame:
     """nodes: id, text_key, weight, sketch, bands of each distinct text. (id, c) of every node with a link."""
     spark = nodes.sparkSession
@@ -287,8 +379,33 @@ def link_components(nodes: DataFrame, docs: DataFrame, frequent, similarity: flo
     may = (F.col("c") != F.col("bc")) & (F.least("weight", "bw") >= F.greatest("weight", "bw") * (similarity - 1e-9)) \
         & (_agreeing(_SKETCH, [f"b{c}" for c in _SKETCH]) >= AGREE)
     done = spark.createDataFrame([], "a bigint, b bigint")
-    comps, pivots = None, 0
+    comps, pivots, crowds = None, 0, None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        with small_batches(spark, 200):  # two texts to a row
+            found = cut_lineage(_links(pairs, texts, frequent, similarity))
+        # the components so far are stars, so only they and the new links are joined
+        edges = found if comps is None else found.unionByName(comps.select(F.col("id").alias("a"), F.col("c").alias("b")))
+        return cut_lineage(connected_components(edges).withColumnRenamed("n", "id"))
+
+    def still_split(rest: DataFrame) -> DataFrame:
+        rest = cut_lineage(rest.drop("c").join(comps, "id", "left").withColumn("c", F.coalesce("c", "id")))
+        split = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+        return cut_lineage(rest.join(split, "key", "left_semi"))
+
     while not live.isEmpty():
+        if comps is not None:
+            heads = cut_lineage(live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("score", "id")).alias("h"))
+                                .filter(F.col("n") > CROWD).select("key", F.col("h.id").alias("head"), "n"))
+            crowded = heads.agg(F.sum("n")).first()[0] or 0
+            if crowded and (crowds is None or crowded <= crowds * 0.75):  # families are worth it while they settle most
+                crowds = crowded
+                found, settled = _family_pairs(live, heads.select("key", "head"), texts, frequent, similarity)
+                found, settled = cut_lineage(found), cut_lineage(settled)
+                comps = linked(found)
+                gone = heads.select("key", "head").join(settled, "head").select("key", "id")
+                live = still_split(live.join(gone, ["key", "id"], "left_anti"))
+                continue
         salted = live.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(max(1, pivots))))
         hubs = cut_lineage(salted.groupBy("key", "salt").agg(F.max(F.struct("score", "id", "weight", "c", *_SKETCH)).alias("h"))
                            .select("key", *hub))
@@ -298,18 +415,12 @@ def link_components(nodes: DataFrame, docs: DataFrame, frequent, similarity: flo
         else:
             met = met.select(F.col("id").alias("a"), "b").distinct()
         pairs = cut_lineage(met.join(done, ["a", "b"], "left_anti"))
-        with small_batches(spark, 200):  # two texts to a row
-            found = cut_lineage(_links(pairs, texts, frequent, similarity))
+        comps = linked(pairs)
         done = cut_lineage(done.unionByName(pairs))
-        # the components so far are stars, so only they and the new links are joined
-        edges = found if comps is None else found.unionByName(comps.select(F.col("id").alias("a"), F.col("c").alias("b")))
-        comps = cut_lineage(connected_components(edges).withColumnRenamed("n", "id"))
-        rest = live.drop("c")
+        rest = live
         if pivots:  # these pivots have met all of their buckets
             rest = rest.join(hubs.select("key", F.col("b").alias("id")), ["key", "id"], "left_anti")
-        rest = cut_lineage(rest.join(comps, "id", "left").withColumn("c", F.coalesce("c", "id")))
-        split = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-        live = cut_lineage(rest.join(split, "key", "left_semi"))
+        live = still_split(rest)
         pivots = pivots * PIVOTS or 1
     return comps if comps is not None else spark.createDataFrame([], "id bigint, c bigint")
 

@@ -205,3 +205,51 @@ def test_pipeline_stages(spark, tmp_path):
         docs = after
     assert docs.count() == len(out)
     assert not any(item in r["text"] for r in docs.collect())
+
+
+def test_a_hot_group_costs_few_pairs(spark, monkeypatch):
+    """Members of a group without its original, half of them similar to none: pairs don't grow with the square of the group."""
+    rng = random.Random(15)
+    rows = crowd(rng, 150, 100, (1, 5)) + [(20_000 + r[0], *r[1:]) for r in crowd(rng, 60, 80, (2, 3))] + list(data.documents(10))
+    compared, links = [], near_dedup._links
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return links(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_links", counted)
+    got = near_dedup.classes(data.frame(spark, rows)).collect()
+    want, near = brute_classes(rows)
+    assert sum(0.6 <= s < 0.8 for s in near) > 3000
+    assert sorted(repr((r["doc_id"], r["class_id"])) for r in got) == want
+    assert sum(compared) < 4 * len(rows)
+
+
+def test_family_pairs_hold_every_link_but_the_middles(spark):
+    rng = random.Random(16)
+    rows = crowd(rng, 60, 60, (1, 4)) + crowd(rng, 10, 70, (0, 2))
+    texts = sorted({r[1] for r in rows})
+    bags = [bag(t) for t in texts]
+    weight = [float(sum(b.values())) for b in bags]
+    none = (np.zeros(0, np.uint32), np.zeros(0))
+    live = spark.createDataFrame([(1, i, w, i) for i, w in enumerate(weight)], "key bigint, id bigint, weight double, c bigint")
+    heads = spark.createDataFrame([(1, 0)], "key bigint, head bigint")
+    table = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    pairs, settled = near_dedup._family_pairs(live, heads, table, none, 0.8)
+    pairs, settled = {(r["a"], r["b"]) for r in pairs.collect()}, {r["id"] for r in settled.collect()}
+
+    def similar(a, b):
+        return sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values())
+
+    links = {(a, b) for a in range(len(texts)) for b in range(a) if similar(a, b) and (a in settled or b in settled)}
+
+    def parts(edges):
+        root = list(range(len(texts)))
+        for _ in texts:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    found = {(a, b) for a, b in pairs if similar(a, b)}
+    assert links and len(settled) > 40
+    assert parts(found | links) == parts(found)
