@@ -8,13 +8,14 @@
    Jaccard similarity s, and a band with s ** ROWS, so a pair at 0.8 is missed by all bands with a chance of 0.0002.
    Four bits of each sample make a sketch; a pair at 0.8 agrees in fewer than ``AGREE`` of them with a chance below 1e-6,
    most pairs below 0.4 do.
-3. Documents are nodes by the digest of their whole text, so exact copies are one node from here on. Within a band's bucket nodes
-   are compared with pivots, not with each other: first every node with the best pivot of its buckets (the node that shares the
-   most buckets), then round by round with one, 8, 64, ... pivots of each bucket. Nodes already in one component need no comparison; pairs
-   whose total weights differ by more than the similarity allows, or whose sketches disagree, are out. A bucket is done when
-   what is left of it lies in one component, so no link between components is lost, and a group of n copies costs about n
-   comparisons.
-4. Buckets of more than ``CROWD`` nodes are first taken as families, all buckets with the same pivot as one. A family has a centre
+3. Documents are nodes by the digest of their whole text, so exact copies are one node from here on. First every node is compared with
+   the best pivot of its buckets (the node that shares the most buckets), so a group of n copies costs about n comparisons. Then buckets
+   of up to ``CROWD`` nodes are compared whole, crowded ones as families, and what families leave in further rounds: whole as soon as all
+   pairs of all buckets are no more than the places the nodes had in buckets at first, else as families again while they settle much, else
+   with 8, 64, ... pivots of each bucket. Nodes already in one component need no comparison; pairs whose total weights differ by
+   more than the similarity allows, or whose sketches disagree, are out. A bucket is done when what is left of it lies
+   in one component, so no link between components is lost.
+4. Families: a crowded bucket and all that share a member with it, joined by their members' best pivots. A family has a centre
    (the shingles of most of a few members) and each member x differs from it by a weight d(x). Two members differ by
    d(x) + d(y) less twice the differences they have in common, and are similar if that is at most l * (W(x) + W(y)), with
    l = (1 - similarity) / (1 + similarity). With g = d - l * W the member of least g links with all whose g is not above its -g.
@@ -48,7 +49,7 @@ AGREE = 35
 RARE = 1000
 FLOOR = 0.7
 PIVOTS = 8
-CROWD = 16  # nodes of a bucket from which on it is taken as a family
+CROWD = 16  # nodes of a bucket that are compared whole; a larger one is taken as a family
 SAMPLE = 31  # members that make a family's centre
 BUCKET_CHARS = 8_000_000  # text per counting bucket
 HELD = 3_000_000  # shingles a counting task holds before it hands them on
@@ -129,12 +130,11 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     buckets = max(1, (chars or 0) // BUCKET_CHARS)
     with small_batches(docs.sparkSession):
         found = texts.mapInArrow(_count_part(buckets), _PART).groupBy("bucket") \
-            .applyInArrow(_frequent(least), "print bigint, df bigint").collect()
-    found.sort(key=lambda r: r["print"])
+            .applyInArrow(_frequent(least), "print bigint, df bigint").toArrow().sort_by("print")
     cut = max(1.0, rows / RARE)
-    df = np.array([r["df"] for r in found], float)
+    df = found["df"].to_numpy().astype(float)
     idf = 1 - (1 - FLOOR) * np.log(np.maximum(df / cut, 1)) / np.log(max(rows / cut, 2.0))
-    return np.array([r["print"] for r in found], np.uint32), idf
+    return found["print"].to_numpy().astype(np.uint32), idf
 
 
 def weights(h: np.ndarray, tf: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -266,7 +266,7 @@ def _links(pairs: DataFrame, texts: DataFrame, frequent, similarity: float) -> D
     own = texts.join(nodes, "id", "left_semi")
     right = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
     both = right.join(own.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    return both.select("a", "b", comparer(frequent)("left", "right").alias("s")).filter(F.col("s") >= similarity).select("a", "b")
+    return both.select(*pairs.columns, comparer(frequent)("left", "right").alias("s")).filter(F.col("s") >= similarity).select(*pairs.columns)
 
 
 def _agreeing(left, right):
@@ -347,7 +347,7 @@ def _family_pairs(rows: DataFrame, heads: DataFrame, texts: DataFrame, frequent,
     settled = seen.filter(F.col("delta") + F.col("weight") * (1 / similarity - 1) <= F.col("reach") - 1e-6).select("head", "id")
     middle = seen.groupBy("head").agg(F.min(F.struct("g", "id", "c")).alias("m"))
     seen = seen.join(middle, "head").withColumn("far", F.col("g") + F.col("m.g") > -1e-6)
-    near = seen.filter(~F.col("far") & (F.col("c") != F.col("m.c"))).select(F.col("id").alias("a"), F.col("m.id").alias("b"))
+    near = seen.filter(~F.col("far") & (F.col("c") != F.col("m.c"))).select(F.col("id").alias("a"), F.col("m.id").alias("b"), "c", F.col("m.c").alias("bc"))
     items = seen.select("head", "id", "c", "g", "far", F.explode("items").alias("i")).select("head", "id", "c", "g", "far", "i.e", "i.w")
     often = items.groupBy("head", "e").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("least"),
                                            F.min(F.when(F.col("far"), F.col("g"))).alias("least_far")).filter("n > 1 AND least_far IS NOT NULL")
@@ -360,7 +360,15 @@ def _family_pairs(rows: DataFrame, heads: DataFrame, texts: DataFrame, frequent,
     other = shared.select("head", "e", *[F.col(k).alias(f"o_{k}") for k in ("id", "c", "g", "far", "spare")])
     met = shared.filter("far").join(other, ["head", "e"]).filter(
         (F.col("c") != F.col("o_c")) & (F.col("o_g") <= F.col("spare")) & (F.col("g") <= F.col("o_spare")) & (~F.col("o_far") | (F.col("id") > F.col("o_id"))))
-    return near.unionByName(met.select(F.col("id").alias("a"), F.col("o_id").alias("b"))).distinct(), settled
+    return near.unionByName(met.select(F.col("id").alias("a"), F.col("o_id").alias("b"), "c", F.col("o_c").alias("bc"))).distinct(), settled
+
+
+def _families(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """rows: key, id of buckets; heads: key, n, bscore, b of each. (key, head) of every bucket that holds a member of a crowded one: its
+    members' best head, so that buckets which share members are one family, most of the time, and a member is compared with one centre."""
+    crowd = rows.join(heads.filter(F.col("n") > CROWD).select("key", F.struct("bscore", "b").alias("h")), "key")
+    best = cut_lineage(crowd.groupBy("id").agg(F.max("h").alias("h")))
+    return rows.join(best, "id").groupBy("key").agg(F.max("h").alias("h")).select("key", F.col("h.b").alias("head"))
 
 
 def link_components(nodes: DataFrame, docs: DataFrame, frequent, similarity: float = SIMILARITY) -> DataFrame:
@@ -374,55 +382,73 @@ def link_components(nodes: DataFrame, docs: DataFrame, frequent, similarity: flo
     shared = score.select("id").join(nodes.select("id", "text_key"), "id")
     texts = cut_lineage(docs.select(text_key().alias("text_key"), whole_text().alias("text"))
                         .join(shared, "text_key").dropDuplicates(["id"]).select("id", "text"))
-    hub = [F.col("h.id").alias("b"), F.col("h.score").alias("bscore"), F.col("h.weight").alias("bw"), F.col("h.c").alias("bc"),
-           *[F.col(f"h.{c}").alias(f"b{c}") for c in _SKETCH]]
+    mate = [F.col("id").alias("b"), F.col("score").alias("bscore"), F.col("weight").alias("bw"), F.col("c").alias("bc"),
+            *[F.col(c).alias(f"b{c}") for c in _SKETCH]]
+    hub = F.max(F.struct("score", "id", "weight", "c", *_SKETCH)).alias("h")
     may = (F.col("c") != F.col("bc")) & (F.least("weight", "bw") >= F.greatest("weight", "bw") * (similarity - 1e-9)) \
         & (_agreeing(_SKETCH, [f"b{c}" for c in _SKETCH]) >= AGREE)
     done = spark.createDataFrame([], "a bigint, b bigint")
-    comps, pivots, crowds = None, 0, None
+    comps = spark.createDataFrame([], "id bigint, c bigint")
+    first, pivots, crowds, places = True, PIVOTS, None, 0
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame) -> DataFrame | None:
+        """New components of the old ones: n, c. None if no pair is a link."""
+        if pairs.isEmpty():
+            return None
         with small_batches(spark, 200):  # two texts to a row
             found = cut_lineage(_links(pairs, texts, frequent, similarity))
-        # the components so far are stars, so only they and the new links are joined
-        edges = found if comps is None else found.unionByName(comps.select(F.col("id").alias("a"), F.col("c").alias("b")))
-        return cut_lineage(connected_components(edges).withColumnRenamed("n", "id"))
-
-    def still_split(rest: DataFrame) -> DataFrame:
-        rest = cut_lineage(rest.drop("c").join(comps, "id", "left").withColumn("c", F.coalesce("c", "id")))
-        split = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-        return cut_lineage(rest.join(split, "key", "left_semi"))
-
-    while not live.isEmpty():
-        if comps is not None:
-            heads = cut_lineage(live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("score", "id")).alias("h"))
-                                .filter(F.col("n") > CROWD).select("key", F.col("h.id").alias("head"), "n"))
-            crowded = heads.agg(F.sum("n")).first()[0] or 0
-            if crowded and (crowds is None or crowded <= crowds * 0.75):  # families are worth it while they settle most
-                crowds = crowded
-                found, settled = _family_pairs(live, heads.select("key", "head"), texts, frequent, similarity)
-                found, settled = cut_lineage(found), cut_lineage(settled)
-                comps = linked(found)
-                gone = heads.select("key", "head").join(settled, "head").select("key", "id")
-                live = still_split(live.join(gone, ["key", "id"], "left_anti"))
-                continue
-        salted = live.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(max(1, pivots))))
-        hubs = cut_lineage(salted.groupBy("key", "salt").agg(F.max(F.struct("score", "id", "weight", "c", *_SKETCH)).alias("h"))
-                           .select("key", *hub))
-        met = live.join(hubs, "key").filter(may)
-        if not pivots:  # at first the best pivot of each node
-            met = met.groupBy("id").agg(F.max(F.struct("bscore", "b")).alias("best")).select(F.col("id").alias("a"), "best.b")
+        return None if found.isEmpty() else cut_lineage(connected_components(found.select(F.col("c").alias("a"), F.col("bc").alias("b"))))
+
+    def renamed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots.withColumnsRenamed({"c": "root", "n": "c"}), "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
+
+    while True:
+        # buckets that lie in one component have nothing left to compare
+        heads = cut_lineage(live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), hub, F.min("c").alias("lo"), F.max("c").alias("hi"))
+                            .filter("lo <> hi").select("key", "n", "h.*").select("key", "n", *mate))
+        n = F.col("n")
+        held, meetings, crowded = heads.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (n, n * (n - 1) / 2, F.when(n > CROWD, n))]).first()
+        if not held:
+            break
+        places = places or held
+        if first:  # the best pivot of each node
+            first = False
+            met = live.join(heads, "key").filter(may).groupBy("id", "c").agg(F.max(F.struct("bscore", "b", "bc")).alias("best"))
+            pairs = met.select(F.col("id").alias("a"), "best.b", "c", "best.bc")
+            rest = live.join(heads.select("key"), "key", "left_semi")
         else:
-            met = met.select(F.col("id").alias("a"), "b").distinct()
-        pairs = cut_lineage(met.join(done, ["a", "b"], "left_anti"))
-        comps = linked(pairs)
-        done = cut_lineage(done.unionByName(pairs))
-        rest = live
-        if pivots:  # these pivots have met all of their buckets
-            rest = rest.join(hubs.select("key", F.col("b").alias("id")), ["key", "id"], "left_anti")
-        live = still_split(rest)
-        pivots = pivots * PIVOTS or 1
-    return comps if comps is not None else spark.createDataFrame([], "id bigint, c bigint")
+            sized = live.join(heads.select("key", "n"), "key")
+            small, rest, more = sized, None, None
+            if meetings <= places:  # fewer than the nodes had places in buckets: all at once
+                pass
+            elif crowded and (crowds is None or crowded <= crowds * 0.75):  # families are worth it while they settle most
+                crowds = crowded
+                families = cut_lineage(_families(sized, heads))
+                more, settled = _family_pairs(live, families, texts, frequent, similarity)
+                rest = live.join(families, "key").join(cut_lineage(settled), ["head", "id"], "left_anti").drop("head")
+                small = live.join(heads.select("key"), "key", "left_semi").join(families, "key", "left_anti")
+            elif crowded:
+                big, small = sized.filter(F.col("n") > CROWD).drop("n"), sized.filter(F.col("n") <= CROWD)
+                hubs = cut_lineage(big.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(pivots))).groupBy("key", "salt").agg(hub)
+                                   .select("key", "h.*").select("key", *mate))
+                more = big.join(hubs, "key").filter(may).select(F.col("id").alias("a"), "b", "c", "bc")
+                rest = big.join(hubs.select("key", F.col("b").alias("id")), ["key", "id"], "left_anti")  # these have met all of their buckets
+                pivots *= PIVOTS
+            pairs = small.join(small.select("key", *mate), "key").filter((F.col("id") > F.col("b")) & may) \
+                .select(F.col("id").alias("a"), "b", "c", "bc")
+            pairs = pairs.unionByName(more) if more is not None else pairs
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("c")).otherwise(F.col("bc")).alias("c"),
+                             F.when(F.col("a") > F.col("b"), F.col("bc")).otherwise(F.col("c")).alias("bc")).distinct()
+        pairs = cut_lineage(pairs.join(done, ["a", "b"], "left_anti"))
+        done = done.unionByName(pairs.select("a", "b"))
+        roots = linked(pairs)
+        if roots is not None:
+            comps = cut_lineage(renamed(comps, roots).select("id", "c").unionByName(
+                roots.withColumnRenamed("n", "id").join(comps.select("id"), "id", "left_anti").select("id", "c")))
+        if rest is None:
+            break
+        live = cut_lineage(rest if roots is None else renamed(rest, roots))
+    return comps
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -253,3 +253,45 @@ def test_family_pairs_hold_every_link_but_the_middles(spark):
     found = {(a, b) for a, b in pairs if similar(a, b)}
     assert links and len(settled) > 40
     assert parts(found | links) == parts(found)
+
+
+def test_buckets_that_share_members_are_one_family(spark):
+    """A member is compared with one centre, not with one for each of its buckets."""
+    size = near_dedup.CROWD + 4
+    rows = [(k, i) for k in range(8) for i in range(k, k + size)] + [(50, i) for i in (3, 4)] + [(90, 500 + i) for i in range(size)]
+    places = spark.createDataFrame([(k, i) for k, i in rows], "key bigint, id bigint")
+    best = {k: max((i == 10, i) for key, i in rows if key == k) for k, _ in rows}  # node 10 has the most buckets
+    heads = spark.createDataFrame([(k, sum(key == k for key, _ in rows), 9 if top else 1, i) for k, (top, i) in best.items()],
+                                  "key bigint, n bigint, bscore bigint, b bigint")
+    got = {r["key"]: r["head"] for r in near_dedup._families(places, heads).collect()}
+    assert got == {**dict.fromkeys(range(8), 10), 50: 10, 90: 500 + size - 1}
+
+
+def test_rounds_of_a_hot_group(spark, monkeypatch):
+    """Few rounds, each of many jobs: what families leave is compared at once when it has become small."""
+    rng = random.Random(17)
+    rows = crowd(rng, 150, 60, (1, 4)) + list(data.documents(10))
+    rounds, links = [], near_dedup._links
+
+    def counted(pairs, *rest):
+        rounds.append(pairs.columns)
+        return links(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_links", counted)
+    got = near_dedup.classes(data.frame(spark, rows)).collect()
+    want, _ = brute_classes(rows)
+    assert sorted(repr((r["doc_id"], r["class_id"])) for r in got) == want
+    assert len(rounds) <= 4
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    from seatgrid.operators import components as operator
+
+    written, cut = [], operator.cut_lineage
+    monkeypatch.setattr(operator, "cut_lineage", lambda df: written.append(1) or cut(df))
+    edges = [(1, i) for i in range(2, 30)] + [(100 + i, 200 + i) for i in range(30)]
+    got = {r["n"]: r["c"] for r in operator.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {1: 1, **{i: 1 for i in range(2, 30)}, **{100 + i: 100 + i for i in range(30)}, **{200 + i: 100 + i for i in range(30)}}
+    assert len(written) == 1
+    chain = spark.createDataFrame([(1, 2), (2, 3), (2, 5), (4, 5), (7, 7)], "a bigint, b bigint")
+    assert {r["n"]: r["c"] for r in operator.connected_components(chain).collect()} == dict.fromkeys(range(1, 6), 1)
