@@ -73,6 +73,15 @@ def _distinct(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _count_part(buckets: int):
     """Shingle fingerprints (32 bits) with the documents that hold them, per batch and fingerprint range:
     steps between sorted fingerprints in two halves, the high one almost all zeros, which compresses well."""
+    edges = np.array([-(-(k << 32) // buckets) for k in range(buckets)], np.uint32)  # the least fingerprint of each range
+
+    def counted(got):
+        p = np.concatenate(got)
+        got.clear()
+        p.sort()
+        first = np.flatnonzero(np.append(True, p[1:] != p[:-1])).astype(np.uint32)
+        return p[first], np.diff(first, append=np.uint32(len(p)))
+
     def grouped(batches):
         got, held = [], 0
         for batch in batches:
@@ -80,16 +89,16 @@ def _count_part(buckets: int):
                 got.append((_distinct(*shingles(h, at, SHINGLE_WORDS))[1] >> _U(32)).astype(np.uint32))
                 held += len(got[-1])
                 if held >= HELD:
-                    yield np.unique(np.concatenate(got), return_counts=True)
-                    got, held = [], 0
+                    yield counted(got)
+                    held = 0
         if held:
-            yield np.unique(np.concatenate(got), return_counts=True)
+            yield counted(got)
 
     def run(batches):
         for prints, n in grouped(batches):
-            part = (prints.astype(_U) * _U(buckets)) >> _U(32)
-            ids, first = np.unique(part, return_index=True)
-            ends = np.append(first[1:], len(prints))
+            first = np.append(np.searchsorted(prints, edges), len(prints))
+            ids = np.flatnonzero(np.diff(first))
+            first, ends = first[ids], first[ids + 1]
             steps = [np.diff(prints[a:b], prepend=np.uint32(0)) for a, b in zip(first, ends, strict=True)]
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array(ids.astype(np.int32)),
